@@ -1,0 +1,26 @@
+"""Join helpers: size-checked broadcast with a shuffle-join fallback."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it has at most this many rows. Dims in
+# this package are narrow (< 100 bytes a row), so the bound keeps every
+# broadcast far below executor memory; anything larger is shuffle-joined.
+DIM_BROADCAST_ROWS = 1_000_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has <= ``max_rows`` rows.
+
+    Runs ``limit(max_rows + 1).count()``: the scan stops early, so the check
+    costs at most ``max_rows + 1`` rows no matter how big ``df`` is.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint behind a row-count check; otherwise leave the join
+    to Catalyst/AQE (sort-merge, or runtime broadcast if it turns small)."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
