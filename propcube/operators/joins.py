@@ -20,7 +20,22 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+_MEMO: dict[tuple, bool] = {}
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS,
+                       memo_key: tuple | None = None) -> DataFrame:
     """Broadcast hint behind a row-count check; otherwise leave the join
-    to Catalyst/AQE (sort-merge, or runtime broadcast if it turns small)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    to Catalyst/AQE (sort-merge, or runtime broadcast if it turns small).
+
+    ``memo_key`` (e.g. the immutable source path) lets repeated plans over
+    the same input reuse one check.
+    """
+    if memo_key is not None:
+        key = memo_key + (max_rows,)
+        if key not in _MEMO:
+            _MEMO[key] = row_count_at_most(df, max_rows)
+        small = _MEMO[key]
+    else:
+        small = row_count_at_most(df, max_rows)
+    return F.broadcast(df) if small else df

@@ -10,10 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from propcube.operators import analytics as A
+from propcube.operators import rollups as R
+from propcube.operators import search as Q
+from propcube.operators import views as V
 from propcube.plans import oracle as O
-from propcube.session import apply_required_conf
+from propcube.session import apply_required_conf, scratch_path
 from propcube.sources.bridge import Tables
+from propcube.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -60,9 +66,84 @@ def _analytics() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
+def _refresh_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    root = scratch_path(spark, "warehouse")
+    report = V.refresh_views(t, root)
+    if report["failed"]:
+        raise RuntimeError(f"view refresh failed: {report['failed']}")
+    return V.view_row_counts(spark, root)
+
+
+PAGE_FILTER = Q.ListingFilters(city_id=2, bedroom_num=3, min_price=100000.0)
+SEARCH_FILTER = Q.ListingFilters(search="tower 1", property_type="high")
+COUNT_FILTER = Q.ListingFilters(city_id=0, transact_type=1, max_area=1500.0)
+TXN_FILTER = Q.TxnFilters(status="Completed", date_from="1998-01-01", date_to="1998-12-31")
+
+
+def _lookup_keys(spark: SparkSession, sf_dir: str, by_prop: bool) -> DataFrame:
+    """Requested keys: every deal's listing (hits) and every part key mapped
+    outside the id space (misses)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    if by_prop:
+        return li.select(F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("prop_id")) \
+            .unionByName(li.select(F.concat(F.lit("Q"), F.col("l_partkey").cast("string")).alias("prop_id")))
+    return li.select(F.col("l_orderkey").alias("listing_id")) \
+        .unionByName(li.select((-F.col("l_partkey") - 1).alias("listing_id")))
+
+
+LOOKUP_KEYS_SQL = ("SELECT l_orderkey AS _key FROM lineitem UNION ALL "
+                   "SELECT -l_partkey - 1 FROM lineitem")
+LOOKUP_PROP_SQL = ("SELECT 'P' || CAST(l_orderkey AS VARCHAR) AS _key FROM lineitem UNION ALL "
+                   "SELECT 'Q' || CAST(l_partkey AS VARCHAR) FROM lineitem")
+
+
+def _lookup(by_prop: bool) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _t(spark, sf_dir)
+        key = "prop_id" if by_prop else "listing_id"
+        return Q.lookup_listings(t, _lookup_keys(spark, sf_dir, by_prop), key)
+    return run
+
+
+def _views_search() -> dict[str, tuple[QueryFn, str | None]]:
+    return {
+        "mv_price_trends": (_q(V.mv_price_trends), O.mv_price_trends_sql()),
+        "mv_locality_demand": (_q(V.mv_locality_demand), O.mv_locality_demand_sql()),
+        "mv_agent_performance": (_q(V.mv_agent_performance), O.mv_agent_performance_sql()),
+        "refresh_views": (_refresh_views, O.refresh_views_sql()),
+        "listings_page": (_q(Q.listings_page, f=PAGE_FILTER, page=2, size=20),
+                          O.listings_page_sql(PAGE_FILTER, 2, 20)),
+        "listings_search": (
+            lambda spark, d: Q.filter_listings(_t(spark, d).listings, SEARCH_FILTER).select(
+                "listing_id", "prop_id", "prop_name", "description", "property_type", "city_id"),
+            O.listings_search_sql(SEARCH_FILTER)),
+        "listings_count": (_q(Q.listings_count, f=COUNT_FILTER, size=20),
+                           O.listings_count_sql(COUNT_FILTER, 20)),
+        "listings_enriched": (lambda spark, d: Q.enrich_listings(_t(spark, d).listings, _t(spark, d)),
+                              O.listings_enriched_sql()),
+        "listing_lookup": (_lookup(False), O.listing_lookup_sql(LOOKUP_KEYS_SQL, "listing_id")),
+        "listing_by_prop": (_lookup(True), O.listing_lookup_sql(LOOKUP_PROP_SQL, "prop_id")),
+        "transactions_list": (_q(Q.list_transactions, f=TXN_FILTER, limit=50, offset=10),
+                              O.transactions_list_sql("Completed", "1998-01-01", "1998-12-31",
+                                                      limit=50, offset=10)),
+        "transactions_by_city": (_q(Q.list_transactions, f=Q.TxnFilters(city_id=2), limit=200),
+                                 O.transactions_list_sql(city_id=2, limit=200)),
+        "agents_search": (_q(Q.search_agents, search="customer#0000001", limit=50),
+                          O.agents_search_sql(True, "customer#0000001", 50)),
+        "price_trend_matrix": (_q(R.price_trend_matrix), O.price_trend_matrix_sql()),
+        "bedroom_matrix": (_q(R.bedroom_matrix), O.bedroom_matrix_sql()),
+        "property_share": (_q(R.property_share), O.property_share_sql()),
+        "locality_rollup": (_q(R.locality_rollup), O.locality_rollup_sql()),
+        "agent_leaderboard": (_q(R.agent_leaderboard), O.agent_leaderboard_sql()),
+        "format_price": (lambda spark, d: R.price_labels(_t(spark, d).listings), O.format_price_query_sql()),
+        "labels": (lambda spark, d: R.display_labels(_t(spark, d).listings), O.labels_sql()),
+    }
+
+
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     reg: dict[str, tuple[QueryFn, str | None]] = {}
-    for part in (_analytics,):
+    for part in (_analytics, _views_search):
         reg.update(part())
     return reg
 

@@ -72,7 +72,8 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     nation = broadcast_if_small(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
+        memo_key=(sf_dir, "nation"))
     k = F.col("o_orderkey")
     area = F.lit(400) + (k % 37) * 50
     price = F.col("o_totalprice").cast(S.MONEY)
@@ -142,6 +143,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SMALL_SOURCE_DIMS: dict[tuple[str, str], bool] = {}
+
+
 class Tables:
     """The six domain tables of one dataset, built lazily.
 
@@ -159,6 +163,7 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = dict(overrides or {})
+        self._overridden = set(self._frames)
         self._small: dict[str, bool] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -172,7 +177,16 @@ class Tables:
         from propcube.operators.joins import DIM_BROADCAST_ROWS, row_count_at_most
         df = getattr(self, name)
         if name not in self._small:
-            self._small[name] = row_count_at_most(df, DIM_BROADCAST_ROWS)
+            # Source-derived dims are immutable files: remember the check per
+            # dataset path. Overridden (derived) dims are checked per instance.
+            key = (self.sf_dir, name)
+            if name in self._overridden or key not in _SMALL_SOURCE_DIMS:
+                small = row_count_at_most(df, DIM_BROADCAST_ROWS)
+                if name not in self._overridden:
+                    _SMALL_SOURCE_DIMS[key] = small
+            else:
+                small = _SMALL_SOURCE_DIMS[key]
+            self._small[name] = small
         return F.broadcast(df) if self._small[name] else df
 
     def with_tables(self, **frames: DataFrame) -> "Tables":
