@@ -502,3 +502,269 @@ SELECT listing_id,
        CASE WHEN price_sqft IS NULL OR price_sqft = 0 THEN '—'
             ELSE '₹' || {indian_int_sql(n)} || '/sqft' END AS sqft_label
 FROM listings""")
+
+
+# -- ingest ------------------------------------------------------------------
+# RAW renders every order as a raw city-file row, exactly like
+# propcube.sources.raw.raw_rows.
+
+RAW = r"""
+raw AS (
+  SELECT r_name AS city_name, CAST(r_regionkey AS INTEGER) AS source_rank, o_orderkey AS row_id,
+    CASE WHEN k % 50 = 7 THEN 'P' || CAST(k AS VARCHAR)
+         WHEN k % 50 = 9 THEN 'R' || CAST(k - 1 AS VARCHAR)
+         WHEN k % 50 = 13 THEN NULL
+         ELSE 'R' || CAST(k AS VARCHAR) END AS PROP_ID,
+    CASE WHEN k % 23 = 0 THEN NULL ELSE substr(o_orderpriority, 3) END AS PROPERTY_TYPE,
+    CASE k % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '' WHEN 3 THEN '0' ELSE '2.0' END AS TRANSACT_TYPE,
+    CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 = 1 THEN 'abc'
+         WHEN k % 9 = 2 THEN CAST(k % 7 AS VARCHAR) || '.0' ELSE CAST(k % 7 AS VARCHAR) END AS BEDROOM_NUM,
+    CAST(k % 5 AS VARCHAR) AS BATHROOM_NUM,
+    CASE WHEN k % 13 = 0 THEN '-1' ELSE CAST(k % 4 AS VARCHAR) END AS BALCONY_NUM,
+    CASE k % 6 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '4' WHEN 4 THEN '3' ELSE 'x' END AS FURNISH,
+    CASE WHEN k % 17 = 0 THEN '99999' ELSE CAST(k % 40 AS VARCHAR) END AS AGE,
+    CAST(k % 25 AS VARCHAR) AS FLOOR_NUM,
+    CAST(k % 30 + 1 AS VARCHAR) AS TOTAL_FLOOR,
+    CASE WHEN k % 7 = 0 THEN '0' WHEN k % 7 = 1 THEN '-5'
+         ELSE CAST(rupees // (400 + (k % 37) * 50) AS VARCHAR) END AS PRICE_SQFT,
+    CAST(400 + (k % 37) * 50 AS VARCHAR) AS MIN_AREA_SQFT,
+    CAST(400 + (k % 37) * 50 + 100 AS VARCHAR) AS MAX_AREA_SQFT,
+    CAST(400 + (k % 37) * 50 AS VARCHAR) AS AREA,
+    CASE k % 10
+      WHEN 0 THEN CAST(cents // 1000000 AS VARCHAR) || '.' || lpad(CAST((cents // 10000) % 100 AS VARCHAR), 2, '0') || ' Cr'
+      WHEN 1 THEN CAST(cents // 100000 AS VARCHAR) || '.' || lpad(CAST((cents // 1000) % 100 AS VARCHAR), 2, '0') || ' L'
+      WHEN 2 THEN format('{:,}', rupees)
+      WHEN 3 THEN CAST(rupees // 1000 AS VARCHAR) || ' - ' || CAST(rupees // 1000 + 5 AS VARCHAR) || ' L'
+      WHEN 4 THEN 'Price on Request'
+      WHEN 5 THEN CAST(rupees // 1000 AS VARCHAR) || ' L Onwards'
+      WHEN 6 THEN CAST(rupees % 100 AS VARCHAR) || ',000/Bedroom'
+      WHEN 7 THEN CAST(rupees // 1000 AS VARCHAR) || ' Lac'
+      WHEN 8 THEN '0 - ' || CAST(rupees // 1000 AS VARCHAR) || ' L'
+      ELSE CASE (k // 10) % 4 WHEN 0 THEN 'nan' WHEN 1 THEN '' WHEN 2 THEN '₹5 L'
+        ELSE CAST((rupees % 300) // 100 AS VARCHAR) || '.' || lpad(CAST(rupees % 100 AS VARCHAR), 2, '0')
+             || '  - ' || CAST(((rupees + 1) % 300) // 100 AS VARCHAR) || '.'
+             || lpad(CAST((rupees + 1) % 100 AS VARCHAR), 2, '0') || ' Cr' END
+    END AS PRICE,
+    CASE k % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'Yes' WHEN 2 THEN '1' WHEN 3 THEN 'N' ELSE '' END AS VERIFIED,
+    CASE k % 8
+      WHEN 0 THEN CAST(day(od) AS VARCHAR)
+                  || CASE WHEN day(od) IN (1, 21, 31) THEN 'st' WHEN day(od) IN (2, 22) THEN 'nd'
+                          WHEN day(od) IN (3, 23) THEN 'rd' ELSE 'th' END
+                  || ' ' || strftime(od, '%b') || ', ' || CAST(year(od) AS VARCHAR)
+      WHEN 1 THEN upper(strftime(od, '%d %b, %Y'))
+      WHEN 2 THEN strftime(od, '%Y-%m-%d')
+      WHEN 3 THEN CAST(day(od) AS VARCHAR) || '/' || CAST(month(od) AS VARCHAR) || '/' || CAST(year(od) AS VARCHAR)
+      WHEN 4 THEN NULL
+      WHEN 5 THEN strftime(od, '%Y-%m-%d') || ' 00:00:00'
+      WHEN 6 THEN CAST(day(od) AS VARCHAR) || ' ' || strftime(od, '%b') || ', ' || CAST(year(od) % 100 AS VARCHAR)
+      ELSE CASE WHEN k % 16 = 7 THEN '31 Feb, ' || CAST(year(od) AS VARCHAR)
+                ELSE CAST(day(od) AS VARCHAR) || '  ' || strftime(od, '%b') || ',  ' || CAST(year(od) AS VARCHAR) END
+    END AS REGISTER_DATE,
+    CASE WHEN k % 3 <> 0 THEN strftime(od + 365, '%Y-%m-%d') END AS EXPIRY_DATE,
+    CASE k % 6
+      WHEN 0 THEN '{''LOCALITY_NAME'': ''' || n_name || ''', ''BUILDING_ID'': ' || CAST(k % 200 + 1 AS VARCHAR)
+                  || ', ''BUILDING_NAME'': ''Tower ' || CAST(k % 50 AS VARCHAR) || ''', ''SOCIETY_NAME'': ''Society '
+                  || CAST(k % 40 AS VARCHAR) || '''}'
+      WHEN 1 THEN '{''LOCALITY_NAME'': '' ' || n_name || ' '', ''BUILDING_ID'': ''' || CAST(1000000 + k % 5000 AS VARCHAR) || '.0''}'
+      WHEN 2 THEN '{"LOCALITY_NAME": "' || n_name || '''s Rd", ''BUILDING_ID'': None, ''VERIFIED'': True}'
+      WHEN 3 THEN '{''LOCALITY_NAME'': ''' || n_name || '\xa0East'', ''BUILDING_ID'': 0}'
+      WHEN 4 THEN 'garbage'
+      ELSE NULL END AS location,
+    CASE k % 4
+      WHEN 0 THEN '{''LATITUDE'': ''' || lat || ''', ''LONGITUDE'': ''' || lng || '''}'
+      WHEN 1 THEN '{''LATITUDE'': ' || lat || ', ''LONGITUDE'': ' || lng || '}'
+      WHEN 2 THEN '{''LATITUDE'': 0, ''LONGITUDE'': ''''}'
+      ELSE NULL END AS MAP_DETAILS,
+    CASE WHEN k % 11 = 0 THEN 'nan'
+         WHEN k % 7 = 0 THEN upper('agent ' || CAST(o_custkey % 300 AS VARCHAR))
+         ELSE 'Agent ' || CAST(o_custkey % 300 AS VARCHAR) END AS CONTACT_NAME,
+    'Co ' || CAST(o_custkey % 40 AS VARCHAR) AS CONTACT_COMPANY_NAME,
+    'Tower ' || CAST(o_custkey AS VARCHAR) AS PROP_NAME,
+    CASE WHEN k % 3 = 0 THEN 'Lift, Parking' END AS AMENITIES,
+    CASE WHEN k % 101 = 0 THEN repeat('abcdefghij', 210) ELSE 'Status ' || o_orderstatus END AS DESCRIPTION
+  FROM (SELECT o.*, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS rupees,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents,
+               CAST(o_orderdate AS DATE) AS od, n_name, n_nationkey, r_name, r_regionkey,
+               CAST(n_nationkey + 10 AS VARCHAR) || '.' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS lat,
+               CAST(n_nationkey + 70 AS VARCHAR) || '.' || lpad(CAST(o_orderkey % 997 AS VARCHAR), 3, '0') AS lng
+        FROM orders o JOIN nation ON n_nationkey = o_orderkey % 25
+        JOIN region ON r_regionkey = n_regionkey) src)
+"""
+
+NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _num(x: str) -> str:
+    return f"(CASE WHEN regexp_full_match(trim({x}), '{NUM_RE}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+
+
+def _smallint(x: str) -> str:
+    return f"TRY_CAST(TRY_CAST(trunc({_num(x)}) AS BIGINT) AS SMALLINT)"
+
+
+def price_ctes(src: str = "raw", col: str = "PRICE") -> str:
+    """Layered CTEs: pp (row_id, price_raw, price_value DOUBLE)."""
+    layers = [f"pp0 AS (SELECT *, {col} AS price_raw, trim({col}) AS x_s, "
+              f"trim(split_part(trim({col}), ' - ', 1)) AS x_a, trim(split_part(trim({col}), ' - ', 2)) AS x_b FROM {src})"]
+    l1 = ", ".join(f"trim(regexp_replace({v}, '/Bed(room)?.*', '', 'g')) AS {v}_1" for v in ("x_s", "x_a", "x_b"))
+    layers.append(f"pp1 AS (SELECT *, {l1} FROM pp0)")
+    l2 = ", ".join(f"contains({v}_1, 'Cr') AS {v}_cr, (contains({v}_1, ' L') OR ends_with({v}_1, 'L')) AS {v}_l"
+                   for v in ("x_s", "x_a", "x_b"))
+    layers.append(f"pp2 AS (SELECT *, {l2} FROM pp1)")
+    l3 = ", ".join(
+        f"trim(replace(replace(CASE WHEN {v}_cr THEN trim(replace({v}_1, 'Cr', '')) "
+        f"WHEN {v}_l THEN trim(regexp_replace({v}_1, '\\s*L\\s*', '', 'g')) ELSE {v}_1 END, ',', ''), 'Onwards', '')) AS {v}_b"
+        for v in ("x_s", "x_a", "x_b"))
+    layers.append(f"pp3 AS (SELECT *, {l3} FROM pp2)")
+    l4 = ", ".join(
+        f"(CASE WHEN regexp_full_match({v}_b, '{NUM_RE}') THEN TRY_CAST({v}_b AS DOUBLE) END) * "
+        f"(CASE WHEN {v}_cr THEN 1e7 WHEN {v}_l THEN 1e5 ELSE 1.0 END) AS {v}_v, "
+        f"({v} IS NULL OR lower({v}) IN ('', 'price on request', 'nan')) AS {v}_miss"
+        for v in ("x_s", "x_a", "x_b"))
+    layers.append(f"pp4 AS (SELECT *, {l4} FROM pp3)")
+    layers.append(f"""pp AS (SELECT *,
+      CASE WHEN {col} IS NULL OR x_s_miss THEN NULL
+           WHEN contains(x_s, ' - ') THEN
+             CASE WHEN NOT x_a_miss AND x_a_v <> 0 AND NOT x_b_miss AND x_b_v <> 0 THEN (x_a_v + x_b_v) / 2
+                  WHEN NOT x_a_miss AND x_a_v <> 0 THEN x_a_v
+                  WHEN x_b_miss THEN NULL ELSE x_b_v END
+           ELSE x_s_v END AS price_value FROM pp4)""")
+    return ",\n".join(layers)
+
+
+def date_sql(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(trim({x}), '(\\d+)(st|nd|rd|th)', '\\1', 'g'), '\\s+', ' ', 'g')"
+    return f"""COALESCE(
+  CASE WHEN regexp_full_match({s}, '\\d{{1,2}} [A-Za-z]{{3}}, \\d{{4}}') THEN CAST(try_strptime({s}, '%d %b, %Y') AS DATE) END,
+  CASE WHEN regexp_full_match({s}, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN CAST(try_strptime({s}, '%Y-%m-%d') AS DATE) END,
+  CASE WHEN regexp_full_match({s}, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN CAST(try_strptime({s}, '%d/%m/%Y') AS DATE) END)"""
+
+
+def _quoted(field: str, src: str) -> str:
+    """Value of a quoted key in one of the fixture's dict literals."""
+    single = f"regexp_extract({src}, '''{field}'':\\s*''([^'']*)''', 1)"
+    double = f"regexp_extract({src}, '\"{field}\":\\s*\"([^\"]*)\"', 1)"
+    return f"COALESCE(NULLIF({single}, ''), NULLIF({double}, ''), '')"
+
+
+def location_sql(src: str = "location") -> str:
+    loc = f"trim(replace({_quoted('LOCALITY_NAME', src)}, '\\xa0', chr(160)))"
+    bid = (f"COALESCE(NULLIF(regexp_extract({src}, '''BUILDING_ID'':\\s*''?([0-9.]+)', 1), ''), '0')")
+    return f"""{loc} AS locality_name, {bid} AS building_id_raw,
+       {_quoted('BUILDING_NAME', src)} AS building_name, {_quoted('SOCIETY_NAME', src)} AS society_name"""
+
+
+def geo_sql(field: str, src: str = "MAP_DETAILS") -> str:
+    v = f"regexp_extract({src}, '''{field}'':\\s*''?([0-9.]*)', 1)"
+    return f"(CASE WHEN TRY_CAST({v} AS DOUBLE) <> 0 THEN TRY_CAST({v} AS DECIMAL(10,7)) END)"
+
+
+def with_raw(sql: str, extra: str = "") -> str:
+    ctes = RAW.strip()
+    if extra:
+        ctes += ",\n" + extra.strip()
+    return f"WITH {ctes}\n{sql.strip()}"
+
+
+def parse_price_sql() -> str:
+    return with_raw("SELECT row_id, price_raw, price_value FROM pp", price_ctes())
+
+
+def parse_date_sql() -> str:
+    return with_raw(f"SELECT row_id, REGISTER_DATE AS date_raw, {date_sql('REGISTER_DATE')} AS register_date FROM raw")
+
+
+def parse_location_sql() -> str:
+    return with_raw(f"""SELECT row_id, {location_sql()},
+       {geo_sql('LATITUDE')} AS latitude, {geo_sql('LONGITUDE')} AS longitude FROM raw""")
+
+
+def _synth(prop: str) -> str:
+    h = f"('0x' || substr(md5(concat_ws('|', {prop})), 1, 8))::BIGINT"
+    return f"(DATE '2022-10-01' + CAST({h} % 396 AS INTEGER))"
+
+
+def _clamp(x: str, n: int) -> str:
+    return f"NULLIF(substr({x}, 1, {n}), '')"
+
+
+NORMALIZED_SQL = f"""
+norm AS (
+  SELECT trim(PROP_ID) AS prop_id,
+    {_clamp('PROPERTY_TYPE', 100)} AS property_type,
+    CAST(CASE WHEN source_rank = 3 THEN 1
+              WHEN {_smallint('TRANSACT_TYPE')} IS NULL OR {_smallint('TRANSACT_TYPE')} = 0 THEN 1
+              ELSE {_smallint('TRANSACT_TYPE')} END AS SMALLINT) AS transact_type,
+    {_smallint('BEDROOM_NUM')} AS bedroom_num,
+    {_smallint('BATHROOM_NUM')} AS bathroom_num,
+    {_smallint('BALCONY_NUM')} AS balcony_num,
+    CAST(CASE WHEN source_rank <> 3 AND {_smallint('FURNISH')} IN (0, 1, 2, 4) THEN {_smallint('FURNISH')} ELSE 0 END AS SMALLINT) AS furnish_id,
+    {_smallint('AGE')} AS age,
+    {_smallint('FLOOR_NUM')} AS floor_num,
+    {_smallint('TOTAL_FLOOR')} AS total_floor,
+    CASE WHEN {_num('PRICE_SQFT')} > 0 THEN TRY_CAST(trim(PRICE_SQFT) AS DECIMAL(12,2)) END AS price_sqft,
+    {_clamp('PROP_NAME', 400)} AS prop_name,
+    {_clamp('AMENITIES', 500)} AS amenities,
+    {_clamp('DESCRIPTION', 2000)} AS description,
+    TRY_CAST(trim(CASE WHEN source_rank = 0 THEN AREA ELSE MIN_AREA_SQFT END) AS DECIMAL(12,4)) AS min_area_sqft,
+    TRY_CAST(trim(CASE WHEN source_rank = 0 THEN AREA WHEN source_rank = 1 THEN MIN_AREA_SQFT ELSE MAX_AREA_SQFT END) AS DECIMAL(12,4)) AS max_area_sqft,
+    price_raw,
+    CAST(CAST(price_value AS VARCHAR) AS DECIMAL(18,2)) AS price_inr,
+    CASE WHEN source_rank = 3 THEN FALSE ELSE COALESCE(trim(VERIFIED) IN ('1', '1.0', 'Y', 'Yes', 'True', 'TRUE', 'true'), FALSE) END AS verified,
+    COALESCE(CASE WHEN source_rank <> 0 THEN {date_sql('REGISTER_DATE')} END, {_synth('trim(PROP_ID)')}) AS register_date,
+    (CASE WHEN source_rank <> 0 THEN {date_sql('REGISTER_DATE')} END) IS NULL AS register_date_synth,
+    {date_sql('EXPIRY_DATE')} AS expiry_date,
+    {location_sql()},
+    city_name,
+    {geo_sql('LATITUDE')} AS latitude, {geo_sql('LONGITUDE')} AS longitude,
+    CASE WHEN source_rank IN (2, 4) THEN trim(CONTACT_NAME) END AS contact_name,
+    CASE WHEN source_rank IN (2, 4) THEN trim(CONTACT_COMPANY_NAME) END AS company_name,
+    CASE WHEN TRY_CAST(trunc({_num('TOTAL_FLOOR')}) AS BIGINT) BETWEEN 0 AND 32767
+         THEN CAST(trunc({_num('TOTAL_FLOOR')}) AS SMALLINT) END AS total_floors_bld,
+    source_rank, row_id
+  FROM pp),
+normalized AS (
+  SELECT * EXCLUDE (building_id_raw),
+         CASE WHEN TRY_CAST(trunc({_num('building_id_raw')}) AS BIGINT) > 0
+              THEN TRY_CAST(trunc({_num('building_id_raw')}) AS BIGINT) END AS building_id
+  FROM (SELECT * REPLACE (NULLIF(building_name, '') AS building_name,
+                          NULLIF(society_name, '') AS society_name) FROM norm))
+"""
+
+
+def normalized_ctes() -> str:
+    return price_ctes() + ",\n" + NORMALIZED_SQL.strip()
+
+
+NORMALIZED_COLS = ("prop_id, property_type, transact_type, bedroom_num, bathroom_num, balcony_num, "
+                   "furnish_id, age, floor_num, total_floor, price_sqft, prop_name, amenities, description, "
+                   "min_area_sqft, max_area_sqft, price_raw, price_inr, verified, register_date, "
+                   "register_date_synth, expiry_date, locality_name, building_id, building_name, "
+                   "society_name, city_name, latitude, longitude, contact_name, company_name, "
+                   "total_floors_bld, source_rank, row_id")
+
+CLEAN_CTE = """
+kept AS (SELECT * FROM normalized
+         WHERE price_inr > 0 AND prop_id IS NOT NULL AND prop_id <> 'nan' AND prop_id <> ''),
+clean AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY prop_id ORDER BY source_rank, row_id) AS rn FROM kept) WHERE rn = 1)
+"""
+
+
+def normalize_listings_sql() -> str:
+    return with_raw(f"SELECT {NORMALIZED_COLS} FROM normalized", normalized_ctes())
+
+
+def quality_filter_sql() -> str:
+    return with_raw("SELECT prop_id, price_inr, source_rank, row_id FROM kept",
+                    normalized_ctes() + ",\n" + CLEAN_CTE.strip())
+
+
+def dedup_first_sql() -> str:
+    return with_raw("SELECT prop_id, source_rank, row_id, price_inr, city_name, locality_name FROM clean",
+                    normalized_ctes() + ",\n" + CLEAN_CTE.strip())
+
+
+def register_date_synth_sql() -> str:
+    return with_raw("SELECT prop_id, row_id, register_date FROM clean WHERE register_date_synth",
+                    normalized_ctes() + ",\n" + CLEAN_CTE.strip())

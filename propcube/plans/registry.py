@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from propcube.functions import parsing as P
 from propcube.operators import analytics as A
+from propcube.operators import ingest as I
 from propcube.operators import rollups as R
 from propcube.operators import search as Q
 from propcube.operators import views as V
 from propcube.plans import oracle as O
 from propcube.session import apply_required_conf, scratch_path
+from propcube.sources import raw as RAW
 from propcube.sources.bridge import Tables
 from propcube.sources.tables import read_table
 
@@ -141,9 +144,54 @@ def _views_search() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_required_conf(spark)
+    return I.clean_listings(RAW.city_frames(spark, sf_dir))
+
+
+def _parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = RAW.raw_rows(spark, sf_dir).select("row_id", F.col("PRICE").alias("price_raw"))
+    return P.with_price(r, "price_raw", "price_value")
+
+
+def _parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = RAW.raw_rows(spark, sf_dir).select("row_id", F.col("REGISTER_DATE").alias("date_raw"))
+    return P.with_date(r, "date_raw", "register_date")
+
+
+def _parse_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = RAW.raw_rows(spark, sf_dir).select(
+        "row_id", P.parse_location("location").alias("_loc"), P.parse_map_details("MAP_DETAILS").alias("_geo"))
+    return r.select("row_id", "_loc.locality_name", "_loc.building_id_raw", "_loc.building_name",
+                    "_loc.society_name", "_geo.latitude", "_geo.longitude")
+
+
+def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
+    return {
+        "parse_price": (_parse_price, O.parse_price_sql()),
+        "parse_date": (_parse_date, O.parse_date_sql()),
+        "parse_location": (_parse_location, O.parse_location_sql()),
+        "normalize_listings": (
+            lambda spark, d: I.union_cities(RAW.city_frames(spark, d)).select(*I.NORMALIZED_COLUMNS),
+            O.normalize_listings_sql()),
+        "quality_filter": (
+            lambda spark, d: I.quality_filter(I.union_cities(RAW.city_frames(spark, d)))
+            .select("prop_id", "price_inr", "source_rank", "row_id"),
+            O.quality_filter_sql()),
+        "dedup_first": (
+            lambda spark, d: _clean(spark, d).select("prop_id", "source_rank", "row_id", "price_inr",
+                                                     "city_name", "locality_name"),
+            O.dedup_first_sql()),
+        "register_date_synth": (
+            lambda spark, d: _clean(spark, d).where("register_date_synth")
+            .select("prop_id", "row_id", "register_date"),
+            O.register_date_synth_sql()),
+    }
+
+
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     reg: dict[str, tuple[QueryFn, str | None]] = {}
-    for part in (_analytics, _views_search):
+    for part in (_analytics, _views_search, _ingest):
         reg.update(part())
     return reg
 
