@@ -194,52 +194,52 @@ def positive_or_null(c: Column) -> Column:
 # and drop the temporaries at the end.
 
 def with_price(df: DataFrame, src: str, out: str) -> DataFrame:
-    """``df`` + ``out`` = parse_price(``src``), computed in stages."""
+    """``df`` + ``out`` = parse_price(``src``), in six projection levels."""
     t = f"__{out}"
-    df = df.withColumns({
-        f"{t}_s": pystrip(F.col(src)),
-    })
-    parts = F.split(F.col(f"{t}_s"), " - ")
-    df = df.withColumns({
-        f"{t}_a": pystrip(F.get(parts, 0)),
-        f"{t}_b": pystrip(F.get(parts, 1)),
-    })
-    for v in ("s", "a", "b"):
-        x = f"{t}_{v}"
-        df = df.withColumn(f"{x}1", pystrip(F.regexp_replace(F.col(x), r"/Bed(room)?.*", "")))
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    parts = F.split(pystrip(F.col(src)), " - ")
+    df = df.select(*keep, pystrip(F.col(src)).alias(f"{t}_s"),
+                   pystrip(F.get(parts, 0)).alias(f"{t}_a"), pystrip(F.get(parts, 1)).alias(f"{t}_b"))
+    vs = [f"{t}_{v}" for v in ("s", "a", "b")]
+    df = df.select("*", *[pystrip(F.regexp_replace(F.col(x), r"/Bed(room)?.*", "")).alias(f"{x}1") for x in vs])
+    df = df.select("*", *[c for x in vs for c in (
+        F.col(f"{x}1").contains("Cr").alias(f"{x}cr"),
+        (F.col(f"{x}1").contains(" L") | F.col(f"{x}1").endswith("L")).alias(f"{x}l"))])
+
+    def body(x: str) -> Column:
         x1 = F.col(f"{x}1")
-        df = df.withColumns({f"{x}cr": x1.contains("Cr"),
-                             f"{x}l": x1.contains(" L") | x1.endswith("L")})
-        body = (F.when(F.col(f"{x}cr"), pystrip(F.replace(x1, F.lit("Cr"), F.lit(""))))
-                 .when(F.col(f"{x}l"), pystrip(F.regexp_replace(x1, r"\s*L\s*", "")))
-                 .otherwise(x1))
-        df = df.withColumn(f"{x}body", pystrip(F.replace(F.replace(body, F.lit(","), F.lit("")),
-                                                         F.lit("Onwards"), F.lit(""))))
-        mult = F.when(F.col(f"{x}cr"), F.lit(1e7)).when(F.col(f"{x}l"), F.lit(1e5)).otherwise(F.lit(1.0))
+        b = (F.when(F.col(f"{x}cr"), pystrip(F.replace(x1, F.lit("Cr"), F.lit(""))))
+              .when(F.col(f"{x}l"), pystrip(F.regexp_replace(x1, r"\s*L\s*", "")))
+              .otherwise(x1))
+        return pystrip(F.replace(F.replace(b, F.lit(","), F.lit("")), F.lit("Onwards"), F.lit("")))
+    df = df.select("*", *[body(x).alias(f"{x}body") for x in vs])
+
+    def value(x: str) -> Column:
         b = F.col(f"{x}body")
-        df = df.withColumns({
-            f"{x}v": F.when(b.rlike(NUMERIC), b.try_cast("double")) * mult,
-            f"{x}miss": F.col(x).isNull() | F.lower(F.col(x)).isin("", "price on request", "nan"),
-        })
+        mult = F.when(F.col(f"{x}cr"), F.lit(1e7)).when(F.col(f"{x}l"), F.lit(1e5)).otherwise(F.lit(1.0))
+        return F.when(b.rlike(NUMERIC), b.try_cast("double")) * mult
+    df = df.select("*", *[c for x in vs for c in (
+        value(x).alias(f"{x}v"),
+        (F.col(x).isNull() | F.lower(F.col(x)).isin("", "price on request", "nan")).alias(f"{x}miss"))])
     av, bv = F.col(f"{t}_av"), F.col(f"{t}_bv")
     a_ok = ~F.col(f"{t}_amiss") & av.isNotNull() & (av != 0)
     b_ok = ~F.col(f"{t}_bmiss") & bv.isNotNull() & (bv != 0)
     ranged = (F.when(a_ok & b_ok, (av + bv) / 2).when(a_ok, av)
                .when(F.col(f"{t}_bmiss"), F.lit(None).cast("double")).otherwise(bv))
-    value = (F.when(F.col(src).isNull() | F.col(f"{t}_smiss"), F.lit(None).cast("double"))
-              .when(F.col(f"{t}_s").contains(" - "), ranged)
-              .otherwise(F.col(f"{t}_sv")))
-    df = df.withColumn(out, value)
-    return df.drop(*[c for c in df.columns if c.startswith(f"{t}_")])
+    result = (F.when(F.col(src).isNull() | F.col(f"{t}_smiss"), F.lit(None).cast("double"))
+               .when(F.col(f"{t}_s").contains(" - "), ranged)
+               .otherwise(F.col(f"{t}_sv")))
+    return df.select(*keep, result.alias(out))
 
 
 def with_date(df: DataFrame, src: str, out: str) -> DataFrame:
     """``df`` + ``out`` = parse_date(``src``), the cleaned text computed once."""
     t = f"__{out}_clean"
+    keep = [F.col(f"`{c}`") for c in df.columns]
     s = F.regexp_replace(pystrip(F.col(src)), r"(\d+)(st|nd|rd|th)", "$1")
-    df = df.withColumn(t, F.regexp_replace(s, r"(?U)\s+", " "))
+    df = df.select(*keep, F.regexp_replace(s, r"(?U)\s+", " ").alias(t))
     parsed = F.coalesce(*[F.try_to_timestamp(F.col(t), F.lit(f)).cast("date") for f in DATE_FORMATS])
-    return df.withColumn(out, parsed).drop(t)
+    return df.select(*keep, parsed.alias(out))
 
 
 def with_struct(df: DataFrame, out: str, expr: Column) -> DataFrame:

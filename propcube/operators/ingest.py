@@ -63,14 +63,9 @@ def _or_null(c, typ: str = "string"):
     return c if c is not None else F.lit(None).cast(typ)
 
 
-def normalize(df: DataFrame, city_name: str, source_rank: int) -> DataFrame:
-    """ING13: raw city frame -> unified typed frame (ING1-ING12 applied).
-
-    Absent source columns become typed NULLs or their defaults; the area
-    fallback (ING7) branches on the frame's columns, not on data. The
-    parses run as staged projections (see ``parsing.with_price``) so the
-    whole frame stays in one whole-stage-codegen'd stage.
-    """
+def _normalize_base(df: DataFrame, city_name: str, source_rank: int) -> DataFrame:
+    """Schema-driven first projection of one city file (cheap parses; raw
+    inputs of the heavy price/date parses are passed through)."""
     cols = set(df.columns)
     g = lambda n: F.col(f"`{n}`") if n in cols else None
     if "MIN_AREA_SQFT" in cols:
@@ -90,7 +85,7 @@ def normalize(df: DataFrame, city_name: str, source_rank: int) -> DataFrame:
     sqft_raw = _or_null(g("PRICE_SQFT"))
     row_id = g("row_id") if "row_id" in cols else F.monotonically_increasing_id()
     # Stage 1: plain columns plus the raw inputs of the heavier parses.
-    base = df.select(
+    return df.select(
         P.pystrip(_or_null(g("PROP_ID"))).alias("prop_id"),
         text("PROPERTY_TYPE", S.TEXT_LIMITS["property_type"]).alias("property_type"),
         P.transact_code(g("TRANSACT_TYPE")).alias("transact_type"),
@@ -120,6 +115,10 @@ def normalize(df: DataFrame, city_name: str, source_rank: int) -> DataFrame:
         F.lit(source_rank).cast("int").alias("source_rank"),
         row_id.cast("bigint").alias("row_id"),
     )
+
+
+def _finish(base: DataFrame) -> DataFrame:
+    """Staged parses over (a union of) base frames, then the final shape."""
     # Stage 2: staged parses.
     staged = P.with_price(base, "price_raw", "_price")
     staged = P.with_date(staged, "_reg_raw", "_reg")
@@ -146,23 +145,33 @@ def normalize(df: DataFrame, city_name: str, source_rank: int) -> DataFrame:
     # Per-file ingest metrics. The metrics node also keeps later filters
     # (FIL1) from being pushed down into, and inlined through, the staged
     # parse projections, which would rebuild one oversized expression.
-    return out.observe(f"ingest_{source_rank}_{next(_OBSERVE_SEQ)}",
+    return out.observe(f"ingest_{next(_OBSERVE_SEQ)}",
                        F.count(F.lit(1)).alias("rows"),
                        F.count("price_inr").alias("priced"),
                        F.count_if(F.col("register_date_synth")).alias("synth_dates"))
 
 
+def normalize(df: DataFrame, city_name: str, source_rank: int) -> DataFrame:
+    """ING13: raw city frame -> unified typed frame (ING1-ING12 applied).
+
+    Absent source columns become typed NULLs or their defaults; the area
+    fallback (ING7) branches on the frame's columns, not on data.
+    """
+    return _finish(_normalize_base(df, city_name, source_rank))
+
+
 # -- SET1 / FIL1 / SET2 ----------------------------------------------------------
 
 def union_cities(frames: dict[str, DataFrame]) -> DataFrame:
     """SET1: normalise each city frame and union them in configured order."""
     out = None
     for rank, (city, df) in enumerate(frames.items()):
-        n = normalize(df, city, rank)
+        n = _normalize_base(df, city, rank)
         out = n if out is None else out.unionByName(n)
     if out is None:
         raise ValueError("no city frames")
-    return out
+    # The heavy parses run once over the union: one plan, one compiled stage.
+    return _finish(out)
 
 
 def quality_filter(df: DataFrame) -> DataFrame:

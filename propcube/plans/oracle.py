@@ -768,3 +768,113 @@ def dedup_first_sql() -> str:
 def register_date_synth_sql() -> str:
     return with_raw("SELECT prop_id, row_id, register_date FROM clean WHERE register_date_synth",
                     normalized_ctes() + ",\n" + CLEAN_CTE.strip())
+
+
+# -- dimension maintenance -------------------------------------------------------
+
+def with_all(sql: str, extra: str = "") -> str:
+    """Bridge + raw fixture + normalised/clean ingest CTEs."""
+    ctes = BRIDGE.strip() + ",\n" + RAW.strip() + ",\n" + normalized_ctes() + ",\n" + CLEAN_CTE.strip()
+    if extra:
+        ctes += ",\n" + extra.strip()
+    return f"WITH {ctes}\n{sql.strip()}"
+
+
+DIM_CTES = """
+first_loc AS (
+  SELECT locality_name, city_name, latitude AS n_lat, longitude AS n_lng, source_rank AS _sr, row_id AS _ri
+  FROM (SELECT *, row_number() OVER (PARTITION BY locality_name, city_name ORDER BY source_rank, row_id) AS rn
+        FROM clean WHERE locality_name IS NOT NULL AND locality_name <> '') WHERE rn = 1),
+cand_loc AS (SELECT f.*, c.city_id FROM first_loc f JOIN cities c ON c.city_name = f.city_name),
+merged_loc AS (
+  SELECT COALESCE(o.locality_name, n.locality_name) AS locality_name, COALESCE(o.city_id, n.city_id) AS city_id,
+         o.locality_id, o.latitude, o.longitude, n.n_lat, n.n_lng, n._sr, n._ri
+  FROM localities o FULL JOIN cand_loc n ON o.locality_name = n.locality_name AND o.city_id = n.city_id),
+loc2 AS (
+  SELECT locality_id, locality_name, city_id, COALESCE(n_lat, latitude) AS latitude,
+         COALESCE(n_lng, longitude) AS longitude FROM merged_loc WHERE locality_id IS NOT NULL
+  UNION ALL
+  SELECT (SELECT COALESCE(MAX(locality_id), 0) FROM localities) + row_number() OVER (ORDER BY _sr, _ri),
+         locality_name, city_id, n_lat, n_lng FROM merged_loc WHERE locality_id IS NULL),
+first_b AS (
+  SELECT * FROM (SELECT building_id, building_name, society_name, locality_name, city_name, total_floors_bld,
+                        row_number() OVER (PARTITION BY building_id ORDER BY source_rank, row_id) AS rn
+                 FROM clean WHERE building_id IS NOT NULL) WHERE rn = 1),
+bld2 AS (
+  SELECT building_id, building_name, society_name, locality_id, total_floors FROM buildings
+  UNION ALL
+  SELECT f.building_id, f.building_name, f.society_name, l.locality_id, f.total_floors_bld
+  FROM first_b f LEFT JOIN cities c ON c.city_name = f.city_name
+  LEFT JOIN loc2 l ON l.locality_name = f.locality_name AND l.city_id = c.city_id
+  WHERE f.building_id NOT IN (SELECT building_id FROM buildings)),
+first_a AS (
+  SELECT * FROM (
+    SELECT contact_name, NULLIF(COALESCE(company_name, ''), '') AS company_name,
+           lower(contact_name) AS _kn, lower(COALESCE(company_name, '')) AS _kc, source_rank, row_id,
+           row_number() OVER (PARTITION BY lower(contact_name), lower(COALESCE(company_name, ''))
+                              ORDER BY source_rank, row_id) AS rn
+    FROM clean WHERE contact_name IS NOT NULL AND lower(contact_name) NOT IN ('', 'nan', 'none')) WHERE rn = 1),
+agt2 AS (
+  SELECT agent_id, contact_name, company_name, phone, email, is_active FROM agents
+  UNION ALL
+  SELECT (SELECT COALESCE(MAX(agent_id), 0) FROM agents) + row_number() OVER (ORDER BY source_rank, row_id),
+         contact_name, company_name, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), TRUE
+  FROM first_a f WHERE NOT EXISTS (
+    SELECT 1 FROM agents a WHERE lower(a.contact_name) = f._kn AND lower(COALESCE(a.company_name, '')) = f._kc)),
+resolved AS (
+  SELECT r.*, c.city_id, l.locality_id, b.building_id AS building_id_ok, am.agent_id
+  FROM clean r JOIN cities c ON c.city_name = r.city_name
+  LEFT JOIN loc2 l ON l.locality_name = r.locality_name AND l.city_id = c.city_id
+  LEFT JOIN bld2 b ON b.building_id = r.building_id
+  LEFT JOIN (SELECT contact_name, MAX(agent_id) AS agent_id FROM agt2
+             WHERE contact_name IS NOT NULL GROUP BY contact_name) am ON am.contact_name = r.contact_name)
+"""
+
+
+def upsert_localities_sql() -> str:
+    return with_all("SELECT locality_id, locality_name, city_id, latitude, longitude FROM loc2", DIM_CTES)
+
+
+def insert_buildings_sql() -> str:
+    return with_all("SELECT building_id, building_name, society_name, locality_id, total_floors FROM bld2", DIM_CTES)
+
+
+def upsert_agents_sql() -> str:
+    return with_all("SELECT agent_id, contact_name, company_name, phone, email, is_active FROM agt2", DIM_CTES)
+
+
+def resolve_fks_sql() -> str:
+    return with_all("""SELECT prop_id, city_id, locality_id, building_id_ok AS building_id, agent_id,
+                              source_rank, row_id FROM resolved""", DIM_CTES)
+
+
+def insert_if_absent_sql() -> str:
+    return with_all("""
+SELECT (SELECT MAX(listing_id) FROM listings) + row_number() OVER (ORDER BY source_rank, row_id) AS listing_id,
+       prop_id, city_id, locality_id, building_id_ok AS building_id, agent_id, price_inr, register_date,
+       transact_type, is_active_new AS is_active
+FROM (SELECT *, TRUE AS is_active_new FROM resolved) r
+WHERE prop_id NOT IN (SELECT prop_id FROM listings)""", DIM_CTES)
+
+
+def _h(salt: str, key: str = "listing_id") -> str:
+    return f"('0x' || substr(md5(concat_ws('|', CAST({key} AS VARCHAR), '{salt}')), 1, 8))::BIGINT"
+
+
+def synth_transactions_sql() -> str:
+    first = "['Amit', 'Priya', 'Rahul', 'Sneha', 'Vikram', 'Pooja', 'Suresh', 'Kavitha', 'Arjun', 'Divya', 'Rajan', 'Meera', 'Anil', 'Sunita', 'Deepak', 'Swati']"
+    last = "['Sharma', 'Patel', 'Singh', 'Gupta', 'Verma', 'Nair', 'Reddy', 'Iyer', 'Kumar', 'Joshi', 'Mehta', 'Shah', 'Das', 'Bose', 'Pillai', 'Mishra']"
+    own = "['Freehold', 'Leasehold', 'Co-operative Society', 'Power of Attorney']"
+    return with_bridge(f"""
+SELECT 'S' || CAST(listing_id AS VARCHAR) AS txn_id, listing_id,
+       CAST(round(price_inr * (CAST(0.92 AS DECIMAL(3,2))
+            + CAST({_h('var')} % 16001 AS DECIMAL(10,0)) * CAST(0.00001 AS DECIMAL(6,5))), 2) AS DECIMAL(18,2)) AS sale_price,
+       COALESCE(register_date + CAST(30 + {_h('days')} % 336 AS INTEGER),
+                make_date(CAST(2022 + {_h('y')} % 2 AS INTEGER), CAST(1 + {_h('m')} % 12 AS INTEGER),
+                          CAST(1 + {_h('d')} % 28 AS INTEGER))) AS transaction_date,
+       ({first})[{_h('first')} % 16 + 1] || ' ' || ({last})[{_h('last')} % 16 + 1] AS buyer_name,
+       ({own})[{_h('own')} % 4 + 1] AS ownership_type,
+       CASE WHEN {_h('status')} % 100 < 80 THEN 'Completed'
+            WHEN {_h('status')} % 100 < 95 THEN 'Pending' ELSE 'Cancelled' END AS status,
+       CAST(NULL AS VARCHAR) AS notes
+FROM listings WHERE price_inr > 0 AND {_h('pick')} < 515396075""")

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from propcube.functions import parsing as P
 from propcube.operators import analytics as A
+from propcube.operators import dims as D
 from propcube.operators import ingest as I
 from propcube.operators import rollups as R
 from propcube.operators import search as Q
 from propcube.operators import views as V
 from propcube.plans import oracle as O
-from propcube.session import apply_required_conf, scratch_path
+from propcube.session import apply_required_conf, materialize, scratch_path
 from propcube.sources import raw as RAW
 from propcube.sources.bridge import Tables
 from propcube.sources.tables import read_table
@@ -189,9 +190,46 @@ def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
+BATCH_TS = "2024-01-01 00:00:00"
+
+
+def _dim_chain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Ingest the raw city rows into the bridged dimensions, like the
+    seeding job: localities -> buildings -> agents -> FK resolution."""
+    t = _t(spark, sf_dir)
+    clean = materialize(_clean(spark, sf_dir))
+    loc = D.upsert_localities(t.localities, clean, t.cities)
+    bld = D.insert_buildings(t.buildings, clean, loc, t.cities)
+    agt = D.upsert_agents(t.agents, clean)
+    res = D.resolve_fks(clean, t.cities, loc, bld, agt)
+    return {"t": t, "clean": clean, "localities": loc, "buildings": bld, "agents": agt, "resolved": res}
+
+
+def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _dim_chain(spark, sf_dir)
+    out = D.insert_if_absent(c["t"].listings, c["resolved"], BATCH_TS)
+    return out.where(F.col("created_at") == F.lit(BATCH_TS).cast("timestamp")).select(
+        "listing_id", "prop_id", "city_id", "locality_id", "building_id", "agent_id", "price_inr",
+        "register_date", "transact_type", "is_active")
+
+
+def _dims() -> dict[str, tuple[QueryFn, str | None]]:
+    return {
+        "upsert_localities": (lambda s, d: _dim_chain(s, d)["localities"], O.upsert_localities_sql()),
+        "insert_buildings": (lambda s, d: _dim_chain(s, d)["buildings"], O.insert_buildings_sql()),
+        "upsert_agents": (lambda s, d: _dim_chain(s, d)["agents"], O.upsert_agents_sql()),
+        "resolve_fks": (lambda s, d: _dim_chain(s, d)["resolved"].select(
+            "prop_id", "city_id", "locality_id", "building_id", "agent_id", "source_rank", "row_id"),
+            O.resolve_fks_sql()),
+        "insert_if_absent": (_inserted, O.insert_if_absent_sql()),
+        "synth_transactions": (lambda s, d: D.synth_transactions(_t(s, d).listings),
+                               O.synth_transactions_sql()),
+    }
+
+
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     reg: dict[str, tuple[QueryFn, str | None]] = {}
-    for part in (_analytics, _views_search, _ingest):
+    for part in (_analytics, _views_search, _ingest, _dims):
         reg.update(part())
     return reg
 

@@ -111,3 +111,14 @@ def glob_exists(spark: SparkSession, pattern: str) -> bool:
 
 __all__ = ["get_session", "storage_root", "scratch_path", "exists",
            "glob_exists", "local_path", "apply_required_conf"]
+
+
+def materialize(df):
+    """Cut lineage for a frame read by several later steps.
+
+    Reliable ``checkpoint()`` into the shared ``spark.checkpoint.dir`` (so a
+    lost executor does not force recomputing the whole ingest), never
+    ``localCheckpoint``.
+    """
+    storage_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -54,6 +54,22 @@ def raw_rows(spark: SparkSession, sf_dir: str, region_key: int | None = None) ->
     r = F.broadcast(region)
     j = (o.join(n, (F.col("o_orderkey") % 25).cast("int") == F.col("n_nationkey"))
           .join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+    return j.select(*_raw_columns(spark))
+
+
+_COLUMN_CACHE: dict[int, list] = {}
+
+
+def _raw_columns(spark: SparkSession) -> list[Column]:
+    """The fixture's select list, built once per session and reused for
+    every city (unresolved Columns bind to whichever frame selects them)."""
+    key = id(spark.sparkContext._jsc)
+    if key not in _COLUMN_CACHE:
+        _COLUMN_CACHE[key] = _build_raw_columns()
+    return _COLUMN_CACHE[key]
+
+
+def _build_raw_columns() -> list[Column]:
     k = F.col("o_orderkey")
     rupees = F.floor("o_totalprice").cast("bigint")
     cents = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
@@ -125,7 +141,7 @@ def raw_rows(spark: SparkSession, sf_dir: str, region_key: int | None = None) ->
     contact = (F.when(k % 11 == 0, F.lit("nan"))
                 .when(k % 7 == 0, F.upper(F.concat(F.lit("agent "), agent_no)))
                 .otherwise(F.concat(F.lit("Agent "), agent_no)))
-    return j.select(
+    return [
         F.col("r_name").alias("city_name"),
         F.col("r_regionkey").cast("int").alias("source_rank"),
         k.alias("row_id"),
@@ -158,7 +174,7 @@ def raw_rows(spark: SparkSession, sf_dir: str, region_key: int | None = None) ->
         F.when(k % 3 == 0, F.lit("Lift, Parking")).alias("AMENITIES"),
         F.when(k % 101 == 0, F.repeat(F.lit("abcdefghij"), 210))
          .otherwise(F.concat(F.lit("Status "), F.col("o_orderstatus"))).alias("DESCRIPTION"),
-    )
+    ]
 
 
 def city_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
