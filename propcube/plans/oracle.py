@@ -878,3 +878,232 @@ SELECT 'S' || CAST(listing_id AS VARCHAR) AS txn_id, listing_id,
             WHEN {_h('status')} % 100 < 95 THEN 'Pending' ELSE 'Cancelled' END AS status,
        CAST(NULL AS VARCHAR) AS notes
 FROM listings WHERE price_inr > 0 AND {_h('pick')} < 515396075""")
+
+
+# -- change batches --------------------------------------------------------------
+
+def _reasons(rules: list[tuple[str, str]]) -> str:
+    items = ", ".join(f"CASE WHEN COALESCE({bad}, FALSE) THEN '{code}' END" for code, bad in rules)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def _line_seq(with_order: bool = False) -> str:
+    parts = ["lpad(CAST(l_linenumber AS VARCHAR), 3, '0')", "lpad(CAST(l_partkey AS VARCHAR), 12, '0')",
+             "lpad(CAST(l_suppkey AS VARCHAR), 12, '0')",
+             "lpad(CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS VARCHAR), 15, '0')"]
+    if with_order:
+        parts = ["lpad(CAST(l_orderkey AS VARCHAR), 12, '0')"] + parts
+    return " || ".join(parts)
+
+
+TXN_ID_SQL = ("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+              "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT))")
+
+LISTING_CREATES = """
+ch AS (
+  SELECT o_orderkey AS seq,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'P' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 10 = 1 THEN 'N'
+         WHEN o_orderkey % 10 = 9 THEN 'N' || CAST(o_orderkey - 1 AS VARCHAR)
+         ELSE 'N' || CAST(o_orderkey AS VARCHAR) END AS prop_id,
+    CAST(CASE WHEN o_orderkey % 10 = 2 THEN -500 ELSE o_totalprice END AS DECIMAL(18,2)) AS price_inr,
+    CAST(CASE WHEN o_orderkey % 10 = 3 THEN 99 ELSE o_orderkey % 5 END AS BIGINT) AS city_id,
+    CAST(CASE WHEN o_orderkey % 10 = 4 THEN 999 WHEN o_orderkey % 10 = 5 THEN NULL ELSE o_orderkey % 25 END AS BIGINT) AS locality_id,
+    CAST(CASE WHEN o_orderkey % 10 = 6 THEN 3 ELSE 1 END AS SMALLINT) AS furnish_id,
+    CAST(CASE WHEN o_orderkey % 10 = 7 THEN 25 ELSE o_orderkey % 6 END AS SMALLINT) AS bedroom_num,
+    CAST(CASE WHEN o_orderkey % 10 = 8 THEN NULL ELSE o_orderkey % 2 + 1 END AS SMALLINT) AS transact_type,
+    'New ' || CAST(o_orderkey AS VARCHAR) AS prop_name,
+    CAST(NULL AS BOOLEAN) AS verified
+  FROM orders),
+chv AS (
+  SELECT ch.*, city_id IN (SELECT city_id FROM cities) AS city_ok,
+         locality_id IN (SELECT locality_id FROM localities) AS loc_ok FROM ch),
+chr AS (
+  SELECT chv.*, """ + _reasons([
+    ("prop_id_length", "prop_id IS NULL OR NOT (length(prop_id) BETWEEN 3 AND 50)"),
+    ("transact_type_range", "transact_type IS NOT NULL AND NOT (transact_type BETWEEN 1 AND 2)"),
+    ("price_required", "price_inr IS NULL OR price_inr <= 0"),
+    ("city_required", "city_id IS NULL"),
+    ("bedroom_num_range", "bedroom_num IS NOT NULL AND NOT (bedroom_num BETWEEN 0 AND 20)"),
+    ("furnish_id_domain", "furnish_id IS NOT NULL AND furnish_id NOT IN (0, 1, 2, 4)"),
+    ("city_unknown", "city_id IS NOT NULL AND NOT city_ok"),
+    ("locality_unknown", "locality_id IS NOT NULL AND NOT loc_ok"),
+]) + """ AS reasons FROM chv)
+"""
+
+
+def validate_listings_sql() -> str:
+    return with_bridge("SELECT seq, prop_id, len(reasons) = 0 AS is_valid, array_to_string(reasons, ',') AS reason_list FROM chr",
+                       LISTING_CREATES)
+
+
+def create_listings_sql() -> str:
+    return with_bridge("""
+SELECT (SELECT MAX(listing_id) FROM listings) + row_number() OVER (ORDER BY seq) AS listing_id,
+       prop_id, price_inr, city_id, locality_id, CAST(COALESCE(transact_type, 1) AS SMALLINT) AS transact_type,
+       COALESCE(verified, FALSE) AS verified, TRUE AS is_active, bedroom_num, furnish_id
+FROM ok""", LISTING_CREATES + """,
+chr2 AS (SELECT chr.*, list_concat(reasons, CASE WHEN prop_id IN (SELECT prop_id FROM listings)
+                                                THEN ['prop_id_exists'] ELSE [] END) AS reasons2 FROM chr),
+firsts AS (SELECT prop_id, MIN(seq) AS first_seq FROM chr2 WHERE len(reasons2) = 0 GROUP BY prop_id),
+ok AS (SELECT chr2.* FROM chr2 JOIN firsts f ON f.prop_id = chr2.prop_id AND f.first_seq = chr2.seq
+       WHERE len(reasons2) = 0)""")
+
+
+def update_listings_sql() -> str:
+    return with_bridge("""
+SELECT l.listing_id,
+       CASE WHEN a.s_price THEN a.v_price ELSE l.price_inr END AS price_inr,
+       CASE WHEN a.s_verified THEN a.v_verified ELSE l.verified END AS verified,
+       CASE WHEN a.s_description THEN a.v_description ELSE l.description END AS description,
+       CASE WHEN a.s_active THEN a.v_active ELSE l.is_active END AS is_active,
+       CASE WHEN a.s_bed THEN a.v_bed ELSE l.bedroom_num END AS bedroom_num,
+       a.listing_id IS NOT NULL AS was_updated
+FROM listings l LEFT JOIN agg a ON a.listing_id = l.listing_id""", f"""
+u AS (
+  SELECT {_line_seq()} AS seq,
+         CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS listing_id,
+         CASE l_linenumber % 4 WHEN 0 THEN ['price_inr'] WHEN 1 THEN ['price_inr', 'verified']
+              WHEN 2 THEN ['description'] ELSE ['is_active', 'bedroom_num'] END AS set_cols,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS price_inr, l_returnflag = 'R' AS verified,
+         CAST(NULL AS VARCHAR) AS description, l_linestatus = 'O' AS is_active,
+         CAST(l_quantity AS SMALLINT) AS bedroom_num
+  FROM lineitem),
+uv AS (
+  SELECT * FROM u
+  WHERE listing_id IN (SELECT listing_id FROM listings)
+    AND NOT COALESCE(list_contains(set_cols, 'price_inr') AND price_inr IS NOT NULL AND price_inr <= 0, FALSE)
+    AND NOT COALESCE(list_contains(set_cols, 'bedroom_num') AND bedroom_num IS NOT NULL
+                     AND NOT (bedroom_num BETWEEN 0 AND 20), FALSE)),
+agg AS (
+  SELECT listing_id,
+         arg_max(price_inr, seq) FILTER (WHERE list_contains(set_cols, 'price_inr')) AS v_price,
+         bool_or(list_contains(set_cols, 'price_inr')) AS s_price,
+         arg_max(verified, seq) FILTER (WHERE list_contains(set_cols, 'verified')) AS v_verified,
+         bool_or(list_contains(set_cols, 'verified')) AS s_verified,
+         arg_max(description, seq) FILTER (WHERE list_contains(set_cols, 'description')) AS v_description,
+         bool_or(list_contains(set_cols, 'description')) AS s_description,
+         arg_max(is_active, seq) FILTER (WHERE list_contains(set_cols, 'is_active')) AS v_active,
+         bool_or(list_contains(set_cols, 'is_active')) AS s_active,
+         arg_max(bedroom_num, seq) FILTER (WHERE list_contains(set_cols, 'bedroom_num')) AS v_bed,
+         bool_or(list_contains(set_cols, 'bedroom_num')) AS s_bed
+  FROM uv GROUP BY listing_id)""")
+
+
+RETURNED_IDS = """
+ids AS (SELECT l_orderkey AS listing_id FROM lineitem WHERE l_returnflag = 'R'
+        UNION ALL SELECT l_orderkey + 1000000000 FROM lineitem WHERE l_linenumber = 7)"""
+
+
+def delete_listings_soft_sql() -> str:
+    return with_bridge("""
+SELECT listing_id, CASE WHEN listing_id IN (SELECT listing_id FROM ids) THEN FALSE ELSE is_active END AS is_active,
+       listing_id IN (SELECT listing_id FROM ids) AS soft_deleted
+FROM listings""", RETURNED_IDS)
+
+
+def delete_listings_hard_sql() -> str:
+    return with_bridge("""
+SELECT 'listings' AS table_name, COUNT(*) AS row_count FROM listings WHERE listing_id NOT IN (SELECT listing_id FROM ids)
+UNION ALL
+SELECT 'transactions', COUNT(*) FROM transactions WHERE listing_id NOT IN (SELECT listing_id FROM ids)
+UNION ALL
+SELECT 'rejects', COUNT(DISTINCT listing_id) FROM ids WHERE listing_id NOT IN (SELECT listing_id FROM listings)""",
+                       RETURNED_IDS)
+
+
+def create_transactions_sql() -> str:
+    return with_bridge("""
+SELECT 'B1-' || CAST(row_number() OVER (ORDER BY seq) AS VARCHAR) AS txn_id, listing_id, sale_price,
+       transaction_date, COALESCE(status, 'Completed') AS status
+FROM ok""", f"""
+c AS (
+  SELECT {_line_seq(True)} AS seq,
+         CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS listing_id,
+         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) - 1000 AS DECIMAL(18,2)) AS sale_price,
+         CAST(l_shipdate AS DATE) AS transaction_date,
+         CASE l_returnflag WHEN 'N' THEN NULL WHEN 'A' THEN 'Pending' ELSE 'Refunded' END AS status
+  FROM lineitem),
+ok AS (
+  SELECT * FROM c WHERE listing_id IN (SELECT listing_id FROM listings) AND sale_price > 0
+    AND transaction_date IS NOT NULL AND (status IS NULL OR status IN ('Completed', 'Pending', 'Cancelled')))""")
+
+
+def update_transactions_sql() -> str:
+    return with_bridge("""
+SELECT t.txn_id,
+       CASE WHEN list_contains(u.set_cols, 'sale_price') THEN u.sale_price ELSE t.sale_price END AS sale_price,
+       CASE WHEN list_contains(u.set_cols, 'status') THEN u.status ELSE t.status END AS status,
+       CASE WHEN list_contains(u.set_cols, 'notes') THEN u.notes ELSE t.notes END AS notes
+FROM transactions t LEFT JOIN uv u ON u.txn_id = t.txn_id""", f"""
+u AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN {TXN_ID_SQL} || '-x' ELSE {TXN_ID_SQL} END AS txn_id,
+         CASE l_linenumber % 3 WHEN 0 THEN ['status'] WHEN 1 THEN ['notes'] ELSE ['sale_price'] END AS set_cols,
+         CASE l_returnflag WHEN 'N' THEN 'Cancelled' WHEN 'A' THEN 'Completed' ELSE 'Bogus' END AS status,
+         'checked ' || CAST(l_partkey AS VARCHAR) AS notes,
+         CAST(CASE WHEN l_quantity > 45 THEN -1 ELSE CAST(l_extendedprice AS DECIMAL(18,2)) + 1 END AS DECIMAL(18,2)) AS sale_price
+  FROM lineitem),
+uv AS (
+  SELECT * FROM u WHERE txn_id IN (SELECT txn_id FROM transactions)
+    AND NOT COALESCE(list_contains(set_cols, 'sale_price') AND (sale_price IS NULL OR sale_price <= 0), FALSE)
+    AND NOT COALESCE(list_contains(set_cols, 'status') AND status IS NOT NULL
+                     AND status NOT IN ('Completed', 'Pending', 'Cancelled'), FALSE))""")
+
+
+def delete_transactions_sql() -> str:
+    return with_bridge("SELECT txn_id, listing_id FROM transactions WHERE txn_id NOT IN (SELECT txn_id FROM ids)", f"""
+ids AS (SELECT {TXN_ID_SQL} AS txn_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'
+        UNION ALL SELECT 'none-' || CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 7)""")
+
+
+EMAIL_SQL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
+def create_agents_sql() -> str:
+    return with_bridge("""
+SELECT (SELECT MAX(agent_id) FROM agents) + row_number() OVER (ORDER BY seq) AS agent_id,
+       contact_name, company_name, phone, email, TRUE AS is_active FROM ok""", f"""
+c AS (
+  SELECT c_custkey AS seq, CASE WHEN c_custkey % 10 = 0 THEN 'X' ELSE 'New ' || c_name END AS contact_name,
+         c_mktsegment AS company_name, '+91-' || CAST(c_custkey AS VARCHAR) AS phone,
+         CASE WHEN c_custkey % 7 = 0 THEN 'bad-email'
+              ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@agents.example' END AS email
+  FROM customer),
+ok AS (SELECT * FROM c WHERE length(contact_name) BETWEEN 2 AND 200
+       AND (email IS NULL OR regexp_full_match(email, '{EMAIL_SQL_RE}')))""")
+
+
+def update_agents_sql() -> str:
+    return with_bridge("""
+SELECT a.agent_id,
+       CASE WHEN list_contains(u.set_cols, 'phone') THEN u.phone ELSE a.phone END AS phone,
+       CASE WHEN list_contains(u.set_cols, 'email') THEN u.email ELSE a.email END AS email,
+       CASE WHEN list_contains(u.set_cols, 'is_active') THEN u.is_active ELSE a.is_active END AS is_active
+FROM agents a LEFT JOIN uv u ON u.agent_id = a.agent_id""", f"""
+u AS (
+  SELECT CASE WHEN c_custkey % 13 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS agent_id,
+         CASE c_custkey % 3 WHEN 0 THEN ['phone'] WHEN 1 THEN ['email'] ELSE ['is_active'] END AS set_cols,
+         '+91-99' || CAST(c_custkey AS VARCHAR) AS phone,
+         CASE WHEN c_custkey % 2 = 0 THEN 'oops' ELSE 'upd' || CAST(c_custkey AS VARCHAR) || '@agents.example' END AS email,
+         c_acctbal > 1000 AS is_active
+  FROM customer),
+uv AS (
+  SELECT * FROM u WHERE agent_id IN (SELECT agent_id FROM agents)
+    AND NOT COALESCE(list_contains(set_cols, 'email') AND email IS NOT NULL
+                     AND NOT regexp_full_match(email, '{EMAIL_SQL_RE}'), FALSE)
+    AND NOT COALESCE(list_contains(set_cols, 'phone') AND length(phone) > 30, FALSE))""")
+
+
+def deactivate_agents_sql() -> str:
+    return with_bridge("""
+SELECT agent_id, CASE WHEN agent_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 100) THEN FALSE
+                      ELSE is_active END AS is_active
+FROM agents""")
+
+
+def referential_actions_sql() -> str:
+    return with_bridge("""
+SELECT listing_id,
+       CASE WHEN locality_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3) THEN NULL ELSE locality_id END AS locality_id,
+       CASE WHEN building_id IN (SELECT p_partkey FROM part WHERE p_size > 45) THEN NULL ELSE building_id END AS building_id,
+       CASE WHEN agent_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN NULL ELSE agent_id END AS agent_id
+FROM listings""")

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from propcube.functions import parsing as P
 from propcube.operators import analytics as A
+from propcube.operators import changes as C
 from propcube.operators import dims as D
 from propcube.operators import ingest as I
 from propcube.operators import rollups as R
 from propcube.operators import search as Q
 from propcube.operators import views as V
+from propcube.plans import batches as B
 from propcube.plans import oracle as O
 from propcube.session import apply_required_conf, materialize, scratch_path
 from propcube.sources import raw as RAW
@@ -227,9 +229,113 @@ def _dims() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
+def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    v = C.validate_listings(B.listing_creates(spark, sf_dir), t.cities, t.localities)
+    return v.select("seq", "prop_id", "is_valid", F.concat_ws(",", "reasons").alias("reason_list"))
+
+
+def _create_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.create_listings(t.listings, B.listing_creates(spark, sf_dir), t.cities, t.localities, BATCH_TS)
+    return new.where(F.col("created_at") == F.lit(BATCH_TS).cast("timestamp")).select(
+        "listing_id", "prop_id", "price_inr", "city_id", "locality_id", "transact_type", "verified",
+        "is_active", "bedroom_num", "furnish_id")
+
+
+def _update_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.update_listings(t.listings, B.listing_updates(spark, sf_dir), BATCH_TS)
+    return new.select("listing_id", "price_inr", "verified", "description", "is_active", "bedroom_num",
+                      (F.col("updated_at") == F.lit(BATCH_TS).cast("timestamp")).alias("was_updated"))
+
+
+def _delete_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _, _ = C.delete_listings(t.listings, t.transactions, B.returned_listing_ids(spark, sf_dir), "soft", BATCH_TS)
+    return new.select("listing_id", "is_active",
+                      (F.col("updated_at") == F.lit(BATCH_TS).cast("timestamp")).alias("soft_deleted"))
+
+
+def _delete_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    l, tx, rej = C.delete_listings(t.listings, t.transactions, B.returned_listing_ids(spark, sf_dir), "hard", BATCH_TS)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(name).alias("table_name"), "row_count")
+    return count(l, "listings").unionByName(count(tx, "transactions")).unionByName(count(rej, "rejects"))
+
+
+def _create_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.create_transactions(t.transactions, t.listings, B.txn_creates(spark, sf_dir), "B1-")
+    return new.where(F.col("txn_id").startswith("B1-")).select(
+        "txn_id", "listing_id", "sale_price", "transaction_date", "status")
+
+
+def _update_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.update_transactions(t.transactions, B.txn_updates(spark, sf_dir))
+    return new.select("txn_id", "sale_price", "status", "notes")
+
+
+def _delete_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.delete_transactions(t.transactions, B.returned_txn_ids(spark, sf_dir))
+    return new.select("txn_id", "listing_id")
+
+
+def _create_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.create_agents(t.agents, B.agent_creates(spark, sf_dir))
+    return new.join(t.agents.select("agent_id"), "agent_id", "left_anti")
+
+
+def _update_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.update_agents(t.agents, B.agent_updates(spark, sf_dir))
+    return new.select("agent_id", "phone", "email", "is_active")
+
+
+def _deactivate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    new, _ = C.deactivate_agents(t.agents, B.low_balance_agent_ids(spark, sf_dir))
+    return new.select("agent_id", "is_active")
+
+
+def _referential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    nation = read_table(spark, sf_dir, "nation")
+    loc_ids = nation.where(F.col("n_regionkey") == 3).select(F.col("n_nationkey").cast("bigint").alias("locality_id"))
+    bld_ids = read_table(spark, sf_dir, "part").where(F.col("p_size") > 45).select(
+        F.col("p_partkey").alias("building_id"))
+    agt_ids = read_table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").alias("agent_id"))
+    _, bld, l1 = C.delete_localities(t.localities, t.buildings, t.listings, loc_ids)
+    _, l2 = C.delete_buildings(bld, l1, bld_ids)
+    _, l3 = C.delete_agents(t.agents, l2, agt_ids)
+    return l3.select("listing_id", "locality_id", "building_id", "agent_id")
+
+
+def _changes() -> dict[str, tuple[QueryFn, str | None]]:
+    return {
+        "validate_listings": (_validate, O.validate_listings_sql()),
+        "create_listings": (_create_listings, O.create_listings_sql()),
+        "update_listings": (_update_listings, O.update_listings_sql()),
+        "delete_listings_soft": (_delete_soft, O.delete_listings_soft_sql()),
+        "delete_listings_hard": (_delete_hard, O.delete_listings_hard_sql()),
+        "create_transactions": (_create_txns, O.create_transactions_sql()),
+        "update_transactions": (_update_txns, O.update_transactions_sql()),
+        "delete_transactions": (_delete_txns, O.delete_transactions_sql()),
+        "create_agents": (_create_agents, O.create_agents_sql()),
+        "update_agents": (_update_agents, O.update_agents_sql()),
+        "deactivate_agents": (_deactivate, O.deactivate_agents_sql()),
+        "referential_actions": (_referential, O.referential_actions_sql()),
+    }
+
+
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     reg: dict[str, tuple[QueryFn, str | None]] = {}
-    for part in (_analytics, _views_search, _ingest, _dims):
+    for part in (_analytics, _views_search, _ingest, _dims, _changes):
         reg.update(part())
     return reg
 
