@@ -151,3 +151,26 @@ def low_balance_agent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     return c.where(F.col("c_acctbal") < 100).select(F.col("c_custkey").alias("agent_id")).unionByName(
         c.where(F.col("c_custkey") % 13 == 0).select((F.col("c_custkey") + MISS).alias("agent_id")))
+
+
+def feed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change-feed records from orders: a create, an update or a delete per
+    order (by key class), some creates invalid (negative price)."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    m = k % 4
+    op = F.when(m == 0, "create").when(m == 1, "update").when(m == 2, "delete")
+    cols = {n: F.lit(None).cast(t) for n, t in S.LISTING_COLUMNS if n not in ("created_at", "updated_at")}
+    cols.update({
+        "listing_id": F.when(m == 0, F.lit(None)).otherwise(k).cast("bigint"),
+        "prop_id": F.when(m == 0, F.concat(F.lit("S"), k.cast("string"))),
+        "price_inr": F.when((m == 0) & (k % 40 == 0), F.lit(-1))
+                      .when(m == 0, F.col("o_totalprice"))
+                      .otherwise(F.col("o_totalprice") + 1).cast(S.MONEY),
+        "city_id": F.when(m == 0, k % 5).cast("bigint"),
+        "transact_type": F.when(m == 0, F.lit(1)).cast("smallint"),
+    })
+    return o.where(op.isNotNull()).select(
+        op.alias("op"), k.alias("seq"),
+        F.when(m == 1, F.array(F.lit("price_inr"))).alias("set_cols"),
+        *[c.alias(n) for n, c in cols.items()])

@@ -1107,3 +1107,18 @@ SELECT listing_id,
        CASE WHEN building_id IN (SELECT p_partkey FROM part WHERE p_size > 45) THEN NULL ELSE building_id END AS building_id,
        CASE WHEN agent_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN NULL ELSE agent_id END AS agent_id
 FROM listings""")
+
+
+# -- streaming -------------------------------------------------------------------
+
+def change_feed_sql() -> str:
+    return with_bridge("""
+SELECT prop_id, CASE WHEN listing_id % 4 = 1 THEN CAST(o_totalprice + 1 AS DECIMAL(18,2)) ELSE price_inr END AS price_inr,
+       is_active, city_id, transact_type
+FROM listings JOIN orders ON o_orderkey = listing_id
+WHERE listing_id % 4 <> 2
+UNION ALL
+SELECT 'S' || CAST(o_orderkey AS VARCHAR), CAST(o_totalprice AS DECIMAL(18,2)), TRUE,
+       CAST(o_orderkey % 5 AS BIGINT), CAST(1 AS SMALLINT)
+FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 40 <> 0
+  AND length('S' || CAST(o_orderkey AS VARCHAR)) BETWEEN 3 AND 50""")

@@ -333,9 +333,38 @@ def _changes() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
+def _change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from propcube.streaming import changefeed as CF
+    t = _t(spark, sf_dir)
+    root = scratch_path(spark, "feed")
+    B.feed_changes(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
+    CF.init_state(t.listings, f"{root}/state")
+    CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/checkpoint",
+                       t.cities, t.localities, BATCH_TS)
+    return CF.read_state(spark, f"{root}/state").select(
+        "prop_id", "price_inr", "is_active", "city_id", "transact_type")
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from propcube import schemas as S
+    from propcube.streaming import incremental as INC
+    t = _t(spark, sf_dir)
+    root = scratch_path(spark, "trend")
+    t.listings.repartition(4).write.parquet(f"{root}/in")
+    INC.run_incremental(spark, f"{root}/in", S.LISTINGS, f"{root}/state", f"{root}/checkpoint", t.cities)
+    return INC.finalize(INC.read_partials(spark, f"{root}/state"))
+
+
+def _streams() -> dict[str, tuple[QueryFn, str | None]]:
+    return {
+        "change_feed_stream": (_change_feed, O.change_feed_sql()),
+        "incremental_price_trends": (_incremental, O.mv_price_trends_sql()),
+    }
+
+
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     reg: dict[str, tuple[QueryFn, str | None]] = {}
-    for part in (_analytics, _views_search, _ingest, _dims, _changes):
+    for part in (_analytics, _views_search, _ingest, _dims, _changes, _streams):
         reg.update(part())
     return reg
 
