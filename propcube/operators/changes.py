@@ -59,10 +59,18 @@ def _if_set(c: str, bad: Column) -> Column:
     return _set(c) & bad
 
 
-def _flag_exists(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str, flag: str) -> DataFrame:
-    """``flag`` = the key is present in ``dim`` (size-checked broadcast)."""
-    d = broadcast_if_small(dim.select(F.col(dim_key).alias(f"_{flag}_k")).distinct()) \
-        .withColumn(flag, F.lit(True))
+def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag: str,
+                 dimension: bool = False) -> DataFrame:
+    """``flag`` = the key is present in ``table``.
+
+    ``key`` is the table's primary / unique key, so the lookup side has at
+    most one row per key and the left join cannot multiply rows. Small
+    dimensions are broadcast after a size check; fact tables are joined by
+    shuffle (or AQE's runtime choice) without any extra counting job.
+    """
+    d = table.select(F.col(key).alias(f"_{flag}_k")).withColumn(flag, F.lit(True))
+    if dimension:
+        d = broadcast_if_small(d)
     return (df.join(d, F.col(left_key) == F.col(f"_{flag}_k"), "left")
               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(f"_{flag}_k"))
 
@@ -123,8 +131,8 @@ def listing_rules(strict: bool = True) -> list[tuple[str, Column]]:
 def validate_listings(changes: DataFrame, cities: DataFrame, localities: DataFrame) -> DataFrame:
     """CHG1: every create with ``reasons`` and ``is_valid``; city must
     exist, locality too when given (id 0 is a real id, not 'absent')."""
-    df = _flag_exists(ensure_columns(changes, LISTING_TYPES), cities, "city_id", "city_id", "_city_ok")
-    df = _flag_exists(df, localities, "locality_id", "locality_id", "_loc_ok")
+    df = _flag_exists(ensure_columns(changes, LISTING_TYPES), cities, "city_id", "city_id", "_city_ok", True)
+    df = _flag_exists(df, localities, "locality_id", "locality_id", "_loc_ok", True)
     rules = listing_rules(True) + [
         ("city_unknown", F.col("city_id").isNotNull() & ~F.col("_city_ok")),
         ("locality_unknown", F.col("locality_id").isNotNull() & ~F.col("_loc_ok")),

@@ -35,6 +35,8 @@ def assign_ids(df: DataFrame, id_col: str, start: Column | int, order: list[str]
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
     start_col = start if isinstance(start, Column) else F.lit(start)
+    # ``offsets`` has exactly one row per shuffle partition (a few thousand
+    # at most), independent of the data size: a proven broadcast bound.
     return (numbered.join(F.broadcast(offsets), "_pid")
                     .withColumn(id_col, (start_col + F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("bigint"))
                     .drop("_pid", "_rn", "_off"))

@@ -28,14 +28,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS,
     """Broadcast hint behind a row-count check; otherwise leave the join
     to Catalyst/AQE (sort-merge, or runtime broadcast if it turns small).
 
-    ``memo_key`` (e.g. the immutable source path) lets repeated plans over
-    the same input reuse one check.
+    The answer is remembered per ``memo_key`` or, by default, per the
+    plan's semantic hash: the same plan over the same (immutable or
+    versioned) input gets the same answer without another counting job.
     """
-    if memo_key is not None:
-        key = memo_key + (max_rows,)
-        if key not in _MEMO:
-            _MEMO[key] = row_count_at_most(df, max_rows)
-        small = _MEMO[key]
-    else:
-        small = row_count_at_most(df, max_rows)
-    return F.broadcast(df) if small else df
+    key = (memo_key if memo_key is not None else ("plan", df.semanticHash())) + (max_rows,)
+    if key not in _MEMO:
+        _MEMO[key] = row_count_at_most(df, max_rows)
+    return F.broadcast(df) if _MEMO[key] else df

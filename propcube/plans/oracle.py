@@ -877,7 +877,15 @@ SELECT 'S' || CAST(listing_id AS VARCHAR) AS txn_id, listing_id,
        CASE WHEN {_h('status')} % 100 < 80 THEN 'Completed'
             WHEN {_h('status')} % 100 < 95 THEN 'Pending' ELSE 'Cancelled' END AS status,
        CAST(NULL AS VARCHAR) AS notes
-FROM listings WHERE price_inr > 0 AND {_h('pick')} < 515396075""")
+FROM chosen""", f"""
+base AS (SELECT *, {_h('pick')} AS h_pick FROM listings WHERE price_inr > 0),
+cnt AS (SELECT COUNT(*) FILTER (WHERE h_pick < 515396075) AS n_picked, COUNT(*) AS n FROM base),
+ranked AS (SELECT *, row_number() OVER (ORDER BY h_pick, listing_id) AS rn FROM base),
+chosen AS (
+  SELECT * EXCLUDE (rn) FROM ranked WHERE (SELECT n_picked FROM cnt) >= 200 AND h_pick < 515396075
+  UNION ALL
+  SELECT * EXCLUDE (rn) FROM ranked WHERE (SELECT n_picked FROM cnt) < 200
+    AND rn <= (SELECT LEAST(n, GREATEST(200, CAST(floor(n * 0.12) AS BIGINT))) FROM cnt))""")
 
 
 # -- change batches --------------------------------------------------------------
@@ -1122,3 +1130,18 @@ SELECT 'S' || CAST(o_orderkey AS VARCHAR), CAST(o_totalprice AS DECIMAL(18,2)),
        CAST(o_orderkey % 5 AS BIGINT), CAST(1 AS SMALLINT)
 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 40 <> 0
   AND length('S' || CAST(o_orderkey AS VARCHAR)) BETWEEN 3 AND 50""")
+
+
+def ingest_csv_sql() -> str:
+    return with_raw("SELECT prop_id, source_rank, price_inr, city_name, locality_name, register_date FROM clean",
+                    normalized_ctes() + ",\n" + CLEAN_CTE.strip())
+
+
+def upsert_cities_sql() -> str:
+    names = ", ".join(f"('{n}')" for n in ("Gurgaon", "Hyderabad", "Kolkata", "Mumbai"))
+    return with_bridge(f"""
+SELECT city_id, city_name, city_code FROM cities
+UNION ALL
+SELECT (SELECT MAX(city_id) FROM cities) + row_number() OVER (ORDER BY city_name), city_name, substr(city_name, 1, 3)
+FROM (SELECT DISTINCT city_name FROM (VALUES {names}) v(city_name)
+      WHERE city_name NOT IN (SELECT city_name FROM cities))""")

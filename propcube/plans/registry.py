@@ -169,8 +169,22 @@ def _parse_location(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "_loc.society_name", "_geo.latitude", "_geo.longitude")
 
 
+def _ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 end to end: render each city's raw rows as a header CSV file
+    set, read them back through the CSV reader, then clean."""
+    apply_required_conf(spark)
+    frames = RAW.city_frames(spark, sf_dir)
+    root = scratch_path(spark, "csv")
+    files = {city: f"{city.lower().replace(' ', '_')}.csv" for city in frames}
+    I.write_city_csvs(frames, root, files)
+    read = I.read_city_csvs(spark, root, files)
+    return I.clean_listings(read).select("prop_id", "source_rank", "price_inr", "city_name",
+                                         "locality_name", "register_date")
+
+
 def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
     return {
+        "ingest_csv": (_ingest_csv, O.ingest_csv_sql()),
         "parse_price": (_parse_price, O.parse_price_sql()),
         "parse_date": (_parse_date, O.parse_date_sql()),
         "parse_location": (_parse_location, O.parse_location_sql()),
@@ -215,8 +229,17 @@ def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "register_date", "transact_type", "is_active")
 
 
+def _upsert_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIM1: configured ingest cities added to the city table."""
+    from propcube import schemas as S
+    t = _t(spark, sf_dir)
+    names = spark.createDataFrame([(n,) for n in S.CITY_FILES], "city_name string")
+    return D.upsert_cities(t.cities, names.unionByName(t.cities.select("city_name")))
+
+
 def _dims() -> dict[str, tuple[QueryFn, str | None]]:
     return {
+        "upsert_cities": (_upsert_cities, O.upsert_cities_sql()),
         "upsert_localities": (lambda s, d: _dim_chain(s, d)["localities"], O.upsert_localities_sql()),
         "insert_buildings": (lambda s, d: _dim_chain(s, d)["buildings"], O.insert_buildings_sql()),
         "upsert_agents": (lambda s, d: _dim_chain(s, d)["agents"], O.upsert_agents_sql()),

@@ -69,11 +69,28 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_COLUMNS: dict[tuple, list] = {}
+
+
+def _cached_columns(spark: SparkSession, name: str, build) -> list:
+    """Select lists are unresolved Columns: build once per session, reuse
+    for every query (saves hundreds of driver round trips per plan)."""
+    key = (id(spark.sparkContext._jsc), name)
+    if key not in _COLUMNS:
+        _COLUMNS[key] = build()
+    return _COLUMNS[key]
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     nation = broadcast_if_small(
         read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
         memo_key=(sf_dir, "nation"))
+    joined = o.join(nation, (F.col("o_orderkey") % 25).cast("int") == F.col("n_nationkey"), "inner")
+    return joined.select(*_cached_columns(spark, "listings", _listing_columns))
+
+
+def _listing_columns() -> list:
     k = F.col("o_orderkey")
     area = F.lit(400) + (k % 37) * 50
     price = F.col("o_totalprice").cast(S.MONEY)
@@ -84,9 +101,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
                         * F.lit(Decimal("0.01"))).cast(S.PRICE_SQFT)))
     reg = F.when(k % 97 == 0, F.lit(None).cast("date")).otherwise(F.to_date("o_orderdate"))
     furnish = F.when(k % 4 == 3, F.lit(4)).otherwise(k % 4)
-    joined = o.join(nation, (k % 25).cast("int") == F.col("n_nationkey"), "inner")
     nk = F.col("n_nationkey")
-    return joined.select(
+    return [
         k.alias("listing_id"),
         F.concat(F.lit("P"), k.cast("string")).alias("prop_id"),
         F.substr("o_orderpriority", F.lit(3)).alias("property_type"),
@@ -120,15 +136,19 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit(None).cast("string")).alias("amenities"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.col("o_orderdate").cast("timestamp").alias("updated_at"),
-    )
+    ]
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
+    return li.select(*_cached_columns(spark, "transactions", _transaction_columns))
+
+
+def _transaction_columns() -> list:
     price = F.col("l_extendedprice").cast(S.MONEY)
     own = F.element_at(F.array(*[F.lit(x) for x in S.OWNERSHIP_TYPES]),
                        (F.col("l_linenumber") % 4 + 1).cast("int"))
-    return li.select(
+    return [
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     (price * 100).cast("bigint")).alias("txn_id"),
         F.col("l_orderkey").alias("listing_id"),
@@ -140,7 +160,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("l_returnflag") == "A", "Pending")
          .otherwise("Cancelled").alias("status"),
         F.lit(None).cast("string").alias("notes"),
-    )
+    ]
 
 
 _SMALL_SOURCE_DIMS: dict[tuple[str, str], bool] = {}

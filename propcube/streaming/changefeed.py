@@ -76,7 +76,7 @@ def last_change_per_key(changes: DataFrame) -> DataFrame:
 def apply_changes(listings: DataFrame, changes: DataFrame, cities: DataFrame, localities: DataFrame,
                   batch_ts: str, transactions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One micro-batch (or one batch job): creates, then updates, then deletes."""
-    last = last_change_per_key(changes)
+    last = last_change_per_key(changes).persist()  # one row per key; read by three branches
     creates = last.where(F.col("op") == "create").drop("op", "listing_id", "set_cols")
     updates = last.where(F.col("op") == "update").drop("op")
     deletes = last.where(F.col("op") == "delete").select("listing_id")
@@ -106,9 +106,13 @@ def run_change_feed(spark: SparkSession, source_dir: str, state_dir: str, checkp
         if name in committed_versions(spark, state_dir):
             return  # replay of an already committed batch
         current = read_state(spark, state_dir)
-        new, rejects = apply_changes(current, batch, cities, localities, batch_ts)
-        new.write.mode("overwrite").parquet(f"{state_dir}/{name}")
-        rejects.write.mode("overwrite").parquet(f"{state_dir}/rejects/{name}")
+        batch = batch.persist()  # read by the create, update and delete branches
+        try:
+            new, rejects = apply_changes(current, batch, cities, localities, batch_ts)
+            rejects.write.mode("overwrite").parquet(f"{state_dir}/rejects/{name}")
+            new.write.mode("overwrite").parquet(f"{state_dir}/{name}")  # commit point
+        finally:
+            batch.unpersist()
 
     stream = (spark.readStream.schema(CHANGE_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
