@@ -15,6 +15,9 @@ from propcube import schemas as S
 from propcube.functions.exprs import col, hash_u32
 
 # Python's str.strip() removes Unicode whitespace (incl. NBSP), not only ' '.
+# The character set is derived from the rule str.isspace(), and trimmed
+# with btrim (a plain character scan, no regex per row).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 _WS = r"(?U)[\s\x1c-\x1f]"
 # A plain decimal number the way Python's float() reads it (no inf/nan,
 # no digit separators; Spark alone would also accept '1.5d' or 'Infinity').
@@ -22,7 +25,7 @@ NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def pystrip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def to_double(c: str | Column) -> Column:
@@ -80,6 +83,16 @@ def parse_price(c: str | Column) -> Column:
 # -- ING2 ---------------------------------------------------------------------
 
 DATE_FORMATS = ("d MMM, yyyy", "yyyy-M-d", "d/M/yyyy")
+# Shape of each format (Python's %d: 1-2 digits, %b: 3 letters, %Y: exactly
+# 4 digits). Checking the shape first means the parser only runs on
+# plausible strings, so failed attempts (which raise inside the parser)
+# are rare, and 5-digit years are refused like Python does.
+DATE_SHAPES = (r"^\d{1,2} [A-Za-z]{3}, \d{4}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$")
+
+
+def _parse_clean_date(s: Column) -> Column:
+    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)).cast("date"))
+                        for fmt, shape in zip(DATE_FORMATS, DATE_SHAPES)])
 
 
 def parse_date(c: str | Column) -> Column:
@@ -87,7 +100,7 @@ def parse_date(c: str | Column) -> Column:
     string must match, invalid calendar dates -> NULL."""
     s = F.regexp_replace(pystrip(col(c)), r"(\d+)(st|nd|rd|th)", "$1")
     s = F.regexp_replace(s, r"(?U)\s+", " ")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    return _parse_clean_date(s)
 
 
 def synth_register_date(prop_id: str | Column, start: str = S.SYNTH_DATE_START,
@@ -238,10 +251,37 @@ def with_date(df: DataFrame, src: str, out: str) -> DataFrame:
     keep = [F.col(f"`{c}`") for c in df.columns]
     s = F.regexp_replace(pystrip(F.col(src)), r"(\d+)(st|nd|rd|th)", "$1")
     df = df.select(*keep, F.regexp_replace(s, r"(?U)\s+", " ").alias(t))
-    parsed = F.coalesce(*[F.try_to_timestamp(F.col(t), F.lit(f)).cast("date") for f in DATE_FORMATS])
-    return df.select(*keep, parsed.alias(out))
+    return df.select(*keep, _parse_clean_date(F.col(t)).alias(out))
 
 
 def with_struct(df: DataFrame, out: str, expr: Column) -> DataFrame:
     """Materialise a struct-valued parse (from_json) once, as its own column."""
     return df.withColumn(out, expr)
+
+
+def with_literals(df: DataFrame, loc_src: str, map_src: str) -> DataFrame:
+    """ING3 + ING4 on a frame: adds locality_name, building_id_raw,
+    building_name, society_name, latitude, longitude.
+
+    Each literal is parsed once per row: the two from_json structs are
+    expanded by ``inline`` (a Generate node, which projections cannot be
+    collapsed across), so later field accesses read plain columns instead
+    of re-inlining the parse into every ``CASE`` branch.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    lj = F.from_json(_pyliteral_to_json(F.col(loc_src)), _LOC_SCHEMA, _JSON_OPTS)
+    mj = F.from_json(_pyliteral_to_json(F.col(map_src)), _MAP_SCHEMA, _JSON_OPTS)
+    df = df.select(*keep, F.inline(F.array(F.struct(lj.alias("__lj"), mj.alias("__mj")))))
+
+    def one(v: Column) -> Column:
+        d = to_double(v)
+        return F.when(d.isNotNull() & (d != 0), pystrip(v).try_cast(S.GEO))
+    return df.select(
+        *keep,
+        pystrip(F.coalesce(F.col("__lj.LOCALITY_NAME"), F.lit(""))).alias("locality_name"),
+        F.coalesce(F.col("__lj.BUILDING_ID"), F.lit("0")).alias("building_id_raw"),
+        F.coalesce(F.col("__lj.BUILDING_NAME"), F.lit("")).alias("building_name"),
+        F.coalesce(F.col("__lj.SOCIETY_NAME"), F.lit("")).alias("society_name"),
+        one(F.col("__mj.LATITUDE")).alias("latitude"),
+        one(F.col("__mj.LONGITUDE")).alias("longitude"),
+    )

@@ -85,7 +85,7 @@ def _normalize_base(df: DataFrame, city_name: str, source_rank: int) -> DataFram
     sqft_raw = _or_null(g("PRICE_SQFT"))
     row_id = g("row_id") if "row_id" in cols else F.monotonically_increasing_id()
     # Stage 1: plain columns plus the raw inputs of the heavier parses.
-    return df.select(
+    base = df.select(
         P.pystrip(_or_null(g("PROP_ID"))).alias("prop_id"),
         text("PROPERTY_TYPE", S.TEXT_LIMITS["property_type"]).alias("property_type"),
         P.transact_code(g("TRANSACT_TYPE")).alias("transact_type"),
@@ -106,8 +106,8 @@ def _normalize_base(df: DataFrame, city_name: str, source_rank: int) -> DataFram
         P.verified_flag(g("VERIFIED")).alias("verified"),
         _or_null(g("REGISTER_DATE")).alias("_reg_raw"),
         _or_null(g("EXPIRY_DATE")).alias("_exp_raw"),
-        P.parse_location(_or_null(g("location"))).alias("_loc"),
-        P.parse_map_details(_or_null(g("MAP_DETAILS"))).alias("_geo"),
+        _or_null(g("location")).alias("_loc_raw"),
+        _or_null(g("MAP_DETAILS")).alias("_map_raw"),
         F.lit(city_name).alias("city_name"),
         P.pystrip(_or_null(g("CONTACT_NAME"))).alias("contact_name"),
         P.pystrip(_or_null(g("CONTACT_COMPANY_NAME"))).alias("company_name"),
@@ -115,6 +115,11 @@ def _normalize_base(df: DataFrame, city_name: str, source_rank: int) -> DataFram
         F.lit(source_rank).cast("int").alias("source_rank"),
         row_id.cast("bigint").alias("row_id"),
     )
+    base = P.with_literals(base, "_loc_raw", "_map_raw").drop("_loc_raw", "_map_raw")
+    return base.observe(f"ingest_file_{source_rank}_{next(_OBSERVE_SEQ)}", F.count(F.lit(1)).alias("rows"))
+    # ^ per-file row count; the metrics node also stops later projections
+    # from being collapsed into this one, which would re-inline the dict
+    # literal parse (from_json) once per extracted field.
 
 
 def _finish(base: DataFrame) -> DataFrame:
@@ -133,13 +138,11 @@ def _finish(base: DataFrame) -> DataFrame:
         F.coalesce(reg, P.synth_register_date("prop_id")).alias("register_date"),
         reg.isNull().alias("register_date_synth"),
         "expiry_date",
-        F.col("_loc.locality_name").alias("locality_name"),
-        P.building_id(F.col("_loc.building_id_raw")).alias("building_id"),
-        F.nullif(F.col("_loc.building_name"), F.lit("")).alias("building_name"),
-        F.nullif(F.col("_loc.society_name"), F.lit("")).alias("society_name"),
-        "city_name",
-        F.col("_geo.latitude").alias("latitude"),
-        F.col("_geo.longitude").alias("longitude"),
+        "locality_name",
+        P.building_id(F.col("building_id_raw")).alias("building_id"),
+        F.nullif(F.col("building_name"), F.lit("")).alias("building_name"),
+        F.nullif(F.col("society_name"), F.lit("")).alias("society_name"),
+        "city_name", "latitude", "longitude",
         "contact_name", "company_name", "total_floors_bld", "source_rank", "row_id",
     )
     # Per-file ingest metrics. The metrics node also keeps later filters
@@ -170,7 +173,10 @@ def union_cities(frames: dict[str, DataFrame]) -> DataFrame:
         out = n if out is None else out.unionByName(n)
     if out is None:
         raise ValueError("no city frames")
-    # The heavy parses run once over the union: one plan, one compiled stage.
+    # The heavy parses run once over the union. The metrics node keeps the
+    # optimizer from pushing those projections into every union branch
+    # (which would copy the parse expressions once per file).
+    out = out.observe(f"ingest_union_{next(_OBSERVE_SEQ)}", F.count(F.lit(1)).alias("rows"))
     return _finish(out)
 
 

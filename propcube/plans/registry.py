@@ -149,7 +149,7 @@ def _views_search() -> dict[str, tuple[QueryFn, str | None]]:
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_required_conf(spark)
-    return I.clean_listings(RAW.city_frames(spark, sf_dir))
+    return I.clean_listings(RAW.stored_city_frames(spark, sf_dir))
 
 
 def _parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,17 +163,15 @@ def _parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parse_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = RAW.raw_rows(spark, sf_dir).select(
-        "row_id", P.parse_location("location").alias("_loc"), P.parse_map_details("MAP_DETAILS").alias("_geo"))
-    return r.select("row_id", "_loc.locality_name", "_loc.building_id_raw", "_loc.building_name",
-                    "_loc.society_name", "_geo.latitude", "_geo.longitude")
+    r = RAW.raw_rows(spark, sf_dir).select("row_id", "location", "MAP_DETAILS")
+    return P.with_literals(r, "location", "MAP_DETAILS").drop("location", "MAP_DETAILS")
 
 
 def _ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1 end to end: render each city's raw rows as a header CSV file
     set, read them back through the CSV reader, then clean."""
     apply_required_conf(spark)
-    frames = RAW.city_frames(spark, sf_dir)
+    frames = RAW.stored_city_frames(spark, sf_dir)
     root = scratch_path(spark, "csv")
     files = {city: f"{city.lower().replace(' ', '_')}.csv" for city in frames}
     I.write_city_csvs(frames, root, files)
@@ -189,10 +187,10 @@ def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
         "parse_date": (_parse_date, O.parse_date_sql()),
         "parse_location": (_parse_location, O.parse_location_sql()),
         "normalize_listings": (
-            lambda spark, d: I.union_cities(RAW.city_frames(spark, d)).select(*I.NORMALIZED_COLUMNS),
+            lambda spark, d: I.union_cities(RAW.stored_city_frames(spark, d)).select(*I.NORMALIZED_COLUMNS),
             O.normalize_listings_sql()),
         "quality_filter": (
-            lambda spark, d: I.quality_filter(I.union_cities(RAW.city_frames(spark, d)))
+            lambda spark, d: I.quality_filter(I.union_cities(RAW.stored_city_frames(spark, d)))
             .select("prop_id", "price_inr", "source_rank", "row_id"),
             O.quality_filter_sql()),
         "dedup_first": (

@@ -190,3 +190,26 @@ def city_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         drop = CITY_MISSING_COLUMNS.get(key % 5, ())
         out[name] = raw_rows(spark, sf_dir, key).drop("city_name", "source_rank", *drop)
     return out
+
+
+_MATERIALIZED: dict[tuple, dict[str, str]] = {}
+
+
+def stored_city_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The raw city frames written once per session as parquet files under
+    the shared storage root (like landed city files), then read back.
+
+    Ingest plans then start from plain string columns, as they do on real
+    files, instead of carrying the fixture's rendering expressions.
+    """
+    from propcube.session import scratch_path
+    key = (id(spark.sparkContext._jsc), sf_dir)
+    if key not in _MATERIALIZED:
+        root = scratch_path(spark, "raw-city-files")
+        paths = {}
+        for city, df in city_frames(spark, sf_dir).items():
+            path = f"{root}/{city.lower().replace(' ', '_')}"
+            df.write.mode("errorifexists").parquet(path)
+            paths[city] = path
+        _MATERIALIZED[key] = paths
+    return {city: spark.read.parquet(path) for city, path in _MATERIALIZED[key].items()}
