@@ -68,11 +68,17 @@ def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag:
     dimensions are broadcast after a size check; fact tables are joined by
     shuffle (or AQE's runtime choice) without any extra counting job.
     """
-    d = table.select(F.col(key).alias(f"_{flag}_k")).withColumn(flag, F.lit(True))
+    k = f"_{flag}_k"
     if dimension:
-        d = broadcast_if_small(d)
-    return (df.join(d, F.col(left_key) == F.col(f"_{flag}_k"), "left")
-              .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(f"_{flag}_k"))
+        d = broadcast_if_small(table.select(F.col(key).alias(k))).withColumn(flag, F.lit(True))
+    else:
+        # Probe the big table with the batch's (size-checked, broadcast)
+        # keys: the table is scanned once and never shuffled; only the
+        # matching keys come back.
+        wanted = broadcast_if_small(df.select(F.col(left_key).alias(k)).where(F.col(k).isNotNull()).distinct())
+        d = table.select(F.col(key).alias(k)).join(wanted, k, "left_semi").withColumn(flag, F.lit(True))
+    return (df.join(d, F.col(left_key) == F.col(k), "left")
+              .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(k))
 
 
 def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[str, ...],
@@ -85,7 +91,9 @@ def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[
         aggs += [F.max_by(F.col(c), order).alias(f"_v_{c}"),
                  F.max(F.when(_set(c), F.lit(True))).alias(f"_s_{c}")]
     per_key = updates.groupBy(key).agg(*aggs).withColumn("_updated", F.lit(True))
-    j = base.join(per_key, key, "left")
+    # One row per updated key: broadcast it (size-checked) so the base
+    # table is streamed through a hash probe instead of being shuffled.
+    j = base.join(broadcast_if_small(per_key), key, "left")
     out = [F.when(F.col(f"_s_{c}"), F.col(f"_v_{c}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c)
            if c in columns else F.col(c) for c in base.columns]
     return j.select(*out, F.coalesce(F.col("_updated"), F.lit(False)).alias("_updated"))
@@ -196,9 +204,9 @@ def delete_listings(listings: DataFrame, transactions: DataFrame, ids: DataFrame
     """CHG4: ``soft`` deactivates (and bumps updated_at); ``hard`` removes
     the listings and cascades to their transactions. Returns
     ``(listings, transactions, rejects)``; unknown ids are rejected."""
-    keys = ids.select("listing_id").distinct()
-    found = keys.join(listings.select("listing_id"), "listing_id", "left_semi")
-    rejects = keys.join(listings.select("listing_id"), "listing_id", "left_anti") \
+    keys = broadcast_if_small(ids.select("listing_id").where(F.col("listing_id").isNotNull()).distinct())
+    found = broadcast_if_small(listings.select("listing_id").join(keys, "listing_id", "left_semi"))
+    rejects = keys.join(found, "listing_id", "left_anti") \
         .withColumn("reasons", F.array(F.lit("not_found")))
     if mode == "soft":
         hit = found.withColumn("_hit", F.lit(True))
@@ -268,8 +276,9 @@ def update_transactions(transactions: DataFrame, updates: DataFrame,
 
 def delete_transactions(transactions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CHG7: hard delete; unknown ids rejected."""
-    keys = ids.select("txn_id").distinct()
-    rejects = keys.join(transactions.select("txn_id"), "txn_id", "left_anti") \
+    keys = broadcast_if_small(ids.select("txn_id").where(F.col("txn_id").isNotNull()).distinct())
+    found = transactions.select("txn_id").join(keys, "txn_id", "left_semi")
+    rejects = keys.join(found, "txn_id", "left_anti") \
         .withColumn("reasons", F.array(F.lit("not_found")))
     return transactions.join(keys, "txn_id", "left_anti"), rejects
 
@@ -310,10 +319,11 @@ def update_agents(agents: DataFrame, updates: DataFrame, seq: str = "seq") -> tu
 
 def deactivate_agents(agents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CHG8 delete: soft (is_active = false)."""
-    keys = ids.select("agent_id").distinct()
-    rejects = keys.join(agents.select("agent_id"), "agent_id", "left_anti") \
+    keys = broadcast_if_small(ids.select("agent_id").where(F.col("agent_id").isNotNull()).distinct())
+    found = agents.select("agent_id").join(keys, "agent_id", "left_semi")
+    rejects = keys.join(found, "agent_id", "left_anti") \
         .withColumn("reasons", F.array(F.lit("not_found")))
-    hit = keys.withColumn("_hit", F.lit(True))
+    hit = found.withColumn("_hit", F.lit(True))
     j = agents.join(hit, "agent_id", "left")
     out = j.select(*[F.when(F.col("_hit"), F.lit(False)).otherwise(F.col(x)).alias(x) if x == "is_active"
                      else F.col(x) for x in agents.columns])
@@ -323,7 +333,7 @@ def deactivate_agents(agents: DataFrame, ids: DataFrame) -> tuple[DataFrame, Dat
 # -- CHG9 ------------------------------------------------------------------------------
 
 def _set_null_where(df: DataFrame, col: str, removed: DataFrame) -> DataFrame:
-    gone = removed.select(F.col(col).alias("_gone")).distinct().withColumn("_g", F.lit(True))
+    gone = broadcast_if_small(removed.select(F.col(col).alias("_gone")).distinct()).withColumn("_g", F.lit(True))
     j = df.join(gone, F.col(col) == F.col("_gone"), "left")
     return j.select(*[F.when(F.col("_g"), F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)
                       if c == col else F.col(c) for c in df.columns])

@@ -22,7 +22,7 @@ from propcube.operators import search as Q
 from propcube.operators import views as V
 from propcube.plans import batches as B
 from propcube.plans import oracle as O
-from propcube.session import apply_required_conf, materialize, scratch_path
+from propcube.session import apply_required_conf, scratch_path
 from propcube.sources import raw as RAW
 from propcube.sources.bridge import Tables
 from propcube.sources.tables import read_table
@@ -205,13 +205,26 @@ def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
 
 
 BATCH_TS = "2024-01-01 00:00:00"
+_STAGED: dict[tuple, str] = {}
+
+
+def _staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeding job's staging step: the cleaned ingest frame is written
+    once per session as a table under the shared storage root and read by
+    every later dimension step (a written table also cuts the lineage)."""
+    key = (id(spark.sparkContext._jsc), sf_dir)
+    if key not in _STAGED:
+        path = scratch_path(spark, "clean-listings")
+        _clean(spark, sf_dir).write.mode("errorifexists").parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
 
 
 def _dim_chain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Ingest the raw city rows into the bridged dimensions, like the
     seeding job: localities -> buildings -> agents -> FK resolution."""
     t = _t(spark, sf_dir)
-    clean = materialize(_clean(spark, sf_dir))
+    clean = _staged_clean(spark, sf_dir)
     loc = D.upsert_localities(t.localities, clean, t.cities)
     bld = D.insert_buildings(t.buildings, clean, loc, t.cities)
     agt = D.upsert_agents(t.agents, clean)

@@ -55,10 +55,8 @@ def raw_rows(spark: SparkSession, sf_dir: str, region_key: int | None = None) ->
     r = broadcast_if_small(region, memo_key=(sf_dir, "region", region_key))
     j = (o.join(n, (F.col("o_orderkey") % 25).cast("int") == F.col("n_nationkey"))
           .join(r, F.col("n_regionkey") == F.col("r_regionkey")))
-    # Real inputs arrive as many files; the test table is one row group.
-    # Spread its rows over the cores before the string-heavy rendering.
-    # Row identity comes from o_orderkey, so placement does not matter.
-    j = j.repartition(spark.sparkContext.defaultParallelism)
+    # (read_table already spreads a few-split orders scan over the cores;
+    # row identity comes from o_orderkey, so placement does not matter.)
     return j.select(*_raw_columns(spark))
 
 
