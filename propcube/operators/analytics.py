@@ -71,8 +71,10 @@ def summary(t: Tables, date_from: str | None = None, date_to: str | None = None)
     )
     tx = t.transactions.where(X.all_of(
         [F.col("status") == "Completed"] + _date_preds("transaction_date", date_from, date_to)))
-    txn_count = tx.select(F.count(F.lit(1))).scalar()
-    txn_sum = tx.select(X.exact_sum("sale_price", SUM_MONEY)).scalar()
+    # One scalar subquery (one scan of the deals) carrying both figures.
+    txn = tx.select(F.struct(F.count(F.lit(1)).alias("n"),
+                             X.exact_sum("sale_price", SUM_MONEY).alias("s"))).scalar()
+    txn_count, txn_sum = txn.getField("n"), txn.getField("s")
     active = F.col("n_active") > 0
     return per_geo.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_listings"),
