@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.operators.dims import assign_ids
-from propcube.operators.joins import broadcast_if_small
+from propcube.operators.joins import broadcast_bounded, broadcast_if_small
 
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -60,7 +60,7 @@ def _if_set(c: str, bad: Column) -> Column:
 
 
 def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag: str,
-                 dimension: bool = False) -> DataFrame:
+                 dimension: bool = False, bound: int | None = None) -> DataFrame:
     """``flag`` = the key is present in ``table``.
 
     ``key`` is the table's primary / unique key, so the lookup side has at
@@ -75,14 +75,15 @@ def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag:
         # Probe the big table with the batch's (size-checked, broadcast)
         # keys: the table is scanned once and never shuffled; only the
         # matching keys come back.
-        wanted = broadcast_if_small(df.select(F.col(left_key).alias(k)).where(F.col(k).isNotNull()).distinct())
+        wanted = broadcast_bounded(df.select(F.col(left_key).alias(k)).where(F.col(k).isNotNull()).distinct(),
+                                   bound)
         d = table.select(F.col(key).alias(k)).join(wanted, k, "left_semi").withColumn(flag, F.lit(True))
     return (df.join(d, F.col(left_key) == F.col(k), "left")
               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(k))
 
 
 def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[str, ...],
-                  seq: str = "seq") -> DataFrame:
+                  seq: str = "seq", bound: int | None = None) -> DataFrame:
     """Apply validated partial updates: per key and column the latest
     setting wins. Returns ``base`` with ``_updated`` marking touched rows."""
     aggs = []
@@ -93,7 +94,7 @@ def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[
     per_key = updates.groupBy(key).agg(*aggs).withColumn("_updated", F.lit(True))
     # One row per updated key: broadcast it (size-checked) so the base
     # table is streamed through a hash probe instead of being shuffled.
-    j = base.join(broadcast_if_small(per_key), key, "left")
+    j = base.join(broadcast_bounded(per_key, bound), key, "left")
     out = [F.when(F.col(f"_s_{c}"), F.col(f"_v_{c}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c)
            if c in columns else F.col(c) for c in base.columns]
     return j.select(*out, F.coalesce(F.col("_updated"), F.lit(False)).alias("_updated"))
@@ -149,11 +150,12 @@ def validate_listings(changes: DataFrame, cities: DataFrame, localities: DataFra
 
 
 def create_listings(listings: DataFrame, changes: DataFrame, cities: DataFrame,
-                    localities: DataFrame, batch_ts: str, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+                    localities: DataFrame, batch_ts: str, seq: str = "seq",
+                    batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """CHG2: validated creates whose prop_id is new; the first create of a
     prop_id within the batch wins, later ones are rejected."""
     v = validate_listings(changes, cities, localities)
-    v = _flag_exists(v, listings, "prop_id", "prop_id", "_exists")
+    v = _flag_exists(v, listings, "prop_id", "prop_id", "_exists", bound=batch_rows)
     v = v.withColumn("reasons", F.concat(
         F.col("reasons"), F.filter(F.array(F.when(F.col("_exists"), F.lit("prop_id_exists"))),
                                    lambda x: x.isNotNull())))
@@ -186,14 +188,15 @@ def create_listings(listings: DataFrame, changes: DataFrame, cities: DataFrame,
 # -- CHG3 / CHG4 ---------------------------------------------------------------------
 
 def update_listings(listings: DataFrame, updates: DataFrame, batch_ts: str,
-                    seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+                    seq: str = "seq", batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """CHG3: partial updates of the whitelisted columns; unknown id or a
     failed rule rejects the update; ``updated_at`` bumps on applied rows."""
     cols = tuple(c for c in S.LISTING_UPDATABLE if c in updates.columns)
-    u = _flag_exists(ensure_columns(updates, LISTING_TYPES), listings, "listing_id", "listing_id", "_found")
+    u = _flag_exists(ensure_columns(updates, LISTING_TYPES), listings, "listing_id", "listing_id", "_found",
+                     bound=batch_rows)
     u = with_reasons(u, [("not_found", ~F.col("_found"))] + listing_rules(False)).drop("_found")
     valid, rejects = _split(u, seq)
-    merged = merge_updates(listings, valid, "listing_id", cols, seq)
+    merged = merge_updates(listings, valid, "listing_id", cols, seq, bound=batch_rows)
     ts = F.lit(batch_ts).cast("timestamp")
     out = merged.withColumn("updated_at", F.when(F.col("_updated"), ts).otherwise(F.col("updated_at")))
     return out.drop("_updated"), rejects.withColumnRenamed(seq, "seq")

@@ -36,3 +36,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS,
     if key not in _MEMO:
         _MEMO[key] = row_count_at_most(df, max_rows)
     return F.broadcast(df) if _MEMO[key] else df
+
+
+def broadcast_bounded(df: DataFrame, bound_rows: int | None,
+                      max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a caller-proven row bound allows it (e.g. the
+    frame is derived from a change batch of known size); without a bound,
+    fall back to the checked ``broadcast_if_small``."""
+    if bound_rows is not None:
+        return F.broadcast(df) if bound_rows <= max_rows else df
+    return broadcast_if_small(df, max_rows)

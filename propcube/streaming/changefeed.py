@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from propcube import schemas as S
 from propcube.operators import changes as C
+from propcube.operators.joins import broadcast_bounded
 from propcube.operators.views import _fs
 
 CHANGE_SCHEMA = T.StructType(
@@ -77,18 +78,22 @@ def apply_changes(listings: DataFrame, changes: DataFrame, cities: DataFrame, lo
                   batch_ts: str, transactions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One micro-batch (or one batch job): creates, then updates, then deletes."""
     last = last_change_per_key(changes).persist()  # one row per key; read by three branches
+    # Every frame derived from the batch has at most this many rows: one
+    # cheap count (of a persisted frame) bounds all of the batch-side
+    # broadcasts below, instead of a size-check job for each.
+    n = last.count()
     creates = last.where(F.col("op") == "create").drop("op", "listing_id", "set_cols")
     updates = last.where(F.col("op") == "update").drop("op")
     deletes = last.where(F.col("op") == "delete").select("listing_id")
     rejects = []
-    cur, rej = C.create_listings(listings, creates, cities, localities, batch_ts)
+    cur, rej = C.create_listings(listings, creates, cities, localities, batch_ts, batch_rows=n)
     rejects.append(rej.select(F.col("seq").cast("string").alias("change"), "reasons"))
-    cur, rej = C.update_listings(cur, updates, batch_ts)
+    cur, rej = C.update_listings(cur, updates, batch_ts, batch_rows=n)
     rejects.append(rej.select(F.col("seq").cast("string").alias("change"), "reasons"))
     if transactions is not None:  # cascade to deals when the caller keeps them
         cur, _, rej = C.delete_listings(cur, transactions, deletes, "hard", batch_ts)
     else:
-        keys = deletes.distinct()
+        keys = broadcast_bounded(deletes.distinct(), n)
         rej = keys.join(cur.select("listing_id"), "listing_id", "left_anti") \
             .withColumn("reasons", F.array(F.lit("not_found")))
         cur = cur.join(keys, "listing_id", "left_anti")
