@@ -78,6 +78,8 @@ def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag:
         wanted = broadcast_bounded(df.select(F.col(left_key).alias(k)).where(F.col(k).isNotNull()).distinct(),
                                    bound)
         d = table.select(F.col(key).alias(k)).join(wanted, k, "left_semi").withColumn(flag, F.lit(True))
+        # ``d`` has at most as many rows as ``wanted`` (key is unique).
+        d = broadcast_bounded(d, bound)
     return (df.join(d, F.col(left_key) == F.col(k), "left")
               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(k))
 
