@@ -161,8 +161,9 @@ def sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id may be among ``ids``; saves shuffling texts."""
+def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose id may be among ``ids`` (or else the others,
+    whose id surely isn't); saves shuffling texts."""
     bits = docs.sparkSession.sparkContext.broadcast(sieve(ids))
 
     @F.arrow_udf("boolean")
@@ -170,7 +171,8 @@ def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
         v = h.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array((bits.value[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-    return docs.where(may_hold(F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS))))
+    held = may_hold(F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS)))
+    return docs.where(held if within else ~held)
 
 
 def check(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

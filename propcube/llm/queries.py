@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propcube.llm import bpe, exact_dedup, jaccard_join, quality_cnn, source_mix
+from propcube.llm import bpe, exact_dedup, jaccard_join, quality_cnn, source_mix, substring_dedup
 from propcube.llm.common import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,17 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op3_bpe, op5_exact_dedup, op6_jaccard_join, op7_source_mix, op10_quality_cnn)}
+    return {f.__name__: f for f in (op3_bpe, op5_exact_dedup, op6_jaccard_join, op7_source_mix,
+                                   op9_substring_dedup, op10_quality_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
