@@ -138,19 +138,27 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, whatever its place.
+def range_hasher(raw: np.ndarray):
+    """A function (starts, ends) -> 64-bit hashes of those byte ranges.
 
-    Prefix sums of byte * base^place, differenced per word and scaled back by
-    base^-start (base is odd, so it has an inverse modulo 2^64).
+    Prefix sums of byte * base^place, differenced per range and scaled back by
+    base^-start (base is odd, so it has an inverse modulo 2^64): equal bytes
+    hash alike wherever they stand.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     n = len(raw)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_SPREAD[raw] * _powers(n, _BASE), out=total[1:])
-    back = _powers(n, _INVERSE)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    back = _powers(n + 1, _INVERSE)
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD)
+
+    return hashes
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, whatever its place."""
+    return range_hasher(raw)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(word: np.ndarray, k: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propcube.llm import bpe, exact_dedup, itq_dedup, jaccard_join, quality_cnn, source_mix, substring_dedup
+from propcube.llm import bpe, crf_langid, exact_dedup, itq_dedup, jaccard_join, quality_cnn, source_mix, substring_dedup
 from propcube.llm.common import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,7 +51,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op3_bpe, op4_itq_dedup, op5_exact_dedup, op6_jaccard_join, op7_source_mix,
+    return {f.__name__: f for f in (op2_crf_langid, op3_bpe, op4_itq_dedup, op5_exact_dedup, op6_jaccard_join, op7_source_mix,
                                    op9_substring_dedup, op10_quality_cnn)}
 
 
