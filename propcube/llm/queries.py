@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from propcube.llm import bpe, chat_format, crf_langid, exact_dedup, itq_dedup, jaccard_join, license_scan, quality_cnn, source_mix, substring_dedup
 from propcube.llm.common import read
+from propcube.llm.oracle import oracle_sql as oracle_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +69,3 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_license_scan, op2_crf_langid, op3_bpe, op4_itq_dedup, op5_exact_dedup, op6_jaccard_join, op7_source_mix,
                                    op8_chat_format, op9_substring_dedup, op10_quality_cnn)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
