@@ -97,11 +97,6 @@ def hash_u32(*parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_uniform(*parts: str | Column) -> Column:
-    """Uniform double in [0, 1) derived from ``hash_u32``."""
-    return hash_u32(*parts) / F.lit(float(2 ** 32))
-
-
 # -- formatting (dashboard helpers) -----------------------------------------
 
 def indian_group(int_str: Column) -> Column:

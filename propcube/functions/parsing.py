@@ -193,11 +193,6 @@ def verified_flag(c: str | Column | None) -> Column:
     return F.coalesce(pystrip(c).isin("1", "1.0", "Y", "Yes", "True", "TRUE", "true"), F.lit(False))
 
 
-def positive_or_null(c: Column) -> Column:
-    """ING12."""
-    return F.when(c > 0, c)
-
-
 # -- staged (frame-level) forms ---------------------------------------------------
 # The Column forms above inline each sub-expression wherever it is used; in
 # a wide projection that multiplies code size past the JVM's 64 KB method
@@ -254,11 +249,6 @@ def with_date(df: DataFrame, src: str, out: str) -> DataFrame:
     return df.select(*keep, _parse_clean_date(F.col(t)).alias(out))
 
 
-def with_struct(df: DataFrame, out: str, expr: Column) -> DataFrame:
-    """Materialise a struct-valued parse (from_json) once, as its own column."""
-    return df.withColumn(out, expr)
-
-
 def with_literals(df: DataFrame, loc_src: str, map_src: str) -> DataFrame:
     """ING3 + ING4 on a frame: adds locality_name, building_id_raw,
     building_name, society_name, latitude, longitude.

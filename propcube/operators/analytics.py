@@ -36,7 +36,7 @@ def market_band() -> list[Column]:
 
 
 def _cities_named(t: Tables, city_name: str | None) -> DataFrame:
-    c = t.dim("cities").select("city_id", "city_name")
+    c = t.cities.select("city_id", "city_name")
     return c if city_name is None else c.where(F.col("city_name") == city_name)
 
 
@@ -114,7 +114,7 @@ def _locality_groups(t: Tables, city_name: str | None, property_type: str | None
     l = _restrict_city(l, t, city_name)
     g = l.groupBy("city_id", "locality_id", "property_type").agg(
         *_avg_cols(), X.exact_avg("min_area_sqft", 4, 1, AVG_AREA).alias("avg_area_sqft"))
-    loc = t.dim("localities").select("locality_id", "locality_name", "latitude", "longitude")
+    loc = t.localities.select("locality_id", "locality_name", "latitude", "longitude")
     return (g.join(_cities_named(t, city_name), "city_id").join(loc, "locality_id")
              .select("city_name", "locality_name", "locality_id", "property_type",
                      "listing_count", "avg_price_sqft", "avg_price_inr", "avg_area_sqft",
@@ -284,7 +284,7 @@ def list_localities(t: Tables, city_id: int | None = None, limit: int = 500) ->
     loc = t.localities
     if city_id is not None:
         loc = loc.where(F.col("city_id") == city_id)
-    return (loc.join(t.dim("cities").select("city_id", "city_name"), "city_id")
+    return (loc.join(t.cities.select("city_id", "city_name"), "city_id")
                .select("locality_id", "locality_name", "city_id", "city_name", "latitude", "longitude")
                .orderBy(F.col("locality_name").asc_nulls_last(), "locality_id")
                .limit(limit))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.operators.dims import assign_ids
-from propcube.operators.joins import broadcast_bounded, broadcast_if_small
 
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -50,6 +49,10 @@ def _split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return valid, rejects
 
 
+def _stamp(batch_ts: str | None) -> Column:
+    return (F.current_timestamp() if batch_ts is None else F.lit(batch_ts)).cast("timestamp")
+
+
 def _set(c: str) -> Column:
     return F.array_contains(F.col("set_cols"), F.lit(c))
 
@@ -59,33 +62,23 @@ def _if_set(c: str, bad: Column) -> Column:
     return _set(c) & bad
 
 
-def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag: str,
-                 dimension: bool = False, bound: int | None = None) -> DataFrame:
+def _flag_exists(df: DataFrame, table: DataFrame, left_key: str, key: str, flag: str) -> DataFrame:
     """``flag`` = the key is present in ``table``.
 
     ``key`` is the table's primary / unique key, so the lookup side has at
-    most one row per key and the left join cannot multiply rows. Small
-    dimensions are broadcast after a size check; fact tables are joined by
-    shuffle (or AQE's runtime choice) without any extra counting job.
+    most one row per key and the left join cannot multiply rows. The table is
+    semi-joined with the batch's keys first: where the batch is small, AQE
+    sends its keys to the table's tasks and the table is not shuffled.
     """
     k = f"_{flag}_k"
-    if dimension:
-        d = broadcast_if_small(table.select(F.col(key).alias(k))).withColumn(flag, F.lit(True))
-    else:
-        # Probe the big table with the batch's (size-checked, broadcast)
-        # keys: the table is scanned once and never shuffled; only the
-        # matching keys come back.
-        wanted = broadcast_bounded(df.select(F.col(left_key).alias(k)).where(F.col(k).isNotNull()).distinct(),
-                                   bound)
-        d = table.select(F.col(key).alias(k)).join(wanted, k, "left_semi").withColumn(flag, F.lit(True))
-        # ``d`` has at most as many rows as ``wanted`` (key is unique).
-        d = broadcast_bounded(d, bound)
+    wanted = df.select(F.col(left_key).alias(k)).where(F.col(k).isNotNull()).distinct()
+    d = table.select(F.col(key).alias(k)).join(wanted, k, "left_semi").withColumn(flag, F.lit(True))
     return (df.join(d, F.col(left_key) == F.col(k), "left")
               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(k))
 
 
 def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[str, ...],
-                  seq: str = "seq", bound: int | None = None) -> DataFrame:
+                  seq: str = "seq") -> DataFrame:
     """Apply validated partial updates: per key and column the latest
     setting wins. Returns ``base`` with ``_updated`` marking touched rows."""
     aggs = []
@@ -94,9 +87,7 @@ def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[
         aggs += [F.max_by(F.col(c), order).alias(f"_v_{c}"),
                  F.max(F.when(_set(c), F.lit(True))).alias(f"_s_{c}")]
     per_key = updates.groupBy(key).agg(*aggs).withColumn("_updated", F.lit(True))
-    # One row per updated key: broadcast it (size-checked) so the base
-    # table is streamed through a hash probe instead of being shuffled.
-    j = base.join(broadcast_bounded(per_key, bound), key, "left")
+    j = base.join(per_key, key, "left")
     out = [F.when(F.col(f"_s_{c}"), F.col(f"_v_{c}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c)
            if c in columns else F.col(c) for c in base.columns]
     return j.select(*out, F.coalesce(F.col("_updated"), F.lit(False)).alias("_updated"))
@@ -131,6 +122,8 @@ def listing_rules(strict: bool = True) -> list[tuple[str, Column]]:
         ("price_sqft_positive", _if_set("price_sqft", c("price_sqft").isNotNull() & (c("price_sqft") <= 0))),
         ("description_length", _if_set("description", F.length("description") > 2000)),
         ("prop_name_length", _if_set("prop_name", F.length("prop_name") > 400)),
+        ("furnish_id_domain", _if_set("furnish_id", c("furnish_id").isNotNull()
+                                      & ~c("furnish_id").isin(*S.VALID_FURNISH))),
     ]
     for n in ("bedroom_num", "bathroom_num", "balcony_num"):
         rules.append((f"{n}_range", _if_set(n, c(n).isNotNull() & ~c(n).between(0, 20))))
@@ -139,25 +132,42 @@ def listing_rules(strict: bool = True) -> list[tuple[str, Column]]:
     return rules
 
 
-def validate_listings(changes: DataFrame, cities: DataFrame, localities: DataFrame) -> DataFrame:
-    """CHG1: every create with ``reasons`` and ``is_valid``; city must
-    exist, locality too when given (id 0 is a real id, not 'absent')."""
-    df = _flag_exists(ensure_columns(changes, LISTING_TYPES), cities, "city_id", "city_id", "_city_ok", True)
-    df = _flag_exists(df, localities, "locality_id", "locality_id", "_loc_ok", True)
-    rules = listing_rules(True) + [
-        ("city_unknown", F.col("city_id").isNotNull() & ~F.col("_city_ok")),
-        ("locality_unknown", F.col("locality_id").isNotNull() & ~F.col("_loc_ok")),
-    ]
-    return with_reasons(df, rules).drop("_city_ok", "_loc_ok")
+def _reference_rules(df: DataFrame, tables: dict[str, DataFrame | None]) -> tuple[DataFrame, list]:
+    """Flags and rules for ids that must exist in their table when given
+    (id 0 is a real id, not 'absent'); tables that are None are not checked."""
+    rules = []
+    for name, table in tables.items():
+        if table is not None:
+            key, flag = f"{name}_id", f"_{name}_ok"
+            df = _flag_exists(df, table, key, key, flag)
+            rules.append((f"{name}_unknown", key, F.col(key).isNotNull() & ~F.col(flag)))
+    return df, rules
+
+
+def validate_listings(changes: DataFrame, cities: DataFrame, localities: DataFrame,
+                      buildings: DataFrame | None = None, agents: DataFrame | None = None) -> DataFrame:
+    """CHG1: every create with ``reasons`` and ``is_valid``; city must exist,
+    and locality, building and agent too when given."""
+    df, refs = _reference_rules(ensure_columns(changes, LISTING_TYPES), {
+        "city": cities, "locality": localities, "building": buildings, "agent": agents})
+    out = with_reasons(df, listing_rules(True) + [(code, bad) for code, _, bad in refs])
+    return out.drop(*[f"_{code.removesuffix('_unknown')}_ok" for code, _, _ in refs])
 
 
 def create_listings(listings: DataFrame, changes: DataFrame, cities: DataFrame,
                     localities: DataFrame, batch_ts: str, seq: str = "seq",
-                    batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                    buildings: DataFrame | None = None, agents: DataFrame | None = None,
+                    freed: DataFrame | None = None, top_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """CHG2: validated creates whose prop_id is new; the first create of a
-    prop_id within the batch wins, later ones are rejected."""
-    v = validate_listings(changes, cities, localities)
-    v = _flag_exists(v, listings, "prop_id", "prop_id", "_exists", bound=batch_rows)
+    prop_id within the batch wins, later ones are rejected. ``freed``
+    (prop_id, freed_seq) names prop_ids that the batch itself deletes; a
+    create after that may use them. New ids follow ``top_id`` (default: the
+    greatest id in ``listings``)."""
+    v = validate_listings(changes, cities, localities, buildings, agents)
+    v = _flag_exists(v, listings, "prop_id", "prop_id", "_exists")
+    if freed is not None:
+        v = v.join(freed, "prop_id", "left").withColumn(
+            "_exists", F.col("_exists") & ~F.coalesce(F.col("freed_seq") < F.col(seq), F.lit(False))).drop("freed_seq")
     v = v.withColumn("reasons", F.concat(
         F.col("reasons"), F.filter(F.array(F.when(F.col("_exists"), F.lit("prop_id_exists"))),
                                    lambda x: x.isNotNull())))
@@ -170,8 +180,8 @@ def create_listings(listings: DataFrame, changes: DataFrame, cities: DataFrame,
                                                   F.lit("prop_id_duplicate_in_batch"))), lambda x: x.isNotNull()))
     ).withColumn("is_valid", F.size("reasons") == 0).drop("_exists", "_first_seq")
     valid, rejects = _split(v, seq)
-    new = assign_ids(valid, "listing_id", F.coalesce(listings.select(F.max("listing_id")).scalar(), F.lit(0)),
-                     [seq])
+    top = F.coalesce(listings.select(F.max("listing_id")).scalar(), F.lit(0)) if top_id is None else top_id
+    new = assign_ids(valid.drop("listing_id"), "listing_id", top, [seq])
     ts = F.lit(batch_ts).cast("timestamp")
     defaults = {"transact_type": F.coalesce(F.col("transact_type"), F.lit(1)),
                 "verified": F.coalesce(F.col("verified"), F.lit(False)),
@@ -190,15 +200,22 @@ def create_listings(listings: DataFrame, changes: DataFrame, cities: DataFrame,
 # -- CHG3 / CHG4 ---------------------------------------------------------------------
 
 def update_listings(listings: DataFrame, updates: DataFrame, batch_ts: str,
-                    seq: str = "seq", batch_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                    seq: str = "seq", localities: DataFrame | None = None, agents: DataFrame | None = None,
+                    gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """CHG3: partial updates of the whitelisted columns; unknown id or a
-    failed rule rejects the update; ``updated_at`` bumps on applied rows."""
+    failed rule rejects the update; ``updated_at`` bumps on applied rows.
+    ``gone`` (listing_id, gone_seq): deletes of the same batch; an update
+    after its listing's delete is rejected as ``not_found``."""
     cols = tuple(c for c in S.LISTING_UPDATABLE if c in updates.columns)
-    u = _flag_exists(ensure_columns(updates, LISTING_TYPES), listings, "listing_id", "listing_id", "_found",
-                     bound=batch_rows)
-    u = with_reasons(u, [("not_found", ~F.col("_found"))] + listing_rules(False)).drop("_found")
+    u = _flag_exists(ensure_columns(updates, LISTING_TYPES), listings, "listing_id", "listing_id", "_found")
+    if gone is not None:
+        u = u.join(gone, "listing_id", "left").withColumn(
+            "_found", F.col("_found") & ~F.coalesce(F.col("gone_seq") < F.col(seq), F.lit(False))).drop("gone_seq")
+    u, refs = _reference_rules(u, {"locality": localities, "agent": agents})
+    rules = [("not_found", ~F.col("_found"))] + listing_rules(False) + [(code, _if_set(key, bad)) for code, key, bad in refs]
+    u = with_reasons(u, rules).drop("_found", "_locality_ok", "_agent_ok")
     valid, rejects = _split(u, seq)
-    merged = merge_updates(listings, valid, "listing_id", cols, seq, bound=batch_rows)
+    merged = merge_updates(listings, valid, "listing_id", cols, seq)
     ts = F.lit(batch_ts).cast("timestamp")
     out = merged.withColumn("updated_at", F.when(F.col("_updated"), ts).otherwise(F.col("updated_at")))
     return out.drop("_updated"), rejects.withColumnRenamed(seq, "seq")
@@ -209,8 +226,8 @@ def delete_listings(listings: DataFrame, transactions: DataFrame, ids: DataFrame
     """CHG4: ``soft`` deactivates (and bumps updated_at); ``hard`` removes
     the listings and cascades to their transactions. Returns
     ``(listings, transactions, rejects)``; unknown ids are rejected."""
-    keys = broadcast_if_small(ids.select("listing_id").where(F.col("listing_id").isNotNull()).distinct())
-    found = broadcast_if_small(listings.select("listing_id").join(keys, "listing_id", "left_semi"))
+    keys = ids.select("listing_id").where(F.col("listing_id").isNotNull()).distinct()
+    found = listings.select("listing_id").join(keys, "listing_id", "left_semi")
     rejects = keys.join(found, "listing_id", "left_anti") \
         .withColumn("reasons", F.array(F.lit("not_found")))
     if mode == "soft":
@@ -228,6 +245,12 @@ def delete_listings(listings: DataFrame, transactions: DataFrame, ids: DataFrame
     raise ValueError("mode must be 'soft' or 'hard'")
 
 
+def append_transactions(new: DataFrame, id_prefix: str, path: str) -> None:
+    """SNK2 as a sink: the created deals of a batch (their ids start with its
+    prefix) are appended to the stored table; nothing else is rewritten."""
+    new.where(F.col("txn_id").startswith(id_prefix)).write.mode("append").parquet(path)
+
+
 # -- CHG5 - CHG7 ---------------------------------------------------------------------
 
 def _txn_rules(strict: bool) -> list[tuple[str, Column]]:
@@ -248,9 +271,10 @@ def _txn_rules(strict: bool) -> list[tuple[str, Column]]:
 
 
 def create_transactions(transactions: DataFrame, listings: DataFrame, changes: DataFrame,
-                        id_prefix: str, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+                        id_prefix: str, seq: str = "seq", batch_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
     """CHG5: the listing must exist; price > 0; status in the domain
-    (default Completed). New ids are ``<prefix><n>`` in ``seq`` order."""
+    (default Completed). New ids are ``<prefix><n>`` in ``seq`` order;
+    ``created_at`` is ``batch_ts`` (default: now)."""
     v = _flag_exists(ensure_columns(changes, TXN_TYPES), listings, "listing_id", "listing_id", "_found")
     v = with_reasons(v, [("listing_unknown", ~F.col("_found"))] + _txn_rules(True)).drop("_found")
     valid, rejects = _split(v, seq)
@@ -264,6 +288,7 @@ def create_transactions(transactions: DataFrame, listings: DataFrame, changes: D
           for c in ("buyer_name", "ownership_type")],
         F.coalesce(F.col("status"), F.lit("Completed")).alias("status"),
         (F.col("notes") if "notes" in changes.columns else F.lit(None)).cast("string").alias("notes"),
+        _stamp(batch_ts).alias("created_at"),
     )
     return transactions.select(*S.TRANSACTIONS.fieldNames()).unionByName(new), rejects
 
@@ -281,7 +306,7 @@ def update_transactions(transactions: DataFrame, updates: DataFrame,
 
 def delete_transactions(transactions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CHG7: hard delete; unknown ids rejected."""
-    keys = broadcast_if_small(ids.select("txn_id").where(F.col("txn_id").isNotNull()).distinct())
+    keys = ids.select("txn_id").where(F.col("txn_id").isNotNull()).distinct()
     found = transactions.select("txn_id").join(keys, "txn_id", "left_semi")
     rejects = keys.join(found, "txn_id", "left_anti") \
         .withColumn("reasons", F.array(F.lit("not_found")))
@@ -290,7 +315,8 @@ def delete_transactions(transactions: DataFrame, ids: DataFrame) -> tuple[DataFr
 
 # -- CHG8 ------------------------------------------------------------------------------
 
-def create_agents(agents: DataFrame, changes: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+def create_agents(agents: DataFrame, changes: DataFrame, seq: str = "seq",
+                  batch_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
     """CHG8 create: name 2..200 chars, company <= 300, phone <= 30, email
     shaped like an address; new agents are active."""
     c = F.col
@@ -302,7 +328,8 @@ def create_agents(agents: DataFrame, changes: DataFrame, seq: str = "seq") -> tu
     ]
     valid, rejects = _split(with_reasons(ensure_columns(changes, AGENT_TYPES), rules), seq)
     new = assign_ids(valid, "agent_id", F.coalesce(agents.select(F.max("agent_id")).scalar(), F.lit(0)), [seq])
-    new = new.select("agent_id", "contact_name", "company_name", "phone", "email", F.lit(True).alias("is_active"))
+    new = new.select("agent_id", "contact_name", "company_name", "phone", "email", F.lit(True).alias("is_active"),
+                     _stamp(batch_ts).alias("created_at"))
     return agents.select(*S.AGENTS.fieldNames()).unionByName(new), rejects
 
 
@@ -324,7 +351,7 @@ def update_agents(agents: DataFrame, updates: DataFrame, seq: str = "seq") -> tu
 
 def deactivate_agents(agents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CHG8 delete: soft (is_active = false)."""
-    keys = broadcast_if_small(ids.select("agent_id").where(F.col("agent_id").isNotNull()).distinct())
+    keys = ids.select("agent_id").where(F.col("agent_id").isNotNull()).distinct()
     found = agents.select("agent_id").join(keys, "agent_id", "left_semi")
     rejects = keys.join(found, "agent_id", "left_anti") \
         .withColumn("reasons", F.array(F.lit("not_found")))
@@ -338,7 +365,7 @@ def deactivate_agents(agents: DataFrame, ids: DataFrame) -> tuple[DataFrame, Dat
 # -- CHG9 ------------------------------------------------------------------------------
 
 def _set_null_where(df: DataFrame, col: str, removed: DataFrame) -> DataFrame:
-    gone = broadcast_if_small(removed.select(F.col(col).alias("_gone")).distinct()).withColumn("_g", F.lit(True))
+    gone = removed.select(F.col(col).alias("_gone")).distinct().withColumn("_g", F.lit(True))
     j = df.join(gone, F.col(col) == F.col("_gone"), "left")
     return j.select(*[F.when(F.col("_g"), F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)
                       if c == col else F.col(c) for c in df.columns])
@@ -363,13 +390,15 @@ def delete_agents(agents: DataFrame, listings: DataFrame, ids: DataFrame) -> tup
     return agents.join(removed, "agent_id", "left_anti"), _set_null_where(listings, "agent_id", removed)
 
 
-def delete_cities(cities: DataFrame, localities: DataFrame, listings: DataFrame,
-                  ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """City removal cascades to its localities but is refused (rejected)
-    while any listing still references the city."""
+def delete_cities(cities: DataFrame, localities: DataFrame, buildings: DataFrame, listings: DataFrame,
+                  ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """City removal cascades to its localities, and buildings that point at
+    those get NULL; it is refused (rejected) while any listing still
+    references the city. Returns (cities, localities, buildings, rejects)."""
     wanted = ids.select("city_id").distinct()
     blocked = wanted.join(listings.select("city_id").distinct(), "city_id", "left_semi")
     allowed = wanted.join(blocked, "city_id", "left_anti")
     rejects = blocked.withColumn("reasons", F.array(F.lit("referenced_by_listings")))
-    return (cities.join(allowed, "city_id", "left_anti"),
-            localities.join(allowed, "city_id", "left_anti"), rejects)
+    gone = localities.join(allowed, "city_id", "left_semi").select("locality_id")
+    return (cities.join(allowed, "city_id", "left_anti"), localities.join(allowed, "city_id", "left_anti"),
+            _set_null_where(buildings, "locality_id", gone), rejects)

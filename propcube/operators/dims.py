@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.functions.exprs import hash_u32
-from propcube.operators.joins import broadcast_if_small
+from propcube.session import materialize
 
 
 # -- DIM5 --------------------------------------------------------------------
@@ -24,19 +24,23 @@ from propcube.operators.joins import broadcast_if_small
 def assign_ids(df: DataFrame, id_col: str, start: Column | int, order: list[str]) -> DataFrame:
     """Dense ids ``start + 1, start + 2, ...`` following ``order``.
 
-    ``start`` may be a scalar Column (e.g. the current max id). Cost: one
-    range shuffle plus a tiny per-partition count; no single-task window.
+    ``start`` may be a scalar Column (e.g. the current max id). One range
+    shuffle; rows are numbered within their partition where they lie, and
+    written with partition and number, so that the counts and the rows read
+    afterwards are the same ones however often they are read.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*[F.col(c) for c in order])
-    numbered = ranged.withColumn("_rn", F.row_number().over(w))
-    counts = numbered.groupBy("_pid").agg(F.max("_rn").alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
+    cols = [F.col(c) for c in order]
+    # the lower 33 bits of the monotonic id count rows within a partition
+    numbered = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .withColumn("_pid", F.shiftright("_mid", 33))
+                .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_mid"))
+    numbered = materialize(numbered, "ids")
+    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per shuffle partition, whatever the number of rows
+    offsets = counts.select("_pid", F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    # ``offsets`` has exactly one row per shuffle partition (a few thousand
-    # at most), independent of the data size: a proven broadcast bound.
     return (numbered.join(F.broadcast(offsets), "_pid")
                     .withColumn(id_col, (start_col + F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("bigint"))
                     .drop("_pid", "_rn", "_off"))
@@ -67,7 +71,7 @@ def upsert_localities(localities: DataFrame, clean: DataFrame, cities: DataFrame
                   .groupBy("locality_name", "city_name")
                   .agg(F.min_by(F.struct("latitude", "longitude", "source_rank", "row_id"),
                                 F.struct("source_rank", "row_id")).alias("_f")))
-    cand = (first.join(broadcast_if_small(cities.select("city_id", "city_name")), "city_name")
+    cand = (first.join(cities.select("city_id", "city_name"), "city_name")
                  .select("locality_name", "city_id", F.col("_f.latitude").alias("n_lat"),
                          F.col("_f.longitude").alias("n_lng"), F.col("_f.source_rank").alias("_sr"),
                          F.col("_f.row_id").alias("_ri")))
@@ -96,7 +100,7 @@ def insert_buildings(buildings: DataFrame, clean: DataFrame, localities: DataFra
                                          "total_floors_bld"),
                                 F.struct("source_rank", "row_id")).alias("_f"))
                   .select("building_id", "_f.*"))
-    cid = first.join(broadcast_if_small(cities.select("city_id", "city_name")), "city_name", "left")
+    cid = first.join(cities.select("city_id", "city_name"), "city_name", "left")
     loc = localities.select("locality_id", "locality_name", "city_id")
     resolved = cid.join(loc, ["locality_name", "city_id"], "left")
     new = resolved.join(buildings.select("building_id"), "building_id", "left_anti").select(
@@ -125,7 +129,7 @@ def upsert_agents(agents: DataFrame, clean: DataFrame) -> DataFrame:
     new = assign_ids(new, "agent_id", _max_id(agents, "agent_id"), ["source_rank", "row_id"])
     new = new.select("agent_id", "contact_name", "company_name",
                      F.lit(None).cast("string").alias("phone"), F.lit(None).cast("string").alias("email"),
-                     F.lit(True).alias("is_active"))
+                     F.lit(True).alias("is_active"), F.current_timestamp().alias("created_at"))
     return agents.select(*S.AGENTS.fieldNames()).unionByName(new)
 
 
@@ -137,18 +141,41 @@ def agent_name_map(agents: DataFrame) -> DataFrame:
 
 # -- JN8 ---------------------------------------------------------------------
 
+def _left_on_known(df: DataFrame, table: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """Left join that spreads rows without a key: a NULL or blank key matches
+    nothing, so those rows get a random negative partner key instead of all
+    meeting in one task."""
+    blank = F.lit(False)
+    for c in left:
+        blank = blank | F.col(c).isNull() | (F.col(c).cast("string") == "")
+    salt = F.when(blank, F.xxhash64("source_rank", "row_id")).otherwise(F.lit(0))
+    on = F.col("_salt") == F.col("_zero")
+    for x, y in zip(left, right):
+        on = on & F.when(blank, F.lit(None)).otherwise(F.col(x)).eqNullSafe(F.col(y))
+    return df.withColumn("_salt", salt).join(table.withColumn("_zero", F.lit(0).cast("bigint")), on, "left") \
+        .drop("_salt", "_zero")
+
+
 def resolve_fks(clean: DataFrame, cities: DataFrame, localities: DataFrame, buildings: DataFrame,
                 agents: DataFrame) -> DataFrame:
     """JN8: names -> ids. No city -> row dropped; other misses -> NULL."""
-    c = broadcast_if_small(cities.select("city_id", "city_name"))
-    loc = localities.select("locality_id", "locality_name", "city_id")
-    b = buildings.select(F.col("building_id").alias("_bid"))
+    c = cities.select("city_id", "city_name")
+    loc = localities.select("locality_id", F.col("locality_name").alias("_ln"), F.col("city_id").alias("_lc"))
+    b = buildings.select(F.col("building_id").alias("_bid")).where(F.col("_bid").isNotNull())
     a = agent_name_map(agents).withColumnRenamed("contact_name", "_cn")
-    j = (clean.join(c, "city_name")
-              .join(loc, ["locality_name", "city_id"], "left")
-              .join(b, F.col("building_id") == F.col("_bid"), "left")
-              .join(a, F.col("contact_name") == F.col("_cn"), "left"))
-    return j.withColumn("building_id", F.col("_bid")).drop("_bid", "_cn")
+    j = clean.join(c, "city_name")
+    j = _left_on_known(j, loc, ["locality_name", "city_id"], ["_ln", "_lc"])
+    j = _left_on_known(j, b, ["building_id"], ["_bid"])
+    j = _left_on_known(j, a, ["contact_name"], ["_cn"])
+    return j.withColumn("building_id", F.col("_bid")).drop("_bid", "_cn", "_ln", "_lc")
+
+
+def append_listings(listings: DataFrame, resolved: DataFrame, batch_ts: str, path: str) -> None:
+    """SNK1 as a sink: only the new rows are appended to the stored table at
+    ``path``; existing files are not read again or rewritten."""
+    cols = [n for n, _ in S.LISTING_COLUMNS]
+    out = insert_if_absent(listings, resolved, batch_ts)
+    out.join(listings.select("listing_id"), "listing_id", "left_anti").select(*cols).write.mode("append").parquet(path)
 
 
 # -- SNK1 / JN10 -----------------------------------------------------------------

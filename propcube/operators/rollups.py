@@ -14,33 +14,29 @@ from pyspark.sql import types as T
 from propcube import schemas as S
 from propcube.functions import exprs as X
 from propcube.operators import analytics as A
-from propcube.operators.joins import row_count_at_most
 from propcube.sources.bridge import Tables
 
-MAX_PIVOT_CITIES = 1000
+def _city_names(t: Tables, cities: list[str] | None) -> list[str]:
+    """Pivot columns: the cities asked for, else every city. A matrix is as
+    wide as its city list; the long form (AGG2, AGG6) has no such width."""
+    if cities is not None:
+        return sorted(cities)
+    return sorted(r[0] for r in t.cities.select("city_name").distinct().collect())
 
 
-def _city_names(t: Tables) -> list[str]:
-    """Pivot columns: the (bounded, size-checked) city dimension's names."""
-    cities = t.cities.select("city_name")
-    if not row_count_at_most(cities, MAX_PIVOT_CITIES):
-        raise ValueError(f"more than {MAX_PIVOT_CITIES} cities; pivot would be too wide")
-    return sorted(r[0] for r in cities.collect())
-
-
-def price_trend_matrix(t: Tables, **filters) -> DataFrame:
+def price_trend_matrix(t: Tables, cities: list[str] | None = None, **filters) -> DataFrame:
     """WIN3: month rows x city columns of avg price/sqft; missing or 0 -> NULL."""
     pt = A.price_trends(t, **filters)
     v = F.when(F.col("avg_price_sqft") != 0, F.col("avg_price_sqft"))
-    return (pt.groupBy("month").pivot("city_name", _city_names(t))
-              .agg(F.first(v, ignorenulls=True)).orderBy("month"))
+    return (pt.groupBy("month").pivot("city_name", _city_names(t, cities))
+              .agg(F.max(v)).orderBy("month"))
 
 
-def bedroom_matrix(t: Tables, **filters) -> DataFrame:
+def bedroom_matrix(t: Tables, cities: list[str] | None = None, **filters) -> DataFrame:
     """WIN4: '1 BHK'..'6 BHK' rows x city columns; 0 -> NULL; every row present."""
     bp = A.bedroom_price(t, **filters)
     v = F.when(F.col("avg_price_sqft") != 0, F.col("avg_price_sqft"))
-    wide = bp.groupBy("bedroom_num").pivot("city_name", _city_names(t)).agg(F.first(v, ignorenulls=True))
+    wide = bp.groupBy("bedroom_num").pivot("city_name", _city_names(t, cities)).agg(F.max(v))
     rows = t.spark.range(1, 7).select(F.col("id").cast("smallint").alias("bedroom_num"))
     return (rows.join(wide, "bedroom_num", "left")
                 .select(X.bhk_label("bedroom_num").alias("bedrooms"), "bedroom_num",

@@ -75,11 +75,15 @@ def listing_order() -> list[Column]:
     return [F.col("register_date").desc_nulls_last(), F.col("listing_id").desc()]
 
 
-def enrich_listings(listings: DataFrame, t: Tables) -> DataFrame:
-    """JN5: + city_name, locality_name, agent_name (all nullable)."""
-    cities = t.dim("cities").select("city_id", "city_name")
-    locs = t.dim("localities").select("locality_id", "locality_name")
-    agents = t.dim("agents").select("agent_id", F.col("contact_name").alias("agent_name"))
+def enrich_listings(listings: DataFrame, t: Tables, bounded: bool = False) -> DataFrame:
+    """JN5: + city_name, locality_name, agent_name (all nullable).
+    ``bounded``: ``listings`` is a page of a hundred rows at most."""
+    cities = t.cities.select("city_id", "city_name")
+    locs = t.localities.select("locality_id", "locality_name")
+    agents = t.agents.select("agent_id", F.col("contact_name").alias("agent_name"))
+    if bounded:
+        ids = F.broadcast(listings.select("agent_id").distinct())
+        agents = F.broadcast(agents.join(ids, "agent_id", "left_semi"))  # agent_id is unique
     return (listings.join(cities, "city_id", "left")
                     .join(locs, "locality_id", "left")
                     .join(agents, "agent_id", "left")
@@ -94,7 +98,7 @@ def listings_page(t: Tables, f: ListingFilters = ListingFilters(), page: int = 1
         raise ValueError("page >= 1 and size in 1..100")
     cut = (filter_listings(t.listings, f).orderBy(*listing_order())
            .offset((page - 1) * size).limit(size))
-    return enrich_listings(cut, t).orderBy(*listing_order())
+    return enrich_listings(cut, t, bounded=True).orderBy(*listing_order())
 
 
 def listings_count(t: Tables, f: ListingFilters = ListingFilters(), size: int = 20) -> DataFrame:
@@ -112,12 +116,20 @@ def lookup_listings(t: Tables, keys: DataFrame, key: str = "listing_id") -> Data
     first, so a repeated hot key costs one row in the shuffle.
     """
     k = keys.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    hit = enrich_listings(t.listings, t).withColumn("_key", F.col(key))
+    found = t.listings.join(k, F.col(key) == F.col("_key"), "left_semi")
+    hit = enrich_listings(found, t).withColumn("_key", F.col(key))
     return (k.join(hit, "_key", "left")
              .select(F.col("_key").alias("requested_key"),
                      F.col("listing_id").isNotNull().alias("found"), *S.LISTING_OUT))
 
 
+def lookup_agents(t: Tables, keys: DataFrame) -> DataFrame:
+    """FIL8 by ``agent_id``: one row per distinct requested key with ``found``."""
+    k = keys.select(F.col("agent_id").alias("requested_key")).where(F.col("requested_key").isNotNull()).distinct()
+    return k.join(t.agents, F.col("requested_key") == F.col("agent_id"), "left").select(
+        "requested_key", F.col("agent_id").isNotNull().alias("found"), *S.AGENTS.fieldNames())
+
+
 # -- transactions ------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -147,11 +159,19 @@ def filter_transactions(t: Tables, f: TxnFilters = TxnFilters()) -> DataFrame:
     return tx
 
 
-def enrich_transactions(tx: DataFrame, t: Tables) -> DataFrame:
-    """JN6: + property_type, city_name, locality_name through the listing."""
-    l = t.listings.select("listing_id", "property_type", "city_id", "locality_id")
-    cities = t.dim("cities").select("city_id", "city_name")
-    locs = t.dim("localities").select("locality_id", "locality_name")
+def enrich_transactions(tx: DataFrame, t: Tables, bounded: bool = False) -> DataFrame:
+    """JN6: + property_type, city_name, locality_name through the listing.
+    ``bounded``: ``tx`` is a page of a few hundred rows at most."""
+    # semi-join first: the listings are only probed for the page's keys, a
+    # bounded side that is sent to them (LIMIT), and never shuffled
+    wanted = tx.select("listing_id").distinct()
+    if bounded:
+        wanted = F.broadcast(wanted)
+    l = t.listings.select("listing_id", "property_type", "city_id", "locality_id").join(wanted, "listing_id", "left_semi")
+    if bounded:
+        l = F.broadcast(l)  # listing_id is unique: no more rows than the page
+    cities = t.cities.select("city_id", "city_name")
+    locs = t.localities.select("locality_id", "locality_name")
     return (tx.join(l, "listing_id", "left")
               .join(cities, "city_id", "left")
               .join(locs, "locality_id", "left")
@@ -168,7 +188,17 @@ def list_transactions(t: Tables, f: TxnFilters = TxnFilters(), limit: int = 50,
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit in 1..200, offset >= 0")
     cut = filter_transactions(t, f).orderBy(*txn_order()).offset(offset).limit(limit)
-    return enrich_transactions(cut, t).orderBy(*txn_order())
+    return enrich_transactions(cut, t, bounded=True).orderBy(*txn_order())
+
+
+def lookup_transactions(t: Tables, keys: DataFrame) -> DataFrame:
+    """FIL8 by ``txn_id``: one row per distinct requested key with ``found``
+    and the enriched deal; only the deals that are asked for are enriched."""
+    k = keys.select(F.col("txn_id").alias("requested_key")).where(F.col("requested_key").isNotNull()).distinct()
+    found = t.transactions.join(k, F.col("txn_id") == F.col("requested_key"), "left_semi")
+    hit = enrich_transactions(found, t)
+    return k.join(hit, F.col("requested_key") == F.col("txn_id"), "left").select(
+        "requested_key", F.col("txn_id").isNotNull().alias("found"), *hit.columns)
 
 
 # -- agents --------------------------------------------------------------------

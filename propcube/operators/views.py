@@ -34,7 +34,7 @@ def mv_price_trends(t: Tables) -> DataFrame:
         F.min("price_inr").cast(S.MONEY).alias("min_price_inr"),
         F.max("price_inr").cast(S.MONEY).alias("max_price_inr"),
     )
-    return (g.join(t.dim("cities").select("city_id", "city_name"), "city_id")
+    return (g.join(t.cities.select("city_id", "city_name"), "city_id")
              .select("city_name", "month", "listing_count", "avg_price_sqft", "avg_price_inr",
                      "min_price_inr", "max_price_inr")
              .orderBy("city_name", "month"))

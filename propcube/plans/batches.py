@@ -154,23 +154,38 @@ def low_balance_agent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change-feed records from orders: a create, an update or a delete per
-    order (by key class), some creates invalid (negative price)."""
+    """Change-feed records: two changes for every order, by key class.
+
+    0: two creates of one prop_id (the first invalid for every 40th key);
+    1: two partial updates; 2: a delete, then an update; 3: a valid update,
+    then an invalid one; 4: an update, then a delete; 5: updates of an unknown
+    listing; 6: two deletes; 7: a create of an existing prop_id, then an
+    update of its listing."""
     o = read_table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    m = k % 4
-    op = F.when(m == 0, "create").when(m == 1, "update").when(m == 2, "delete")
-    cols = {n: F.lit(None).cast(t) for n, t in S.LISTING_COLUMNS if n not in ("created_at", "updated_at")}
-    cols.update({
-        "listing_id": F.when(m == 0, F.lit(None)).otherwise(k).cast("bigint"),
-        "prop_id": F.when(m == 0, F.concat(F.lit("S"), k.cast("string"))),
-        "price_inr": F.when((m == 0) & (k % 40 == 0), F.lit(-1))
-                      .when(m == 0, F.col("o_totalprice"))
-                      .otherwise(F.col("o_totalprice") + 1).cast(S.MONEY),
-        "city_id": F.when(m == 0, k % 5).cast("bigint"),
-        "transact_type": F.when(m == 0, F.lit(1)).cast("smallint"),
-    })
-    return o.where(op.isNotNull()).select(
-        op.alias("op"), k.alias("seq"),
-        F.when(m == 1, F.array(F.lit("price_inr"))).alias("set_cols"),
-        *[c.alias(n) for n, c in cols.items()])
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 8
+    price = F.col("o_totalprice").cast(S.MONEY)
+    kinds = {0: ("create", "create"), 1: ("update", "update"), 2: ("delete", "update"), 3: ("update", "update"),
+             4: ("update", "delete"), 5: ("update", "update"), 6: ("delete", "delete"), 7: ("create", "update")}
+    none = F.lit(None)
+
+    def change(i: int) -> Column:
+        op = F.element_at(F.array(*[F.lit(kinds[c][i]) for c in range(8)]), (m + 1).cast("int"))
+        cols = {n: none.cast(t) for n, t in S.LISTING_COLUMNS if n not in ("created_at", "updated_at")}
+        create = op == "create"
+        value = {0: F.when((m == 0) & (k % 40 == 0), F.lit(-1)).when(m == 0, price).otherwise(price + 1),
+                 1: F.when(m == 3, F.lit(-1)).when(m == 0, price + 5).otherwise(price + 2)}[i]
+        cols |= {
+            "listing_id": F.when(create, none).when(m == 5, k + MISS).otherwise(k).cast("bigint"),
+            "prop_id": F.when(m == 0, F.concat(F.lit("S"), _lpad(k, 12)))
+                        .when(create, F.concat(F.lit("P"), k.cast("string"))),
+            "price_inr": value.cast(S.MONEY),
+            "verified": F.lit(True),
+            "city_id": F.when(create, k % 5).cast("bigint"),
+            "transact_type": F.when(create, F.lit(1)).cast("smallint"),
+        }
+        sets = F.when(op == "update", F.when((m == 1) & F.lit(i == 1), F.array(F.lit("verified")))
+                      .otherwise(F.array(F.lit("price_inr"))))
+        return F.struct(op.alias("op"), (k * 10 + i).alias("seq"), sets.alias("set_cols"),
+                        *[c.alias(n) for n, c in cols.items()])
+
+    return o.select(F.explode(F.array(change(0), change(1))).alias("c")).select("c.*")

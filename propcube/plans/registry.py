@@ -130,6 +130,11 @@ def _views_search() -> dict[str, tuple[QueryFn, str | None]]:
                               O.listings_enriched_sql()),
         "listing_lookup": (_lookup(False), O.listing_lookup_sql(LOOKUP_KEYS_SQL, "listing_id")),
         "listing_by_prop": (_lookup(True), O.listing_lookup_sql(LOOKUP_PROP_SQL, "prop_id")),
+        "agent_lookup": (_lookup_agents, O.agent_lookup_sql()),
+        "transaction_lookup": (_lookup_txns, O.txn_lookup_sql()),
+        "stored_price_trends": (_view("mv_price_trends"), O.mv_price_trends_sql()),
+        "stored_locality_demand": (_view("mv_locality_demand"), O.mv_locality_demand_sql()),
+        "stored_agent_performance": (_view("mv_agent_performance"), O.mv_agent_performance_sql()),
         "transactions_list": (_q(Q.list_transactions, f=TXN_FILTER, limit=50, offset=10),
                               O.transactions_list_sql("Completed", "1998-01-01", "1998-12-31",
                                                       limit=50, offset=10)),
@@ -253,7 +258,7 @@ def _dims() -> dict[str, tuple[QueryFn, str | None]]:
         "upsert_cities": (_upsert_cities, O.upsert_cities_sql()),
         "upsert_localities": (lambda s, d: _dim_chain(s, d)["localities"], O.upsert_localities_sql()),
         "insert_buildings": (lambda s, d: _dim_chain(s, d)["buildings"], O.insert_buildings_sql()),
-        "upsert_agents": (lambda s, d: _dim_chain(s, d)["agents"], O.upsert_agents_sql()),
+        "upsert_agents": (lambda s, d: _dim_chain(s, d)["agents"].drop("created_at"), O.upsert_agents_sql()),
         "resolve_fks": (lambda s, d: _dim_chain(s, d)["resolved"].select(
             "prop_id", "city_id", "locality_id", "building_id", "agent_id", "source_rank", "row_id"),
             O.resolve_fks_sql()),
@@ -321,7 +326,7 @@ def _delete_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _create_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     new, _ = C.create_agents(t.agents, B.agent_creates(spark, sf_dir))
-    return new.join(t.agents.select("agent_id"), "agent_id", "left_anti")
+    return new.join(t.agents.select("agent_id"), "agent_id", "left_anti").drop("created_at")
 
 
 def _update_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,6 +355,78 @@ def _referential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l3.select("listing_id", "locality_id", "building_id", "agent_id")
 
 
+def _lookup_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    keys = o.select(F.explode(F.array("o_custkey", -F.col("o_orderkey") - 1)).alias("agent_id"))
+    return Q.lookup_agents(_t(spark, sf_dir), keys)
+
+
+def _lookup_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    keys = t.transactions.select(F.explode(F.array(
+        "txn_id", F.concat(F.lit("none-"), F.col("listing_id").cast("string")))).alias("txn_id"))
+    return Q.lookup_transactions(t, keys)
+
+
+def _view(name: str) -> QueryFn:
+    """A view refreshed into storage and read back."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "warehouse")
+        report = V.refresh_views(_t(spark, sf_dir), root, (name,))
+        if report["failed"]:
+            raise RuntimeError(f"view refresh failed: {report['failed']}")
+        return V.read_view(spark, root, name)
+    return run
+
+
+def _listing_create_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    _, rej = C.create_listings(t.listings, B.listing_creates(spark, sf_dir), t.cities, t.localities, BATCH_TS)
+    return rej.select("seq", F.concat_ws(",", "reasons").alias("reason_list"))
+
+
+def _counted(rejects: DataFrame, change: str, name: str) -> DataFrame:
+    return rejects.groupBy(F.concat_ws(",", "reasons").alias(name)).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(change).alias("change"), name, "n")
+
+
+def _listing_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    _, upd = C.update_listings(t.listings, B.listing_updates(spark, sf_dir), BATCH_TS)
+    out = _counted(upd, "update", "reason_list")
+    for mode in ("soft", "hard"):
+        _, _, rej = C.delete_listings(t.listings, t.transactions, B.returned_listing_ids(spark, sf_dir), mode, BATCH_TS)
+        out = out.unionByName(_counted(rej, mode, "reason_list"))
+    return out
+
+
+def _txn_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    _, made = C.create_transactions(t.transactions, t.listings, B.txn_creates(spark, sf_dir), "B1-")
+    _, upd = C.update_transactions(t.transactions, B.txn_updates(spark, sf_dir))
+    _, gone = C.delete_transactions(t.transactions, B.returned_txn_ids(spark, sf_dir))
+    return (_counted(made, "create", "reasons").unionByName(_counted(upd, "update", "reasons"))
+            .unionByName(_counted(gone, "delete", "reasons")))
+
+
+def _agent_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    _, made = C.create_agents(t.agents, B.agent_creates(spark, sf_dir))
+    _, off = C.deactivate_agents(t.agents, B.low_balance_agent_ids(spark, sf_dir))
+    return made.select(F.lit("create").alias("change"), F.col("seq").alias("key"),
+                       F.concat_ws(",", "reasons").alias("reason_list")).unionByName(
+        off.select(F.lit("deactivate").alias("change"), F.col("agent_id").alias("key"),
+                   F.concat_ws(",", "reasons").alias("reason_list")))
+
+
+def _city_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cities asked to go once city 4 has no listings: only it may."""
+    t = _t(spark, sf_dir)
+    _, _, buildings, _ = C.delete_cities(t.cities, t.localities, t.buildings, t.listings.where("city_id <> 4"),
+                                         t.cities.select("city_id"))
+    return buildings.select("building_id", "locality_id")
+
+
 def _changes() -> dict[str, tuple[QueryFn, str | None]]:
     return {
         "validate_listings": (_validate, O.validate_listings_sql()),
@@ -364,19 +441,47 @@ def _changes() -> dict[str, tuple[QueryFn, str | None]]:
         "update_agents": (_update_agents, O.update_agents_sql()),
         "deactivate_agents": (_deactivate, O.deactivate_agents_sql()),
         "referential_actions": (_referential, O.referential_actions_sql()),
+        "city_delete_buildings": (_city_delete, O.city_delete_sql()),
+        "create_listings_rejects": (_listing_create_rejects, O.create_listings_rejects_sql()),
+        "listing_change_rejects": (_listing_rejects, O.listing_rejects_sql()),
+        "transaction_change_rejects": (_txn_rejects, O.txn_rejects_sql()),
+        "agent_change_rejects": (_agent_rejects, O.agent_rejects_sql()),
     }
 
 
-def _change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run_feed(spark: SparkSession, sf_dir: str, trends: bool = False) -> tuple[str, str]:
+    """The feed of every order drained into a state; (state, trends) folders."""
     from propcube.streaming import changefeed as CF
+    from propcube.streaming import incremental as INC
     t = _t(spark, sf_dir)
     root = scratch_path(spark, "feed")
-    B.feed_changes(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
+    # the changes of one order stay in one file, in seq order
+    B.feed_changes(spark, sf_dir).repartition(4, F.expr("seq div 10")).sortWithinPartitions("seq") \
+        .write.parquet(f"{root}/in")
     CF.init_state(t.listings, f"{root}/state")
-    CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/checkpoint",
-                       t.cities, t.localities, BATCH_TS)
-    return CF.read_state(spark, f"{root}/state").select(
-        "prop_id", "price_inr", "is_active", "city_id", "transact_type")
+    if trends:
+        INC.init_partials(t.listings, t.cities, f"{root}/trends")
+    CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/checkpoint", t.cities, t.localities, BATCH_TS,
+                       trends_dir=f"{root}/trends" if trends else None)
+    return f"{root}/state", f"{root}/trends"
+
+
+def _change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from propcube.streaming import changefeed as CF
+    return CF.read_state(spark, _run_feed(spark, sf_dir)[0]).select(
+        "prop_id", "price_inr", "verified", "is_active", "city_id", "transact_type")
+
+
+def _change_feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from propcube.streaming import changefeed as CF
+    return CF.read_rejects(spark, _run_feed(spark, sf_dir)[0]).select(
+        "seq", "op", F.concat_ws(",", "reasons").alias("reason_list"))
+
+
+def _change_feed_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 -> S2: price trends kept up to date through a mixed feed."""
+    from propcube.streaming import incremental as INC
+    return INC.finalize(INC.read_partials(spark, _run_feed(spark, sf_dir, trends=True)[1]))
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,6 +497,8 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streams() -> dict[str, tuple[QueryFn, str | None]]:
     return {
         "change_feed_stream": (_change_feed, O.change_feed_sql()),
+        "change_feed_rejects": (_change_feed_rejects, O.change_feed_rejects_sql()),
+        "change_feed_trends": (_change_feed_trends, O.change_feed_trends_sql()),
         "incremental_price_trends": (_incremental, O.mv_price_trends_sql()),
     }
 

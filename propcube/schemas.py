@@ -15,8 +15,6 @@ VALID_FURNISH = (0, 1, 2, 4)
 TRANSACT_LABELS = {1: "Buy/Sell", 2: "Rent"}
 # Transaction status domain.
 TXN_STATUSES = ("Completed", "Pending", "Cancelled")
-# Weights used when synthesising transaction status (percent).
-TXN_STATUS_WEIGHTS = (80, 15, 5)
 OWNERSHIP_TYPES = ("Freehold", "Leasehold", "Co-operative Society", "Power of Attorney")
 BUYER_FIRST = ("Amit", "Priya", "Rahul", "Sneha", "Vikram", "Pooja", "Suresh", "Kavitha",
                "Arjun", "Divya", "Rajan", "Meera", "Anil", "Sunita", "Deepak", "Swati")
@@ -36,7 +34,6 @@ SYNTH_DATE_DAYS = 396  # 2022-10-01 .. 2023-10-31 inclusive
 # variance band and days after registration.
 SYNTH_TXN_RATE = 0.12
 SYNTH_TXN_MIN = 200
-SYNTH_PRICE_LO, SYNTH_PRICE_HI = 0.92, 1.08
 SYNTH_DAYS_LO, SYNTH_DAYS_HI = 30, 365
 # Text column clamps applied at ingest and validated on create.
 TEXT_LIMITS = {"property_type": 100, "description": 2000, "prop_name": 400, "amenities": 500}
@@ -78,6 +75,7 @@ AGENTS = T.StructType([
     T.StructField("phone", T.StringType(), True),
     T.StructField("email", T.StringType(), True),
     T.StructField("is_active", T.BooleanType(), True),
+    T.StructField("created_at", T.TimestampType(), True),
 ])
 
 LISTING_COLUMNS = [
@@ -123,6 +121,7 @@ TRANSACTIONS = T.StructType([
     T.StructField("ownership_type", T.StringType(), True),
     T.StructField("status", T.StringType(), True),
     T.StructField("notes", T.StringType(), True),
+    T.StructField("created_at", T.TimestampType(), True),
 ])
 
 # Listing columns a partial update may set (everything else is ignored).
@@ -143,5 +142,5 @@ LISTING_OUT = [
     "min_area_sqft", "max_area_sqft", "price_inr", "price_sqft", "description",
     "prop_name", "latitude", "longitude", "register_date", "expiry_date", "verified",
     "is_active", "city_id", "city_name", "locality_id", "locality_name", "building_id",
-    "agent_id", "agent_name", "amenities",
+    "agent_id", "agent_name", "amenities", "created_at", "updated_at",
 ]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package relies on.
 REQUIRED_CONF = {
@@ -88,11 +88,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{storage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-only helpers."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Hadoop-FS existence check (works for any scheme the cluster mounts)."""
     jvm = spark.sparkContext._jvm
@@ -101,24 +96,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def glob_exists(spark: SparkSession, pattern: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jpath)
-    return found is not None and len(found) > 0
-
-
-__all__ = ["get_session", "storage_root", "scratch_path", "exists",
-           "glob_exists", "local_path", "apply_required_conf"]
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet below the storage root and read back.
 
+    For frames that several later steps must see alike: the written rows are
+    fixed, the lineage is cut, and a lost executor costs a re-read only.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def materialize(df):
-    """Cut lineage for a frame read by several later steps.
 
-    Reliable ``checkpoint()`` into the shared ``spark.checkpoint.dir`` (so a
-    lost executor does not force recomputing the whole ingest), never
-    ``localCheckpoint``.
-    """
-    storage_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["get_session", "storage_root", "scratch_path", "exists",
+           "materialize", "apply_required_conf"]

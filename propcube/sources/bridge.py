@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propcube import schemas as S
-from propcube.operators.joins import broadcast_if_small
 from propcube.sources.tables import read_table
 
 
@@ -55,6 +54,8 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("+91-"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")).alias("phone"),
         F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@agents.example")).alias("email"),
         (F.col("c_acctbal") > 0).alias("is_active"),
+        F.date_add(F.lit("1992-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int"))
+         .cast("timestamp").alias("created_at"),
     )
 
 
@@ -83,9 +84,7 @@ def _cached_columns(spark: SparkSession, name: str, build) -> list:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
-    nation = broadcast_if_small(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
-        memo_key=(sf_dir, "nation"))
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     joined = o.join(nation, (F.col("o_orderkey") % 25).cast("int") == F.col("n_nationkey"), "inner")
     return joined.select(*_cached_columns(spark, "listings", _listing_columns))
 
@@ -160,18 +159,15 @@ def _transaction_columns() -> list:
          .when(F.col("l_returnflag") == "A", "Pending")
          .otherwise("Cancelled").alias("status"),
         F.lit(None).cast("string").alias("notes"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"),
     ]
 
 
-_SMALL_SOURCE_DIMS: dict[tuple[str, str], bool] = {}
-
-
 class Tables:
     """The six domain tables of one dataset, built lazily.
 
-    ``dim(name)`` returns a dimension wrapped in a broadcast hint only after
-    a bounded row-count check (done once per table and remembered); a
-    dimension above the bound is joined by shuffle instead.
+    Joins carry no hints: Catalyst and AQE broadcast a side by its size in
+    bytes and shuffle it otherwise.
     """
 
     _builders = {
@@ -183,8 +179,6 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = dict(overrides or {})
-        self._overridden = set(self._frames)
-        self._small: dict[str, bool] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._builders:
@@ -193,28 +187,10 @@ class Tables:
             self._frames[name] = self._builders[name](self.spark, self.sf_dir)
         return self._frames[name]
 
-    def dim(self, name: str) -> DataFrame:
-        from propcube.operators.joins import DIM_BROADCAST_ROWS, row_count_at_most
-        df = getattr(self, name)
-        if name not in self._small:
-            # Source-derived dims are immutable files: remember the check per
-            # dataset path. Overridden (derived) dims are checked per instance.
-            key = (self.sf_dir, name)
-            if name in self._overridden or key not in _SMALL_SOURCE_DIMS:
-                small = row_count_at_most(df, DIM_BROADCAST_ROWS)
-                if name not in self._overridden:
-                    _SMALL_SOURCE_DIMS[key] = small
-            else:
-                small = _SMALL_SOURCE_DIMS[key]
-            self._small[name] = small
-        return F.broadcast(df) if self._small[name] else df
-
     def with_tables(self, **frames: DataFrame) -> "Tables":
         merged = dict(self._frames)
         merged.update(frames)
-        t = Tables(self.spark, self.sf_dir, merged)
-        t._small = {k: v for k, v in self._small.items() if k not in frames}
-        return t
+        return Tables(self.spark, self.sf_dir, merged)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:

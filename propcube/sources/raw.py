@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propcube.operators.joins import broadcast_if_small
 from propcube.sources.tables import read_table
 
 # Columns missing from each city's file (by region key).
@@ -51,12 +50,8 @@ def raw_rows(spark: SparkSession, sf_dir: str, region_key: int | None = None) ->
     if region_key is not None:
         nation = nation.where(F.col("n_regionkey") == region_key)
         region = region.where(F.col("r_regionkey") == region_key)
-    n = broadcast_if_small(nation, memo_key=(sf_dir, "nation", region_key))
-    r = broadcast_if_small(region, memo_key=(sf_dir, "region", region_key))
-    j = (o.join(n, (F.col("o_orderkey") % 25).cast("int") == F.col("n_nationkey"))
-          .join(r, F.col("n_regionkey") == F.col("r_regionkey")))
-    # (read_table already spreads a few-split orders scan over the cores;
-    # row identity comes from o_orderkey, so placement does not matter.)
+    j = (o.join(nation, (F.col("o_orderkey") % 25).cast("int") == F.col("n_nationkey"))
+          .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
     return j.select(*_raw_columns(spark))
 
 

@@ -35,33 +35,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Fact tables whose scans carry the heavy per-row work.
-FACT_TABLES = ("orders", "lineitem")
-_SPLITS: dict[tuple, int] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one source table; column pruning and filters reach the reader.
-
-    A fact table that arrives as fewer input splits than the cluster has
-    cores (one big row group, say) is spread round-robin right after the
-    scan, so the work above it is not confined to a few tasks. Column
-    pruning and filters still reach the reader through the exchange. On a
-    large input (thousands of splits) this never triggers and adds nothing.
-    """
+    Split sizes are the reader's (``spark.sql.files.maxPartitionBytes``)."""
     reader = spark.read
     schema = SOURCE_SCHEMAS.get(name)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.parquet(table_path(sf_dir, name))
-    if name in FACT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        key = (table_path(sf_dir, name), cores)
-        if key not in _SPLITS:
-            _SPLITS[key] = df.rdd.getNumPartitions()
-        if _SPLITS[key] < cores:
-            df = df.repartition(cores)
-    return df
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def read_domain(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

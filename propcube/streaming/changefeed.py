@@ -1,123 +1,216 @@
 """S1: apply a stream of listing changes with Structured Streaming.
 
-Change records (op = create | update | delete) arrive as parquet files; each
-micro-batch is applied with ``foreachBatch``:
-
-* the current listings table is the newest committed version under
-  ``<state>/v-<batch id>`` (``_SUCCESS`` marks a commit);
-* the batch's changes keep only the last change per key (highest ``seq``);
-* creates / updates / deletes go through the CHG operators, so validation
-  and rejects are the same as for batch jobs; rejects are written next to
-  the version;
-* the result is written as a new version; a replayed batch id whose
-  version is already committed is skipped, so the sink is idempotent and a
-  restarted query (same checkpoint) never applies a batch twice.
-
-Every micro-batch reads one version and writes another, so no path is read
-and overwritten at once, and each version cuts the lineage.
+State = a base snapshot plus one small table per micro-batch with the new
+image (or the deletion) of every listing that the batch touched, named by a
+manifest. A batch reads the key columns and the touched rows, and writes only
+its own rows and a manifest, whose appearance is the commit; so bytes written
+follow the batch, not the table. ``compact`` folds the batches into a new base.
+
+Within a batch, changes take effect in ``seq`` order: updates of one listing
+merge column by column, an update or delete after its delete is rejected as
+``not_found``, the first valid create of a prop_id wins, and a prop_id is free
+again after its listing's delete. Every change that is not applied is written
+to the rejects with its seq and reasons, so the outcome does not depend on how
+files fall into batches (as long as the changes of a key arrive in order).
+
+A manifest also holds the last batch id applied for each streaming query (the
+id in its checkpoint): a replayed batch is skipped, while a new checkpoint over
+an old state starts counting anew.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propcube import schemas as S
 from propcube.operators import changes as C
-from propcube.operators.joins import broadcast_bounded
 from propcube.operators.views import _fs
+from propcube.session import materialize
 
 CHANGE_SCHEMA = T.StructType(
     [T.StructField("op", T.StringType()), T.StructField("seq", T.LongType()),
      T.StructField("set_cols", T.ArrayType(T.StringType()))]
     + [T.StructField(n, t) for n, t in S.LISTING_COLUMNS if n not in ("created_at", "updated_at")])
+COLUMNS = [n for n, _ in S.LISTING_COLUMNS]
+REJECTS = "seq long, op string, reasons array<string>"
+DELTA = T.StructType([*S.LISTINGS.fields, T.StructField("_deleted", T.BooleanType())])
+#: Batches between two compactions of a running feed.
+COMPACT_EVERY = 50
+
 
+# -- manifests -----------------------------------------------------------------
 
-def _version(batch_id: int) -> str:
-    return f"v-{batch_id + 1:012d}"
+def _read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
 
 
-def committed_versions(spark: SparkSession, state_dir: str) -> list[str]:
-    fs, base = _fs(spark, state_dir)
+def committed_versions(spark: SparkSession, state_dir: str) -> list[int]:
+    """Numbers of the committed manifests, ascending."""
+    fs, base = _fs(spark, f"{state_dir}/manifests")
     if not fs.exists(base):
         return []
-    out = []
-    for st in fs.listStatus(base):
-        p = st.getPath()
-        if st.isDirectory() and p.getName().startswith("v-") and fs.exists(p.suffix("/_SUCCESS")):
-            out.append(p.getName())
-    return sorted(out)
+    names = [st.getPath().getName() for st in fs.listStatus(base)]
+    return sorted(int(n.removeprefix("m-").removesuffix(".json")) for n in names if n.endswith(".json"))
 
 
-def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
+def manifest(spark: SparkSession, state_dir: str) -> dict:
     versions = committed_versions(spark, state_dir)
     if not versions:
-        raise FileNotFoundError(f"no committed listings version under {state_dir}")
-    return spark.read.schema(S.LISTINGS).parquet(f"{state_dir}/{versions[-1]}")
+        raise FileNotFoundError(f"no committed listings state under {state_dir}")
+    return json.loads(_read_text(spark, f"{state_dir}/manifests/m-{versions[-1]:012d}.json")) | {"version": versions[-1]}
+
+
+def _commit(spark: SparkSession, state_dir: str, version: int, content: dict) -> None:
+    """Write the manifest aside and rename it: readers see all of it or none."""
+    fs, final = _fs(spark, f"{state_dir}/manifests/m-{version:012d}.json")
+    _, aside = _fs(spark, f"{state_dir}/manifests/.m-{version:012d}.tmp")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if not fs.rename(aside, final):
+        raise RuntimeError(f"version {version} of {state_dir} was committed by another writer")
 
 
 def init_state(listings: DataFrame, state_dir: str) -> None:
     """Version 0: the starting snapshot."""
-    listings.select(*[n for n, _ in S.LISTING_COLUMNS]).write.mode("errorifexists") \
-        .parquet(f"{state_dir}/v-{0:012d}")
+    spark = listings.sparkSession
+    listings.select(*COLUMNS).write.mode("errorifexists").parquet(f"{state_dir}/base-0")
+    top = spark.read.schema(S.LISTINGS).parquet(f"{state_dir}/base-0").agg(F.max("listing_id")).first()[0] or 0
+    _commit(spark, state_dir, 0, {"base": "base-0", "deltas": [], "top_id": top, "applied": {}})
+
+
+def _state_of(spark: SparkSession, state_dir: str, m: dict) -> DataFrame:
+    base = spark.read.schema(S.LISTINGS).parquet(f"{state_dir}/{m['base']}").select(*COLUMNS)
+    if not m["deltas"]:
+        return base
+    frames = [spark.read.schema(DELTA).parquet(f"{state_dir}/{d}").withColumn("_n", F.lit(i))
+              for i, d in enumerate(m["deltas"])]
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f)
+    last = every.groupBy("listing_id").agg(F.max("_n").alias("_n"))
+    newest = every.join(last, ["listing_id", "_n"])
+    kept = base.join(last.select("listing_id"), "listing_id", "left_anti")
+    return kept.select(*COLUMNS).unionByName(newest.where("NOT _deleted").select(*COLUMNS))
 
 
-def last_change_per_key(changes: DataFrame) -> DataFrame:
-    """Keep the highest-seq change per key (listing_id, or prop_id for
-    creates); ``max_by`` combines map-side, so hot keys stay cheap."""
-    key = F.when(F.col("op") == "create", F.concat(F.lit("p:"), F.col("prop_id"))) \
-           .otherwise(F.concat(F.lit("l:"), F.col("listing_id").cast("string")))
-    cols = [c for c in changes.columns]
-    return (changes.withColumn("_key", key).groupBy("_key")
-                   .agg(F.max_by(F.struct(*cols), F.col("seq")).alias("_c"))
-                   .select("_c.*"))
+def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The current listings."""
+    return _state_of(spark, state_dir, manifest(spark, state_dir))
 
 
-def apply_changes(listings: DataFrame, changes: DataFrame, cities: DataFrame, localities: DataFrame,
-                  batch_ts: str, transactions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch (or one batch job): creates, then updates, then deletes."""
-    last = last_change_per_key(changes).persist()  # one row per key; read by three branches
-    # Every frame derived from the batch has at most this many rows: one
-    # cheap count (of a persisted frame) bounds all of the batch-side
-    # broadcasts below, instead of a size-check job for each.
-    n = last.count()
-    creates = last.where(F.col("op") == "create").drop("op", "listing_id", "set_cols")
-    updates = last.where(F.col("op") == "update").drop("op")
-    deletes = last.where(F.col("op") == "delete").select("listing_id")
-    rejects = []
-    cur, rej = C.create_listings(listings, creates, cities, localities, batch_ts, batch_rows=n)
-    rejects.append(rej.select(F.col("seq").cast("string").alias("change"), "reasons"))
-    cur, rej = C.update_listings(cur, updates, batch_ts, batch_rows=n)
-    rejects.append(rej.select(F.col("seq").cast("string").alias("change"), "reasons"))
-    if transactions is not None:  # cascade to deals when the caller keeps them
-        cur, _, rej = C.delete_listings(cur, transactions, deletes, "hard", batch_ts)
-    else:
-        keys = broadcast_bounded(deletes.distinct(), n)
-        rej = keys.join(cur.select("listing_id"), "listing_id", "left_anti") \
-            .withColumn("reasons", F.array(F.lit("not_found")))
-        cur = cur.join(keys, "listing_id", "left_anti")
-    rejects.append(rej.select(F.col("listing_id").cast("string").alias("change"), "reasons"))
-    out_rej = rejects[0].unionByName(rejects[1]).unionByName(rejects[2])
-    return cur, out_rej
+def read_rejects(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Changes that were not applied, of all batches."""
+    fs, base = _fs(spark, f"{state_dir}/rejects")
+    if not fs.exists(base):
+        return spark.createDataFrame([], REJECTS)
+    return spark.read.schema(REJECTS).parquet(f"{state_dir}/rejects/*")
+
+
+def compact(spark: SparkSession, state_dir: str) -> None:
+    """Fold the batches so far into a new base."""
+    m = manifest(spark, state_dir)
+    version = m.pop("version") + 1
+    _state_of(spark, state_dir, m).write.mode("overwrite").parquet(f"{state_dir}/base-{version}")
+    _commit(spark, state_dir, version, m | {"base": f"base-{version}", "deltas": []})
+
+
+# -- one batch -------------------------------------------------------------------
+
+def change_delta(listings: DataFrame, changes: DataFrame, cities: DataFrame, localities: DataFrame,
+                 batch_ts: str, top_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new images of touched listings with ``_deleted``, rejects) of a batch.
+
+    ``changes`` is read several times: give a written or persisted frame."""
+    ops = {op: changes.where(F.col("op") == op) for op in ("create", "update", "delete")}
+    ids = changes.where(F.col("op").isin("update", "delete") & F.col("listing_id").isNotNull()) \
+        .select("listing_id").distinct()
+    touched = listings.join(ids, "listing_id", "left_semi")
+
+    deletes = ops["delete"].select("seq", "listing_id").join(
+        touched.select("listing_id", "prop_id"), "listing_id", "left")
+    gone = deletes.where("prop_id IS NOT NULL").groupBy("listing_id", "prop_id").agg(F.min("seq").alias("gone_seq"))
+    seqs = gone.select("listing_id", "gone_seq")
+    late = deletes.join(seqs, "listing_id", "left").where("gone_seq IS NULL OR seq > gone_seq").select(
+        "seq", F.lit("delete").alias("op"), F.array(F.lit("not_found")).alias("reasons"))
+
+    updates = ops["update"].drop("op")
+    updated, bad_updates = C.update_listings(touched, updates, batch_ts, localities=localities, gone=seqs)
+    image = updated.join(seqs, "listing_id", "left").withColumn("_deleted", F.col("gone_seq").isNotNull())
+    stamp = F.lit(batch_ts).cast("timestamp")
+    image = image.where(F.col("_deleted") | (F.col("updated_at") == stamp)).select(*COLUMNS, "_deleted")
+
+    creates = ops["create"].drop("op", "listing_id", "set_cols")
+    freed = gone.select("prop_id", F.col("gone_seq").alias("freed_seq"))
+    known = listings.select("listing_id", "prop_id").join(
+        creates.select("prop_id").where("prop_id IS NOT NULL").distinct(), "prop_id", "left_semi")
+    if top_id is None:
+        top_id = listings.agg(F.max("listing_id")).first()[0] or 0
+    empty = known.limit(0).select(*[F.lit(None).cast(t).alias(n) if n not in known.columns else F.col(n)
+                                    for n, t in S.LISTING_COLUMNS])
+    made, bad_creates = C.create_listings(
+        known.unionByName(empty, allowMissingColumns=True), creates, cities, localities, batch_ts,
+        freed=freed, top_id=top_id)
+    new = made.where(F.col("created_at") == stamp).withColumn("_deleted", F.lit(False))
+    # a later create of the same prop_id meets the first one, in this batch or an earlier one
+    same = F.transform("reasons", lambda r: F.when(r == "prop_id_duplicate_in_batch", "prop_id_exists").otherwise(r))
+    rejects = bad_creates.select("seq", F.lit("create").alias("op"), same.alias("reasons")).unionByName(
+        bad_updates.select("seq", F.lit("update").alias("op"), "reasons")).unionByName(late)
+    other = changes.where("op IS NULL OR op NOT IN ('create', 'update', 'delete')").select(
+        "seq", "op", F.array(F.lit("unknown_op")).alias("reasons"))
+    return image.unionByName(new.select(*COLUMNS, "_deleted")), rejects.unionByName(other)
 
 
+def apply_changes(listings: DataFrame, changes: DataFrame, cities: DataFrame, localities: DataFrame,
+                  batch_ts: str, transactions: DataFrame | None = None):
+    """One batch job over whole tables: (listings, rejects), or (listings,
+    transactions, rejects) when deals are given, which deletes cascade to."""
+    changes = materialize(changes, "changes")
+    delta, rejects = change_delta(listings, changes, cities, localities, batch_ts)
+    delta = materialize(delta, "delta")
+    out = listings.select(*COLUMNS).join(delta.select("listing_id"), "listing_id", "left_anti").unionByName(
+        delta.where("NOT _deleted").select(*COLUMNS))
+    if transactions is None:
+        return out, rejects
+    gone = delta.where("_deleted").select("listing_id")
+    return out, transactions.join(gone, "listing_id", "left_anti"), rejects
+
+
+# -- the stream ------------------------------------------------------------------
+
 def run_change_feed(spark: SparkSession, source_dir: str, state_dir: str, checkpoint_dir: str,
                     cities: DataFrame, localities: DataFrame, batch_ts: str,
-                    max_files_per_trigger: int = 1) -> None:
-    """Drain every available change file (``availableNow``) into the state."""
+                    max_files_per_trigger: int = 1, trends_dir: str | None = None) -> None:
+    """Drain every available change file (``availableNow``) into the state.
+    With ``trends_dir``, the price-trend partials (S2) of every city and month
+    that a batch touched are rebuilt after it."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        name = _version(batch_id)
-        if name in committed_versions(spark, state_dir):
-            return  # replay of an already committed batch
-        current = read_state(spark, state_dir)
-        batch = batch.persist()  # read by the create, update and delete branches
-        try:
-            new, rejects = apply_changes(current, batch, cities, localities, batch_ts)
-            rejects.write.mode("overwrite").parquet(f"{state_dir}/rejects/{name}")
-            new.write.mode("overwrite").parquet(f"{state_dir}/{name}")  # commit point
-        finally:
-            batch.unpersist()
+        feed = json.loads(_read_text(spark, f"{checkpoint_dir}/metadata"))["id"]
+        m = manifest(spark, state_dir)
+        if m["applied"].get(feed, -1) >= batch_id:
+            return  # replay of a committed batch
+        version = m.pop("version") + 1
+        current = _state_of(spark, state_dir, m)
+        changes = materialize(batch, "changes")
+        delta, rejects = change_delta(current, changes, cities, localities, batch_ts, m["top_id"])
+        name = f"delta-{version}"
+        delta.write.mode("overwrite").parquet(f"{state_dir}/{name}")
+        rejects.write.mode("overwrite").parquet(f"{state_dir}/rejects/r-{version}")
+        stored = spark.read.schema(DELTA).parquet(f"{state_dir}/{name}")
+        top = max(m["top_id"], stored.agg(F.max("listing_id")).first()[0] or 0)
+        done = m | {"deltas": m["deltas"] + [name], "top_id": top, "applied": m["applied"] | {feed: batch_id}}
+        if trends_dir is not None:
+            from propcube.streaming import incremental as INC
+            before = current.join(stored.select("listing_id"), "listing_id", "left_semi")
+            INC.refresh_touched(spark, trends_dir, before.unionByName(stored.drop("_deleted")),
+                                _state_of(spark, state_dir, done), cities)
+        _commit(spark, state_dir, version, done)
+        if len(done["deltas"]) >= COMPACT_EVERY:
+            compact(spark, state_dir)
 
     stream = (spark.readStream.schema(CHANGE_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))

@@ -7,7 +7,8 @@ merged into the stored partials with a full outer join on the group key;
 averages are derived exactly at read time, so the result equals a full
 recompute on the same insert-only input. Min/max cannot be retracted: an
 update or delete marks its (city, month) groups, which
-``recompute_groups`` rebuilds from the base table.
+``recompute_groups`` rebuilds from the base table (the change feed calls
+``refresh_touched`` after every batch).
 
 The partial table has one row per city and month, so it stays small no
 matter how many listings stream through; each version is written whole
@@ -22,8 +23,7 @@ from pyspark.sql import functions as F
 from propcube import schemas as S
 from propcube.functions import exprs as X
 from propcube.operators import analytics as A
-from propcube.operators.joins import broadcast_if_small
-from propcube.streaming.changefeed import committed_versions
+from propcube.operators.views import _fs
 
 KEYS = ["city_name", "month"]
 SUMS = ["listing_count", "u_sqft", "c_sqft", "u_price", "c_price"]
@@ -38,7 +38,7 @@ def partials(listings: DataFrame, cities: DataFrame) -> DataFrame:
         F.sum(X.units("price_sqft", 2)).alias("u_sqft"), F.count("price_sqft").alias("c_sqft"),
         F.sum(X.units("price_inr", 2)).alias("u_price"), F.count("price_inr").alias("c_price"),
         F.min("price_inr").alias("min_price_inr"), F.max("price_inr").alias("max_price_inr"))
-    c = broadcast_if_small(cities.select("city_id", "city_name"))
+    c = cities.select("city_id", "city_name")
     return g.join(c, "city_id").drop("city_id")
 
 
@@ -64,13 +64,31 @@ def finalize(p: DataFrame) -> DataFrame:
         F.col("max_price_inr").cast(S.MONEY).alias("max_price_inr"))
 
 
+def group_keys(listings: DataFrame, cities: DataFrame) -> DataFrame:
+    """The (city_name, month) groups that a set of listings belongs to."""
+    months = listings.where(F.col("register_date").isNotNull()).select(
+        "city_id", F.trunc("register_date", "MM").alias("month")).distinct()
+    return months.join(cities.select("city_id", "city_name"), "city_id").select(*KEYS).distinct()
+
+
 def recompute_groups(state: DataFrame, listings: DataFrame, cities: DataFrame,
                      touched: DataFrame) -> DataFrame:
     """Replace the partials of touched (city_name, month) groups by a
-    recompute from the base table (after updates / deletes)."""
+    recompute from the base table (after updates / deletes); only rows of
+    those groups are aggregated."""
     keys = touched.select(*KEYS).distinct()
-    fresh = partials(listings, cities).join(keys, KEYS, "left_semi")
-    return state.join(keys, KEYS, "left_anti").unionByName(fresh)
+    named = keys.join(cities.select("city_id", "city_name"), "city_name").select("city_id", F.col("month").alias("_m"))
+    rows = listings.join(named, (listings.city_id == named.city_id)
+                         & (F.trunc("register_date", "MM") == F.col("_m")), "left_semi")
+    return state.join(keys, KEYS, "left_anti").unionByName(partials(rows, cities))
+
+
+def committed_versions(spark: SparkSession, state_dir: str) -> list[str]:
+    fs, base = _fs(spark, state_dir)
+    if not fs.exists(base):
+        return []
+    paths = [st.getPath() for st in fs.listStatus(base) if st.isDirectory()]
+    return sorted(p.getName() for p in paths if p.getName().startswith("v-") and fs.exists(p.suffix("/_SUCCESS")))
 
 
 def read_partials(spark: SparkSession, state_dir: str) -> DataFrame:
@@ -80,6 +98,20 @@ def read_partials(spark: SparkSession, state_dir: str) -> DataFrame:
     return spark.read.parquet(f"{state_dir}/{versions[-1]}")
 
 
+def init_partials(listings: DataFrame, cities: DataFrame, state_dir: str) -> None:
+    """The partials of a starting snapshot."""
+    partials(listings, cities).write.mode("errorifexists").parquet(f"{state_dir}/v-{0:012d}")
+
+
+def refresh_touched(spark: SparkSession, state_dir: str, rows: DataFrame, listings: DataFrame,
+                    cities: DataFrame) -> None:
+    """After a change batch: ``rows`` are the touched listings as they were
+    and as they are; their groups are rebuilt from ``listings`` (idempotent)."""
+    last = committed_versions(spark, state_dir)[-1]
+    out = recompute_groups(read_partials(spark, state_dir), listings, cities, group_keys(rows, cities))
+    out.write.mode("overwrite").parquet(f"{state_dir}/v-{int(last[2:]) + 1:012d}")
+
+
 def run_incremental(spark: SparkSession, source_dir: str, schema, state_dir: str,
                     checkpoint_dir: str, cities: DataFrame, max_files_per_trigger: int = 1) -> None:
     """Stream inserted listings into the partials (idempotent per batch id)."""

@@ -104,6 +104,36 @@ def test_transaction_status_update_and_invalid_status(spark, tables):
 
 def test_city_delete_blocked_while_referenced(spark, tables):
     ids = spark.createDataFrame([(0,)], "city_id long")
-    cities, locs, rej = C.delete_cities(tables.cities, tables.localities, tables.listings, ids)
+    cities, _, buildings, rej = C.delete_cities(tables.cities, tables.localities, tables.buildings, tables.listings, ids)
     assert cities.where("city_id = 0").count() == 1
     assert [r.reasons for r in rej.collect()] == [["referenced_by_listings"]]
+    assert sorted(buildings.collect()) == sorted(tables.buildings.collect())
+
+
+def test_city_delete_clears_buildings_of_its_localities(spark, tables):
+    ids = spark.createDataFrame([(0,)], "city_id long")
+    _, locs, buildings, rej = C.delete_cities(tables.cities, tables.localities, tables.buildings,
+                                              tables.listings.where("city_id <> 0"), ids)
+    assert rej.count() == 0 and locs.where("city_id = 0").count() == 0
+    gone = {r.locality_id for r in tables.localities.where("city_id = 0").collect()}
+    before = {r.building_id: r.locality_id for r in tables.buildings.collect()}
+    after = {r.building_id: r.locality_id for r in buildings.collect()}
+    assert after == {b: None if x in gone else x for b, x in before.items()}
+
+
+def test_foreign_keys_are_checked_on_create_and_update(spark, tables):
+    ch = _create(spark, [_row(1, "TEST_AGENT", "100"), _row(2, "TEST_BUILDING", "100"), _row(3, "TEST_GOOD", "100")])
+    ch = ch.withColumn("agent_id", F.expr("CASE seq WHEN 1 THEN 987654321 ELSE 1 END")) \
+        .withColumn("building_id", F.expr("CASE seq WHEN 2 THEN 987654321 END"))
+    new, rej = C.create_listings(tables.listings, ch, tables.cities, tables.localities, TS,
+                                 buildings=tables.buildings, agents=tables.agents)
+    assert {r.seq: r.reasons for r in rej.collect()} == {1: ["agent_unknown"], 2: ["building_unknown"]}
+    assert new.where("prop_id = 'TEST_GOOD'").count() == 1
+    upd = spark.createDataFrame([("a", 5, ["locality_id"], 999, None, None), ("b", 6, ["agent_id"], None, 987654321, None),
+                                 ("c", 7, ["furnish_id"], None, None, 3), ("d", 8, ["locality_id"], 0, None, None)],
+                                "seq string, listing_id long, set_cols array<string>, locality_id long, agent_id long, "
+                                "furnish_id smallint")
+    new, rej = C.update_listings(tables.listings, upd, TS, localities=tables.localities, agents=tables.agents)
+    assert {r.seq: r.reasons for r in rej.collect()} == {
+        "a": ["locality_unknown"], "b": ["agent_unknown"], "c": ["furnish_id_domain"]}
+    assert new.where("listing_id = 8").first().locality_id == 0

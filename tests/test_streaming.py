@@ -21,19 +21,89 @@ def test_incremental_trends_equal_full_recompute(spark, tables):
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
 
 
-def test_change_feed_replay_does_not_apply_twice(spark, tables):
+def _run(spark, tables, changes, files, per_trigger, trends=False, key="coalesce(listing_id, hash(prop_id))"):
     root = scratch_path(spark, "feed-test")
-    B.feed_changes(spark, SF_SMALL).repartition(2).write.parquet(f"{root}/in")
+    changes.repartition(files, F.expr(key)).sortWithinPartitions("seq").write.parquet(f"{root}/in")
     CF.init_state(tables.listings, f"{root}/state")
-    CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/ck", tables.cities, tables.localities, TS)
-    first = sorted(CF.read_state(spark, f"{root}/state").select("prop_id", "price_inr").collect())
-    n_versions = len(CF.committed_versions(spark, f"{root}/state"))
-    # same checkpoint: nothing new to read, nothing re-applied
-    CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/ck", tables.cities, tables.localities, TS)
-    assert len(CF.committed_versions(spark, f"{root}/state")) == n_versions
-    assert sorted(CF.read_state(spark, f"{root}/state").select("prop_id", "price_inr").collect()) == first
-    # batch apply of the same changes gives the same table
-    batch, _ = CF.apply_changes(tables.listings, B.feed_changes(spark, SF_SMALL), tables.cities,
-                                tables.localities, TS)
-    assert sorted(batch.select("prop_id", "price_inr").collect()) == first
-    assert CF.read_state(spark, f"{root}/state").where(F.col("prop_id").startswith("S")).count() > 0
+    if trends:
+        INC.init_partials(tables.listings, tables.cities, f"{root}/trends")
+    CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/ck", tables.cities, tables.localities, TS,
+                       max_files_per_trigger=per_trigger, trends_dir=f"{root}/trends" if trends else None)
+    return root
+
+
+COLS = ["prop_id", "price_inr", "verified", "is_active"]
+
+
+def test_change_feed_replay_new_checkpoint_and_compaction(spark, tables):
+    changes = B.feed_changes(spark, SF_SMALL)
+    root = _run(spark, tables, changes, 2, 1, key="seq div 10")
+    state = f"{root}/state"
+    first = sorted(CF.read_state(spark, state).select(COLS).collect())
+    versions = CF.committed_versions(spark, state)
+    args = (tables.cities, tables.localities, TS)
+    CF.run_change_feed(spark, f"{root}/in", state, f"{root}/ck", *args)  # same checkpoint: nothing new
+    assert CF.committed_versions(spark, state) == versions
+    # replay of a committed batch: the manifest knows it
+    batch, rejects = CF.apply_changes(tables.listings, changes, *args)
+    assert sorted(batch.select(COLS).collect()) == first
+    CF.compact(spark, state)
+    assert CF.manifest(spark, state)["deltas"] == []
+    assert sorted(CF.read_state(spark, state).select(COLS).collect()) == first
+    # a new checkpoint over an old state does not skip its first batches
+    more = scratch_path(spark, "feed-more")
+    spark.createDataFrame([("update", 1, ["price_inr"], 5, 77)], "op string, seq long, set_cols array<string>, "
+                          "listing_id long, price_inr long").selectExpr(
+        "op", "seq", "set_cols", "listing_id", "CAST(price_inr AS decimal(18,2)) AS price_inr").write.parquet(f"{more}/in")
+    listing = CF.read_state(spark, state).where("listing_id = 5")
+    assert listing.count() == 1
+    CF.run_change_feed(spark, f"{more}/in", state, f"{more}/ck", *args)
+    assert CF.read_state(spark, state).where("listing_id = 5").first().price_inr == 77
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame(rows, "op string, seq long, set_cols array<string>, listing_id long, prop_id string, "
+                                 "price long, verified boolean, city_id long").selectExpr(
+        "op", "seq", "set_cols", "listing_id", "prop_id", "CAST(price AS decimal(18,2)) AS price_inr", "verified", "city_id")
+
+
+def test_changes_of_one_key_fold_in_order_for_any_batching(spark, tables):
+    rows = [
+        ("update", 1, ["price_inr"], 5, None, 111, None, None), ("update", 2, ["verified"], 5, None, None, True, None),
+        ("delete", 3, None, 6, None, None, None, None), ("update", 4, ["price_inr"], 6, None, 5, None, None),
+        ("update", 5, ["price_inr"], 7, None, 222, None, None), ("update", 6, ["price_inr"], 7, None, -1, None, None),
+        ("create", 7, None, None, "NEW-1", 10, None, 0), ("create", 8, None, None, "NEW-1", 20, None, 0),
+        ("create", 9, None, None, None, 10, None, 0), ("create", 10, None, None, None, 10, None, 0),
+        ("upsert", 11, None, 8, None, 10, None, 0), ("delete", 12, None, 999999999, None, None, None, None),
+    ]
+    got = {}
+    for files, per in ((1, 1), (4, 1), (4, 4)):
+        root = _run(spark, tables, _changes(spark, rows), files, per)
+        state = CF.read_state(spark, f"{root}/state")
+        l5, l7 = (state.where(f"listing_id = {i}").first() for i in (5, 7))
+        assert (l5.price_inr, l5.verified, l7.price_inr) == (111, True, 222)
+        assert state.where("listing_id = 6").count() == 0
+        assert [r.price_inr for r in state.where("prop_id = 'NEW-1'").collect()] == [10]
+        assert state.count() == tables.listings.count()  # one gone, one new
+        got[files, per] = {r.seq: r.reasons for r in CF.read_rejects(spark, f"{root}/state").collect()}
+    assert got[1, 1] == got[4, 1] == got[4, 4] == {
+        4: ["not_found"], 6: ["price_inr_positive"], 8: ["prop_id_exists"], 9: ["prop_id_length"],
+        10: ["prop_id_length"], 11: ["unknown_op"], 12: ["not_found"]}
+
+
+def test_create_may_use_the_prop_id_of_a_deleted_listing(spark, tables):
+    prop = tables.listings.where("listing_id = 6").first().prop_id
+    prop = prop if len(prop) >= 3 else tables.listings.where("listing_id = 100").first().prop_id
+    lid = int(prop[1:])
+    rows = [("create", 1, None, None, prop, 10, None, 0), ("delete", 2, None, lid, None, None, None, None),
+            ("create", 3, None, None, prop, 30, None, 0)]
+    new, rej = CF.apply_changes(tables.listings, _changes(spark, rows), tables.cities, tables.localities, TS)
+    assert [r.price_inr for r in new.where(F.col("prop_id") == prop).collect()] == [30]
+    assert {r.seq: r.reasons for r in rej.collect()} == {1: ["prop_id_exists"]}
+
+
+def test_trends_follow_a_mixed_feed(spark, tables):
+    root = _run(spark, tables, B.feed_changes(spark, SF_SMALL), 3, 1, trends=True, key="seq div 10")
+    got = INC.finalize(INC.read_partials(spark, f"{root}/trends"))
+    want = V.mv_price_trends(tables.with_tables(listings=CF.read_state(spark, f"{root}/state")))
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
