@@ -18,8 +18,8 @@ part AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
 OP4 = f"""
 WITH RECURSIVE vec AS (
     SELECT vec_id, embedding::DOUBLE[] AS e,
-           coalesce(len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                    AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS ok
+           coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
     FROM embeddings
 ),
 node AS (SELECT vec_id AS id FROM vec),
