@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, mix, shingle_hashes, utf8, word_hashes, words, written
+from propcube.llm.common import by_bytes, mix, shingle_hashes, ship, utf8, word_hashes, words, written
 from propcube.llm.components import components
 
-BINS = 1 << 16  # of the histogram of shingles
+BIN_BITS = 18
+BINS = 1 << BIN_BITS  # of the histogram of shingles
+STEPS = 8  # levels of the order in each doubling of a bin's count
 KEYS, PER_KEY = 8, 2  # min-hash keys of the first components, hashes in each
 MAX_BITS = 1 << 15  # a bitmap's size; a smaller one only loosens the bound
 PART = 1000  # candidates of one id that are checked together
@@ -71,11 +73,12 @@ def texts_of(batches: Iterator[pa.RecordBatch], k: int, step: int = 1 << 21):
 
 
 def levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Of each bin of shingles: how many times (log2) it holds the mean."""
+    """Of each bin of shingles: how far above the mean it is, in STEPS to each
+    doubling. A passage that many documents share lifts its bins."""
     def count(batches):
         seen = np.zeros(BINS, np.int64)
         for _, _, sets in texts_of(batches, k):
-            seen += np.bincount((np.concatenate(sets) >> np.uint64(48)).astype(np.int64), minlength=BINS)
+            seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=BINS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bin", "n"])
 
@@ -83,7 +86,7 @@ def levels(docs: DataFrame, k: int) -> np.ndarray:
     seen = np.zeros(BINS)  # BINS rows at most came to the driver
     for r in rows:
         seen[r["bin"]] = r["n"]
-    return np.log2(np.maximum(1, seen / max(8.0, seen.mean()))).astype(np.uint8)
+    return np.minimum(255, STEPS * np.log2(np.maximum(1, seen / max(8.0, seen.mean())))).astype(np.uint8)
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -115,7 +118,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys.append(mix(least[:, 0] + mix(least[:, 1] + _SEEDS[:KEYS])).view(np.int64))
                 bits.append(bitmap(s))
                 size = len(s) - -(-percent * len(s) // 100) + 1
-                late = level[(s >> np.uint64(48)).astype(np.int64)]
+                late = level[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
                 first = np.argsort(late, kind="stable")[:size] if late.any() else slice(size)
                 prefix.append(s[first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -213,20 +216,26 @@ def check(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent:
 
 def prefix_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a tile.
-    ``tiles``: (token, id, n, comp, alone)."""
-    alone = tiles.where("alone").select("token", "id", "n")
-    others = tiles.where("NOT alone").select("token", "id", "n", "comp")
-    right = alone.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"))
-    pairs = alone.join(right, "token").where((F.col("id") < F.col("id2")) & fits("n", "n2", percent))
-    mixed = others.select("token", "id", "n").join(right, "token").where(fits("n", "n2", percent))
+    ``tiles``: (token, pos, id, n, comp, alone), pos being the token's place in
+    the order of its set. Of a linked pair, the first common token leaves
+    enough places behind it on both sides for the overlap that a link needs."""
+    near = fits("n", "n2", percent) & (
+        F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (100 + percent)
+        >= percent * (F.col("n") + F.col("n2")))
+    alone = tiles.where("alone").select("token", "pos", "id", "n")
+    others = tiles.where("NOT alone").select("token", "pos", "id", "n", "comp")
+    right = alone.select("token", F.col("pos").alias("pos2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
+    pairs = alone.join(right, "token").where((F.col("id") < F.col("id2")) & near)
+    mixed = others.select("token", "pos", "id", "n").join(right, "token").where(near)
     # components of several members meet once per tile; only pairs of them that fit are spread to members
     groups = others.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     g2 = groups.select("token", *[F.col(c).alias(c + "2") for c in ("comp", "lo", "hi")])
     met = groups.join(g2, "token").where(
         (F.col("comp") < F.col("comp2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
         & (100 * F.col("hi") >= percent * F.col("lo2"))).select("token", "comp", "comp2")
-    o2 = others.select("token", F.col("comp").alias("comp2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
-    across = met.join(others, ["token", "comp"]).join(o2, ["token", "comp2"]).where(fits("n", "n2", percent))
+    o2 = others.select("token", F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("id").alias("id2"),
+                       F.col("n").alias("n2"))
+    across = met.join(others, ["token", "comp"]).join(o2, ["token", "comp2"]).where(near)
     both = [p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
             for p in (pairs, mixed, across)]
     return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
@@ -235,6 +244,7 @@ def prefix_pairs(tiles: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sketch = written(sketches(docs, k, percent), "sketch")
     some = sketch.where("n > 0 AND id IS NOT NULL")
@@ -255,7 +265,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     member = reps.distinct().join(comps, "id", "left").select(
         "id", F.coalesce("component", "id").alias("comp"), F.col("component").isNull().alias("alone"))
     tiles = some.select("id", "n", "prefix").join(member, "id").select(
-        F.explode("prefix").alias("token"), "id", "n", "comp", "alone")
+        F.posexplode("prefix").alias("pos", "token"), "id", "n", "comp", "alone")
     more = written(check(prefix_pairs(tiles, percent), some, known, k, percent), "links")
     if more.limit(1).count():
         comps = written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
