@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, crc_of, utf8
+from propcube.llm.common import by_bytes, crc_of, ship, utf8
 
 WIDTH, STRIDE, BLOCK = 8, 4, 128  # bytes of a filter, between its places, and of a block
 CHUNK_BLOCKS, CHUNK_STEP = 4, 3  # a chunk is 4 blocks; chunks start 3 blocks apart
@@ -58,7 +58,8 @@ def padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Texts laid out from block to block, zero bytes behind each, and the
     number of blocks of each text (one at least)."""
     size = np.diff(offsets)
-    blocks = np.maximum(1, -(-(size + WIDTH - STRIDE) // BLOCK))
+    # as many zero bytes as the longest lag, so that no text meets its neighbour
+    blocks = np.maximum(1, -(-(size + LAGS[-1]) // BLOCK))
     at = np.concatenate([[0], np.cumsum(blocks)]) * BLOCK
     grid = np.zeros(int(at[-1]), np.uint8)
     for i, n in enumerate(size):
@@ -93,7 +94,10 @@ def chunk_blocks(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def features(model: Model, grid: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per chunk: pooled responses, then self-similarity (mean and greatest)."""
-    per = model.responses(grid).reshape(-1, BLOCK // STRIDE, FILTERS).max(axis=1)
+    per = model.responses(grid).reshape(-1, BLOCK // STRIDE, FILTERS)
+    last = np.cumsum(blocks) - 1  # the last place of a text's last block reaches into the next text
+    per[last, -1] = per[last, -2]
+    per = per.max(axis=1)
     same = self_similarity(grid)
     member, first = chunk_blocks(blocks)
     pooled = np.maximum(per[member].max(axis=1) + model.bias, 0)
@@ -155,6 +159,8 @@ def train(texts: list[str], labels: list[int], priors: tuple[float, float],
     doc = np.repeat(np.arange(len(blocks)), np.diff(first))
     wide = np.concatenate([grid, np.zeros(WIDTH, np.uint8)])
     inside = np.arange(0, BLOCK, STRIDE)
+    ends = np.zeros(int(blocks.sum()), bool)
+    ends[np.cumsum(blocks) - 1] = True
     kinds = [np.flatnonzero(y[doc] == k) for k in (0, 1)]
     state = {k: [np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))]
              for k in ("tables", "bias", "chunk_w")}
@@ -163,6 +169,7 @@ def train(texts: list[str], labels: list[int], priors: tuple[float, float],
         at = (member[pick][:, :, None] * BLOCK + inside).reshape(len(pick), -1)
         bytes_at = wide[at[:, :, None] + np.arange(WIDTH)]
         acc = sum(model.tables[j][bytes_at[:, :, j]] for j in range(WIDTH))
+        acc.reshape(len(pick), CHUNK_BLOCKS, len(inside), FILTERS)[ends[member[pick]], -1] = -np.inf
         top = acc.argmax(axis=1)
         pre = np.take_along_axis(acc, top[:, None, :], 1)[:, 0] + model.bias
         near = same[member[pick]]
@@ -211,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500
 
 def scorer(spark, model: Model):
     """Column function: text -> probability of label 1."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
