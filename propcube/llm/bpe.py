@@ -29,6 +29,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propcube.llm.common import ship
+
 CACHE = 300_000
 NO_RANK = 1 << 60
 
@@ -147,6 +149,7 @@ RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encoder(spark, path: str):
     """Column function: text -> (n_tokens, ids_sha256, decoded_sha256). The
     description file goes to the executors with the job's files."""
+    ship(spark)
     spark.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[-1]
 
@@ -175,6 +178,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>): the ids themselves."""
     spark = docs.sparkSession
+    ship(spark)
     spark.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[-1]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, crc_of, range_hasher, utf8, words
+from propcube.llm.common import by_bytes, crc_of, range_hasher, ship, utf8, words
 
 TABLE = 1 << 17
 PREFIXES, SUFFIXES = (2, 3, 5), (2, 3, 4, 6)  # bytes
@@ -238,6 +238,7 @@ def _doc_result(model: Crf, text: pa.Array) -> pa.Array:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnable()))
 
     @F.arrow_udf("lang_pred string, score double")
@@ -254,6 +255,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def label_words(docs: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, word_langs): the most probable language of each word."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<string>")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import written
+from propcube.llm.common import ship, written
 from propcube.llm.components import components
 
 SAMPLE, ROUNDS = 4096, 30
@@ -162,6 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                     vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row of ``vectors``."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = (F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~odd

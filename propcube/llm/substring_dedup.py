@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, mix, shingle_hashes, utf8, word_hashes, written
+from propcube.llm.common import by_bytes, mix, shingle_hashes, ship, utf8, word_hashes, written
 from propcube.llm.jaccard_join import sifted
 
 WINDOW, MINIMISER = 13, 3
@@ -268,6 +268,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      with_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row, and the kept text
     itself (words joined by a space) if asked for."""
+    ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
                        F.coalesce(text_col, F.lit("")).alias("text"))
     found = written(removals(docs), "removals")
