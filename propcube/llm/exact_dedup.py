@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.sha2("__norm", 256)
     rows = exact_groups(docs, id_col, text_col).select(
         "__id", "__points", "__more",
-        (full if digest_all else F.when("__more", full)).alias("__full"))
+        (full if digest_all else F.when(F.col("__more"), full)).alias("__full"))
     rows = written(rows, "dedup-rows")
     best = (rows.where("__more").groupBy("__full")
             .agg(F.min(F.struct((-F.col("__points")).alias("p"), F.col("__id").isNull().alias("n"),

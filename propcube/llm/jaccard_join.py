@@ -64,7 +64,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], k: int, step: int = 1 << 21):
+def texts_of(batches: Iterator[pa.RecordBatch], k: int, step: int = 1 << 20):
     """(row batch, first row, sets) piece by piece."""
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
@@ -114,7 +114,8 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 mixed = mix(s)
                 sums.append(int(np.add.reduce(mixed)) - (1 << 63))
                 xors.append(int(np.bitwise_xor.reduce(mix(mixed))) - (1 << 63))
-                least = mix(s[:, None] ^ _SEEDS).min(axis=0).reshape(KEYS, PER_KEY)
+                least = np.min([mix(s[i:i + 8192, None] ^ _SEEDS).min(axis=0) for i in range(0, len(s), 8192)],
+                               axis=0).reshape(KEYS, PER_KEY)
                 keys.append(mix(least[:, 0] + mix(least[:, 1] + _SEEDS[:KEYS])).view(np.int64))
                 bits.append(bitmap(s))
                 size = len(s) - -(-percent * len(s) // 100) + 1
