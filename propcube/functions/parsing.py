@@ -34,52 +34,6 @@ def to_double(c: str | Column) -> Column:
     return F.when(s.rlike(NUMERIC), s.try_cast("double"))
 
 
-# -- ING1 ---------------------------------------------------------------------
-
-def _price_simple(s: Column) -> Column:
-    """One price term (no range): suffix, unit, separators, float."""
-    s = pystrip(F.regexp_replace(s, r"/Bed(room)?.*", ""))
-    is_cr = s.contains("Cr")
-    is_l = s.contains(" L") | s.endswith("L")
-    body = (F.when(is_cr, pystrip(F.replace(s, F.lit("Cr"), F.lit(""))))
-             .when(is_l, pystrip(F.regexp_replace(s, r"\s*L\s*", "")))
-             .otherwise(s))
-    body = pystrip(F.replace(F.replace(body, F.lit(","), F.lit("")), F.lit("Onwards"), F.lit("")))
-    mult = F.when(is_cr, F.lit(1e7)).when(is_l, F.lit(1e5)).otherwise(F.lit(1.0))
-    return to_double(body) * mult
-
-
-def _missing(s: Column) -> Column:
-    t = F.lower(pystrip(s))
-    return s.isNull() | t.isin("", "price on request", "nan")
-
-
-def _price_term(s: Column) -> Column:
-    return F.when(~_missing(s), _price_simple(s))
-
-
-def parse_price(c: str | Column) -> Column:
-    """ING1: '2.63 Cr' -> 26300000.0, '69.25 L' -> 6925000.0, '85,000' -> 85000.0.
-
-    A range 'a - b' parses both halves separately (the unit is not shared)
-    and averages them when both are non-zero, else takes the first non-zero
-    (``p1 or p2``). Missing / on-request / unparseable -> NULL.
-    """
-    raw = col(c)
-    s = pystrip(raw)
-    parts = F.split(s, " - ")
-    p1 = _price_term(pystrip(F.get(parts, 0)))
-    p2 = _price_term(pystrip(F.get(parts, 1)))
-    truthy1 = p1.isNotNull() & (p1 != 0)
-    truthy2 = p2.isNotNull() & (p2 != 0)
-    ranged = (F.when(truthy1 & truthy2, (p1 + p2) / 2)
-               .when(truthy1, p1)
-               .otherwise(p2))
-    return (F.when(_missing(raw), F.lit(None).cast("double"))
-             .when(s.contains(" - "), ranged)
-             .otherwise(_price_simple(s)))
-
-
 # -- ING2 ---------------------------------------------------------------------
 
 DATE_FORMATS = ("d MMM, yyyy", "yyyy-M-d", "d/M/yyyy")
@@ -95,14 +49,6 @@ def _parse_clean_date(s: Column) -> Column:
                         for fmt, shape in zip(DATE_FORMATS, DATE_SHAPES)])
 
 
-def parse_date(c: str | Column) -> Column:
-    """ING2: ordinal suffixes dropped, first matching format wins, whole
-    string must match, invalid calendar dates -> NULL."""
-    s = F.regexp_replace(pystrip(col(c)), r"(\d+)(st|nd|rd|th)", "$1")
-    s = F.regexp_replace(s, r"(?U)\s+", " ")
-    return _parse_clean_date(s)
-
-
 def synth_register_date(prop_id: str | Column, start: str = S.SYNTH_DATE_START,
                         days: int = S.SYNTH_DATE_DAYS) -> Column:
     """ING9: deterministic stand-in date, uniform over the window, from a
@@ -126,30 +72,6 @@ def _pyliteral_to_json(c: str | Column) -> Column:
     return F.regexp_replace(s, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
 
 
-def parse_location(c: str | Column) -> Column:
-    """ING3: dict literal -> struct(locality_name, building_id_raw,
-    building_name, society_name) with the source defaults ('', '0', '', '')
-    for absent keys or an unparseable literal. Locality name is stripped."""
-    j = F.from_json(_pyliteral_to_json(c), _LOC_SCHEMA, _JSON_OPTS)
-    return F.struct(
-        pystrip(F.coalesce(j["LOCALITY_NAME"], F.lit(""))).alias("locality_name"),
-        F.coalesce(j["BUILDING_ID"], F.lit("0")).alias("building_id_raw"),
-        F.coalesce(j["BUILDING_NAME"], F.lit("")).alias("building_name"),
-        F.coalesce(j["SOCIETY_NAME"], F.lit("")).alias("society_name"),
-    )
-
-
-def parse_map_details(c: str | Column) -> Column:
-    """ING4: struct(latitude, longitude) as decimal(10,7); absent, empty,
-    zero or unparseable -> NULL."""
-    j = F.from_json(_pyliteral_to_json(c), _MAP_SCHEMA, _JSON_OPTS)
-
-    def one(v: Column) -> Column:
-        d = to_double(v)
-        return F.when(d.isNotNull() & (d != 0), pystrip(v).try_cast(S.GEO))
-    return F.struct(one(j["LATITUDE"]).alias("latitude"), one(j["LONGITUDE"]).alias("longitude"))
-
-
 # -- ING5 / ING6 / ING10 / ING11 / ING12 -----------------------------------------
 
 def to_smallint(c: str | Column) -> Column:
@@ -193,16 +115,20 @@ def verified_flag(c: str | Column | None) -> Column:
     return F.coalesce(pystrip(c).isin("1", "1.0", "Y", "Yes", "True", "TRUE", "true"), F.lit(False))
 
 
-# -- staged (frame-level) forms ---------------------------------------------------
-# The Column forms above inline each sub-expression wherever it is used; in
-# a wide projection that multiplies code size past the JVM's 64 KB method
-# limit and whole-stage codegen falls back to interpretation. The staged
-# forms compute every intermediate once, as its own projected column
-# (CollapseProject keeps non-cheap, multiply-referenced columns separate),
-# and drop the temporaries at the end.
+# -- ING1-ING4 on frames ----------------------------------------------------------
+# These parsers need many intermediate values. Each is computed once, as its
+# own projected column (CollapseProject keeps non-cheap, multiply-referenced
+# columns separate), and the temporaries are dropped at the end; inlined into
+# one expression they would outgrow the JVM's method limit.
 
 def with_price(df: DataFrame, src: str, out: str) -> DataFrame:
-    """``df`` + ``out`` = parse_price(``src``), in six projection levels."""
+    """ING1, ``df`` + ``out``: '2.63 Cr' -> 26300000.0, '69.25 L' -> 6925000.0,
+    '85,000' -> 85000.0, in six projection levels.
+
+    A range 'a - b' parses both halves separately (the unit is not shared)
+    and averages them when both are non-zero, else takes the first non-zero
+    one. Missing / on-request / unparseable -> NULL.
+    """
     t = f"__{out}"
     keep = [F.col(f"`{c}`") for c in df.columns]
     parts = F.split(pystrip(F.col(src)), " - ")
@@ -241,7 +167,8 @@ def with_price(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def with_date(df: DataFrame, src: str, out: str) -> DataFrame:
-    """``df`` + ``out`` = parse_date(``src``), the cleaned text computed once."""
+    """ING2, ``df`` + ``out``: ordinal suffixes dropped, first matching format
+    wins, whole string must match, invalid calendar dates -> NULL."""
     t = f"__{out}_clean"
     keep = [F.col(f"`{c}`") for c in df.columns]
     s = F.regexp_replace(pystrip(F.col(src)), r"(\d+)(st|nd|rd|th)", "$1")
@@ -250,8 +177,10 @@ def with_date(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def with_literals(df: DataFrame, loc_src: str, map_src: str) -> DataFrame:
-    """ING3 + ING4 on a frame: adds locality_name, building_id_raw,
-    building_name, society_name, latitude, longitude.
+    """ING3 + ING4 on a frame: adds locality_name (stripped), building_id_raw,
+    building_name, society_name with the defaults '', '0', '', '' for absent
+    keys or an unparseable literal, and latitude, longitude as decimal(10,7)
+    (absent, empty, zero or unparseable -> NULL).
 
     Each literal is parsed once per row: the two from_json structs are
     expanded by ``inline`` (a Generate node, which projections cannot be

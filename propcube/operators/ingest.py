@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import logging
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,11 @@ def read_city_csvs(spark: SparkSession, data_dir: str,
                    city_files: dict[str, str] = S.CITY_FILES) -> dict[str, DataFrame]:
     """One all-string DataFrame per configured city file that exists.
 
-    Missing files are skipped with a warning; none at all is an error. Row
-    order within a file is kept as ``row_id`` (monotonic ids follow file
-    splits in order on a fresh scan).
+    Missing files are skipped with a warning; none at all is an error.
+    ``row_id`` follows the rows' order: a city's part files by name, then the
+    place in the file (texts may hold line breaks, so a file is read by one
+    task; large cities come as many part files). A task reads each file in one
+    go, so the position within the task orders the rows of a file.
     """
     out: dict[str, DataFrame] = {}
     for city, fname in city_files.items():
@@ -51,7 +54,10 @@ def read_city_csvs(spark: SparkSession, data_dir: str,
             continue
         df = (spark.read.option("header", True).option("multiLine", True)
               .option("escape", '"').option("inferSchema", False).csv(path))
-        out[city] = df.withColumn("row_id", F.monotonically_increasing_id())
+        names = sorted(unquote(f).rsplit("/", 1)[-1] for f in df.inputFiles())
+        at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_metadata.file_name"))
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        out[city] = df.withColumn("row_id", F.shiftleft(at, 33) + place)
     if not out:
         raise FileNotFoundError(f"no city files found under {data_dir}")
     return out

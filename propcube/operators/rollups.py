@@ -55,7 +55,8 @@ def property_share(t: Tables, **filters) -> DataFrame:
         F.sum(F.when(F.col("avg_price_sqft") != 0, X.units("avg_price_sqft", 2))).alias("_u"),
         F.count(F.when(F.col("avg_price_sqft") != 0, F.lit(1))).alias("_n"),
     )
-    total = pd_.select(F.sum("listing_count")).scalar()
+    # one row per property type: the grand total comes from these rows
+    total = F.sum("listing_count").over(Window.partitionBy())
     share = X.exact_round_div(F.col("listing_count").cast("decimal(38,0)") * 1000, total)
     return (g.select(
         "property_type", "listing_count",

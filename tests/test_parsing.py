@@ -32,13 +32,7 @@ def _one(spark, values, fn, typ="string"):
     return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
 
 
-def test_parse_price_column_form(spark):
-    got = _one(spark, [p for p, _ in PRICES], P.parse_price)
-    for (raw, want), g in zip(PRICES, got):
-        assert g == pytest.approx(want) if want is not None else g is None, raw
-
-
-def test_parse_price_staged_form_matches(spark):
+def test_parse_price(spark):
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PRICES)], "i int, v string")
     got = [r[0] for r in P.with_price(df, "v", "out").orderBy("i").select("out").collect()]
     for (raw, want), g in zip(PRICES, got):
@@ -59,20 +53,23 @@ DATES = [
 
 
 def test_parse_date(spark):
-    got = _one(spark, [d for d, _ in DATES], P.parse_date)
-    assert got == [w for _, w in DATES]
     df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(DATES)], "i int, v string")
     staged = [r[0] for r in P.with_date(df, "v", "out").orderBy("i").select("out").collect()]
     assert staged == [w for _, w in DATES]
 
 
+def _literals(spark, locations, maps):
+    df = spark.createDataFrame(list(zip(range(len(locations)), locations, maps)), "i int, loc string, map string")
+    return P.with_literals(df, "loc", "map").orderBy("i").collect()
+
+
 def test_parse_location(spark):
     vals = ["{'LOCALITY_NAME': 'Sector 5', 'BUILDING_ID': 12}",
             "{'LOCALITY_NAME': \"King's Rd\"}",
             "{'LOCALITY_NAME': ' A ', 'BUILDING_ID': None, 'VERIFIED': True}",
             "{'LOCALITY_NAME': 'A\\xa0East'}",
             "garbage", None]
-    got = _one(spark, vals, P.parse_location)
+    got = _literals(spark, vals, [None] * len(vals))
     assert (got[0].locality_name, got[0].building_id_raw) == ("Sector 5", "12")
     assert got[1].locality_name == "King's Rd"
     assert (got[2].locality_name, got[2].building_id_raw) == ("A", "0")
@@ -83,7 +80,7 @@ def test_parse_location(spark):
 
 def test_map_details_truthiness(spark):
     vals = ["{'LATITUDE': '28.4512345678', 'LONGITUDE': 77.02}", "{'LATITUDE': 0, 'LONGITUDE': ''}"]
-    got = _one(spark, vals, P.parse_map_details)
+    got = _literals(spark, [None] * len(vals), vals)
     assert got[0].latitude == Decimal("28.4512346") and got[0].longitude == Decimal("77.0200000")
     assert got[1].latitude is None and got[1].longitude is None
 

@@ -25,3 +25,19 @@ def test_read_city_csvs_all_missing_is_an_error(spark):
     root = scratch_path(spark, "csv-none")
     with pytest.raises(FileNotFoundError):
         I.read_city_csvs(spark, root, {"Nowhere": "none.csv"})
+
+
+def test_rows_of_several_part_files_keep_their_order(spark):
+    root = scratch_path(spark, "csv-order")
+    rows = [(f"P{i:05d}", "line\nbreak") for i in range(3000)]
+    spark.createDataFrame(rows, "PROP_ID string, DESCRIPTION string").repartitionByRange(7, "PROP_ID") \
+        .sortWithinPartitions("PROP_ID").write.option("header", True).option("escape", '"').csv(f"{root}/one.csv")
+    got = I.read_city_csvs(spark, root, {"One": "one.csv"})["One"].orderBy("row_id").collect()
+    assert [r.PROP_ID for r in got] == [p for p, _ in rows]
+    assert len({r.row_id for r in got}) == len(rows)
+
+
+def test_keep_first_dedup_within_one_city(spark):
+    df = spark.createDataFrame([("A", 0, 5, 1.0), ("A", 0, 2, 2.0), ("A", 1, 0, 3.0), ("B", 1, 9, 4.0)],
+                               "prop_id string, source_rank int, row_id long, price_inr double")
+    assert sorted((r.prop_id, r.price_inr) for r in I.dedup_first(df).collect()) == [("A", 2.0), ("B", 4.0)]
