@@ -126,11 +126,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base^0 ... base^(n-1); tables of up to 2^20 entries are kept."""
+    known = _POWERS.get(int(base))
+    if known is not None and len(known) >= n:
+        return known[:n]
+    out = np.full(n if n > 1 << 20 else 1 << 20, base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if len(out) == 1 << 20:
+        _POWERS[int(base)] = out
+    return out[:n]
 
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -146,8 +155,11 @@ def range_hasher(raw: np.ndarray):
     hash alike wherever they stand.
     """
     n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_SPREAD[raw] * _powers(n, _BASE), out=total[1:])
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.take(_SPREAD, raw, out=total[1:])
+    total[1:] *= _powers(n, _BASE)
+    np.cumsum(total[1:], out=total[1:])
     back = _powers(n + 1, _INVERSE)
 
     def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

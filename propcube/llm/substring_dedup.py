@@ -7,9 +7,11 @@ There the windows of all strings are sorted by a 128-bit hash of their words,
 which shows the least document of each distinct window; words covered by a
 window that a document with a smaller id has too are removed.
 
-Minimisers are counted first, in a bounded histogram. Bins with more strings
-than an average partition (one common passage, or many copies of one text) are
-not sent to one bucket: their windows are grouped one by one by hash, minima
+Minimisers are counted first, in a bounded histogram; it gives the number of
+buckets (of BUCKET strings each on average; a bucket holds whole minimisers).
+The strings that a task has for a bucket are compressed together. Bins far
+above the mean (one common passage, or many copies of one text) are not sent
+to buckets: their windows are grouped one by one by hash, minima
 combined in the map tasks, and the rows to remove found by a join that Spark
 can split. Both ways find the same windows.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ from propcube.llm.jaccard_join import sifted
 WINDOW, MINIMISER = 13, 3
 BINS = 1 << 16
 LONGEST = 4096  # windows in one string
+BUCKET = 1 << 14  # strings in a bucket, on average
+GATHER = 8 << 20  # bytes of text whose strings are compressed together
 NO_ID = (1 << 63) - 1
 
 
@@ -81,7 +86,7 @@ def super_kmers(word: np.ndarray, counts: np.ndarray):
     return mix(least[w]), doc[w], w, w - first[doc[w]], size
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1 << 20):
+def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1 << 19):
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -106,25 +111,59 @@ def bin_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def packed(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Strings for the buckets: (key, id, start, words)."""
+def _block(parts: list[tuple[np.ndarray, np.ndarray, bytes]]) -> bytes:
+    """One bucket's strings: number, ids, starts, and the strings, a line feed
+    behind each."""
+    ids = np.concatenate([p[0] for p in parts]).astype("<i8")
+    starts = np.concatenate([p[1] for p in parts]).astype("<i4")
+    data = len(ids).to_bytes(4, "little") + ids.tobytes() + starts.tobytes() + b"".join(p[2] for p in parts)
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = int.from_bytes(data[:4], "little")
+    ids = np.frombuffer(data, "<i8", n, 4)
+    return ids, np.frombuffer(data, "<i4", n, 4 + 8 * n), np.frombuffer(data, np.uint8, offset=4 + 12 * n)
+
+
+def packed(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, block): the strings that a task has for a bucket."""
     skip = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def pack(batches):
-        for ids, buf, ws, we, _, (key, doc, w, start, size) in pieces_of(batches):
-            use = ~skip.value[(key >> np.uint64(48)).astype(np.int64)]
-            key, doc, w, start, size = key[use], doc[use], w[use], start[use], size[use]
-            lo, hi = ws[w], we[w + size + WINDOW - 2]
-            length = hi - lo
+        held: dict[int, list] = {}
+        size = 0
+
+        def out():
+            names = sorted(held)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(
+                [_block(held[k]) for k in names], pa.binary())], ["bucket", "block"])
+
+        for ids, buf, ws, we, _, (key, doc, w, start, n) in pieces_of(batches):
+            use = np.flatnonzero(~skip.value[(key >> np.uint64(48)).astype(np.int64)])
+            bucket = (key[use] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            use, bucket = use[order], bucket[order]
+            w, n, own, start = w[use], n[use], ids[doc[use]], start[use]
+            lo = ws[w]
+            length = we[w + n + WINDOW - 2] - lo + 1  # with the space or line feed behind
             at = np.concatenate([[0], np.cumsum(length)])
             data = buf[np.repeat(lo - at[:-1], length) + np.arange(at[-1])]
-            strings = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(at.astype(np.int32)),
-                                                                  pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(start.astype(np.int32)),
-                 strings], ["key", "id", "start", "words"])
-
-    return docs.mapInArrow(pack, "key long, id long, start int, words binary")
+            data[at[1:] - 1] = 0x0A
+            data = data.tobytes()
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist()):
+                held.setdefault(int(bucket[a]), []).append((own[a:b], start[a:b], data[at[a]:at[b]]))
+            size += len(buf)
+            if size >= GATHER:
+                yield out()
+                held.clear()
+                size = 0
+        if held:
+            yield out()
+
+    return docs.mapInArrow(pack, "bucket long, block binary")
 
 
 def window_hashes(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +171,12 @@ def window_hashes(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(word, WINDOW), shingle_hashes(mix(word ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
 
 
-def repeated(ids: np.ndarray, starts: np.ndarray, strings: pa.Array):
-    """(id, first word, end) of the words to remove, from complete buckets."""
-    raw, offsets = utf8(strings)
-    # a string's words are separated by one space; a line feed between strings
-    buf = np.empty(len(raw) + len(ids), np.uint8)
-    ends_at = offsets[1:] + np.arange(len(ids))
-    solid = np.ones(len(buf), bool)
-    solid[ends_at] = False
-    buf[solid] = raw
-    buf[ends_at] = 0x0A
+def repeated(ids: np.ndarray, starts: np.ndarray, buf: np.ndarray):
+    """(id, first word, end) of the words to remove, from a complete bucket:
+    strings with a line feed behind each in ``buf``."""
     gaps = np.flatnonzero((buf == 0x20) | (buf == 0x0A))
     ws = np.concatenate([[0], gaps[:-1] + 1])
-    last = np.searchsorted(gaps, ends_at) + 1  # words up to each string's end
+    last = np.flatnonzero(buf[gaps] == 0x0A) + 1  # words up to each string's end
     h1, h2 = window_hashes(word_hashes(buf, ws, gaps))
     size = np.diff(np.concatenate([[0], last])) - WINDOW + 1
     row = np.repeat(np.arange(len(ids)), size)
@@ -172,27 +204,22 @@ def repeated(ids: np.ndarray, starts: np.ndarray, strings: pa.Array):
     return ids[row[lo]], starts[row[lo]] + nth[lo], starts[row[lo]] + nth[hi] + WINDOW
 
 
-def _count_windows(batches: Iterator[pa.RecordBatch], chunk: int = 24 << 20):
-    """Buckets arrive in order of their key; whole ones are gathered up to
-    about ``chunk`` bytes."""
-    def out(parts):
-        t = pa.Table.from_batches(parts).combine_chunks()
-        got = repeated(t.column("id").to_numpy(), t.column("start").to_numpy().astype(np.int64), t.column("words"))
+def _count_windows(batches: Iterator[pa.RecordBatch]):
+    """Blocks arrive in order of their bucket."""
+    def out(blocks):
+        parts = [_unblock(b) for b in blocks]
+        ids, starts, buf = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        got = repeated(ids, starts.astype(np.int64), buf)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["id", "lo", "hi"])
 
-    held, size = [], 0
+    now, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if size >= chunk:
-            key = batch.column("key").to_numpy()
-            other = np.flatnonzero(key != held[-1].column("key")[-1].as_py())
-            if len(other):
-                held.append(batch.slice(0, int(other[0])))
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+            if bucket != now and held:
                 yield out(held)
-                held, size, batch = [], 0, batch.slice(int(other[0]))
-        held.append(batch)
-        size += batch.get_total_buffer_size() if size == 0 else batch.nbytes
+                held = []
+            now = bucket
+            held.append(block.as_py())
     if held:
         yield out(held)
 
@@ -225,9 +252,12 @@ def removals(docs: DataFrame) -> DataFrame:
     """(id, lo, hi): word ranges to remove from each document (id, text)."""
     counts = bin_counts(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = counts > max(1000, counts.sum() // max(1, parts))
-    strings = packed(docs, heavy).repartition(parts, "key").sortWithinPartitions("key")
-    found = strings.mapInArrow(_count_windows, "id long, lo long, hi long")
+    total = int(counts.sum())
+    # more than a quarter of an average partition, and more than a bucket's tasks hold at once
+    heavy = counts > max(1000, min(total // (4 * max(1, parts)), 4 * (BUCKET + total // BINS)))
+    buckets = max(parts, total // BUCKET)
+    blocks = packed(docs, heavy, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = blocks.mapInArrow(_count_windows, "id long, lo long, hi long")
     if heavy.any():
         found = found.unionByName(heavy_windows(docs, heavy))
     return found
