@@ -86,7 +86,8 @@ def merge_updates(base: DataFrame, updates: DataFrame, key: str, columns: tuple[
         order = F.when(_set(c), F.col(seq))
         aggs += [F.max_by(F.col(c), order).alias(f"_v_{c}"),
                  F.max(F.when(_set(c), F.lit(True))).alias(f"_s_{c}")]
-    per_key = updates.groupBy(key).agg(*aggs).withColumn("_updated", F.lit(True))
+    per_key = updates.groupBy(key).agg(*aggs) if aggs else updates.select(key).distinct()
+    per_key = per_key.withColumn("_updated", F.lit(True))
     j = base.join(per_key, key, "left")
     out = [F.when(F.col(f"_s_{c}"), F.col(f"_v_{c}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c)
            if c in columns else F.col(c) for c in base.columns]

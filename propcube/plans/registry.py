@@ -449,8 +449,9 @@ def _changes() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
-def _run_feed(spark: SparkSession, sf_dir: str, trends: bool = False) -> tuple[str, str]:
-    """The feed of every order drained into a state; (state, trends) folders."""
+def _run_feed(spark: SparkSession, sf_dir: str, trends: bool = False, per_trigger: int = 1) -> tuple[str, str]:
+    """The feed of every order drained into a state; (state, trends) folders.
+    The outcome is the same for any number of files per trigger."""
     from propcube.streaming import changefeed as CF
     from propcube.streaming import incremental as INC
     t = _t(spark, sf_dir)
@@ -462,7 +463,7 @@ def _run_feed(spark: SparkSession, sf_dir: str, trends: bool = False) -> tuple[s
     if trends:
         INC.init_partials(t.listings, t.cities, f"{root}/trends")
     CF.run_change_feed(spark, f"{root}/in", f"{root}/state", f"{root}/checkpoint", t.cities, t.localities, BATCH_TS,
-                       trends_dir=f"{root}/trends" if trends else None)
+                       max_files_per_trigger=per_trigger, trends_dir=f"{root}/trends" if trends else None)
     return f"{root}/state", f"{root}/trends"
 
 
@@ -474,14 +475,14 @@ def _change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _change_feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from propcube.streaming import changefeed as CF
-    return CF.read_rejects(spark, _run_feed(spark, sf_dir)[0]).select(
+    return CF.read_rejects(spark, _run_feed(spark, sf_dir, per_trigger=4)[0]).select(
         "seq", "op", F.concat_ws(",", "reasons").alias("reason_list"))
 
 
 def _change_feed_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 -> S2: price trends kept up to date through a mixed feed."""
     from propcube.streaming import incremental as INC
-    return INC.finalize(INC.read_partials(spark, _run_feed(spark, sf_dir, trends=True)[1]))
+    return INC.finalize(INC.read_partials(spark, _run_feed(spark, sf_dir, trends=True, per_trigger=4)[1]))
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,8 @@ def change_delta(listings: DataFrame, changes: DataFrame, cities: DataFrame, loc
     ops = {op: changes.where(F.col("op") == op) for op in ("create", "update", "delete")}
     ids = changes.where(F.col("op").isin("update", "delete") & F.col("listing_id").isNotNull()) \
         .select("listing_id").distinct()
-    touched = listings.join(ids, "listing_id", "left_semi")
+    # the batch's rows of the table, found once; everything below is batch-sized
+    touched = materialize(listings.join(ids, "listing_id", "left_semi"), "touched")
 
     deletes = ops["delete"].select("seq", "listing_id").join(
         touched.select("listing_id", "prop_id"), "listing_id", "left")
@@ -138,7 +139,10 @@ def change_delta(listings: DataFrame, changes: DataFrame, cities: DataFrame, loc
     late = deletes.join(seqs, "listing_id", "left").where("gone_seq IS NULL OR seq > gone_seq").select(
         "seq", F.lit("delete").alias("op"), F.array(F.lit("not_found")).alias("reasons"))
 
-    updates = ops["update"].drop("op")
+    # only the columns that some update sets (names: a fixed, short list) are merged
+    used = {r[0] for r in ops["update"].select(F.explode("set_cols").alias("c")).distinct()
+            .where(F.col("c").isin(*S.LISTING_UPDATABLE)).collect()}
+    updates = ops["update"].select("seq", "listing_id", "set_cols", *[c for c in S.LISTING_UPDATABLE if c in used])
     updated, bad_updates = C.update_listings(touched, updates, batch_ts, localities=localities, gone=seqs)
     image = updated.join(seqs, "listing_id", "left").withColumn("_deleted", F.col("gone_seq").isNotNull())
     stamp = F.lit(batch_ts).cast("timestamp")
@@ -146,8 +150,8 @@ def change_delta(listings: DataFrame, changes: DataFrame, cities: DataFrame, loc
 
     creates = ops["create"].drop("op", "listing_id", "set_cols")
     freed = gone.select("prop_id", F.col("gone_seq").alias("freed_seq"))
-    known = listings.select("listing_id", "prop_id").join(
-        creates.select("prop_id").where("prop_id IS NOT NULL").distinct(), "prop_id", "left_semi")
+    known = materialize(listings.select("listing_id", "prop_id").join(
+        creates.select("prop_id").where("prop_id IS NOT NULL").distinct(), "prop_id", "left_semi"), "known")
     if top_id is None:
         top_id = listings.agg(F.max("listing_id")).first()[0] or 0
     empty = known.limit(0).select(*[F.lit(None).cast(t).alias(n) if n not in known.columns else F.col(n)
