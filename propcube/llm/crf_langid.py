@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, crc_of, range_hasher, ship, utf8, words
+from propcube.llm.common import by_bytes, crc_of, range_hasher, ship, utf8, words, written
 
 TABLE = 1 << 17
 PREFIXES, SUFFIXES = (2, 3, 5), (2, 3, 4, 6)  # bytes
@@ -205,15 +205,15 @@ def learnable(col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = 250, train_bytes: int = 1 << 13) -> Crf:
-    from pyspark.sql import Window
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn
-                      & (F.octet_length("text") <= train_bytes)).select("doc_id", "lang", F.xxhash64("doc_id").alias("__h"))
-    few = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # the hash below which per_lang rows of a language are expected, with room; then the exact smallest
-    limit = few.select("lang", (F.lit(2.0) * per_lang / F.col("n") + F.lit(30.0) / F.col("n")).alias("share"))
-    near = rows.join(limit, "lang").where(F.col("__h") / F.lit(2.0 ** 64) + 0.5 <= F.col("share"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__h", "doc_id"))
-    ids = near.withColumn("__r", rank).where(F.col("__r") <= per_lang).select("doc_id", "lang")
+    """Train on the ``per_lang`` smallest hashes of each language."""
+    rows = written(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn
+                              & (F.octet_length("text") <= train_bytes))
+                   .select("doc_id", "lang", F.xxhash64("doc_id").alias("__h")), "langid-rows")
+    # a bounded top list for each language, merged from those of the tasks
+    ids = docs.sparkSession.createDataFrame([], rows.select("doc_id", "lang").schema)
+    for (lang,) in sorted(rows.select("lang").distinct().collect()):
+        top = rows.where(F.col("lang") == lang).orderBy("__h", "doc_id").limit(per_lang)
+        ids = ids.unionByName(top.select("doc_id", "lang"))
     found = (docs.select("doc_id", "lang", "text").where(F.octet_length("text") <= train_bytes)
              .join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang ids a language
              .orderBy("lang", "doc_id", "text").collect())
