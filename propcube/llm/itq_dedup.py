@@ -4,9 +4,10 @@ Rotations that balance the sign bits of centred vectors are learned from a
 bounded sample (``SAMPLE`` vectors, smallest hashes). Each vector's code is
 cut into substrings, one per table; vectors that agree in a table's substring
 share a bucket, where the original vectors are compared by cosine in double
-precision. Substring length follows log2 of the number of vectors (so bucket
-sizes do not grow), and the number of tables follows from the chance that two
-vectors at the threshold agree, for an expected recall of ``RECALL``.
+precision. Substring length is at most log2 of the number of vectors (so bucket
+sizes do not grow by need) and as short as costs least; the number of tables
+is that at which pairs made at the threshold from the sample, coded like the
+vectors, are found with a recall of ``RECALL``.
 
 Equal vectors fold into one first. Buckets above ``BLOCK`` vectors are cut
 into blocks, and each pair of blocks is a tile of its own; tiles return sums
@@ -35,6 +36,8 @@ from propcube.llm.components import components
 SAMPLE, ROUNDS = 4096, 30
 RECALL = 0.98
 BLOCK = 1024
+PAIRS, PLANES = 8192, 512  # pairs and hyperplanes that agreement is measured on, at least
+ROW = 256  # products that cost as much as a row placed in a table
 
 
 def fit_rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -52,22 +55,91 @@ def fit_rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
-    """(bits of a substring, tables) for ``n`` vectors."""
+    """(bits of a substring, tables) for ``n`` vectors without a common mean."""
     bits = max(6, min(30, round(math.log2(max(n, 2)))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
 
 
+def pairs_at(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of PAIRS pairs of unit vectors at the threshold: rows of ``x``,
+    half of them turned any way, half turned towards another row."""
+    a = x[rng.integers(0, len(x), PAIRS)]
+    away = rng.normal(size=a.shape)
+    half = PAIRS // 2
+    towards = x[rng.integers(0, len(x), half)] - a[:half]
+    towards -= (towards * a[:half]).sum(axis=1, keepdims=True) * a[:half]
+    apart = np.linalg.norm(towards, axis=1) > 1e-6
+    away[:half][apart] = towards[apart]
+    away -= (away * a).sum(axis=1, keepdims=True) * a
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    return a, threshold * a + math.sqrt(1 - threshold ** 2) * away
+
+
+def worse(hit: np.ndarray) -> float:
+    """The lower mean of the two kinds of pairs."""
+    return min(hit[:PAIRS // 2].mean(), hit[PAIRS // 2:].mean())
+
+
 class Coder:
-    """Learned rotations and the cut of codes into table substrings."""
+    """Learned rotations and the cut of codes into table substrings.
+
+    Centring widens the angle of a pair, by more the more of the vectors their
+    mean holds, so ``plan`` only bounds the bits from above: agreement is
+    measured on pairs at the threshold made from the sample, the bits are those
+    of the least estimated work for ``n`` vectors (none: all in one bucket), and
+    tables are added until the measured recall is RECALL."""
 
-    def __init__(self, sample: np.ndarray, bits: int, tables: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, n: int, threshold: float, seed: int = 11):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
-        self.bits, self.tables, self.mean = bits, tables, sample.mean(axis=0)
-        turns = [fit_rotation(sample - self.mean, rng) for _ in range(-(-bits * tables // d))]
-        order = np.concatenate([rng.permutation(d) + i * d for i in range(len(turns))])
-        self.turn = np.hstack(turns)[:, order[:bits * tables]]
+        self.mean = sample.mean(axis=0)
+        # rotations fit their own rows better than others: pairs come from other rows
+        own, others = (sample[::2], sample[1::2]) if len(sample) > 1 else (sample, sample)
+        a, b = pairs_at(others, threshold, rng)
+        turns, alike = [], []
+
+        def more():
+            turn = fit_rotation(own - self.mean, rng)[:, rng.permutation(d)]
+            turns.append(turn)
+            alike.append(((a - self.mean) @ turn >= 0) == ((b - self.mean) @ turn >= 0))
+
+        while len(turns) * d < PLANES:
+            more()
+        most, least = plan(n, threshold)
+        self.bits = self._cheapest(others, np.hstack(turns), np.hstack(alike).mean(axis=1), n, most)
+        found, self.tables = np.full(PAIRS, self.bits == 0), 0
+        while self.bits and (worse(found) < RECALL or (self.bits == most and self.tables < least)):
+            lo = self.tables * self.bits
+            while len(turns) * d < lo + self.bits:
+                more()
+            span = [alike[i][:, max(0, lo - i * d):lo + self.bits - i * d]
+                    for i in range(lo // d, (lo + self.bits - 1) // d + 1)]
+            found |= np.hstack(span).all(axis=1)
+            self.tables += 1
+        self.tables = max(1, self.tables)
+        self.recall = worse(found)
+        self.turn = np.hstack(turns)[:, :self.bits * self.tables]
+
+    def _cheapest(self, sample: np.ndarray, turn: np.ndarray, agree: np.ndarray, n: int, most: int) -> int:
+        """Bits of least work: rows placed in tables and products in buckets."""
+        signs = (sample - self.mean) @ turn >= 0
+
+        def work(bits: int) -> float:
+            tables, mates = 1, float(n)
+            if bits:
+                chance, low, high = agree ** bits, 1, 1 << 40
+                while low < high:
+                    mid = (low + high) // 2
+                    low, high = (low, mid) if worse(1 - (1 - chance) ** mid) >= RECALL else (mid + 1, high)
+                tables, share = low, []
+                for lo in range(0, min(8 * bits, turn.shape[1] - bits + 1), bits):
+                    c = np.unique(signs[:, lo:lo + bits] @ (1 << np.arange(bits, dtype=np.int64)), return_counts=True)[1]
+                    share.append((c * (c - 1.0)).sum() / max(1, len(sample) * (len(sample) - 1)))
+                mates = n * max(np.mean(share), 0.5 ** bits)
+            return tables * (ROW * max(1.0, mates / BLOCK) + mates)
+
+        return min([*range(most, 5, -1), 0], key=work)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """(vectors x tables) substrings of unit vectors."""
@@ -176,9 +248,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     dim = sizes[0]["d"]
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
     folded = written(rows.where("ok").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "vectors")
-    bits, tables = plan(folded.count(), threshold)
     sample = folded.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    coder = Coder(unit(np.array([r["v"] for r in sample], np.float32)), bits, tables)
+    coder = Coder(unit(np.array([r["v"] for r in sample], np.float32)), folded.count(), threshold)
     shared = spark.sparkContext.broadcast(coder)
 
     def code(batches):

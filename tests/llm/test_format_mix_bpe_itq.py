@@ -167,3 +167,29 @@ def test_plan_keeps_buckets_small_as_tables_grow():
     for n in (10, 10 ** 4, 10 ** 7, 10 ** 9):
         bits, tables = itq_dedup.plan(n, 0.95)
         assert n / 2 ** bits <= 2 and tables <= 120
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.8])
+def test_pairs_just_above_the_threshold_are_found_with_a_common_mean(share):
+    rng = np.random.default_rng(1)
+    g = itq_dedup.unit(rng.normal(size=(10_000, 64)))
+    x = itq_dedup.unit(np.sqrt(share) * np.eye(64)[0] + np.sqrt(1 - share) * g)
+    coder = itq_dedup.Coder(x[:itq_dedup.SAMPLE], len(x), 0.95)
+    a = x[-4000:]
+    w = rng.normal(size=a.shape)
+    w = itq_dedup.unit(w - (w * a).sum(axis=1, keepdims=True) * a)
+    b = 0.951 * a + np.sqrt(1 - 0.951 ** 2) * w
+    assert (coder.codes(a) == coder.codes(b)).any(axis=1).mean() > 0.95
+
+
+def test_links_are_found_with_a_common_mean(spark):
+    rng = np.random.default_rng(2)
+    x = itq_dedup.unit(np.sqrt(0.8) * np.eye(64)[0] + np.sqrt(0.2) * itq_dedup.unit(rng.normal(size=(3000, 64))))
+    w = rng.normal(size=x.shape)
+    w = itq_dedup.unit(w - (w * x).sum(axis=1, keepdims=True) * x)
+    x = np.concatenate([x, 0.952 * x + np.sqrt(1 - 0.952 ** 2) * w]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = itq_dedup.unit(x)
+    want = np.triu(u @ u.T >= 0.95, 1).sum()
+    got = sum(r.n_links for r in itq_dedup.near_duplicates(df).collect()) / 2
+    assert 0.95 * want <= got <= want
