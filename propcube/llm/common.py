@@ -61,6 +61,28 @@ def crc_of(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text (two 64-bit hashes); null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def leave_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that are not the first of their group.
+    ``rows``: (group, first, id, k1, k2), the last three naming rows of
+    ``docs`` by id and text key; the least ``first`` comes first, then the
+    least id (null last), then the least key. Rows not named stay."""
+    best = (rows.groupBy("group").agg(F.min(F.struct("first", F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("best"),
+                                      F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
+    won = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
+    gone = written(rows.join(best, "group").where(~won).select(
+        F.col("id").alias("__id"), F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct(), "gone")
+    k1, k2 = text_key(F.col(text_col))
+    return docs.withColumn("__k1", k1).withColumn("__k2", k2).join(
+        gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")),
+        "left_anti").drop("__k1", "__k2")
+
+
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without copying; null is empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import SPACE, written
+from propcube.llm.common import SPACE, leave_one, text_key, written
 
 PREFIX = 64  # characters of the second refinement
 #: Refined keys are sent to the tasks that read texts up to this many; a key
@@ -39,18 +39,19 @@ def surviving_keys(rows: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __points, __len, __prefix, __full) of the rows of ``docs``: the
-    full hash is null where length and prefix already tell the row apart."""
+    """(id, text key, __points, __len, __prefix, __more, __norm) of the rows of
+    ``docs``: ``__more`` is null where length and prefix tell the row apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    k1, k2 = text_key(text)
     keyed = (docs.select(F.col(id_col).alias("__id"), F.length(text).cast("long").alias("__points"),
-                         normalised(F.col(text_col)).alias("__norm"))
+                         k1.alias("__k1"), k2.alias("__k2"), normalised(F.col(text_col)).alias("__norm"))
              .withColumn("__len", F.length("__norm"))
              .withColumn("__prefix", F.xxhash64(F.substring("__norm", 1, PREFIX))))
     keys = written(surviving_keys(keyed.select("__len", "__prefix")), "dedup-keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     marked = keyed.join(keys.withColumn("__more", F.lit(True)), ["__len", "__prefix"], "left")
-    return marked.select("__id", "__points", "__len", "__prefix", "__more", "__norm")
+    return marked.select("__id", "__k1", "__k2", "__points", "__len", "__prefix", "__more", "__norm")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -83,7 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    gone = (exact_dedup(docs, id_col, text_col).where("NOT kept")
-            .select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stay, all columns as they were. Rows are told
+    apart by id and text: another row of the same (or null) id is not touched."""
+    rows = exact_groups(docs, id_col, text_col).where("__more").select(
+        F.sha2("__norm", 256).alias("group"), (-F.col("__points")).alias("first"), F.col("__id").alias("id"),
+        F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
+    return leave_one(docs, written(rows, "dedup-rows"), id_col, text_col)

@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles. Two documents link when
 100 * |A and B| >= percent * |A or B|. Result: per document its set size and
 the least id of its component. Every link between different sets is found:
 
-1. Documents with equal sets fold into one (by a 128-bit key).
+1. Documents with equal sets fold into one (by a 128-bit key), a node named by
+   the row number of one of them, not by its id.
 2. Tiles of few min-hash keys propose each member beside the tile's least id;
    what the check confirms forms first components. This only saves work.
 3. Exact rest: under one global order of shingles, linked sets share one of
@@ -15,13 +16,13 @@ the least id of its component. Every link between different sets is found:
    shingles), which keeps the tiles of common passages out of the prefixes.
 4. The check of a candidate: hashed bitmaps of both sets (4 bits a shingle)
    bound the overlap from above by bit counts; survivors' texts meet at the
-   lower id, split into parts of PART candidates, and sorted hash arrays are
+   lower node, split into parts of PART candidates, and sorted hash arrays are
    intersected exactly.
 
 Defined results: null or blank text has no shingles and links with nothing;
 fewer words than ``k`` make one shingle; a null id gets component null; rows
 that repeat an id with the same text are one node; with different texts, the
-id has the links of all of them.
+id has the links of all of them. ``keep_one`` decides by row instead.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, mix, shingle_hashes, ship, utf8, word_hashes, words, written
+from propcube.llm.common import by_bytes, leave_one, mix, shingle_hashes, ship, text_key, utf8, word_hashes, words, written
 from propcube.llm.components import components
 
 BIN_BITS = 18
@@ -41,7 +42,7 @@ BINS = 1 << BIN_BITS  # of the histogram of shingles
 STEPS = 8  # levels of the order in each doubling of a bin's count
 KEYS, PER_KEY = 8, 2  # min-hash keys of the first components, hashes in each
 MAX_BITS = 1 << 15  # a bitmap's size; a smaller one only loosens the bound
-PART = 1000  # candidates of one id that are checked together
+PART = 1000  # candidates of one node that are checked together
 SIEVE_BITS = 22  # the sieve of candidates' ids has 2^22 bits
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,7 +100,7 @@ def bitmap(values: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, k1, k2, keys, bits, prefix) of each row."""
+    """(id, h1, h2, n, k1, k2, keys, bits, prefix) of each row."""
     order = docs.sparkSession.sparkContext.broadcast(levels(docs, k))
 
     def sketch(batches):
@@ -123,11 +124,13 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 first = np.argsort(late, kind="stable")[:size] if late.any() else slice(size)
                 prefix.append(s[first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id")[lo:lo + len(sets)], pa.array(n, pa.int64()), pa.array(sums, pa.int64()),
+                [*(batch.column(c)[lo:lo + len(sets)] for c in ("id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(sums, pa.int64()),
                  pa.array(xors, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "keys", "bits", "prefix"])
+                 pa.array(prefix, pa.list_(pa.int64()))], ["id", "h1", "h2", "n", "k1", "k2", "keys", "bits", "prefix"])
 
-    return docs.mapInArrow(sketch, "id long, n long, k1 long, k2 long, keys array<long>, bits binary, prefix array<long>")
+    h1, h2 = text_key(F.col("text"))
+    return docs.withColumn("h1", h1).withColumn("h2", h2).mapInArrow(
+        sketch, "id long, h1 long, h2 long, n long, k1 long, k2 long, keys array<long>, bits binary, prefix array<long>")
 
 
 def fits(a: str, b: str, percent: int):
@@ -179,20 +182,24 @@ def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
     return docs.where(held if within else ~held)
 
 
-def check(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by bitmap bound and then exactly."""
-    own = sketch.select("id", "n", "bits").dropDuplicates(["id"])
-    pairs = (pairs.join(own.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx")), "a")
-             .join(own.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny")), "b")
+def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``nodes`` that link, by bitmap bound and then
+    exactly. A node's text is that of its row (id and text key) of ``docs``."""
+    own = nodes.select("node", "n", "bits")
+    pairs = (pairs.join(own.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx")), "a")
+             .join(own.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny")), "b")
              .where(_bound(percent)("x", "y", "nx", "ny")).select("a", "b"))
     pairs = written(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     split = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     own_rows = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wanted = written(split.unionByName(own_rows), "wanted")
-    texts = sifted(docs, wanted.select(F.col("b").alias("id")))
-    # rows that repeat an id: the greatest text stands for it
-    met = wanted.join(texts.groupBy("id").agg(F.max("text").alias("text")).withColumnRenamed("id", "b"), "b")
+    place = nodes.select(F.col("node").alias("b"), F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")
+    wanted = written(split.unionByName(own_rows).join(place, "b"), "wanted")
+    h1, h2 = text_key(F.col("text"))
+    texts = sifted(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), wanted.select("id")).select(
+        "id", h1.alias("h1"), h2.alias("h2"), "text")
+    # rows that repeat id and text: one stands for them
+    met = wanted.join(texts.groupBy("id", "h1", "h2").agg(F.max("text").alias("text")), ["id", "h1", "h2"])
 
     def exact(batches):
         now, base = None, None
@@ -242,44 +249,75 @@ def prefix_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    sketch = written(sketches(docs, k, percent), "sketch")
-    some = sketch.where("n > 0 AND id IS NOT NULL")
-    sets = written(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "sets")
-    reps = sets.select(F.col("rep").alias("id"))
-    known = docs.where("id IS NOT NULL")
-
-    keyed = some.select("id", "n", "k1", "k2", "keys").join(sets.select("k1", "k2", F.col("rep").alias("id")),
-                                                            ["k1", "k2", "id"], "left_semi")
-    keyed = keyed.select("id", "n", F.explode("keys").alias("key"))
+def linked_sets(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of sketched ``rows``: the distinct sets (k1, k2, node, least id), and
+    (id, component) of the nodes that link."""
+    sets = written(rows.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("rep")), "sets")
+    nodes = rows.withColumnRenamed("row", "node")
+    keyed = nodes.join(sets.select("node"), "node", "left_semi").select(F.col("node").alias("id"), "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.count(F.lit(1)).alias("c")) \
         .where("c > 1").select("key", F.col("h.id").alias("a"), F.col("h.n").alias("na"))
     first = (keyed.join(hubs, "key").where((F.col("a") < F.col("id")) & fits("n", "na", percent))
              .select("a", F.col("id").alias("b")).distinct())
-    links = written(check(first, some, known, k, percent), "links")
+    links = written(check(first, nodes, docs, k, percent), "links")
     comps = written(components(links), "components")
 
-    member = reps.distinct().join(comps, "id", "left").select(
+    member = sets.select(F.col("node").alias("id")).join(comps, "id", "left").select(
         "id", F.coalesce("component", "id").alias("comp"), F.col("component").isNull().alias("alone"))
-    tiles = some.select("id", "n", "prefix").join(member, "id").select(
+    tiles = nodes.select(F.col("node").alias("id"), "n", "prefix").join(member, "id").select(
         F.posexplode("prefix").alias("pos", "token"), "id", "n", "comp", "alone")
-    more = written(check(prefix_pairs(tiles, percent), some, known, k, percent), "links")
+    more = written(check(prefix_pairs(tiles, percent), nodes, docs, k, percent), "links")
     if more.limit(1).count():
-        comps = written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
-                                   .unionByName(more)), "components")
-    named = sets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+        comps = joined(comps, more)
+    return sets, comps
+
+
+def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components with the links (a, b) of ``more`` as well."""
+    return written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                              .unionByName(more)), "components")
+
+
+def sketched(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (id, text), and their sketches, each with a row number."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return docs, written(sketches(docs, k, percent).withColumn("row", F.monotonically_increasing_id()), "sketch")
+
+
+def placed(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(k1, k2, rep, comp) of each set."""
+    return sets.join(comps.withColumnRenamed("id", "node"), "node", "left").select(
+        "k1", "k2", "rep", F.coalesce("component", "node").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row of ``docs``."""
+    docs, sketch = sketched(docs, k, percent, id_col, text_col)
+    some = sketch.where("n > 0 AND id IS NOT NULL")
+    sets, comps = linked_sets(some, docs.where("id IS NOT NULL"), k, percent)
+    several = written(some.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("k1", "k2")])
+                      .where("min_k1 < max_k1 OR min_k2 < max_k2").select("id"), "several")
+    if several.limit(1).count():  # sets of one id belong together
+        of = written(some.join(several, "id", "left_semi").select("id", "k1", "k2").distinct()
+                     .join(sets, ["k1", "k2"]).select("id", "node"), "of")
+        comps = joined(comps, of.join(of.groupBy("id").agg(F.min("node").alias("a")), "id")
+                       .select("a", F.col("node").alias("b")))
+    put = written(placed(sets, comps), "placed")
+    named = put.join(put.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("k1", "k2", "component_id")
     got = some.select("id", "n", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n", "component_id")
     rest = sketch.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return got.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component."""
-    gone = jaccard_components(docs, k, percent).where("doc_id > component_id").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of linked texts, the row with the least id (null last),
+    and all rows without shingles. Rows are told apart by id and text: another
+    text of the same (or null) id has groups of its own."""
+    pairs, sketch = sketched(docs, k, percent, "doc_id", "text")
+    some = sketch.where("n > 0")
+    sets, comps = linked_sets(some, pairs, k, percent)
+    rows = some.select("id", "h1", "h2", "k1", "k2").join(placed(sets, comps), ["k1", "k2"]).select(
+        F.col("comp").alias("group"), F.lit(0).alias("first"), "id", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    return leave_one(docs, written(rows, "near-rows"), "doc_id", "text")

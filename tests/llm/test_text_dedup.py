@@ -130,3 +130,23 @@ def test_substring_dedup_null_ids_and_empty_table(spark, no_docs):
                  for r in substring_dedup.dedup_substrings(df).collect())
     assert got == [(-1, 0, 0), (-1, 20, 20), (3, 20, 0), (3, 20, 0)]
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
+
+
+def test_rows_go_one_by_one_with_null_ids_and_an_id_of_two_texts(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x"
+    other = "the second text of one id has words and links of its own"
+    rows = [(2, near), (None, near), (None, "a clean text of no id that nobody copies"), (None, "another clean text of no id"),
+            (5, near), (5, other), (7, other), (8, near + " y"), (9, other + " now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for keep, want in ((exact_dedup.drop_duplicates, [rows[0], *rows[2:4], rows[5], *rows[7:]]),
+                       (jaccard_join.keep_one, [rows[0], *rows[2:4], rows[5]])):
+        assert sorted(map(tuple, keep(df).collect()), key=key) == sorted(want, key=key)
+
+
+def test_jaccard_an_id_has_the_links_of_all_its_texts(spark):
+    a, b = "a b c d e f g h i j k l m n o p", "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(5, a), (5, b), (2, a + " q"), (7, b + " twelve"), (8, "none of these words is shared")],
+                               "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 5, 80).collect()}
+    assert got == {(5, 2), (2, 2), (7, 2), (8, 8)}
