@@ -71,16 +71,29 @@ def leave_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     """``docs`` without the rows that are not the first of their group.
     ``rows``: (group, first, id, k1, k2), the last three naming rows of
     ``docs`` by id and text key; the least ``first`` comes first, then the
-    least id (null last), then the least key. Rows not named stay."""
-    best = (rows.groupBy("group").agg(F.min(F.struct("first", F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("best"),
-                                      F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
+    least id (null last), then the least key. Of repeated rows (one id and
+    text) that come first, the one whose columns sort first as JSON stays.
+    Rows not named stay."""
+    named = ["id", "k1", "k2"]
+    rows = written(rows.groupBy("group", "first", *named).agg(F.count(F.lit(1)).alias("n")), "grouped-rows")
+    best = (rows.groupBy("group").agg(F.min(F.struct("first", F.col("id").isNull().alias("none"), *named)).alias("best"),
+                                      F.sum("n").alias("size")).where("size > 1").drop("size"))
     won = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
-    gone = written(rows.join(best, "group").where(~won).select(
-        F.col("id").alias("__id"), F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct(), "gone")
+    met = written(rows.join(best, "group").select(
+        F.col("id").alias("__id"), F.col("k1").alias("__g1"), F.col("k2").alias("__g2"),
+        won.alias("__won"), "n").where("NOT __won OR n > 1").drop("n"), "gone")
     k1, k2 = text_key(F.col(text_col))
-    return docs.withColumn("__k1", k1).withColumn("__k2", k2).join(
-        gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")),
-        "left_anti").drop("__k1", "__k2")
+    keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
+    left = keyed.join(met.drop("__won"), same, "left_anti").select(docs.columns)
+    tied = met.where("__won").drop("__won")
+    if not tied.limit(1).count():
+        return left
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
+    one = (keyed.join(tied, same, "left_semi").groupBy(id_col, "__k1", "__k2")
+           .agg(F.min_by(F.struct(*docs.columns), F.struct(others, F.col(text_col).isNull())).alias("__row"))
+           .select("__row.*"))
+    return left.unionByName(one)
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

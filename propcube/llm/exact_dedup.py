@@ -10,8 +10,9 @@ map tasks first, so a group with a third of all rows costs one row a task.
 Of equal texts the row with the most code points in its original text stays,
 then the smallest id. Defined results: null text counts as empty (so empty,
 blank and null texts are equal); a null id sorts after the others; rows that
-share id, text length and content (a repeated row) stay or go together; an
-empty table gives an empty result.
+share id, text length and content (a repeated row) are marked alike by
+``exact_dedup``, while ``drop_duplicates`` leaves one of them; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,9 +85,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were. Rows are told
-    apart by id and text: another row of the same (or null) id is not touched."""
+    """The rows of ``docs`` that stay, one of each group, all columns as they
+    were. Rows are told apart by id and text: another row of the same (or null)
+    id is not touched; of rows that repeat both, one stays."""
     rows = exact_groups(docs, id_col, text_col).where("__more").select(
         F.sha2("__norm", 256).alias("group"), (-F.col("__points")).alias("first"), F.col("__id").alias("id"),
         F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
-    return leave_one(docs, written(rows, "dedup-rows"), id_col, text_col)
+    return leave_one(docs, rows, id_col, text_col)

@@ -320,4 +320,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets, comps = linked_sets(some, pairs, k, percent)
     rows = some.select("id", "h1", "h2", "k1", "k2").join(placed(sets, comps), ["k1", "k2"]).select(
         F.col("comp").alias("group"), F.lit(0).alias("first"), "id", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    return leave_one(docs, written(rows, "near-rows"), "doc_id", "text")
+    return leave_one(docs, rows, "doc_id", "text")

@@ -150,3 +150,14 @@ def test_jaccard_an_id_has_the_links_of_all_its_texts(spark):
                                "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 5, 80).collect()}
     assert got == {(5, 2), (2, 2), (7, 2), (8, 8)}
+
+
+def test_one_of_repeated_rows_stays(spark):
+    text = "a b c d e f g h i j"
+    rows = [(1, text, "s1"), (1, text, "s0"), (1, text, "s0"), (None, text, "s2"), (2, "z", "s3"), (2, "z", "s3"),
+            (None, "null id", "s4"), (None, "null id", "s4"), (None, "nul lid", "s5"), (3, None, "s6"), (3, "", "s6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(((r.doc_id or -1, r.source) for r in exact_dedup.drop_duplicates(df).collect()))
+    assert len(kept) == 4 and kept[1:] == [(1, "s0"), (2, "s3"), (3, "s6")] and kept[0] in [(-1, "s4"), (-1, "s5")]
+    kept = sorted((r.doc_id or -1, r.source) for r in jaccard_join.keep_one(df).collect())
+    assert kept == [(-1, "s4"), (-1, "s5"), (1, "s0"), (2, "s3"), (3, "s6"), (3, "s6")]
