@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propcube.llm.common import by_bytes, leave_one, mix, shingle_hashes, ship, text_key, utf8, word_hashes, words, written
@@ -168,17 +168,22 @@ def sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose id may be among ``ids`` (or else the others,
-    whose id surely isn't); saves shuffling texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(sieve(ids))
+def among(ids: DataFrame) -> Column:
+    """Whether a row's id may be among ``ids`` (else it surely isn't)."""
+    bits = ids.sparkSession.sparkContext.broadcast(sieve(ids))
 
     @F.arrow_udf("boolean")
     def may_hold(h: pa.Array) -> pa.Array:
         v = h.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array((bits.value[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-    held = may_hold(F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS)))
+    return may_hold(F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS)))
+
+
+def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose id may be among ``ids`` (or else the others,
+    whose id surely isn't); saves shuffling texts."""
+    held = among(ids)
     return docs.where(held if within else ~held)
 
 

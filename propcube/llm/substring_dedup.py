@@ -17,8 +17,9 @@ can split. Both ways find the same windows.
 
 Defined results: null text has no words; a document of fewer words than a
 window loses none; a null id counts as greater than all others, and rows with
-null id keep what only they share; rows that repeat an id count as one
-document, whose removed word places apply to all of them.
+null id keep what only they share, as do rows that repeat an id. Words are
+removed row by row: a row is its id and, where the id is null or may be
+repeated (by a bounded sieve), a 128-bit key of its text, else zeros.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, mix, shingle_hashes, ship, utf8, word_hashes, written
-from propcube.llm.jaccard_join import sifted
+from propcube.llm.common import by_bytes, mix, shingle_hashes, ship, text_key, utf8, word_hashes, written
+from propcube.llm.jaccard_join import among, sifted
 
 WINDOW, MINIMISER = 13, 3
 BINS = 1 << 16
@@ -41,6 +42,11 @@ LONGEST = 4096  # windows in one string
 BUCKET = 1 << 14  # strings in a bucket, on average
 GATHER = 8 << 20  # bytes of text whose strings are compressed together
 NO_ID = (1 << 63) - 1
+ROW = np.dtype([("id", "<i8"), ("k1", "<i8"), ("k2", "<i8")])
+
+
+def columns(rows: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(rows[c])) for c in ROW.names]
 
 
 def laid_out(raw: np.ndarray, offsets: np.ndarray):
@@ -89,7 +95,7 @@ def super_kmers(word: np.ndarray, counts: np.ndarray):
 def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1 << 19):
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        ids = np.rec.fromarrays([batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "k1", "k2")], ROW)
         for lo, hi in by_bytes(offsets, step):
             buf, ws, we, counts = laid_out(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             word = word_hashes(buf, ws, we)
@@ -112,19 +118,21 @@ def bin_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _block(parts: list[tuple[np.ndarray, np.ndarray, bytes]]) -> bytes:
-    """One bucket's strings: number, ids, starts, and the strings, a line feed
-    behind each."""
-    ids = np.concatenate([p[0] for p in parts]).astype("<i8")
+    """One bucket's strings: number, rows (column by column), starts, and the
+    strings, a line feed behind each."""
+    rows = np.concatenate([p[0] for p in parts])
     starts = np.concatenate([p[1] for p in parts]).astype("<i4")
-    data = len(ids).to_bytes(4, "little") + ids.tobytes() + starts.tobytes() + b"".join(p[2] for p in parts)
+    data = len(rows).to_bytes(4, "little") + b"".join(rows[c].tobytes() for c in ROW.names) + starts.tobytes() + b"".join(p[2] for p in parts)
     return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(block)
     n = int.from_bytes(data[:4], "little")
-    ids = np.frombuffer(data, "<i8", n, 4)
-    return ids, np.frombuffer(data, "<i4", n, 4 + 8 * n), np.frombuffer(data, np.uint8, offset=4 + 12 * n)
+    rows = np.empty(n, ROW)
+    for i, c in enumerate(ROW.names):
+        rows[c] = np.frombuffer(data, "<i8", n, 4 + 8 * n * i)
+    return rows, np.frombuffer(data, "<i4", n, 4 + 24 * n), np.frombuffer(data, np.uint8, offset=4 + 28 * n)
 
 
 def packed(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -171,18 +179,18 @@ def window_hashes(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(word, WINDOW), shingle_hashes(mix(word ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
 
 
-def repeated(ids: np.ndarray, starts: np.ndarray, buf: np.ndarray):
-    """(id, first word, end) of the words to remove, from a complete bucket:
+def repeated(rows: np.ndarray, starts: np.ndarray, buf: np.ndarray):
+    """(row, first word, end) of the words to remove, from a complete bucket:
     strings with a line feed behind each in ``buf``."""
     gaps = np.flatnonzero((buf == 0x20) | (buf == 0x0A))
     ws = np.concatenate([[0], gaps[:-1] + 1])
     last = np.flatnonzero(buf[gaps] == 0x0A) + 1  # words up to each string's end
     h1, h2 = window_hashes(word_hashes(buf, ws, gaps))
     size = np.diff(np.concatenate([[0], last])) - WINDOW + 1
-    row = np.repeat(np.arange(len(ids)), size)
+    row = np.repeat(np.arange(len(rows)), size)
     nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     at = np.concatenate([[0], last[:-1]])[row] + nth
-    h1, h2, doc = h1[at], h2[at], ids[row]
+    h1, h2, doc = h1[at], h2[at], rows["id"][row]
     order = np.argsort(h1)
     a, b, d = h1[order], h2[order], doc[order]
     same = a[1:] == a[:-1]
@@ -196,21 +204,22 @@ def repeated(ids: np.ndarray, starts: np.ndarray, buf: np.ndarray):
     hit[order] = d > least
     run = np.flatnonzero(hit)
     if not len(run):
-        return ids[:0], starts[:0], starts[:0]
+        return rows[:0], starts[:0], starts[:0]
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1] + 1) | (row[run[1:]] != row[run[:-1]])
     lo = run[new]
     hi = run[np.append(np.flatnonzero(new)[1:], len(run)) - 1]
-    return ids[row[lo]], starts[row[lo]] + nth[lo], starts[row[lo]] + nth[hi] + WINDOW
+    return rows[row[lo]], starts[row[lo]] + nth[lo], starts[row[lo]] + nth[hi] + WINDOW
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch]):
     """Blocks arrive in order of their bucket."""
     def out(blocks):
         parts = [_unblock(b) for b in blocks]
-        ids, starts, buf = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        got = repeated(ids, starts.astype(np.int64), buf)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["id", "lo", "hi"])
+        rows, starts, buf = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        rows, lo, hi = repeated(rows, starts.astype(np.int64), buf)
+        return pa.RecordBatch.from_arrays([*columns(rows), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
+                                          [*ROW.names, "lo", "hi"])
 
     now, held = None, []
     for batch in batches:
@@ -225,7 +234,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch]):
 
 
 def heavy_windows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(id, lo, hi) to remove, from the windows of heavy bins."""
+    """(id, k1, k2, lo, hi) to remove, from the windows of heavy bins."""
     chosen = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def single(batches):
@@ -238,18 +247,19 @@ def heavy_windows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h1[at].view(np.int64) if len(at) else np.zeros(0, np.int64)),
                  pa.array(h2[at].view(np.int64) if len(at) else np.zeros(0, np.int64)),
-                 pa.array(ids[np.repeat(doc, size)], pa.int64()), pa.array(np.repeat(start, size) + nth, pa.int64())],
-                ["h1", "h2", "id", "lo"])
+                 *columns(ids[np.repeat(doc, size)]), pa.array(np.repeat(start, size) + nth, pa.int64())],
+                ["h1", "h2", *ROW.names, "lo"])
 
-    rows = docs.mapInArrow(single, "h1 long, h2 long, id long, lo long")
+    rows = docs.mapInArrow(single, "h1 long, h2 long, id long, k1 long, k2 long, lo long")
     least = (rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
              .where("least < most").select("h1", "h2", "least"))
     return rows.join(least, ["h1", "h2"]).where("id > least").select(
-        "id", "lo", (F.col("lo") + WINDOW).alias("hi"))
+        *ROW.names, "lo", (F.col("lo") + WINDOW).alias("hi"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(id, lo, hi): word ranges to remove from each document (id, text)."""
+    """(id, k1, k2, lo, hi): word ranges to remove from each row (id, k1, k2,
+    text)."""
     counts = bin_counts(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = int(counts.sum())
@@ -257,7 +267,7 @@ def removals(docs: DataFrame) -> DataFrame:
     heavy = counts > max(1000, min(total // (4 * max(1, parts)), 4 * (BUCKET + total // BINS)))
     buckets = max(parts, total // BUCKET)
     blocks = packed(docs, heavy, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = blocks.mapInArrow(_count_windows, "id long, lo long, hi long")
+    found = blocks.mapInArrow(_count_windows, "id long, k1 long, k2 long, lo long, hi long")
     if heavy.any():
         found = found.unionByName(heavy_windows(docs, heavy))
     return found
@@ -294,6 +304,18 @@ def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool):
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, k1, k2, text): rows told apart by a key of their text where their
+    id is null or may be repeated."""
+    many = docs.groupBy("id").count().where("count > 1").select("id").unionByName(
+        docs.sparkSession.range(1).select(F.lit(NO_ID).alias("id")))
+    shared = among(many)
+    k1, k2 = text_key(F.col("text"))
+    docs = docs.withColumn("__shared", shared)
+    return docs.select("id", *[F.when(F.col("__shared"), k).otherwise(F.lit(0)).alias(n) for k, n in ((k1, "k1"), (k2, "k2"))],
+                       "text")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      with_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row, and the kept text
@@ -301,11 +323,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
                        F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = keyed(docs)
     found = written(removals(docs), "removals")
-    per = written(found.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("r")), "removed-of")
+    per = written(found.groupBy(*ROW.names).agg(F.collect_set(F.struct("lo", "hi")).alias("r")), "removed-of")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     none = F.array().cast("array<long>")
-    touched = sifted(docs, per.select("id")).join(per, "id", "left").select(
+    touched = sifted(docs, per.select("id")).join(per, [*ROW.names], "left").select(
         "id", "text", F.coalesce("r.lo", none).alias("los"), F.coalesce("r.hi", none).alias("his"))
     others = sifted(docs, per.select("id"), within=False).select(
         "id", "text", none.alias("los"), none.alias("his"))

@@ -161,3 +161,14 @@ def test_one_of_repeated_rows_stays(spark):
     assert len(kept) == 4 and kept[1:] == [(1, "s0"), (2, "s3"), (3, "s6")] and kept[0] in [(-1, "s4"), (-1, "s5")]
     kept = sorted((r.doc_id or -1, r.source) for r in jaccard_join.keep_one(df).collect())
     assert kept == [(-1, "s4"), (-1, "s5"), (1, "s0"), (2, "s3"), (3, "s6"), (3, "s6")]
+
+
+def test_substring_dedup_rows_of_one_id_keep_their_own_words(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    clean = " ".join(f"c{i}" for i in range(40))
+    mine = " ".join(f"m{i}" for i in range(40))
+    rows = [(5, passage), (None, passage + " and more"), (None, clean), (None, "x " + passage), (9, passage + " end"),
+            (9, mine), (9, mine), (9, clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.kept) for r in substring_dedup.dedup_substrings(df, with_text=True).collect())
+    assert got == sorted([(5, passage), (-1, "and more"), (-1, ""), (-1, "x"), (9, "end"), (9, mine), (9, mine), (9, clean)])
