@@ -92,6 +92,9 @@ NEAR_MISSES = (
     "Software engineers may use this file to obtain a copy of the source.",
     "The foundation published the work in the public interest.",
 )
+#: Function words. A feature needs another word beside them.
+FUNCTION_WORDS = frozenset("""a all an and any are as at be been by can for from has have in is it may no not of on or that
+the this to use used was were will with you your""".split())
 UNKNOWN = "unknown"
 
 
@@ -99,6 +102,9 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
+TEMPLATE_WORDS = [set(tokens(t)) for ts in TEMPLATES.values() for t in ts]
+
+
 def grams(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
 
@@ -123,22 +129,30 @@ def _variants(words: list[str], noise: list[str], rng: np.random.Generator, n: i
     return out
 
 
+def agrees(words: list[str]) -> bool:
+    """Whether a line agrees with a template of some family, as in ``scored``."""
+    own = set(words)
+    return any(max(len(own & t) / len(own), len(own & t) / len(t)) >= AGREE for t in TEMPLATE_WORDS)
+
+
 def train(unlicensed: list[str], seed: int = 3, l1: float = 4e-4, steps: int = 300) -> Model:
-    """Fit on template variants and on ``unlicensed`` lines."""
+    """Fit on template variants and on ``unlicensed`` lines; equal lines count
+    once, and lines that agree with a template teach nothing."""
     rng = np.random.default_rng(seed)
     classes = tuple(sorted(TEMPLATES)) + (UNKNOWN,)
-    others = [t for t in map(tokens, list(unlicensed) + list(NEAR_MISSES) * 5) if t]
+    plain = [t for t in map(list, dict.fromkeys(map(tuple, map(tokens, unlicensed)))) if t and not agrees(t)]
+    others = plain + [tokens(t) for t in NEAR_MISSES] * 5
     noise = [w for t in others[:200] for w in t[:20]]
     rows = [(v, c) for c, family in enumerate(classes[:-1]) for t in TEMPLATES[family]
             for v in _variants(tokens(t), noise, rng, 24)]
     rows += [(t, len(classes) - 1) for t in others]
     rows += [([], len(classes) - 1)] * 20
-    common = Counter(w for t in map(tokens, unlicensed) for w in set(t))
+    common = Counter(w for t in plain for w in set(t))
     names = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(tokens(t))})
-    # a feature needs a word that lines without license hardly have: its gate word
+    # a feature's gate word, its rarest in lines without license, only chooses the lines to score
     gate_of = {g: min(ws, key=lambda w: (common[w], -len(w), w)) for g in names
-               if (ws := [w for w in g.split(" ") if len(w) > 1 and not w.isdigit()])}
-    names = [g for g in names if g in gate_of and common[gate_of[g]] <= max(1, len(unlicensed) // 2000)]
+               if (ws := [w for w in g.split(" ") if len(w) > 1 and not w.isdigit() and w not in FUNCTION_WORDS])}
+    names = [g for g in names if g in gate_of]
     at = {g: i for i, g in enumerate(names)}
     x = np.zeros((len(rows), len(names)))
     for i, (t, _) in enumerate(rows):

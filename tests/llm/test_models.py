@@ -120,3 +120,13 @@ def test_license_families_unknowns_and_odd_rows(spark, docs, license_model):
 def test_license_lines_without_gate_words_have_no_feature(license_model):
     for name in license_model.features:
         assert any(w in license_model.gate for w in name.split(" "))
+
+
+def test_license_wording_common_in_the_corpus_is_still_found(spark, corpus):
+    grants = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+              "Redistribution and use in source and binary forms, with or without modification, are permitted",
+              "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/")
+    rows = [(i, (grants[i // 3 % 3] + "\n" if i % 3 == 0 else "") + (t or "")) for i, t in corpus]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(df).collect()}
+    assert got == {i: ("MIT", "BSD", "MPL-2.0")[i // 3 % 3] if i % 3 == 0 else "none" for i, _ in rows}
