@@ -149,6 +149,51 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+),
+drawn AS (
+    SELECT doc_id, s, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS one,
+           CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS two,
+           s = '' OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>')
+               OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 AS plain,
+           CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 AS suffix_first
+    FROM t
+),
+cut AS (
+    SELECT *, array_to_string(u[1:least(one, two)], '') AS p,
+           array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS m,
+           array_to_string(u[greatest(one, two) + 1:], '') AS rest
+    FROM drawn
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN s WHEN suffix_first THEN '<S>' || rest || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || rest || '<M>' || m END) AS output_sha256,
+       sha256(s) AS restored_sha256
+FROM cut
+"""
+
+OP12 = """
+WITH vec AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)) AS x
+    FROM embeddings
+    WHERE coalesce(len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0, false)
+),
+scored AS (
+    SELECT q.r, q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+    FROM vec q JOIN vec v ON q.r <> v.r AND q.vec_id % 50 = 0
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op4_itq_dedup": OP4, "op5_exact_dedup": OP5, "op6_jaccard_join": OP6, "op7_source_mix": OP7,
-            "op8_chat_format": OP8, "op9_substring_dedup": OP9}
+            "op8_chat_format": OP8, "op9_substring_dedup": OP9, "op11_fill_middle": OP11, "op12_topk_search": OP12}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propcube.llm import bpe, chat_format, crf_langid, exact_dedup, itq_dedup, jaccard_join, license_scan, quality_cnn, source_mix, substring_dedup
+from propcube.llm import (bpe, chat_format, crf_langid, exact_dedup, fill_middle, itq_dedup, jaccard_join, license_scan, quality_cnn,
+                          source_mix, substring_dedup, topk_search, whitening)
 from propcube.llm.common import read
 from propcube.llm.oracle import oracle_sql as oracle_sql
 
@@ -66,6 +67,19 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), k=4)
+
+
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_license_scan, op2_crf_langid, op3_bpe, op4_itq_dedup, op5_exact_dedup, op6_jaccard_join, op7_source_mix,
-                                   op8_chat_format, op9_substring_dedup, op10_quality_cnn)}
+                                   op8_chat_format, op9_substring_dedup, op10_quality_cnn, op11_fill_middle,
+                                   op12_topk_search, op13_whitening)}
