@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propcube import schemas as S
+from propcube.functions import literals
 from propcube.functions.exprs import col, hash_u32
 
 # Python's str.strip() removes Unicode whitespace (incl. NBSP), not only ' '.
@@ -61,15 +62,6 @@ def synth_register_date(prop_id: str | Column, start: str = S.SYNTH_DATE_START,
 LOCATION_FIELDS = ("LOCALITY_NAME", "BUILDING_ID", "BUILDING_NAME", "SOCIETY_NAME")
 _LOC_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in LOCATION_FIELDS])
 _MAP_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("LATITUDE", "LONGITUDE")])
-_JSON_OPTS = {"allowSingleQuotes": "true", "mode": "PERMISSIVE"}
-
-
-def _pyliteral_to_json(c: str | Column) -> Column:
-    """Python literal tokens -> JSON tokens (True/False/None, \\xNN)."""
-    s = F.regexp_replace(col(c), r"(?<=[:,\[{]\s{0,4})True(?=\s*[,}\]])", "true")
-    s = F.regexp_replace(s, r"(?<=[:,\[{]\s{0,4})False(?=\s*[,}\]])", "false")
-    s = F.regexp_replace(s, r"(?<=[:,\[{]\s{0,4})None(?=\s*[,}\]])", "null")
-    return F.regexp_replace(s, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
 
 
 # -- ING5 / ING6 / ING10 / ING11 / ING12 -----------------------------------------
@@ -182,14 +174,14 @@ def with_literals(df: DataFrame, loc_src: str, map_src: str) -> DataFrame:
     keys or an unparseable literal, and latitude, longitude as decimal(10,7)
     (absent, empty, zero or unparseable -> NULL).
 
-    Each literal is parsed once per row: the two from_json structs are
+    Each literal is parsed once per row: the two parsed structs are
     expanded by ``inline`` (a Generate node, which projections cannot be
     collapsed across), so later field accesses read plain columns instead
     of re-inlining the parse into every ``CASE`` branch.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]
-    lj = F.from_json(_pyliteral_to_json(F.col(loc_src)), _LOC_SCHEMA, _JSON_OPTS)
-    mj = F.from_json(_pyliteral_to_json(F.col(map_src)), _MAP_SCHEMA, _JSON_OPTS)
+    lj = literals.parsed(F.col(loc_src), _LOC_SCHEMA)
+    mj = literals.parsed(F.col(map_src), _MAP_SCHEMA)
     df = df.select(*keep, F.inline(F.array(F.struct(lj.alias("__lj"), mj.alias("__mj")))))
 
     def one(v: Column) -> Column:

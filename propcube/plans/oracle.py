@@ -657,6 +657,17 @@ def parse_location_sql() -> str:
        {geo_sql('LATITUDE')} AS latitude, {geo_sql('LONGITUDE')} AS longitude FROM raw""")
 
 
+def parse_literals_sql() -> str:
+    """The fields by style of the row, from the text itself."""
+    spaces = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+    return f"""SELECT doc_id,
+       CASE WHEN text IS NULL OR doc_id % 6 > 3 THEN '' WHEN doc_id % 6 = 3 THEN 'AAA' ELSE trim(text, '{spaces}') END AS locality_name,
+       CASE WHEN text IS NOT NULL AND doc_id % 6 IN (0, 3) THEN CAST(doc_id AS VARCHAR) ELSE '0' END AS building_id_raw,
+       CASE WHEN text IS NULL THEN '' WHEN doc_id % 6 = 1 THEN 'Plot: True, near' WHEN doc_id % 6 = 3 THEN text ELSE '' END AS building_name,
+       CASE WHEN text IS NOT NULL AND doc_id % 6 = 2 THEN 'Green ''Park''' ELSE '' END AS society_name
+FROM documents"""
+
+
 def _synth(prop: str) -> str:
     h = f"('0x' || substr(md5(concat_ws('|', {prop})), 1, 8))::BIGINT"
     return f"(DATE '2022-10-01' + CAST({h} % 396 AS INTEGER))"

@@ -172,6 +172,15 @@ def _parse_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_literals(r, "location", "MAP_DETAILS").drop("location", "MAP_DETAILS")
 
 
+def _parse_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING3 on literals that hold any text, brackets and words inside strings
+    included."""
+    apply_required_conf(spark)
+    r = RAW.literal_rows(spark, sf_dir)
+    return P.with_literals(r, "location", "MAP_DETAILS").select(
+        "doc_id", "locality_name", "building_id_raw", "building_name", "society_name")
+
+
 def _ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1 end to end: render each city's raw rows as a header CSV file
     set, read them back through the CSV reader, then clean."""
@@ -191,6 +200,7 @@ def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
         "parse_price": (_parse_price, O.parse_price_sql()),
         "parse_date": (_parse_date, O.parse_date_sql()),
         "parse_location": (_parse_location, O.parse_location_sql()),
+        "parse_literals": (_parse_literals, O.parse_literals_sql()),
         "normalize_listings": (
             lambda spark, d: I.union_cities(RAW.stored_city_frames(spark, d)).select(*I.NORMALIZED_COLUMNS),
             O.normalize_listings_sql()),

@@ -185,6 +185,29 @@ def city_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
+def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locality literals that hold any text: every document's text inside a
+    dict as Python would write it, in six styles by doc_id (the last two are
+    no literals)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    body = F.col("text")
+    for raw, written in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\x85", "\\x85"), ("é", "\\u00e9")):
+        body = F.replace(body, F.lit(raw), F.lit(written))
+    quoted = F.concat(F.lit("'"), body, F.lit("'"))
+    k = F.col("doc_id")
+    literal = _pick(k, 6, [
+        F.concat(F.lit("{'LOCALITY_NAME': "), quoted, F.lit(", 'BUILDING_ID': "), _s(k), F.lit(",}")),
+        F.concat(F.lit("{'X': (1, 'True, (', [None, {'y': (2,)}]), 'BUILDING_NAME': 'Plot: True, near', \"LOCALITY_NAME\": "),
+                 quoted, F.lit("}")),
+        F.concat(F.lit("{'SOCIETY_NAME': 'Green' \" 'Park'\", 'LOCALITY_NAME': "), quoted, F.lit(", 'Z': {1, 2}}")),
+        F.concat(F.lit("{'BUILDING_ID': 0x"), F.lower(F.hex(k)), F.lit(", 'BUILDING_NAME': "), quoted,
+                 F.lit(", 'LOCALITY_NAME': ' \\x41\\101\\u0041\\t', True: None}")),
+        F.concat(F.lit("{'LOCALITY_NAME': "), quoted),
+        F.col("text"),
+    ])
+    return d.select("doc_id", literal.alias("location"), F.lit(None).cast("string").alias("MAP_DETAILS"))
+
+
 _MATERIALIZED: dict[tuple, dict[str, str]] = {}
 
 

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from propcube.plans import registry
 from tests.conftest import SF_SMALL
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
 QUERIES = registry.queries()
 KEYS = sorted(QUERIES)
 ORACLES = registry.oracle_sql()
