@@ -22,7 +22,7 @@ from propcube.operators import search as Q
 from propcube.operators import views as V
 from propcube.plans import batches as B
 from propcube.plans import oracle as O
-from propcube.session import apply_required_conf, scratch_path
+from propcube.session import apply_required_conf, materialize, scratch_path
 from propcube.sources import raw as RAW
 from propcube.sources.bridge import Tables
 from propcube.sources.tables import read_table
@@ -459,6 +459,10 @@ def _changes() -> dict[str, tuple[QueryFn, str | None]]:
     }
 
 
+#: Rows of a file that a stream reads.
+FILE_ROWS = 250_000
+
+
 def _run_feed(spark: SparkSession, sf_dir: str, trends: bool = False, per_trigger: int = 1) -> tuple[str, str]:
     """The feed of every order drained into a state; (state, trends) folders.
     The outcome is the same for any number of files per trigger."""
@@ -466,8 +470,9 @@ def _run_feed(spark: SparkSession, sf_dir: str, trends: bool = False, per_trigge
     from propcube.streaming import incremental as INC
     t = _t(spark, sf_dir)
     root = scratch_path(spark, "feed")
-    # the changes of one order stay in one file, in seq order
-    B.feed_changes(spark, sf_dir).repartition(4, F.expr("seq div 10")).sortWithinPartitions("seq") \
+    changes = materialize(B.feed_changes(spark, sf_dir), "feed")
+    # the changes of one order stay in one file, in seq order; two files at least
+    changes.repartition(max(2, -(-changes.count() // FILE_ROWS)), F.expr("seq div 10")).sortWithinPartitions("seq") \
         .write.parquet(f"{root}/in")
     CF.init_state(t.listings, f"{root}/state")
     if trends:
@@ -500,7 +505,7 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     from propcube.streaming import incremental as INC
     t = _t(spark, sf_dir)
     root = scratch_path(spark, "trend")
-    t.listings.repartition(4).write.parquet(f"{root}/in")
+    t.listings.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{root}/in")
     INC.run_incremental(spark, f"{root}/in", S.LISTINGS, f"{root}/state", f"{root}/checkpoint", t.cities)
     return INC.finalize(INC.read_partials(spark, f"{root}/state"))
 

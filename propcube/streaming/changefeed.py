@@ -1,10 +1,14 @@
 """S1: apply a stream of listing changes with Structured Streaming.
 
-State = a base snapshot plus one small table per micro-batch with the new
-image (or the deletion) of every listing that the batch touched, named by a
-manifest. A batch reads the key columns and the touched rows, and writes only
-its own rows and a manifest, whose appearance is the commit; so bytes written
-follow the batch, not the table. ``compact`` folds the batches into a new base.
+The state is four plain tables, changed a partition at a time
+(``sources.buckets``): the listings by a hash bucket of their id, the prop_ids
+by a bucket of their own, and for each stream and batch the images of the
+listings that it touched (before and after) and the changes that it rejected.
+A batch opens only the buckets that its keys fall into. Its images are written
+first, as one partition; then they replace their listings in the buckets. A
+repeated batch finds its images and writes the same rows again, so it changes
+nothing, wherever the first attempt ended. Streams are told apart by the id in
+their checkpoint. A deleted listing stays in its bucket as a marked row.
 
 Within a batch, changes take effect in ``seq`` order: updates of one listing
 merge column by column, an update or delete after its delete is rejected as
@@ -12,120 +16,106 @@ merge column by column, an update or delete after its delete is rejected as
 again after its listing's delete. Every change that is not applied is written
 to the rejects with its seq and reasons, so the outcome does not depend on how
 files fall into batches (as long as the changes of a key arrive in order).
-
-A manifest also holds the last batch id applied for each streaming query (the
-id in its checkpoint): a replayed batch is skipped, while a new checkpoint over
-an old state starts counting anew.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propcube import schemas as S
 from propcube.operators import changes as C
-from propcube.operators.views import _fs
-from propcube.session import materialize
+from propcube.session import exists, materialize
+from propcube.sources.buckets import bucket_of, buckets_for, read_partitions, touched, write_partitions
 
 CHANGE_SCHEMA = T.StructType(
     [T.StructField("op", T.StringType()), T.StructField("seq", T.LongType()),
      T.StructField("set_cols", T.ArrayType(T.StringType()))]
     + [T.StructField(n, t) for n, t in S.LISTING_COLUMNS if n not in ("created_at", "updated_at")])
 COLUMNS = [n for n, _ in S.LISTING_COLUMNS]
-REJECTS = "seq long, op string, reasons array<string>"
-DELTA = T.StructType([*S.LISTINGS.fields, T.StructField("_deleted", T.BooleanType())])
-#: Batches between two compactions of a running feed.
-COMPACT_EVERY = 50
+_DELETED = T.StructField("_deleted", T.BooleanType())
+_BUCKET = T.StructField("bucket", T.IntegerType())
+_BATCH = [T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())]
+LISTINGS = T.StructType([*S.LISTINGS.fields, _DELETED, _BUCKET])
+PROPS = T.StructType([S.LISTINGS["listing_id"], S.LISTINGS["prop_id"], _DELETED, _BUCKET])
+IMAGES = T.StructType([*S.LISTINGS.fields, _DELETED, T.StructField("_after", T.BooleanType()), *_BATCH])
+REJECTS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()),
+                        T.StructField("reasons", T.ArrayType(T.StringType())), *_BATCH])
+
 
+# -- the state -----------------------------------------------------------------
 
-# -- manifests -----------------------------------------------------------------
+class State:
+    """The tables of a feed below ``root``."""
 
-def _read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        layout = spark.read.parquet(f"{root}/layout").first()
+        self.buckets, self.first_top = layout["buckets"], layout["top_id"]
 
+    def listings(self, wanted=None) -> DataFrame:
+        """Listings and marked deletes, of the wanted buckets or all."""
+        return read_partitions(self.spark, f"{self.root}/listings", LISTINGS, wanted)
 
-def committed_versions(spark: SparkSession, state_dir: str) -> list[int]:
-    """Numbers of the committed manifests, ascending."""
-    fs, base = _fs(spark, f"{state_dir}/manifests")
-    if not fs.exists(base):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(base)]
-    return sorted(int(n.removeprefix("m-").removesuffix(".json")) for n in names if n.endswith(".json"))
+    def of_keys(self, table: str, schema: T.StructType, keys: DataFrame, key: str) -> DataFrame:
+        """Rows of the buckets that the keys fall into."""
+        held = touched(keys.where(F.col(key).isNotNull()).select(bucket_of(key, self.buckets).alias("bucket")), "bucket")
+        return read_partitions(self.spark, f"{self.root}/{table}", schema, F.col("bucket").isin(held))
 
+    def replace(self, table: str, schema: T.StructType, images: DataFrame, key: str) -> None:
+        """Put ``images`` in the place of the rows of their listings."""
+        images = images.withColumn("bucket", bucket_of(key, self.buckets))
+        kept = self.of_keys(table, schema, images, key).join(images.select("listing_id"), "listing_id", "left_anti")
+        write_partitions(kept.select(schema.names).unionByName(images.select(schema.names)), f"{self.root}/{table}", ["bucket"])
 
-def manifest(spark: SparkSession, state_dir: str) -> dict:
-    versions = committed_versions(spark, state_dir)
-    if not versions:
-        raise FileNotFoundError(f"no committed listings state under {state_dir}")
-    return json.loads(_read_text(spark, f"{state_dir}/manifests/m-{versions[-1]:012d}.json")) | {"version": versions[-1]}
+    def written(self, table: str, schema: T.StructType) -> DataFrame:
+        path = f"{self.root}/{table}"
+        return read_partitions(self.spark, path, schema) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
+    def images(self, stream: str, batch: int) -> DataFrame:
+        return self.written("images", IMAGES).where((F.col("stream") == stream) & (F.col("batch") == batch))
 
-def _commit(spark: SparkSession, state_dir: str, version: int, content: dict) -> None:
-    """Write the manifest aside and rename it: readers see all of it or none."""
-    fs, final = _fs(spark, f"{state_dir}/manifests/m-{version:012d}.json")
-    _, aside = _fs(spark, f"{state_dir}/manifests/.m-{version:012d}.tmp")
-    out = fs.create(aside, True)
-    out.write(bytearray(json.dumps(content).encode()))
-    out.close()
-    if not fs.rename(aside, final):
-        raise RuntimeError(f"version {version} of {state_dir} was committed by another writer")
+    def top_id(self) -> int:
+        """The greatest id given so far, deleted listings included."""
+        made = self.written("images", IMAGES).agg(F.max("listing_id")).first()[0]
+        return max(self.first_top, made or 0)
 
 
 def init_state(listings: DataFrame, state_dir: str) -> None:
-    """Version 0: the starting snapshot."""
+    """The starting snapshot."""
     spark = listings.sparkSession
-    listings.select(*COLUMNS).write.mode("errorifexists").parquet(f"{state_dir}/base-0")
-    top = spark.read.schema(S.LISTINGS).parquet(f"{state_dir}/base-0").agg(F.max("listing_id")).first()[0] or 0
-    _commit(spark, state_dir, 0, {"base": "base-0", "deltas": [], "top_id": top, "applied": {}})
-
-
-def _state_of(spark: SparkSession, state_dir: str, m: dict) -> DataFrame:
-    base = spark.read.schema(S.LISTINGS).parquet(f"{state_dir}/{m['base']}").select(*COLUMNS)
-    if not m["deltas"]:
-        return base
-    frames = [spark.read.schema(DELTA).parquet(f"{state_dir}/{d}").withColumn("_n", F.lit(i))
-              for i, d in enumerate(m["deltas"])]
-    every = frames[0]
-    for f in frames[1:]:
-        every = every.unionByName(f)
-    last = every.groupBy("listing_id").agg(F.max("_n").alias("_n"))
-    newest = every.join(last, ["listing_id", "_n"])
-    kept = base.join(last.select("listing_id"), "listing_id", "left_anti")
-    return kept.select(*COLUMNS).unionByName(newest.where("NOT _deleted").select(*COLUMNS))
+    rows = materialize(listings.select(*COLUMNS), "snapshot").withColumn("_deleted", F.lit(False))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("listing_id").alias("top")).first()
+    buckets = buckets_for(size["n"])
+    write_partitions(rows.withColumn("bucket", bucket_of("listing_id", buckets)), f"{state_dir}/listings", ["bucket"])
+    props = rows.where("prop_id IS NOT NULL").select("listing_id", "prop_id", "_deleted", bucket_of("prop_id", buckets).alias("bucket"))
+    write_partitions(props, f"{state_dir}/props", ["bucket"])
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(size["top"] or 0).cast("long").alias("top_id")) \
+        .write.parquet(f"{state_dir}/layout")
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """The current listings."""
-    return _state_of(spark, state_dir, manifest(spark, state_dir))
+    return State(spark, state_dir).listings().where("NOT _deleted").select(*COLUMNS)
 
 
 def read_rejects(spark: SparkSession, state_dir: str) -> DataFrame:
     """Changes that were not applied, of all batches."""
-    fs, base = _fs(spark, f"{state_dir}/rejects")
-    if not fs.exists(base):
-        return spark.createDataFrame([], REJECTS)
-    return spark.read.schema(REJECTS).parquet(f"{state_dir}/rejects/*")
-
-
-def compact(spark: SparkSession, state_dir: str) -> None:
-    """Fold the batches so far into a new base."""
-    m = manifest(spark, state_dir)
-    version = m.pop("version") + 1
-    _state_of(spark, state_dir, m).write.mode("overwrite").parquet(f"{state_dir}/base-{version}")
-    _commit(spark, state_dir, version, m | {"base": f"base-{version}", "deltas": []})
+    return State(spark, state_dir).written("rejects", REJECTS).select("seq", "op", "reasons")
 
 
 # -- one batch -------------------------------------------------------------------
 
 def change_delta(listings: DataFrame, changes: DataFrame, cities: DataFrame, localities: DataFrame,
-                 batch_ts: str, top_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 batch_ts: str, top_id: int | None = None, props: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new images of touched listings with ``_deleted``, rejects) of a batch.
 
-    ``changes`` is read several times: give a written or persisted frame."""
+    ``listings`` may be any part of the table that holds the batch's ids, and
+    ``props`` (listing_id, prop_id) one that holds its prop_ids (default: the
+    listings). ``changes`` is read several times: give a written or persisted
+    frame."""
+    props = listings if props is None else props
     ops = {op: changes.where(F.col("op") == op) for op in ("create", "update", "delete")}
     ids = changes.where(F.col("op").isin("update", "delete") & F.col("listing_id").isNotNull()) \
         .select("listing_id").distinct()
@@ -150,7 +140,7 @@ def change_delta(listings: DataFrame, changes: DataFrame, cities: DataFrame, loc
 
     creates = ops["create"].drop("op", "listing_id", "set_cols")
     freed = gone.select("prop_id", F.col("gone_seq").alias("freed_seq"))
-    known = materialize(listings.select("listing_id", "prop_id").join(
+    known = materialize(props.select("listing_id", "prop_id").join(
         creates.select("prop_id").where("prop_id IS NOT NULL").distinct(), "prop_id", "left_semi"), "known")
     if top_id is None:
         top_id = listings.agg(F.max("listing_id")).first()[0] or 0
@@ -186,39 +176,47 @@ def apply_changes(listings: DataFrame, changes: DataFrame, cities: DataFrame, lo
 
 # -- the stream ------------------------------------------------------------------
 
+def apply_batch(state: State, batch: DataFrame, stream: str, number: int, cities: DataFrame, localities: DataFrame,
+                batch_ts: str) -> DataFrame:
+    """Apply one micro-batch; returns its images. Repeating it is harmless."""
+    label = [F.lit(stream).alias("stream"), F.lit(number).cast("long").alias("batch")]
+    if not state.images(stream, number).limit(1).count():
+        changes = materialize(batch, "changes")
+        current = state.of_keys("listings", LISTINGS, changes, "listing_id").where("NOT _deleted").select(*COLUMNS)
+        props = state.of_keys("props", PROPS, changes.where("op = 'create'"), "prop_id").where("NOT _deleted")
+        delta, rejects = change_delta(current, changes, cities, localities, batch_ts, state.top_id(), props)
+        delta = materialize(delta, "delta")
+        before = current.join(delta.select("listing_id"), "listing_id", "left_semi").select(
+            *COLUMNS, F.lit(False).alias("_deleted"), F.lit(False).alias("_after"))
+        write_partitions(rejects.select("*", *label), f"{state.root}/rejects", ["stream", "batch"])
+        # the images come last: with them the batch is decided
+        write_partitions(delta.withColumn("_after", F.lit(True)).unionByName(before).select("*", *label),
+                         f"{state.root}/images", ["stream", "batch"])
+    images = state.images(stream, number)
+    after = images.where("_after")
+    state.replace("listings", LISTINGS, after, "listing_id")
+    state.replace("props", PROPS, after.where("prop_id IS NOT NULL"), "prop_id")
+    return images
+
+
 def run_change_feed(spark: SparkSession, source_dir: str, state_dir: str, checkpoint_dir: str,
                     cities: DataFrame, localities: DataFrame, batch_ts: str,
                     max_files_per_trigger: int = 1, trends_dir: str | None = None) -> None:
     """Drain every available change file (``availableNow``) into the state.
-    With ``trends_dir``, the price-trend partials (S2) of every city and month
-    that a batch touched are rebuilt after it."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        feed = json.loads(_read_text(spark, f"{checkpoint_dir}/metadata"))["id"]
-        m = manifest(spark, state_dir)
-        if m["applied"].get(feed, -1) >= batch_id:
-            return  # replay of a committed batch
-        version = m.pop("version") + 1
-        current = _state_of(spark, state_dir, m)
-        changes = materialize(batch, "changes")
-        delta, rejects = change_delta(current, changes, cities, localities, batch_ts, m["top_id"])
-        name = f"delta-{version}"
-        delta.write.mode("overwrite").parquet(f"{state_dir}/{name}")
-        rejects.write.mode("overwrite").parquet(f"{state_dir}/rejects/r-{version}")
-        stored = spark.read.schema(DELTA).parquet(f"{state_dir}/{name}")
-        top = max(m["top_id"], stored.agg(F.max("listing_id")).first()[0] or 0)
-        done = m | {"deltas": m["deltas"] + [name], "top_id": top, "applied": m["applied"] | {feed: batch_id}}
+    With ``trends_dir``, the price-trend partials (S2) take the images."""
+    from propcube.streaming import incremental as INC
+    state = State(spark, state_dir)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        stream = INC.stream_id(spark, checkpoint_dir)
+        images = apply_batch(state, batch, stream, batch_id, cities, localities, batch_ts)
         if trends_dir is not None:
-            from propcube.streaming import incremental as INC
-            before = current.join(stored.select("listing_id"), "listing_id", "left_semi")
-            INC.refresh_touched(spark, trends_dir, before.unionByName(stored.drop("_deleted")),
-                                _state_of(spark, state_dir, done), cities)
-        _commit(spark, state_dir, version, done)
-        if len(done["deltas"]) >= COMPACT_EVERY:
-            compact(spark, state_dir)
+            signed = INC.signed_images(images.where("NOT _after"), images.where("_after AND NOT _deleted"))
+            INC.apply_signed(spark, trends_dir, signed, cities, stream, batch_id, lambda: read_state(spark, state_dir))
 
     stream = (spark.readStream.schema(CHANGE_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(apply)
+    q = (stream.writeStream.foreachBatch(take)
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -1,10 +1,11 @@
 """S1 idempotence and S2 = AGG7."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.operators import views as V
 from propcube.plans import batches as B
-from propcube.session import scratch_path
+from propcube.session import materialize, scratch_path
 from propcube.streaming import changefeed as CF
 from propcube.streaming import incremental as INC
 from tests.conftest import SF_SMALL
@@ -35,21 +36,28 @@ def _run(spark, tables, changes, files, per_trigger, trends=False, key="coalesce
 COLS = ["prop_id", "price_inr", "verified", "is_active"]
 
 
-def test_change_feed_replay_new_checkpoint_and_compaction(spark, tables):
+def test_change_feed_replay_and_new_checkpoint(spark, tables):
     changes = B.feed_changes(spark, SF_SMALL)
-    root = _run(spark, tables, changes, 2, 1, key="seq div 10")
+    root = _run(spark, tables, changes, 2, 1, trends=True, key="seq div 10")
     state = f"{root}/state"
-    first = sorted(CF.read_state(spark, state).select(COLS).collect())
-    versions = CF.committed_versions(spark, state)
+    seen = lambda: (sorted(CF.read_state(spark, state).collect()), sorted(CF.read_rejects(spark, state).collect(), key=repr),
+                    sorted(INC.finalize(INC.read_partials(spark, f"{root}/trends")).collect()))
+    first = seen()
     args = (tables.cities, tables.localities, TS)
     CF.run_change_feed(spark, f"{root}/in", state, f"{root}/ck", *args)  # same checkpoint: nothing new
-    assert CF.committed_versions(spark, state) == versions
-    # replay of a committed batch: the manifest knows it
+    assert seen() == first
+    # a batch that is repeated finds its images; a partition that it had not reached is written then
+    stream = INC.stream_id(spark, f"{root}/ck")
+    lost = CF.State(spark, state)
+    before = tables.listings.withColumn("_deleted", F.lit(False)).withColumn("bucket", CF.bucket_of("listing_id", lost.buckets))
+    CF.write_partitions(before, f"{state}/listings", ["bucket"])
+    for n in (0, 1):
+        images = CF.apply_batch(lost, changes, stream, n, *args)
+        INC.apply_signed(spark, f"{root}/trends", INC.signed_images(images.where("NOT _after"), images.where("_after AND NOT _deleted")),
+                         tables.cities, stream, n)
+    assert seen() == first
     batch, rejects = CF.apply_changes(tables.listings, changes, *args)
-    assert sorted(batch.select(COLS).collect()) == first
-    CF.compact(spark, state)
-    assert CF.manifest(spark, state)["deltas"] == []
-    assert sorted(CF.read_state(spark, state).select(COLS).collect()) == first
+    assert sorted(batch.select(COLS).collect()) == sorted(CF.read_state(spark, state).select(COLS).collect())
     # a new checkpoint over an old state does not skip its first batches
     more = scratch_path(spark, "feed-more")
     spark.createDataFrame([("update", 1, ["price_inr"], 5, 77)], "op string, seq long, set_cols array<string>, "
@@ -61,6 +69,69 @@ def test_change_feed_replay_new_checkpoint_and_compaction(spark, tables):
     assert CF.read_state(spark, state).where("listing_id = 5").first().price_inr == 77
 
 
+def _trends(spark, state_dir):
+    return sorted(INC.finalize(INC.read_partials(spark, state_dir)).collect())
+
+
+def _recomputed(tables, listings):
+    want = V.mv_price_trends(tables.with_tables(listings=listings))
+    return sorted(want.select("city_name", "month", "listing_count", "avg_price_sqft", "avg_price_inr",
+                              "min_price_inr", "max_price_inr").collect())
+
+
+def test_trends_of_a_second_stream_and_a_repeated_batch(spark, tables):
+    """A new checkpoint over the same state counts on; a replay does not."""
+    root = scratch_path(spark, "inc-two")
+    odd, even = (tables.listings.where(F.col("listing_id") % 2 == i) for i in (1, 0))
+    odd.repartition(2).write.parquet(f"{root}/in1")
+    even.repartition(1).write.parquet(f"{root}/in2")
+    state = f"{root}/state"
+    for part in ("1", "2"):
+        INC.run_incremental(spark, f"{root}/in{part}", S.LISTINGS, state, f"{root}/ck{part}", tables.cities)
+    want = _recomputed(tables, tables.listings)
+    assert _trends(spark, state) == want
+    rows = spark.read.schema(S.LISTINGS).parquet(f"{root}/in2")
+    INC.apply_signed(spark, state, rows, tables.cities, INC.stream_id(spark, f"{root}/ck2"), 0)
+    assert _trends(spark, state) == want
+
+
+def test_trends_follow_updates_and_deletes_until_extremes_run_dry(spark, tables, monkeypatch):
+    monkeypatch.setattr(INC, "TAIL", 2)
+    root = scratch_path(spark, "inc-signed")
+    base = materialize(tables.listings, "inc-base")
+    INC.init_partials(base, tables.cities, f"{root}/state")
+    asked = []
+
+    def step(n, before, after, left):
+        def listings():
+            asked.append(n)
+            return left
+        INC.apply_signed(spark, f"{root}/state", INC.signed_images(before, after), tables.cities, "s", n, listings)
+        assert _trends(spark, f"{root}/state") == _recomputed(tables, left)
+
+    up = base.where("listing_id % 97 = 0")
+    dearer = up.withColumn("price_inr", (F.col("price_inr") + 1).cast(S.MONEY)).withColumn("city_id", F.lit(1).cast("long"))
+    now = materialize(base.where("listing_id % 97 <> 0").unionByName(dearer), "inc-now")
+    step(0, up, dearer, now)
+    w = Window.partitionBy("city_id", F.trunc("register_date", "MM")).orderBy("price_inr")
+    ranked = now.where("transact_type = 1").withColumn("r", F.row_number().over(w))
+    cheap = materialize(ranked.where("r <= 4").drop("r"), "inc-cheap")  # more than a list holds
+    now = materialize(now.join(cheap.select("listing_id"), "listing_id", "left_anti").select(base.columns), "inc-left")
+    step(1, cheap, now.limit(0), now)
+    assert 1 in asked and 0 not in asked
+    step(2, now, now.limit(0), now.limit(0))  # all gone
+    assert _trends(spark, f"{root}/state") == []
+
+
+def test_a_batch_does_not_read_the_listings(spark, tables):
+    """The plan of a merge reads the batch's prices and the state only."""
+    root = scratch_path(spark, "inc-plan")
+    INC.init_partials(tables.listings, tables.cities, f"{root}/state")
+    delta = materialize(INC.by_price(tables.listings.limit(10), tables.cities), "ten")
+    plan = INC.merge(INC._state(spark, f"{root}/state"), delta, "x", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "listing_id" not in plan
+
+
 def _changes(spark, rows):
     return spark.createDataFrame(rows, "op string, seq long, set_cols array<string>, listing_id long, prop_id string, "
                                  "price long, verified boolean, city_id long").selectExpr(
