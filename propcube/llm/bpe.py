@@ -9,7 +9,10 @@ on its last symbol, then merged by rank.
 A word is held as boundaries between parts and, beside them, the merge rank of
 each adjacent pair; the least rank is found by scanning, its boundary deleted
 and the two neighbouring ranks refreshed, until no pair can merge. Results are
-remembered by white-space-separated chunk, for ``CACHE`` chunks at most.
+remembered by white-space-separated chunk and by word, in at most ``CACHE``
+bytes each. The scan is for short words; above ``SHORT`` bytes the least rank,
+leftmost first, comes from a heap instead, with the same ids in time that
+grows little faster than the word.
 
 Defined results: null text is empty; empty text has no tokens, the digest of
 no bytes, and decodes to the empty text. Rows keep their multiplicity.
@@ -18,6 +21,7 @@ no bytes, and decodes to the empty text. Rows keep their multiplicity.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from array import array
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 
 from propcube.llm.common import ship
 
-CACHE = 300_000
+CACHE = 8 << 20
+SHORT = 256
 NO_RANK = 1 << 60
 
 
@@ -43,6 +48,20 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Results by text, forgotten as a whole when they hold about CACHE bytes."""
+
+    def __init__(self):
+        self.held = 0
+
+    def keep(self, text: str, ids: bytes) -> None:
+        self.held += 160 + 2 * len(text) + len(ids)  # two objects and a place in the table
+        if self.held > CACHE:
+            self.clear()
+            self.held = 160 + 2 * len(text) + len(ids)
+        self[text] = ids
+
+
 class WordBpe:
     """The tokenizer of a description file's text."""
 
@@ -68,14 +87,15 @@ class WordBpe:
         self.inner = [self.vocab[c] for c in alphabet]
         self.final = [self.vocab[c + self.suffix] for c in alphabet]
         self.by_id = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.cache, self.known = Remembered(), Remembered()
 
     def word(self, text: str) -> list[int]:
         """Ids of one word."""
         raw = text.encode()
         parts = [self.inner[b] for b in raw]
         parts[-1] = self.final[raw[-1]]
+        if len(parts) > SHORT:
+            return self.long_word(parts)
         rank = self.ranks.get
         ranks = [rank((a << 20) + b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
@@ -91,20 +111,53 @@ class WordBpe:
                 ranks[i - 1] = rank((parts[i - 1] << 20) + part, NO_RANK)
         return parts
 
+    def long_word(self, parts: list[int]) -> list[int]:
+        """Ids of a long word: links between the parts left, and a heap of
+        (rank, place) whose outdated entries are passed over."""
+        n, rank = len(parts), self.ranks.get
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        now = [rank((a << 20) + b, NO_RANK) for a, b in zip(parts, parts[1:])] + [NO_RANK]
+        heap = [(r, i) for i, r in enumerate(now) if r != NO_RANK]
+        heapq.heapify(heap)
+
+        def refresh(i: int) -> None:
+            j = right[i]
+            now[i] = rank((parts[i] << 20) + parts[j], NO_RANK) if j < n else NO_RANK
+            if now[i] != NO_RANK:
+                heapq.heappush(heap, (now[i], i))
+
+        while heap:
+            r, i = heapq.heappop(heap)
+            if now[i] != r:
+                continue
+            gone = right[i]
+            parts[i], now[gone] = self.made[r], -1
+            right[i] = right[gone]
+            if right[i] < n:
+                left[right[i]] = i
+            refresh(i)
+            if left[i] >= 0:
+                refresh(left[i])
+        out, i = [], 0
+        while i < n:
+            out.append(parts[i])
+            i = right[i]
+        return out
+
     def plain(self, text: str) -> list[int]:
         """Ids of text without special strings."""
         lowered = "".join(c if c == "ς" else c.lower() for c in unicodedata.normalize("NFC", text)) \
             if "Σ" in text else unicodedata.normalize("NFC", text).lower()
         ids: list[int] = []
         for w in self.words.findall(lowered):
-            got = self.known.get(w)
-            if got is None:
+            kept = self.known.get(w)
+            if kept is None:
                 got = self.word(w)
                 if len(w) <= 200:
-                    if len(self.known) >= CACHE:
-                        self.known.clear()
-                    self.known[w] = got
-            ids += got
+                    self.known.keep(w, array("I", got).tobytes())
+                ids += got
+            else:
+                ids += memoryview(kept).cast("I")
         return ids
 
     def chunk(self, text: str) -> bytes:
@@ -117,9 +170,7 @@ class WordBpe:
         ids += self.plain(text[at:] if at else text)
         made = array("I", ids).tobytes()
         if len(text) <= 200:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[text] = made
+            self.cache.keep(text, made)
         return made
 
     def encode(self, text: str) -> bytes:
