@@ -9,14 +9,15 @@ document's language has the greatest sum of marginals over all its words, and
 its score is their mean.
 
 Training happens on the driver on a bounded sample: the ``per_lang`` smallest
-hashes of each language among the learnable documents of at most
-``train_bytes`` bytes. Chains of one to three pieces of different documents
+hashes of each language among the learnable documents, at most
+``train_bytes`` bytes of each. Chains of one to three pieces of different documents
 teach the transitions. Prediction runs in the tasks over whole texts.
 
 Defined results: null text or text without a letter is ``und`` with score 0; a
 null language is not learned; with one language known it is always predicted,
 with none every text is ``und``. Rows keep their multiplicity; ties go to the
-language that sorts first.
+language that sorts first. A text's result is the same in any batch; repeated
+rows get equal results, and an id with several texts teaches one of them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propcube.llm.common import by_bytes, crc_of, range_hasher, ship, utf8, words, written
@@ -47,27 +48,42 @@ def word_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (((np.stack(cols, 1) ^ salt) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(47)).astype(np.int64)
 
 
-def trigrams(raw: np.ndarray) -> np.ndarray:
-    """Place of the trigram around each byte; the text's ends count as spaces."""
-    wide = np.concatenate([[32], raw, [32]]).astype(np.uint32)
-    wide[(wide >= 9) & (wide <= 13)] = 32
-    value = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+def trigrams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Place of the trigram around each byte; beyond the ends of each text
+    (``offsets``) there are spaces, never another text."""
+    byte = raw.astype(np.uint32)
+    byte[(byte >= 9) & (byte <= 13)] = 32
+    before, after = np.full(len(byte), 32, np.uint32), np.full(len(byte), 32, np.uint32)
+    before[1:], after[:-1] = byte[:-1], byte[1:]
+    some = offsets[1:] > offsets[:-1]
+    before[offsets[:-1][some]] = 32
+    after[offsets[1:][some] - 1] = 32
+    value = before << 16 | byte << 8 | after
     return ((value * np.uint32(2654435761)) >> np.uint32(15)).astype(np.int64)
 
 
+def times(rows: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """``rows @ move`` with the same sums whatever the number of rows: a text's
+    result doesn't depend on its neighbours in a batch, not even in the last bit."""
+    out = rows[:, :1] * move[0]
+    for i in range(1, len(move)):
+        out += rows[:, i:i + 1] * move[i]
+    return out
+
+
 @dataclass
 class Crf:
     langs: list[str]
     weights: np.ndarray  # TABLE x languages
     moves: np.ndarray  # languages x languages
 
-    def scores(self, raw, starts, ends) -> np.ndarray:
+    def scores(self, raw, offsets, starts, ends) -> np.ndarray:
         """(words x languages) sums of feature weights."""
         places = word_features(raw, starts, ends)
         out = self.weights[places[:, 0]]
         for j in range(1, places.shape[1]):
             out += self.weights[places[:, j]]
-        per = self.weights[trigrams(raw)]
+        per = self.weights[trigrams(raw, offsets)]
         cuts = np.stack([starts, np.minimum(ends, len(raw))], 1).ravel()
         sums = np.add.reduceat(np.vstack([per, np.zeros((1, per.shape[1]), per.dtype)]), cuts, axis=0)[::2]
         return out + sums
@@ -83,12 +99,12 @@ class Crf:
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right") if len(size) else []
         for t in range(1, len(live)):
             at = first[:live[t]] + t
-            a = (ahead[at - 1] @ move) * near[at]
+            a = times(ahead[at - 1], move) * near[at]
             ahead[at] = a / a.sum(axis=1, keepdims=True)
         back = np.ones_like(near)
         for t in range(len(live) - 1, 0, -1):
             at = first[:live[t]] + t
-            b = (near[at] * back[at]) @ move.T
+            b = times(near[at] * back[at], move.T)
             back[at - 1] = b / b.sum(axis=1, keepdims=True)
         out = ahead * back
         return out / out.sum(axis=1, keepdims=True)
@@ -123,7 +139,7 @@ def train(texts: list[str], langs: list[str], steps: int = 250, batch: int = 64,
     offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])])
     raw = np.concatenate(encoded) if encoded else np.zeros(0, np.uint8)
     starts, ends, counts = words(raw, offsets)
-    affix, grams = word_features(raw, starts, ends), trigrams(raw)
+    affix, grams = word_features(raw, starts, ends), trigrams(raw, offsets)
     heads = np.concatenate([[0], np.cumsum(counts)])
     some = np.flatnonzero(counts > 0)
     seen_w, seen_m = np.full((TABLE, k), 1e-6, np.float32), np.full((k, k), 1e-6)
@@ -193,10 +209,11 @@ def word_marginals(model: Crf, raw: np.ndarray, offsets: np.ndarray, step: int =
     """(first row, last row, words of each row, words x languages) in pieces."""
     for lo, hi in by_bytes(offsets, step):
         part = _LOWER[raw[offsets[lo]:offsets[hi]]]
-        starts, ends, counts = words(part, offsets[lo:hi + 1] - offsets[lo])
+        own = offsets[lo:hi + 1] - offsets[lo]
+        starts, ends, counts = words(part, own)
         p = np.zeros((0, len(model.langs)))
         if len(starts):
-            p = model.marginals(model.scores(part, starts, ends), *chains(part, starts, counts))
+            p = model.marginals(model.scores(part, own, starts, ends), *chains(part, starts, counts))
         yield lo, hi, counts, p
 
 
@@ -205,18 +222,21 @@ def learnable(col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = 250, train_bytes: int = 1 << 13) -> Crf:
-    """Train on the ``per_lang`` smallest hashes of each language."""
-    rows = written(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn
-                              & (F.octet_length("text") <= train_bytes))
-                   .select("doc_id", "lang", F.xxhash64("doc_id").alias("__h")), "langid-rows")
-    # a bounded top list for each language, merged from those of the tasks
-    ids = docs.sparkSession.createDataFrame([], rows.select("doc_id", "lang").schema)
-    for (lang,) in sorted(rows.select("lang").distinct().collect()):
-        top = rows.where(F.col("lang") == lang).orderBy("__h", "doc_id").limit(per_lang)
-        ids = ids.unionByName(top.select("doc_id", "lang"))
-    found = (docs.select("doc_id", "lang", "text").where(F.octet_length("text") <= train_bytes)
+    """Train on the ``per_lang`` smallest hashes of each language. Of a text
+    above ``train_bytes`` bytes a piece is learned, from a place that its id's
+    hash names, so a language of long texts only has its class too."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    hashed = F.xxhash64("doc_id")
+    rows = written(usable.select("doc_id", "lang", hashed.alias("__h")).distinct(), "langid-rows")
+    # a bounded top list for each language: row_number() with a limit is cut in the map tasks
+    by_hash = Window.partitionBy("lang").orderBy("__h", F.col("doc_id").asc_nulls_last())
+    ids = rows.withColumn("__r", F.row_number().over(by_hash)).where(F.col("__r") <= per_lang).select("doc_id", "lang")
+    size = train_bytes // 4  # code points of at most four bytes
+    place = F.pmod(hashed, F.greatest(F.length("text") - size, F.lit(1))).cast("int")
+    piece = F.when(F.octet_length("text") <= train_bytes, F.col("text")).otherwise(F.substring("text", place + 1, F.lit(size)))
+    found = (usable.select("doc_id", "lang", piece.alias("text"))
              .join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang ids a language
-             .orderBy("lang", "doc_id", "text").collect())
+             .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect())
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
