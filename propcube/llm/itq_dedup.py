@@ -35,6 +35,7 @@ from propcube.llm.components import components
 
 SAMPLE, ROUNDS = 4096, 30
 RECALL = 0.98
+TABLES = 256
 BLOCK = 1024
 PAIRS, PLANES = 8192, 512  # pairs and hyperplanes that agreement is measured on, at least
 ROW = 256  # products that cost as much as a row placed in a table
@@ -87,8 +88,10 @@ class Coder:
     Centring widens the angle of a pair, by more the more of the vectors their
     mean holds, so ``plan`` only bounds the bits from above: agreement is
     measured on pairs at the threshold made from the sample, the bits are those
-    of the least estimated work for ``n`` vectors (none: all in one bucket), and
-    tables are added until the measured recall is RECALL."""
+    of the least estimated work for ``n`` vectors, six at least, and
+    tables are added until the measured recall is RECALL. Where TABLES of them do
+    not reach it, the substrings get shorter (to nothing only where signs tell
+    nothing, as in one dimension)."""
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -108,16 +111,20 @@ class Coder:
             more()
         most, least = plan(n, threshold)
         self.bits = self._cheapest(others, np.hstack(turns), np.hstack(alike).mean(axis=1), n, most)
-        found, self.tables = np.full(PAIRS, self.bits == 0), 0
-        while self.bits and (worse(found) < RECALL or (self.bits == most and self.tables < least)):
-            lo = self.tables * self.bits
-            while len(turns) * d < lo + self.bits:
-                more()
-            span = [alike[i][:, max(0, lo - i * d):lo + self.bits - i * d]
-                    for i in range(lo // d, (lo + self.bits - 1) // d + 1)]
-            found |= np.hstack(span).all(axis=1)
-            self.tables += 1
-        self.tables = max(1, self.tables)
+        while True:
+            found, self.tables = np.full(PAIRS, self.bits == 0), 0 if self.bits else 1
+            while self.bits and self.tables < TABLES and (
+                    worse(found) < RECALL or (self.bits == most and self.tables < least)):
+                lo = self.tables * self.bits
+                while len(turns) * d < lo + self.bits:
+                    more()
+                span = [alike[i][:, max(0, lo - i * d):lo + self.bits - i * d]
+                        for i in range(lo // d, (lo + self.bits - 1) // d + 1)]
+                found |= np.hstack(span).all(axis=1)
+                self.tables += 1
+            if worse(found) >= RECALL:
+                break
+            self.bits -= 1
         self.recall = worse(found)
         self.turn = np.hstack(turns)[:, :self.bits * self.tables]
 
@@ -126,20 +133,18 @@ class Coder:
         signs = (sample - self.mean) @ turn >= 0
 
         def work(bits: int) -> float:
-            tables, mates = 1, float(n)
-            if bits:
-                chance, low, high = agree ** bits, 1, 1 << 40
-                while low < high:
-                    mid = (low + high) // 2
-                    low, high = (low, mid) if worse(1 - (1 - chance) ** mid) >= RECALL else (mid + 1, high)
-                tables, share = low, []
-                for lo in range(0, min(8 * bits, turn.shape[1] - bits + 1), bits):
-                    c = np.unique(signs[:, lo:lo + bits] @ (1 << np.arange(bits, dtype=np.int64)), return_counts=True)[1]
-                    share.append((c * (c - 1.0)).sum() / max(1, len(sample) * (len(sample) - 1)))
-                mates = n * max(np.mean(share), 0.5 ** bits)
+            chance, low, high = agree ** bits, 1, 1 << 40
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if worse(1 - (1 - chance) ** mid) >= RECALL else (mid + 1, high)
+            tables, share = low, []
+            for lo in range(0, min(8 * bits, turn.shape[1] - bits + 1), bits):
+                c = np.unique(signs[:, lo:lo + bits] @ (1 << np.arange(bits, dtype=np.int64)), return_counts=True)[1]
+                share.append((c * (c - 1.0)).sum() / max(1, len(sample) * (len(sample) - 1)))
+            mates = n * max(np.mean(share), 0.5 ** bits)
             return tables * (ROW * max(1.0, mates / BLOCK) + mates)
 
-        return min([*range(most, 5, -1), 0], key=work)
+        return min(range(most, 5, -1), key=work)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """(vectors x tables) substrings of unit vectors."""
