@@ -40,7 +40,7 @@ WINDOW, MINIMISER = 13, 3
 BINS = 1 << 16
 LONGEST = 4096  # windows in one string
 BUCKET = 1 << 14  # strings in a bucket, on average
-GATHER = 8 << 20  # bytes of text whose strings are compressed together
+GATHER = 2 << 20  # bytes of text whose strings are compressed together
 NO_ID = (1 << 63) - 1
 ROW = np.dtype([("id", "<i8"), ("k1", "<i8"), ("k2", "<i8")])
 
@@ -92,7 +92,7 @@ def super_kmers(word: np.ndarray, counts: np.ndarray):
     return mix(least[w]), doc[w], w, w - first[doc[w]], size
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1 << 19):
+def pieces_of(batches: Iterator[pa.RecordBatch], step: int = 1 << 18):
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         ids = np.rec.fromarrays([batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "k1", "k2")], ROW)
@@ -157,7 +157,9 @@ def packed(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             lo = ws[w]
             length = we[w + n + WINDOW - 2] - lo + 1  # with the space or line feed behind
             at = np.concatenate([[0], np.cumsum(length)])
-            data = buf[np.repeat(lo - at[:-1], length) + np.arange(at[-1])]
+            # a piece of text and its strings count less than 2^31 bytes, unless one text alone does not
+            kind = np.int32 if at[-1] < 1 << 31 and len(buf) < 1 << 31 else np.int64
+            data = buf[np.repeat((lo - at[:-1]).astype(kind), length) + np.arange(at[-1], dtype=kind)]
             data[at[1:] - 1] = 0x0A
             data = data.tobytes()
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
