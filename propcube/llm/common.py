@@ -27,6 +27,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch for a Python worker: pieces of work are smaller still,
+#: so larger batches (64 MB by default) would only fill memory.
+BATCH, BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _SHIPPED: set[str] = set()
 
 
@@ -34,6 +38,8 @@ def ship(spark: SparkSession) -> None:
     """Send this library's modules to the Python workers, once a session, as
     ``--py-files`` would: sessions that others started may not have it."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, None) in (None, "67108864b", "64m"):  # unless the session says otherwise
+        spark.conf.set(BATCH_KEY, BATCH)
     if sc.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -161,19 +167,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def _powers(n: int, base: np.uint64) -> np.ndarray:
-    """base^0 ... base^(n-1); tables of up to 2^20 entries are kept."""
-    known = _POWERS.get(int(base))
-    if known is not None and len(known) >= n:
-        return known[:n]
-    out = np.full(n if n > 1 << 20 else 1 << 20, base, np.uint64)
+    """base^0 ... base^(n-1). Made anew each time: it costs less than the sums
+    that it goes into, and idle workers hold nothing."""
+    out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)
-    if len(out) == 1 << 20:
-        _POWERS[int(base)] = out
     return out[:n]
 
 
