@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import itertools
 import logging
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.functions import exprs as X
 from propcube.functions import parsing as P
 from propcube.session import exists
+from propcube.sources.csvfiles import read_csv
 
 log = logging.getLogger(__name__)
 _OBSERVE_SEQ = itertools.count()
@@ -36,33 +36,39 @@ NORMALIZED_COLUMNS = [
 
 # -- SRC1 --------------------------------------------------------------------
 
-def read_city_csvs(spark: SparkSession, data_dir: str,
-                   city_files: dict[str, str] = S.CITY_FILES) -> dict[str, DataFrame]:
-    """One all-string DataFrame per configured city file that exists.
+def city_csvs(spark: SparkSession, data_dir: str,
+              city_files: dict[str, str] = S.CITY_FILES) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(rows, rejects) of each configured city file that exists, all columns as
+    text. A file, or a folder of part files, is read by as many tasks as it has
+    splits. ``row_id`` follows the rows' order: part files by name, then the
+    line on which the record starts. Rejects are malformed records with their
+    file, line and reason.
 
     Missing files are skipped with a warning; none at all is an error.
-    ``row_id`` follows the rows' order: a city's part files by name, then the
-    place in the file (texts may hold line breaks, so a file is read by one
-    task; large cities come as many part files). A task reads each file in one
-    go, so the position within the task orders the rows of a file.
     """
-    out: dict[str, DataFrame] = {}
+    out: dict[str, tuple[DataFrame, DataFrame]] = {}
     for city, fname in city_files.items():
         path = f"{data_dir.rstrip('/')}/{fname}"
         if not exists(spark, path):
             log.warning("%s not found, skipping %s", path, city)
             continue
-        df = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("inferSchema", False).csv(path))
-        names = sorted(unquote(f).rsplit("/", 1)[-1] for f in df.inputFiles())
-        at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_metadata.file_name"))
-        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        out[city] = df.withColumn("row_id", F.shiftleft(at, 33) + place)
+        rows, rejects = read_csv(spark, path)
+        names = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+        # one row for each file
+        ranked = names.select("file", F.row_number().over(Window.orderBy("file")).alias("_at"))
+        rows = rows.join(ranked, "file").withColumn("row_id", F.shiftleft(F.col("_at").cast("bigint"), 33) + F.col("line"))
+        out[city] = rows.drop("file", "line", "_at"), rejects
     if not out:
         raise FileNotFoundError(f"no city files found under {data_dir}")
     return out
 
 
+def read_city_csvs(spark: SparkSession, data_dir: str,
+                   city_files: dict[str, str] = S.CITY_FILES) -> dict[str, DataFrame]:
+    """One all-string DataFrame per configured city file that exists."""
+    return {city: rows for city, (rows, _) in city_csvs(spark, data_dir, city_files).items()}
+
+
 # -- ING13 -------------------------------------------------------------------
 
 def _or_null(c, typ: str = "string"):

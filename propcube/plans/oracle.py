@@ -657,6 +657,23 @@ def parse_location_sql() -> str:
        {geo_sql('LATITUDE')} AS latitude, {geo_sql('LONGITUDE')} AS longitude FROM raw""")
 
 
+def csv_records_sql() -> str:
+    """The fields as they were before they were written, and the text of the
+    records that got a field too many."""
+    return """WITH r AS (
+  SELECT r_name AS city_name, o_orderkey AS k, 'R' || o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS agent,
+         CASE o_orderkey % 3 WHEN 0 THEN 'Tower "' || (o_orderkey % 50) || '",' || chr(10) || 'by the "park"' || chr(10)
+                             WHEN 1 THEN 'Flat, ' || o_orderstatus ELSE o_orderpriority END AS text
+  FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 JOIN region ON r_regionkey = n_regionkey
+)
+SELECT city_name, CASE WHEN k % 97 <> 0 THEN id END AS PROP_ID, CASE WHEN k % 97 <> 0 THEN text END AS DESCRIPTION,
+       CASE WHEN k % 97 <> 0 THEN agent END AS AGENT,
+       CASE WHEN k % 97 = 0 THEN id || ',' || CASE WHEN text LIKE '%,%' THEN '"' || replace(text, '"', '""') || '"' ELSE text END
+                                 || ',' || agent || ',one too many' END AS record,
+       CASE WHEN k % 97 = 0 THEN 'too many fields' END AS reason
+FROM r"""
+
+
 def parse_literals_sql() -> str:
     """The fields by style of the row, from the text itself."""
     spaces = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())

@@ -194,9 +194,24 @@ def _ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          "locality_name", "register_date")
 
 
+def _csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: records with line breaks inside fields, and the malformed ones."""
+    apply_required_conf(spark)
+    root = scratch_path(spark, "ragged-csv")
+    out = None
+    for city, (rows, rejects) in I.city_csvs(spark, root, RAW.write_ragged_csvs(spark, sf_dir, root)).items():
+        good = rows.select(F.lit(city).alias("city_name"), "PROP_ID", "DESCRIPTION", "AGENT",
+                           F.lit(None).cast("string").alias("record"), F.lit(None).cast("string").alias("reason"))
+        none = [F.lit(None).cast("string").alias(c) for c in ("PROP_ID", "DESCRIPTION", "AGENT")]
+        both = good.unionByName(rejects.select(F.lit(city).alias("city_name"), *none, "record", "reason"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
     return {
         "ingest_csv": (_ingest_csv, O.ingest_csv_sql()),
+        "csv_records": (_csv_records, O.csv_records_sql()),
         "parse_price": (_parse_price, O.parse_price_sql()),
         "parse_date": (_parse_date, O.parse_date_sql()),
         "parse_location": (_parse_location, O.parse_location_sql()),

@@ -185,6 +185,25 @@ def city_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
+def write_ragged_csvs(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
+    """One header CSV folder per city, of texts with quotes, commas and line
+    breaks; every 97th record has a field too many. City -> folder."""
+    k = F.col("o_orderkey")
+    text = (F.when(k % 3 == 0, F.concat(F.lit('Tower "'), _s(k % 50), F.lit('",\nby the "park"\n')))
+             .when(k % 3 == 1, F.concat(F.lit("Flat, "), F.col("o_orderstatus"))).otherwise(F.col("o_orderpriority")))
+    row = F.to_csv(F.struct(F.concat(F.lit("R"), _s(k)), text, _s(F.col("o_custkey"))), {"escape": '"', "ignoreTrailingWhiteSpace": "false"})
+    record = F.concat(row, F.when(k % 97 == 0, F.lit(",one too many")).otherwise(F.lit("")))
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("o_nation"), "n_regionkey")
+    rows = (read_table(spark, sf_dir, "orders").withColumn("o_nation", k % 25).join(nation, "o_nation")
+            .select(F.col("n_regionkey").alias("city"), (k + 1).alias("at"), record.alias("value")))
+    regions = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    header = regions.select(F.col("r_regionkey").alias("city"), F.lit(0).cast("long").alias("at"),
+                            F.lit("PROP_ID,DESCRIPTION,AGENT").alias("value"))
+    (header.unionByName(rows.select(F.col("city").cast(header.schema["city"].dataType).alias("city"), F.col("at").cast("long").alias("at"), "value"))
+     .repartition("city").sortWithinPartitions("city", "at").select("city", "value").write.partitionBy("city").text(root))
+    return {r["r_name"]: f"city={r['r_regionkey']}" for r in regions.collect()}
+
+
 def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locality literals that hold any text: every document's text inside a
     dict as Python would write it, in six styles by doc_id (the last two are
