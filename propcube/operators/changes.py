@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.operators.dims import assign_ids
+from propcube.sources.stored import StoredTable
 
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -246,10 +247,14 @@ def delete_listings(listings: DataFrame, transactions: DataFrame, ids: DataFrame
     raise ValueError("mode must be 'soft' or 'hard'")
 
 
-def append_transactions(new: DataFrame, id_prefix: str, path: str) -> None:
-    """SNK2 as a sink: the created deals of a batch (their ids start with its
-    prefix) are appended to the stored table; nothing else is rewritten."""
-    new.where(F.col("txn_id").startswith(id_prefix)).write.mode("append").parquet(path)
+def append_transactions(table: StoredTable, listings: DataFrame, changes: DataFrame, id_prefix: str, seq: str = "seq",
+                        batch_ts: str | None = None) -> DataFrame:
+    """SNK2 as a sink: the created deals of a batch are appended to a table
+    that is bucketed by ``txn_id``; returns the rejects. Ids follow from the
+    prefix and the batch, so a batch that is appended again adds nothing."""
+    new, rejects = new_transactions(listings, changes, id_prefix, seq, batch_ts)
+    table.append(new.join(table.read().select("txn_id"), "txn_id", "left_anti"))
+    return rejects
 
 
 # -- CHG5 - CHG7 ---------------------------------------------------------------------
@@ -273,8 +278,15 @@ def _txn_rules(strict: bool) -> list[tuple[str, Column]]:
 
 def create_transactions(transactions: DataFrame, listings: DataFrame, changes: DataFrame,
                         id_prefix: str, seq: str = "seq", batch_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """CHG5: the listing must exist; price > 0; status in the domain
-    (default Completed). New ids are ``<prefix><n>`` in ``seq`` order;
+    """CHG5: the deals with the valid new ones of a batch."""
+    new, rejects = new_transactions(listings, changes, id_prefix, seq, batch_ts)
+    return transactions.select(*S.TRANSACTIONS.fieldNames()).unionByName(new), rejects
+
+
+def new_transactions(listings: DataFrame, changes: DataFrame, id_prefix: str, seq: str = "seq",
+                     batch_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new deals, rejects): the listing must exist; price > 0; status in the
+    domain (default Completed). New ids are ``<prefix><n>`` in ``seq`` order;
     ``created_at`` is ``batch_ts`` (default: now)."""
     v = _flag_exists(ensure_columns(changes, TXN_TYPES), listings, "listing_id", "listing_id", "_found")
     v = with_reasons(v, [("listing_unknown", ~F.col("_found"))] + _txn_rules(True)).drop("_found")
@@ -291,7 +303,7 @@ def create_transactions(transactions: DataFrame, listings: DataFrame, changes: D
         (F.col("notes") if "notes" in changes.columns else F.lit(None)).cast("string").alias("notes"),
         _stamp(batch_ts).alias("created_at"),
     )
-    return transactions.select(*S.TRANSACTIONS.fieldNames()).unionByName(new), rejects
+    return new.select(*S.TRANSACTIONS.fieldNames()), rejects
 
 
 def update_transactions(transactions: DataFrame, updates: DataFrame,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from propcube import schemas as S
 from propcube.functions.exprs import hash_u32
 from propcube.session import materialize
+from propcube.sources.stored import StoredTable
 
 
 # -- DIM5 --------------------------------------------------------------------
@@ -170,19 +171,25 @@ def resolve_fks(clean: DataFrame, cities: DataFrame, localities: DataFrame, buil
     return j.withColumn("building_id", F.col("_bid")).drop("_bid", "_cn", "_ln", "_lc")
 
 
-def append_listings(listings: DataFrame, resolved: DataFrame, batch_ts: str, path: str) -> None:
-    """SNK1 as a sink: only the new rows are appended to the stored table at
-    ``path``; existing files are not read again or rewritten."""
-    cols = [n for n, _ in S.LISTING_COLUMNS]
-    out = insert_if_absent(listings, resolved, batch_ts)
-    out.join(listings.select("listing_id"), "listing_id", "left_anti").select(*cols).write.mode("append").parquet(path)
+# -- SNK1 / JN10 -----------------------------------------------------------------
 
+def append_listings(table: StoredTable, resolved: DataFrame, batch_ts: str) -> None:
+    """SNK1 as a sink: the new rows of a batch are appended to a table that is
+    bucketed by ``prop_id``; a batch that is appended again adds nothing."""
+    table.append(new_listings(table.read(), resolved, batch_ts))
 
-# -- SNK1 / JN10 -----------------------------------------------------------------
 
 def insert_if_absent(listings: DataFrame, resolved: DataFrame, batch_ts: str) -> DataFrame:
-    """SNK1: append listings whose prop_id is new (existing rows win), with
-    fresh dense listing ids in (file, row) order. Returns the new table."""
+    """SNK1: the table with the listings whose prop_id is new (existing rows
+    win)."""
+    cols = [n for n, _ in S.LISTING_COLUMNS]
+    return listings.select(*cols).unionByName(new_listings(listings, resolved, batch_ts))
+
+
+def new_listings(listings: DataFrame, resolved: DataFrame, batch_ts: str) -> DataFrame:
+    """JN10: the rows whose prop_id is not stored yet, with fresh dense listing
+    ids in (file, row) order. Of a table bucketed by ``prop_id`` only the
+    column itself is read, where it lies."""
     new = resolved.join(listings.select("prop_id"), "prop_id", "left_anti")
     new = assign_ids(new, "listing_id", _max_id(listings, "listing_id"), ["source_rank", "row_id"])
     ts = F.lit(batch_ts).cast("timestamp")
@@ -190,8 +197,7 @@ def insert_if_absent(listings: DataFrame, resolved: DataFrame, batch_ts: str) ->
         *[F.col(n).cast(t).alias(n) if n in new.columns else F.lit(None).cast(t).alias(n)
           for n, t in S.LISTING_COLUMNS if n not in ("is_active", "created_at", "updated_at")],
         F.lit(True).alias("is_active"), ts.alias("created_at"), ts.alias("updated_at"))
-    cols = [n for n, _ in S.LISTING_COLUMNS]
-    return listings.select(*cols).unionByName(new.select(*cols))
+    return new.select(*[n for n, _ in S.LISTING_COLUMNS])
 
 
 # -- DIM6 --------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 FIL2-FIL5 compose only the supplied predicates (so parquet pushdown sees
 exactly them); SRT1-SRT3 are distributed top-k (TakeOrderedAndProject:
-each task keeps offset+limit rows, the driver merges); enrichment joins
+each task keeps offset+limit rows, the driver merges) near the top and range
+counts (``paging``) further down; enrichment joins
 (JN5-JN7) run after the page cut when a page is requested, so they touch at
 most one page of rows.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.functions import exprs as X
+from propcube.operators.paging import DEEP, SortKey
+from propcube.operators.paging import page as rank_page
 from propcube.sources.bridge import Tables
 
 
@@ -70,9 +73,12 @@ def filter_listings(listings: DataFrame, f: ListingFilters = ListingFilters()) -
     return listings.where(X.all_of(f.predicates()))
 
 
+#: SRT1: newest registration first (NULL dates last), then id desc.
+LISTING_KEYS = [SortKey("register_date", True), SortKey("listing_id", True)]
+
+
 def listing_order() -> list[Column]:
-    """SRT1: newest registration first (NULL dates last), then id desc."""
-    return [F.col("register_date").desc_nulls_last(), F.col("listing_id").desc()]
+    return [k.order() for k in LISTING_KEYS]
 
 
 def enrich_listings(listings: DataFrame, t: Tables, bounded: bool = False) -> DataFrame:
@@ -91,13 +97,12 @@ def enrich_listings(listings: DataFrame, t: Tables, bounded: bool = False) -> Da
 
 
 def listings_page(t: Tables, f: ListingFilters = ListingFilters(), page: int = 1,
-                  size: int = 20) -> DataFrame:
-    """SRT1 page of enriched listings. Cost grows with page depth (top-k of
-    offset+size per task), as with any offset paging."""
+                  size: int = 20, deep: int = DEEP) -> DataFrame:
+    """SRT1 page of enriched listings. A page far down is found by counting
+    (``paging``); ``deep`` is the offset from which that is done."""
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("page >= 1 and size in 1..100")
-    cut = (filter_listings(t.listings, f).orderBy(*listing_order())
-           .offset((page - 1) * size).limit(size))
+    cut = rank_page(filter_listings(t.listings, f), LISTING_KEYS, (page - 1) * size, size, deep)
     return enrich_listings(cut, t, bounded=True).orderBy(*listing_order())
 
 
@@ -178,16 +183,19 @@ def enrich_transactions(tx: DataFrame, t: Tables, bounded: bool = False) -> Data
               .select(*S.TRANSACTIONS.fieldNames(), "property_type", "city_name", "locality_name"))
 
 
+TXN_KEYS = [SortKey("transaction_date", True), SortKey("txn_id")]
+
+
 def txn_order() -> list[Column]:
-    return [F.col("transaction_date").desc_nulls_last(), F.col("txn_id").asc()]
+    return [k.order() for k in TXN_KEYS]
 
 
 def list_transactions(t: Tables, f: TxnFilters = TxnFilters(), limit: int = 50,
-                      offset: int = 0) -> DataFrame:
+                      offset: int = 0, deep: int = DEEP) -> DataFrame:
     """SRT2: newest first, paged, enriched after the cut."""
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit in 1..200, offset >= 0")
-    cut = filter_transactions(t, f).orderBy(*txn_order()).offset(offset).limit(limit)
+    cut = rank_page(filter_transactions(t, f), TXN_KEYS, offset, limit, deep)
     return enrich_transactions(cut, t, bounded=True).orderBy(*txn_order())
 
 
@@ -201,10 +209,13 @@ def lookup_transactions(t: Tables, keys: DataFrame) -> DataFrame:
         "requested_key", F.col("txn_id").isNotNull().alias("found"), *hit.columns)
 
 
+AGENT_KEYS = [SortKey("contact_name"), SortKey("agent_id")]
+
+
 # -- agents --------------------------------------------------------------------
 
 def search_agents(t: Tables, is_active: bool | None = True, search: str | None = None,
-                  limit: int = 50, offset: int = 0) -> DataFrame:
+                  limit: int = 50, offset: int = 0, deep: int = DEEP) -> DataFrame:
     """FIL4 + SRT3: by contact name (NULLs last), then id."""
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit in 1..200, offset >= 0")
@@ -213,6 +224,5 @@ def search_agents(t: Tables, is_active: bool | None = True, search: str | None =
         p.append(F.col("is_active") == F.lit(is_active))
     if search:
         p.append(X.contains_ci("contact_name", search) | X.contains_ci("company_name", search))
-    order = [F.col("contact_name").asc_nulls_last(), F.col("agent_id").asc()]
-    return (t.agents.where(X.all_of(p)).orderBy(*order).offset(offset).limit(limit)
-             .select(*S.AGENTS.fieldNames()))
+    cut = rank_page(t.agents.where(X.all_of(p)), AGENT_KEYS, offset, limit, deep)
+    return cut.orderBy(*[k.order() for k in AGENT_KEYS]).select(*S.AGENTS.fieldNames())

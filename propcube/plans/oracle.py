@@ -854,9 +854,9 @@ def resolve_fks_sql() -> str:
                               source_rank, row_id FROM resolved""", DIM_CTES)
 
 
-def insert_if_absent_sql() -> str:
-    return with_all("""
-SELECT (SELECT MAX(listing_id) FROM listings) + row_number() OVER (ORDER BY source_rank, row_id) AS listing_id,
+def insert_if_absent_sql(order: str = "source_rank, row_id") -> str:
+    return with_all(f"""
+SELECT (SELECT MAX(listing_id) FROM listings) + row_number() OVER (ORDER BY {order}) AS listing_id,
        prop_id, city_id, locality_id, building_id_ok AS building_id, agent_id, price_inr, register_date,
        transact_type, is_active_new AS is_active
 FROM (SELECT *, TRUE AS is_active_new FROM resolved) r

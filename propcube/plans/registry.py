@@ -25,6 +25,7 @@ from propcube.plans import oracle as O
 from propcube.session import apply_required_conf, materialize, scratch_path
 from propcube.sources import raw as RAW
 from propcube.sources.bridge import Tables
+from propcube.sources.stored import StoredTable
 from propcube.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,10 @@ def _views_search() -> dict[str, tuple[QueryFn, str | None]]:
         "refresh_views": (_refresh_views, O.refresh_views_sql()),
         "listings_page": (_q(Q.listings_page, f=PAGE_FILTER, page=2, size=20),
                           O.listings_page_sql(PAGE_FILTER, 2, 20)),
+        "listings_page_deep": (_q(Q.listings_page, page=60, size=20, deep=0), O.listings_page_sql(Q.ListingFilters(), 60, 20)),
+        "transactions_page_deep": (_q(Q.list_transactions, limit=50, offset=3000, deep=0),
+                                   O.transactions_list_sql(limit=50, offset=3000)),
+        "agents_page_deep": (_q(Q.search_agents, limit=50, offset=90, deep=0), O.agents_search_sql(True, None, 50, 90)),
         "listings_search": (
             lambda spark, d: Q.filter_listings(_t(spark, d).listings, SEARCH_FILTER).select(
                 "listing_id", "prop_id", "prop_name", "description", "property_type", "city_id"),
@@ -270,6 +275,28 @@ def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "register_date", "transact_type", "is_active")
 
 
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1 as a sink: half of the rows, then all, then all once more."""
+    c = _dim_chain(spark, sf_dir)
+    resolved = materialize(c["resolved"], "resolved")
+    table = StoredTable.create(c["t"].listings, "prop_id", scratch_path(spark, "listings"))
+    for batch in (resolved.where("row_id % 2 = 0"), resolved, resolved):
+        D.append_listings(table, batch, BATCH_TS)
+    return table.read().where(F.col("created_at") == F.lit(BATCH_TS).cast("timestamp")).select(
+        "listing_id", "prop_id", "city_id", "locality_id", "building_id", "agent_id", "price_inr",
+        "register_date", "transact_type", "is_active")
+
+
+def _appended_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2 as a sink: a batch of deals, appended twice."""
+    t = _t(spark, sf_dir)
+    table = StoredTable.create(t.transactions, "txn_id", scratch_path(spark, "transactions"))
+    for _ in range(2):
+        C.append_transactions(table, t.listings, B.txn_creates(spark, sf_dir), "B1-", batch_ts=BATCH_TS)
+    return table.read().where(F.col("txn_id").startswith("B1-")).select(
+        "txn_id", "listing_id", "sale_price", "transaction_date", "status")
+
+
 def _upsert_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DIM1: configured ingest cities added to the city table."""
     from propcube import schemas as S
@@ -288,6 +315,7 @@ def _dims() -> dict[str, tuple[QueryFn, str | None]]:
             "prop_id", "city_id", "locality_id", "building_id", "agent_id", "source_rank", "row_id"),
             O.resolve_fks_sql()),
         "insert_if_absent": (_inserted, O.insert_if_absent_sql()),
+        "append_listings": (_appended, O.insert_if_absent_sql("row_id % 2, source_rank, row_id")),
         "synth_transactions": (lambda s, d: D.synth_transactions(_t(s, d).listings),
                                O.synth_transactions_sql()),
     }
@@ -460,6 +488,7 @@ def _changes() -> dict[str, tuple[QueryFn, str | None]]:
         "delete_listings_soft": (_delete_soft, O.delete_listings_soft_sql()),
         "delete_listings_hard": (_delete_hard, O.delete_listings_hard_sql()),
         "create_transactions": (_create_txns, O.create_transactions_sql()),
+        "append_transactions": (_appended_txns, O.create_transactions_sql()),
         "update_transactions": (_update_txns, O.update_transactions_sql()),
         "delete_transactions": (_delete_txns, O.delete_transactions_sql()),
         "create_agents": (_create_agents, O.create_agents_sql()),
