@@ -116,16 +116,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """Probability of label 1 of each text, some ``step`` bytes at a time."""
-    out = np.zeros(len(offsets) - 1)
+def chunk_logits(model: Model, raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Combined logits of the chunks of each text, some ``step`` bytes of texts
+    at a time."""
+    out = np.zeros((len(offsets) - 1, 3))
     for lo, hi in by_bytes(offsets, step):
         grid, blocks = padded(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         x, first = features(model, grid, blocks)
-        out[lo:hi] = sigmoid(combined(x @ model.chunk_w + model.chunk_b, first) @ model.doc_w + model.doc_b)
+        out[lo:hi] = combined(x @ model.chunk_w + model.chunk_b, first)
     return out
 
 
+def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Probability of label 1 of each text."""
+    return sigmoid(chunk_logits(model, raw, offsets, step) @ model.doc_w + model.doc_b)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 1e-3):
     """Weighted logistic regression on standardised columns."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -188,8 +194,7 @@ def train(texts: list[str], labels: list[int], priors: tuple[float, float],
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             getattr(model, k)[...] -= 0.02 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    x, first = features(model, grid, blocks)
-    z = combined(x @ model.chunk_w + model.chunk_b, first)
+    z = chunk_logits(model, np.frombuffer(b"".join(encoded), np.uint8), offsets)
     w, b = _logistic(z, y, np.where(y == 1, priors[1], priors[0]))
     model.doc_w, model.doc_b = w, float(b)
     return model
