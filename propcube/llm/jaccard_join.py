@@ -10,10 +10,14 @@ the least id of its component. Every link between different sets is found:
    what the check confirms forms first components. This only saves work.
 3. Exact rest: under one global order of shingles, linked sets share one of
    their first n - ceil(percent * n / 100) + 1 shingles. Tiles are these
-   shingles; only members of different components and fitting size bands
-   become candidates, so a large group of near copies proposes no pairs here.
-   Frequent shingles come last in the order (by a bounded histogram of all
-   shingles), which keeps the tiles of common passages out of the prefixes.
+   shingles by size band (bands are as wide as a link allows, so linked sets lie
+   in one band or in neighbours); only members of different components become
+   candidates, so a large group of near copies proposes no pairs here.
+   Frequent shingles come last in the order, which keeps common passages out
+   of the prefixes: first by a bounded histogram of all shingles; then the tiles
+   that would hold more than HOT components are counted, their shingles go
+   behind all others (as bits of a bounded table), and the prefixes that held
+   one are taken anew. Any order finds every link.
 4. The check of a candidate: hashed bitmaps of both sets (4 bits a shingle)
    bound the overlap from above by bit counts; survivors' texts meet at the
    lower node, split into parts of PART candidates, and sorted hash arrays are
@@ -27,6 +31,7 @@ id has the links of all of them. ``keep_one`` decides by row instead.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,7 @@ KEYS, PER_KEY = 8, 2  # min-hash keys of the first components, hashes in each
 MAX_BITS = 1 << 15  # a bitmap's size; a smaller one only loosens the bound
 PART = 1000  # candidates of one node that are checked together
 SIEVE_BITS = 22  # the sieve of candidates' ids has 2^22 bits
+HOT, HOT_BITS = 8, 24  # components that make a tile hot; the table of hot shingles has 2^24 bits
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = mix(np.arange(1, KEYS * PER_KEY + 1, dtype=np.uint64))
@@ -99,9 +105,18 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(held).tobytes()
 
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, h1, h2, n, k1, k2, keys, bits, prefix) of each row."""
-    order = docs.sparkSession.sparkContext.broadcast(levels(docs, k))
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def first_of(s: np.ndarray, late: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` of sorted shingles in the order of (late, shingle)."""
+    return s[np.argsort(late, kind="stable")[:size]] if late.any() else s[:size]
+
+
+def sketches(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """(id, h1, h2, n, k1, k2, keys, bits, prefix) of each row, ``order`` being
+    a broadcast of ``levels``; the prefix is followed by as many shingles again."""
 
     def sketch(batches):
         level = order.value
@@ -119,10 +134,8 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                                axis=0).reshape(KEYS, PER_KEY)
                 keys.append(mix(least[:, 0] + mix(least[:, 1] + _SEEDS[:KEYS])).view(np.int64))
                 bits.append(bitmap(s))
-                size = len(s) - -(-percent * len(s) // 100) + 1
                 late = level[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
-                first = np.argsort(late, kind="stable")[:size] if late.any() else slice(size)
-                prefix.append(s[first].view(np.int64))
+                prefix.append(first_of(s, late, 2 * prefix_size(len(s), percent)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c)[lo:lo + len(sets)] for c in ("id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(sums, pa.int64()),
                  pa.array(xors, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
@@ -157,14 +170,13 @@ def _bound(percent: int):
     return may_link
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
+def sieve(ids: DataFrame, size: int = SIEVE_BITS) -> np.ndarray:
     """Bit set of hashed ids: bounded, whatever the number of ids."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS))
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << size))
     rows = (ids.groupBy(F.shiftright(h, 6).alias("w"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) AS int))")).alias("bits")).collect())
-    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
-    for r in rows:
-        out[r["w"]] = r["bits"] & ((1 << 64) - 1)
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) AS int))")).alias("bits")).toArrow())
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -227,34 +239,108 @@ def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
             .sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b").mapInArrow(exact, "a long, b long"))
 
 
+def hot_bits(tokens: DataFrame) -> np.ndarray:
+    """Bit set of the shingles whose tiles would hold more than HOT
+    components. ``tokens``: (token, comp, alone)."""
+    several = tokens.where("NOT alone").select("token", "comp").distinct().select("token")
+    hot = (tokens.where("alone").select("token").unionByName(several).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+           .where(F.col("c") > HOT).select(slot(F.col("token")).alias("id")))
+    rows = hot.groupBy(F.shiftright("id", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(id & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (HOT_BITS - 6), np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def slot(token: Column) -> Column:
+    """A shingle's bit: its lowest HOT_BITS bits."""
+    return token.bitwiseAND(F.lit((1 << HOT_BITS) - 1))
+
+
+def is_hot(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at = s & np.uint64((1 << HOT_BITS) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int) -> DataFrame:
+    """(node, n, prefix) of ``nodes`` in the final order: hot shingles (by the
+    broadcast ``bits``) last. What held no hot one among its first shingles
+    stays; a set whose next shingles make up for its hot ones needs no text;
+    the others are cut anew from their texts."""
+    def look(batches):
+        for b in batches:
+            out, whole = [], []
+            for n, p in zip(b.column("n").to_pylist(), b.column("prefix")):
+                s = p.values.to_numpy().view(np.uint64)
+                cold, size = s[~is_hot(bits.value, s)], prefix_size(n, percent)
+                whole.append(len(cold) >= size or len(s) == n)
+                rest = s[is_hot(bits.value, s)]
+                out.append(np.concatenate([cold, rest])[:size].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "id", "h1", "h2", "n")),
+                                              pa.array(out, pa.list_(pa.int64())), pa.array(whole, pa.bool_())],
+                                             ["node", "id", "h1", "h2", "n", "prefix", "whole"])
+
+    seen = written(nodes.select("node", "id", "h1", "h2", "n", "prefix").mapInArrow(
+        look, "node long, id long, h1 long, h2 long, n long, prefix array<long>, whole boolean"), "prefixes")
+    short = seen.where("NOT whole").select("node", F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")
+    h1, h2 = text_key(F.col("text"))
+    texts = sifted(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), short.select("id")).select(
+        "id", h1.alias("h1"), h2.alias("h2"), "text")
+    met = short.join(texts.groupBy("id", "h1", "h2").agg(F.max("text").alias("text")), ["id", "h1", "h2"]).select("node", "text")
+
+    def again(batches):
+        for batch, lo, sets in texts_of(batches, k):
+            prefix = []
+            for s in sets:
+                late = order.value[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)] + np.where(is_hot(bits.value, s), 256, 0)
+                prefix.append(first_of(s, late, prefix_size(len(s), percent)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node")[lo:lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array(prefix, pa.list_(pa.int64()))], ["node", "n", "prefix"])
+
+    anew = met.mapInArrow(again, "node long, n long, prefix array<long>")
+    return seen.where("whole").select("node", "n", "prefix").unionByName(anew)
+
+
 def prefix_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a tile.
-    ``tiles``: (token, pos, id, n, comp, alone), pos being the token's place in
-    the order of its set. Of a linked pair, the first common token leaves
-    enough places behind it on both sides for the overlap that a link needs."""
+    ``tiles``: (token, band, pos, id, n, comp, alone), pos being the token's
+    place in the order of its set. A tile is a token and a size band; the right
+    side also stands in the neighbouring bands. Of a linked pair, the first
+    common token leaves enough places behind it on both sides for the overlap
+    that a link needs."""
     near = fits("n", "n2", percent) & (
         F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (100 + percent)
         >= percent * (F.col("n") + F.col("n2")))
-    alone = tiles.where("alone").select("token", "pos", "id", "n")
-    others = tiles.where("NOT alone").select("token", "pos", "id", "n", "comp")
-    right = alone.select("token", F.col("pos").alias("pos2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
-    pairs = alone.join(right, "token").where((F.col("id") < F.col("id2")) & near)
-    mixed = others.select("token", "pos", "id", "n").join(right, "token").where(near)
+    tile = ["token", "band"]
+    alone = tiles.where("alone").select(*tile, "pos", "id", "n")
+    others = tiles.where("NOT alone").select(*tile, "pos", "id", "n", "comp")
+
+    def beside(rows, *bands):  # as the right side: in its own band and those named
+        return rows.select("token", F.col("band").alias("band2"), *[F.col(c).alias(c + "2") for c in rows.columns if c not in tile],
+                           F.explode(F.array(*[F.col("band") + b for b in (0, *bands)])).alias("band"))
+
+    # of two sets of one band the lesser id is on the left, else the smaller band
+    pairs = alone.join(beside(alone, -1), tile).where(((F.col("band2") > F.col("band")) | (F.col("id") < F.col("id2"))) & near)
+    mixed = others.select(*tile, "pos", "id", "n").join(beside(alone, -1, 1), tile).where(near)
     # components of several members meet once per tile; only pairs of them that fit are spread to members
-    groups = others.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    g2 = groups.select("token", *[F.col(c).alias(c + "2") for c in ("comp", "lo", "hi")])
-    met = groups.join(g2, "token").where(
+    groups = others.groupBy(*tile, "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = groups.join(beside(groups, -1, 1), tile).where(
         (F.col("comp") < F.col("comp2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
-        & (100 * F.col("hi") >= percent * F.col("lo2"))).select("token", "comp", "comp2")
-    o2 = others.select("token", F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("id").alias("id2"),
-                       F.col("n").alias("n2"))
-    across = met.join(others, ["token", "comp"]).join(o2, ["token", "comp2"]).where(near)
+        & (100 * F.col("hi") >= percent * F.col("lo2"))).select(*tile, "comp", "band2", "comp2")
+    o2 = others.select("token", *[F.col(c).alias(c + "2") for c in ("band", "pos", "comp", "id", "n")])
+    across = met.join(others, [*tile, "comp"]).join(o2, ["token", "band2", "comp2"]).where(near)
     both = [p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
             for p in (pairs, mixed, across)]
     return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
 
 
-def linked_sets(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def band_of(n: Column, percent: int) -> Column:
+    """Size band: two sizes that a link allows are at most one band apart (the
+    sizes' quotient is at most 100 / percent; a little slack for rounding)."""
+    return F.floor(F.log(n.cast("double")) / (-math.log(percent / 100) * (1 + 1e-9)) if percent < 100 else n).cast("long")
+
+
+def linked_sets(rows: DataFrame, docs: DataFrame, order, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of sketched ``rows``: the distinct sets (k1, k2, node, least id), and
     (id, component) of the nodes that link."""
     sets = written(rows.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("rep")), "sets")
@@ -269,8 +355,12 @@ def linked_sets(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple
 
     member = sets.select(F.col("node").alias("id")).join(comps, "id", "left").select(
         "id", F.coalesce("component", "id").alias("comp"), F.col("component").isNull().alias("alone"))
-    tiles = nodes.select(F.col("node").alias("id"), "n", "prefix").join(member, "id").select(
-        F.posexplode("prefix").alias("pos", "token"), "id", "n", "comp", "alone")
+    own = nodes.join(sets.select("node"), "node", "left_semi")
+    tokens = own.select(F.col("node").alias("id"), F.explode("prefix").alias("token")).join(member, "id").select("token", "comp", "alone")
+    bits = docs.sparkSession.sparkContext.broadcast(hot_bits(tokens))
+    final = written(settled(own, docs, order, bits, k, percent), "prefixes")
+    tiles = final.select(F.col("node").alias("id"), "n", "prefix").join(member, "id").select(
+        F.posexplode("prefix").alias("pos", "token"), band_of(F.col("n"), percent).alias("band"), "id", "n", "comp", "alone")
     more = written(check(prefix_pairs(tiles, percent), nodes, docs, k, percent), "links")
     if more.limit(1).count():
         comps = joined(comps, more)
@@ -283,11 +373,13 @@ def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
                               .unionByName(more)), "components")
 
 
-def sketched(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (id, text), and their sketches, each with a row number."""
+def sketched(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, object]:
+    """``docs`` as (id, text), their sketches, each with a row number, and the
+    order of shingles (a broadcast)."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return docs, written(sketches(docs, k, percent).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    order = docs.sparkSession.sparkContext.broadcast(levels(docs, k))
+    return docs, written(sketches(docs, order, k, percent).withColumn("row", F.monotonically_increasing_id()), "sketch"), order
 
 
 def placed(sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -299,9 +391,9 @@ def placed(sets: DataFrame, comps: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    docs, sketch = sketched(docs, k, percent, id_col, text_col)
+    docs, sketch, order = sketched(docs, k, percent, id_col, text_col)
     some = sketch.where("n > 0 AND id IS NOT NULL")
-    sets, comps = linked_sets(some, docs.where("id IS NOT NULL"), k, percent)
+    sets, comps = linked_sets(some, docs.where("id IS NOT NULL"), order, k, percent)
     several = written(some.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("k1", "k2")])
                       .where("min_k1 < max_k1 OR min_k2 < max_k2").select("id"), "several")
     if several.limit(1).count():  # sets of one id belong together
@@ -320,9 +412,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of linked texts, the row with the least id (null last),
     and all rows without shingles. Rows are told apart by id and text: another
     text of the same (or null) id has groups of its own."""
-    pairs, sketch = sketched(docs, k, percent, "doc_id", "text")
+    pairs, sketch, order = sketched(docs, k, percent, "doc_id", "text")
     some = sketch.where("n > 0")
-    sets, comps = linked_sets(some, pairs, k, percent)
+    sets, comps = linked_sets(some, pairs, order, k, percent)
     rows = some.select("id", "h1", "h2", "k1", "k2").join(placed(sets, comps), ["k1", "k2"]).select(
         F.col("comp").alias("group"), F.lit(0).alias("first"), "id", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
     return leave_one(docs, rows, "doc_id", "text")
