@@ -1,12 +1,13 @@
 """Chat formatting by schema fingerprints.
 
 Every layout of conversations is named by a fingerprint: the hash of its
-sorted nested field paths. A fingerprint selects a declarative mapping (which
-path holds the turns, or which fields are the prompt, the input and the
-answer), and the mapping makes canonical turns: array<struct<role, text>>.
-``canonical`` does this for a typed table, by its schema; ``canonical_json``
-for a column of JSON objects of mixed layouts, row by row. Turn tables (one
-row per turn) are gathered by conversation.
+sorted nested field paths, as far as some known layout uses them (other fields
+are ignored). A fingerprint selects a declarative mapping (which path holds the
+turns, which fields are the prompt, the input and the answer, or which columns
+make a table with a row for each turn), and the mapping makes canonical turns:
+array<struct<role, text>>. ``canonical`` does this for a typed table, by its
+schema; ``canonical_json`` for a column of JSON objects of mixed layouts, row by
+row. ``layout`` names the mapping; ``unknown_layouts`` counts rows without one.
 
 Template: each turn is ``<s>[INST]role[/INST]text</s>``. A control string
 inside a role or text gets a backslash after its first character, and one that
@@ -16,7 +17,8 @@ reading back restores them exactly. Loss spans cover the assistant's texts.
 All steps are DataFrame functions. Defined results: null role or text is
 empty; equal turn numbers are ordered by role, then text; a null turn number
 comes first; a null id is a conversation of its own; a conversation without
-turns formats to the empty text; an unknown layout gives null turns.
+turns formats to the empty text; an unknown layout gives null turns, and they
+format to null.
 """
 
 from __future__ import annotations
@@ -37,16 +39,20 @@ _ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "ass
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns: either ``turns`` with its ``role`` and
-    ``text`` fields, or (field, role) pairs in order; ``join`` names fields
-    whose text is appended to the one before, after a blank line."""
+    """How one layout becomes turns: ``turns`` with its ``role`` and ``text``
+    fields, or (field, role) pairs in order (``join`` names fields whose text
+    is appended to the one before, after a blank line), or ``order``: a row is
+    one turn of its conversation, with columns ``role`` and ``text``."""
     turns: str = ""
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     join: tuple[str, ...] = ()
+    order: str = ""
 
     def paths(self) -> tuple[str, ...]:
+        if self.order:
+            return tuple(sorted((self.order, self.role, self.text)))
         if self.turns:
             return tuple(sorted((f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}")))
         return tuple(sorted([f for f, _ in self.fields] + list(self.join)))
@@ -69,6 +75,7 @@ class Mapping:
 
 #: The layouts that are known, by name.
 MAPPINGS = {
+    "turn_rows": Mapping(role="role", text="text", order="turn"),
     "messages": Mapping("messages", "role", "content"),
     "conversations": Mapping("conversations", "from", "value"),
     "turns": Mapping("turns", "role", "text"),
@@ -101,59 +108,69 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(m.paths()): m for m in MAPPINGS.values()}
+BY_FINGERPRINT = {fingerprint(m.paths()): name for name, m in MAPPINGS.items()}
+#: The paths that some layout uses.
+KNOWN = sorted({p for m in MAPPINGS.values() for p in m.paths()})
 
 
 def canonical(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, turns) of a typed table; the fingerprint of its other columns'
-    paths selects the mapping. ``turn, role, text`` columns are a turn table."""
-    rest = df.drop(id_col)
-    paths = schema_paths(rest.schema)
-    if sorted(paths) == ["role", "text", "turn"]:
-        return gathered(df, id_col)
-    mapping = BY_FINGERPRINT.get(fingerprint(paths))
+    """(conv_id, turns, layout) of a typed table; the fingerprint of its other
+    columns' known paths selects the mapping."""
+    paths = [p for p in schema_paths(df.drop(id_col).schema) if p in KNOWN]
+    name = BY_FINGERPRINT.get(fingerprint(paths))
+    mapping = MAPPINGS.get(name)
+    if mapping and mapping.order:
+        return gathered(df, id_col, mapping).withColumn("layout", F.lit(name))
     turns = mapping.apply(lambda p: F.col(p)) if mapping else F.lit(None).cast(f"array<{TURN}>")
-    return df.select(F.col(id_col).alias("conv_id"), turns.cast(f"array<{TURN}>").alias("turns"))
+    return df.select(F.col(id_col).alias("conv_id"), turns.cast(f"array<{TURN}>").alias("turns"),
+                     F.lit(name).cast("string").alias("layout"))
 
 
-def gathered(df: DataFrame, id_col: str) -> DataFrame:
+def unknown_layouts(conversations: DataFrame) -> DataFrame:
+    """(unknown, total): rows whose layout is not known, of all."""
+    return conversations.agg(F.count_if(F.col("layout").isNull()).alias("unknown"), F.count(F.lit(1)).alias("total"))
+
+
+def gathered(df: DataFrame, id_col: str, m: Mapping) -> DataFrame:
     """Turn rows to one row per conversation; roles stay as they are."""
-    rows = df.select(F.col(id_col).alias("conv_id"), F.struct(
-        "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]).alias("t"))
+    rows = df.select(F.col(id_col).alias("conv_id"), F.struct(F.col(m.order).alias("turn"), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("role", m.role), ("text", m.text))]).alias("t"))
     every = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return every.select("conv_id", F.transform("ts", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
 
 
 def json_fingerprint(col: Column) -> Column:
-    """Fingerprint of a JSON object's own nested paths: the parsed value's
-    schema, with types removed, as path list."""
-    schema = F.schema_of_variant(F.try_parse_json(col))
-    # OBJECT<a: ARRAY<OBJECT<b: STRING>>> -> field names and nesting only, already sorted by name
-    return F.sha2(F.regexp_replace(schema, r"(?<=: )(?!ARRAY|OBJECT)[A-Z]+(\([0-9,]+\))?", "_"), 256)
+    """Fingerprint of a JSON object's own known paths; null if it is none."""
+    keys = F.json_object_keys(F.when(F.try_parse_json(col).isNotNull(), col))
+    none = F.array().cast("array<string>")
 
+    def inside(name: str) -> Column:  # fields of the elements of a list
+        elements = F.from_json(F.get_json_object(col, f"$.{name}"), "array<map<string,string>>")
+        fields = F.flatten(F.transform(elements, lambda e: F.coalesce(F.map_keys(e), none)))
+        return F.coalesce(F.transform(fields, lambda k: F.concat(F.lit(f"{name}[]."), k)), none)
 
-def _json_shape(m: Mapping) -> str:
-    if m.turns:
-        inner = ", ".join(f"{f}: _" for f in sorted((m.role, m.text)))
-        return f"OBJECT<{m.turns}: ARRAY<OBJECT<{inner}>>>"
-    return f"OBJECT<{', '.join(f'{f}: _' for f in m.paths())}>"
+    lists = sorted({m.turns for m in MAPPINGS.values() if m.turns})
+    paths = F.array_intersect(F.concat(keys, *map(inside, lists)), F.array(*[F.lit(p) for p in KNOWN]))
+    return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
 
 
 def canonical_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, turns) of rows whose layouts differ; unknown ones have null turns."""
-    import hashlib
-    found = F.lit(None).cast(f"array<{TURN}>")
-    print_of = json_fingerprint(F.col(json_col))
-    for m in MAPPINGS.values():
+    """(conv_id, turns, layout) of rows whose layouts differ; unknown ones have
+    null turns."""
+    found, layout = F.lit(None).cast(f"array<{TURN}>"), F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("__json")).withColumn("__print", json_fingerprint(F.col("__json")))
+    for name, m in MAPPINGS.items():
+        if m.order:
+            continue  # a JSON object is a whole conversation
         if m.turns:
             kind = f"struct<{m.turns}:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
         else:
             kind = f"struct<{','.join(f'`{f}`:string' for f in m.paths())}>"
-        parsed = F.from_json(F.col(json_col), kind)
+        parsed = F.from_json(F.col("__json"), kind)
         made = m.apply(lambda p, parsed=parsed: parsed[p]).cast(f"array<{TURN}>")
-        own = hashlib.sha256(_json_shape(m).encode()).hexdigest()
-        found = F.when(print_of == own, made).otherwise(found)
-    return df.select(F.col(id_col).alias("conv_id"), found.alias("turns"))
+        own = F.col("__print") == fingerprint(m.paths())
+        found, layout = F.when(own, made).otherwise(found), F.when(own, F.lit(name)).otherwise(layout)
+    return rows.select("conv_id", found.alias("turns"), layout.alias("layout"))
 
 
 def escape(text: Column) -> Column:
@@ -167,7 +184,7 @@ def unescape(text: Column) -> Column:
 def formatted(conversations: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): the text and the [start, end) code points
     of the assistant's texts in it."""
-    pieces = F.transform(F.coalesce("turns", F.array().cast(f"array<{TURN}>")), lambda t: F.struct(
+    pieces = F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(OPEN), escape(t["role"]), F.lit(ROLE_END)).alias("head"), escape(t["text"]).alias("body"),
         (t["role"] == "assistant").alias("learn")))
     rows = conversations.select("conv_id", pieces.alias("p"))

@@ -101,3 +101,23 @@ def test_embedding_pairs_are_found_through_tables(n, share):
     coder = itq_dedup.Coder(x[:itq_dedup.SAMPLE], n, 0.95)
     assert coder.bits >= 6
     assert (coder.codes(a) == coder.codes(b)).any(axis=1).mean() >= 0.9
+
+
+def test_chat_layouts_ignore_extra_fields_and_unknown_ones_are_counted(spark):
+    from propcube.llm import chat_format as C
+    rows = spark.createDataFrame([(1, 0, "user", "q", 5, "m"), (1, 1, "assistant", "a", None, None), (2, 0, None, None, 1, "x")],
+                                 "conv_id long, turn long, role string, text string, score int, layout string")
+    made = C.canonical(rows, "conv_id")
+    assert {r.conv_id: ([tuple(t) for t in r.turns], r.layout) for r in made.collect()} == {
+        1: ([("user", "q"), ("assistant", "a")], "turn_rows"), 2: ([("", "")], "turn_rows")}
+    texts = ['{"messages": [{"role": "user", "content": "q", "id": 7}, {"role": "assistant", "content": "a"}], "meta": {"x": [1]}}',
+             '{"prompt": "p", "response": "r", "score": 0.5, "tags": ["a"]}', '{"strange": 1}', "no json", None, "[1]", '"text"',
+             '{"instruction": "i", "input": "", "output": "o", "uid": null}']
+    df = spark.createDataFrame(list(enumerate(texts)), "conv_id int, j string")
+    found = C.canonical_json(df, "conv_id", "j")
+    got = {r.conv_id: (r.turns and [tuple(t) for t in r.turns], r.layout) for r in found.collect()}
+    assert got == {0: ([("user", "q"), ("assistant", "a")], "messages"), 1: ([("user", "p"), ("assistant", "r")], "prompt"),
+                   2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None),
+                   7: ([("user", "i"), ("assistant", "o")], "instruction_input")}
+    assert tuple(C.unknown_layouts(found).first()) == (5, 8)
+    assert {r.conv_id for r in C.formatted(found).where("formatted IS NULL").collect()} == {2, 3, 4, 5, 6}
