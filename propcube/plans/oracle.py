@@ -1254,6 +1254,54 @@ WHERE l_linenumber = 7 GROUP BY k
 """
 
 
+def city_view_sql(view: str, touched: tuple[str, ...]) -> str:
+    """A view's rows of the touched cities from all listings, of the others
+    from every third one."""
+    names = ", ".join(f"'{n}'" for n in touched)
+    third = view.replace("FROM listings WHERE price_sqft", "FROM listings WHERE listing_id % 3 = 0 AND price_sqft")
+    return f"SELECT * FROM ({view}) WHERE city_name IN ({names}) UNION ALL SELECT * FROM ({third}) WHERE city_name NOT IN ({names})"
+
+
+def reference_graph_sql() -> str:
+    """What is left of each table, and the requests that are refused. City 4
+    has no listings, so it goes, with its localities."""
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '-')"
+    return with_bridge(f"""
+SELECT 'cities' AS table_name, CAST(city_id AS VARCHAR) AS key, '' AS refs, NULL AS reason FROM cities WHERE city_id <> 4
+UNION ALL SELECT 'cities', CAST(city_id AS VARCHAR), NULL, 'referenced_by_listings' FROM cities WHERE city_id <> 4
+UNION ALL SELECT 'cities', CAST(city_id + 100 AS VARCHAR), NULL, 'not_found' FROM cities
+UNION ALL SELECT 'localities', CAST(locality_id AS VARCHAR), {text('city_id')}, NULL FROM localities WHERE city_id NOT IN (3, 4)
+UNION ALL SELECT 'buildings', CAST(building_id AS VARCHAR), {text('CASE WHEN locality_id NOT IN (SELECT * FROM gone_loc) THEN locality_id END')}, NULL
+          FROM buildings WHERE building_id NOT IN (SELECT * FROM gone_bld)
+UNION ALL SELECT 'buildings', CAST(-p_partkey - 1 AS VARCHAR), NULL, 'not_found' FROM part WHERE p_size > 45
+UNION ALL SELECT 'agents', CAST(agent_id AS VARCHAR), '', NULL FROM agents WHERE agent_id NOT IN (SELECT * FROM gone_agt)
+UNION ALL SELECT 'listings', CAST(listing_id AS VARCHAR),
+       {text('CASE WHEN building_id NOT IN (SELECT * FROM gone_bld) THEN building_id END')} || ',' ||
+       {text('CASE WHEN agent_id NOT IN (SELECT * FROM gone_agt) THEN agent_id END')} || ',' || {text('city_id')} || ',' ||
+       {text('CASE WHEN locality_id NOT IN (SELECT * FROM gone_loc) THEN locality_id END')}, NULL
+       FROM listings WHERE city_id <> 4 AND listing_id % 7 <> 0
+UNION ALL SELECT 'transactions', txn_id, {text('listing_id')}, NULL FROM transactions
+       WHERE listing_id NOT IN (SELECT listing_id FROM listings WHERE city_id <> 4 AND listing_id % 7 = 0)
+""", """
+gone_loc AS (SELECT locality_id FROM localities WHERE city_id IN (3, 4)),
+gone_bld AS (SELECT p_partkey FROM part WHERE p_size > 45),
+gone_agt AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+
+
+def create_listings_all_fks_sql() -> str:
+    return with_bridge("""
+SELECT prop_id, NULL::BIGINT AS seq, NULL::VARCHAR AS reason_list FROM ok
+UNION ALL SELECT NULL, seq, array_to_string(CASE WHEN len(reasons3) = 0 THEN ['prop_id_duplicate_in_batch'] ELSE reasons3 END, ',')
+FROM chr3 WHERE seq NOT IN (SELECT seq FROM ok)""", LISTING_CREATES + """,
+chr3 AS (SELECT chr.*, list_concat(list_concat(list_concat(reasons,
+             CASE WHEN seq % 20 = 12 THEN ['building_unknown'] ELSE [] END),
+             CASE WHEN seq % 10 = 8 THEN ['agent_unknown'] ELSE [] END),
+             CASE WHEN prop_id IN (SELECT prop_id FROM listings) THEN ['prop_id_exists'] ELSE [] END) AS reasons3 FROM chr),
+firsts AS (SELECT prop_id, MIN(seq) AS first_seq FROM chr3 WHERE len(reasons3) = 0 GROUP BY prop_id),
+ok AS (SELECT chr3.* FROM chr3 JOIN firsts f ON f.prop_id = chr3.prop_id AND f.first_seq = chr3.seq
+       WHERE len(reasons3) = 0)""")
+
+
 def city_delete_sql() -> str:
     return with_bridge("""
 SELECT building_id, CASE WHEN locality_id IN (SELECT locality_id FROM localities WHERE city_id IN (

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from propcube.functions import parsing as P
 from propcube.operators import analytics as A
 from propcube.operators import changes as C
+from propcube.operators import cityviews as CV
 from propcube.operators import dims as D
 from propcube.operators import ingest as I
+from propcube.operators import partials as SP
+from propcube.operators import references as REF
 from propcube.operators import rollups as R
 from propcube.operators import search as Q
 from propcube.operators import views as V
@@ -37,6 +40,9 @@ DEMAND_CITY, DEMAND_TYPE, DEMAND_TOP = "EUROPE", "urg", 10
 AGENT_CITY, AGENT_FROM, AGENT_TO = "AMERICA", "1997-01-01", "1998-12-31"
 
 
+_STAGED: dict[tuple, str] = {}
+
+
 def _t(spark: SparkSession, sf_dir: str) -> Tables:
     apply_required_conf(spark)
     return Tables(spark, sf_dir)
@@ -82,6 +88,48 @@ def _refresh_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.view_row_counts(spark, root)
 
 
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """A folder that is built once in an application and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        path = scratch_path(spark, name)
+        build(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
+def _summary_partials(date_from: str | None = None, date_to: str | None = None) -> QueryFn:
+    """AGG1 read from daily partials."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _t(spark, sf_dir)
+
+        def build(root: str) -> None:  # in two appends, as batches would come
+            for i in (0, 1):
+                SP.append_partials(t.listings.where(F.col("listing_id") % 2 == i),
+                                   t.transactions.where(F.col("listing_id") % 2 == i), root)
+        return SP.summary_of(spark, _once(spark, sf_dir, "summary", build), date_from, date_to)
+    return run
+
+
+TOUCHED = ("ASIA", "EUROPE")
+
+
+def _city_view(name: str) -> QueryFn:
+    """A view stored by city from every third listing, of which two cities are
+    then refreshed from all listings."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _t(spark, sf_dir)
+        some = t.with_tables(listings=t.listings.where("listing_id % 3 = 0"))
+
+        def build(root: str) -> None:
+            every = [r[0] for r in t.cities.select("city_name").collect()]
+            CV.refresh_cities(some, root, every, (name,))
+            CV.refresh_cities(t, root, list(TOUCHED), (name,))
+        root = _once(spark, sf_dir, f"city-views-{name}", build)
+        return CV.read_city_view(spark, root, name, V.VIEW_BUILDERS[name](t).schema)
+    return run
+
+
 PAGE_FILTER = Q.ListingFilters(city_id=2, bedroom_num=3, min_price=100000.0)
 SEARCH_FILTER = Q.ListingFilters(search="tower 1", property_type="high")
 COUNT_FILTER = Q.ListingFilters(city_id=0, transact_type=1, max_area=1500.0)
@@ -118,6 +166,10 @@ def _views_search() -> dict[str, tuple[QueryFn, str | None]]:
         "mv_price_trends": (_q(V.mv_price_trends), O.mv_price_trends_sql()),
         "mv_locality_demand": (_q(V.mv_locality_demand), O.mv_locality_demand_sql()),
         "mv_agent_performance": (_q(V.mv_agent_performance), O.mv_agent_performance_sql()),
+        "city_price_trends": (_city_view("mv_price_trends"), O.city_view_sql(O.mv_price_trends_sql(), TOUCHED)),
+        "city_locality_demand": (_city_view("mv_locality_demand"), O.city_view_sql(O.mv_locality_demand_sql(), TOUCHED)),
+        "summary_partials": (_summary_partials(), O.summary_sql()),
+        "summary_partials_dated": (_summary_partials(D_FROM, D_TO), O.summary_sql(D_FROM, D_TO)),
         "refresh_views": (_refresh_views, O.refresh_views_sql()),
         "listings_page": (_q(Q.listings_page, f=PAGE_FILTER, page=2, size=20),
                           O.listings_page_sql(PAGE_FILTER, 2, 20)),
@@ -240,19 +292,13 @@ def _ingest() -> dict[str, tuple[QueryFn, str | None]]:
 
 
 BATCH_TS = "2024-01-01 00:00:00"
-_STAGED: dict[tuple, str] = {}
 
 
 def _staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeding job's staging step: the cleaned ingest frame is written
     once per session as a table under the shared storage root and read by
     every later dimension step (a written table also cuts the lineage)."""
-    key = (id(spark.sparkContext._jsc), sf_dir)
-    if key not in _STAGED:
-        path = scratch_path(spark, "clean-listings")
-        _clean(spark, sf_dir).write.mode("errorifexists").parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(_STAGED[key])
+    return spark.read.parquet(_once(spark, sf_dir, "clean-listings", lambda path: _clean(spark, sf_dir).write.parquet(path)))
 
 
 def _dim_chain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -472,6 +518,43 @@ def _agent_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.concat_ws(",", "reasons").alias("reason_list")))
 
 
+def _reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cities, localities, buildings, agents and listings deleted in one go:
+    every table's rows with their references, and the rejects."""
+    t = _t(spark, sf_dir)
+    part = read_table(spark, sf_dir, "part")
+    tables = {n: getattr(t, n) for n in REF.KEYS}
+    tables["listings"] = tables["listings"].where("city_id <> 4")
+    wanted = {
+        "cities": t.cities.select("city_id").unionByName(t.cities.select((F.col("city_id") + 100).alias("city_id"))),
+        "localities": t.localities.where("city_id = 3").select("locality_id"),
+        "buildings": part.where("p_size > 45").select(F.explode(F.array("p_partkey", -F.col("p_partkey") - 1)).alias("building_id")),
+        "agents": read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("agent_id")),
+        "listings": tables["listings"].where("listing_id % 7 = 0").select("listing_id"),
+    }
+    left, rejects = REF.delete(tables, wanted)
+    out = rejects.select("table_name", "key", F.lit(None).cast("string").alias("refs"), "reason")
+    for name, key in REF.KEYS.items():
+        refs = [F.coalesce(F.col(r.column).cast("string"), F.lit("-")) for r in REF.GRAPH if r.child == name]
+        out = out.unionByName(left[name].select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"),
+                                                F.concat_ws(",", *refs).alias("refs") if refs else F.lit("").alias("refs"),
+                                                F.lit(None).cast("string").alias("reason")))
+    return out
+
+
+def _create_all_fks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHG2 with every foreign key checked, buildings and agents included."""
+    t = _t(spark, sf_dir)
+    k = F.col("seq")
+    batch = B.listing_creates(spark, sf_dir).withColumn("agent_id", F.when(k % 10 == 8, k + B.MISS).otherwise(F.lit(None)).cast("bigint")) \
+        .withColumn("building_id", F.when(k % 20 == 12, F.lit(-1)).otherwise(F.lit(None)).cast("bigint"))
+    new, rejects = C.create_listings(t.listings, batch, t.cities, t.localities, BATCH_TS, buildings=t.buildings, agents=t.agents)
+    made = new.where(F.col("created_at") == F.lit(BATCH_TS).cast("timestamp")).select(
+        "prop_id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("reason_list"))
+    return made.unionByName(rejects.select(F.lit(None).cast("string").alias("prop_id"), "seq",
+                                           F.concat_ws(",", "reasons").alias("reason_list")))
+
+
 def _city_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cities asked to go once city 4 has no listings: only it may."""
     t = _t(spark, sf_dir)
@@ -495,6 +578,8 @@ def _changes() -> dict[str, tuple[QueryFn, str | None]]:
         "update_agents": (_update_agents, O.update_agents_sql()),
         "deactivate_agents": (_deactivate, O.deactivate_agents_sql()),
         "referential_actions": (_referential, O.referential_actions_sql()),
+        "reference_graph_delete": (_reference_graph, O.reference_graph_sql()),
+        "create_listings_all_fks": (_create_all_fks, O.create_listings_all_fks_sql()),
         "city_delete_buildings": (_city_delete, O.city_delete_sql()),
         "create_listings_rejects": (_listing_create_rejects, O.create_listings_rejects_sql()),
         "listing_change_rejects": (_listing_rejects, O.listing_rejects_sql()),

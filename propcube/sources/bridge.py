@@ -76,7 +76,7 @@ _COLUMNS: dict[tuple, list] = {}
 def _cached_columns(spark: SparkSession, name: str, build) -> list:
     """Select lists are unresolved Columns: build once per session, reuse
     for every query (saves hundreds of driver round trips per plan)."""
-    key = (id(spark.sparkContext._jsc), name)
+    key = (spark.sparkContext.applicationId, name)
     if key not in _COLUMNS:
         _COLUMNS[key] = build()
     return _COLUMNS[key]

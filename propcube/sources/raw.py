@@ -61,7 +61,7 @@ _COLUMN_CACHE: dict[int, list] = {}
 def _raw_columns(spark: SparkSession) -> list[Column]:
     """The fixture's select list, built once per session and reused for
     every city (unresolved Columns bind to whichever frame selects them)."""
-    key = id(spark.sparkContext._jsc)
+    key = spark.sparkContext.applicationId
     if key not in _COLUMN_CACHE:
         _COLUMN_CACHE[key] = _build_raw_columns()
     return _COLUMN_CACHE[key]
@@ -238,7 +238,7 @@ def stored_city_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     files, instead of carrying the fixture's rendering expressions.
     """
     from propcube.session import scratch_path
-    key = (id(spark.sparkContext._jsc), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATERIALIZED:
         root = scratch_path(spark, "raw-city-files")
         paths = {}
