@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from propcube.llm.common import ship
 
-CACHE = 8 << 20
+CACHE = 24 << 20
 SHORT = 256
 NO_RANK = 1 << 60
 
@@ -48,18 +48,30 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-class Remembered(dict):
-    """Results by text, forgotten as a whole when they hold about CACHE bytes."""
+class Remembered:
+    """Results by text in two generations of about CACHE / 2 bytes: a full one
+    becomes the old one, whose texts come back when they are asked for, so the
+    frequent ones stay."""
 
     def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def find(self, text: str) -> bytes | None:
+        got = self.young.get(text)
+        if got is None:
+            got = self.old.get(text)
+            if got is not None:
+                self.keep(text, got)
+        return got
+
     def keep(self, text: str, ids: bytes) -> None:
-        self.held += 160 + 2 * len(text) + len(ids)  # two objects and a place in the table
-        if self.held > CACHE:
-            self.clear()
-            self.held = 160 + 2 * len(text) + len(ids)
-        self[text] = ids
+        size = 160 + 2 * len(text) + len(ids)  # two objects and a place in the table
+        if self.held + size > CACHE // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.held += size
+        self.young[text] = ids
 
 
 class WordBpe:
@@ -150,7 +162,7 @@ class WordBpe:
             if "Σ" in text else unicodedata.normalize("NFC", text).lower()
         ids: list[int] = []
         for w in self.words.findall(lowered):
-            kept = self.known.get(w)
+            kept = self.known.find(w)
             if kept is None:
                 got = self.word(w)
                 if len(w) <= 200:
@@ -162,6 +174,9 @@ class WordBpe:
 
     def chunk(self, text: str) -> bytes:
         """Ids of a chunk without white space, as little-endian 32-bit integers."""
+        got = self.cache.find(text)
+        if got is not None:
+            return got
         ids, at = [], 0
         for m in self.is_special.finditer(text):
             ids += self.plain(text[at:m.start()])
@@ -174,9 +189,10 @@ class WordBpe:
         return made
 
     def encode(self, text: str) -> bytes:
-        known, chunk = self.cache.get, self.chunk
+        known, chunk = self.cache.young.get, self.chunk
         # str.split() also splits at four control characters that the patterns keep
         chunks = self.gap.split(text) if self.not_gap.search(text) else text.split()
+        # a full generation changes place meanwhile: what is found in it is right all the same
         return b"".join([known(c) or chunk(c) for c in chunks if c])
 
     def decode(self, ids: bytes) -> str:

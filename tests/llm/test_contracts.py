@@ -80,7 +80,7 @@ def test_remembered_results_are_bounded_by_bytes(mine):
         if i < 20:
             want[w] = got
     for kept in (mine.cache, mine.known):
-        assert kept.held <= bpe.CACHE and sum(len(k) + len(v) for k, v in kept.items()) < bpe.CACHE
+        assert kept.old and sum(160 + 2 * len(k) + len(v) for d in (kept.young, kept.old) for k, v in d.items()) <= bpe.CACHE
     assert all(mine.encode(w) == v for w, v in want.items())
 
 
