@@ -17,7 +17,8 @@ the least id of its component. Every link between different sets is found:
    of the prefixes: first by a bounded histogram of all shingles; then the tiles
    that would hold more than HOT components are counted, their shingles go
    behind all others (as bits of a bounded table), and the prefixes that held
-   one are taken anew. Any order finds every link.
+   one are taken anew from the texts. Any order finds every link. Shingles of
+   only one component make no tile (bits of another bounded table tell most).
 4. The check of a candidate: hashed bitmaps of both sets (4 bits a shingle)
    bound the overlap from above by bit counts; survivors' texts meet at the
    lower node, split into parts of PART candidates, and sorted hash arrays are
@@ -49,7 +50,7 @@ KEYS, PER_KEY = 8, 2  # min-hash keys of the first components, hashes in each
 MAX_BITS = 1 << 15  # a bitmap's size; a smaller one only loosens the bound
 PART = 1000  # candidates of one node that are checked together
 SIEVE_BITS = 22  # the sieve of candidates' ids has 2^22 bits
-HOT, HOT_BITS = 8, 24  # components that make a tile hot; the table of hot shingles has 2^24 bits
+HOT, HOT_BITS = 8, 24  # components that make a tile hot; the tables of shingles have 2^24 bits
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = mix(np.arange(1, KEYS * PER_KEY + 1, dtype=np.uint64))
@@ -116,7 +117,7 @@ def first_of(s: np.ndarray, late: np.ndarray, size: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     """(id, h1, h2, n, k1, k2, keys, bits, prefix) of each row, ``order`` being
-    a broadcast of ``levels``; the prefix is followed by as many shingles again."""
+    a broadcast of ``levels``."""
 
     def sketch(batches):
         level = order.value
@@ -135,7 +136,7 @@ def sketches(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
                 keys.append(mix(least[:, 0] + mix(least[:, 1] + _SEEDS[:KEYS])).view(np.int64))
                 bits.append(bitmap(s))
                 late = level[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
-                prefix.append(first_of(s, late, 2 * prefix_size(len(s), percent)).view(np.int64))
+                prefix.append(first_of(s, late, prefix_size(len(s), percent)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c)[lo:lo + len(sets)] for c in ("id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(sums, pa.int64()),
                  pa.array(xors, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
@@ -180,7 +181,7 @@ def sieve(ids: DataFrame, size: int = SIEVE_BITS) -> np.ndarray:
     return out
 
 
-def among(ids: DataFrame) -> Column:
+def among(ids: DataFrame, col: str = "id") -> Column:
     """Whether a row's id may be among ``ids`` (else it surely isn't)."""
     bits = ids.sparkSession.sparkContext.broadcast(sieve(ids))
 
@@ -189,7 +190,7 @@ def among(ids: DataFrame) -> Column:
         v = h.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array((bits.value[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-    return may_hold(F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS)))
+    return may_hold(F.pmod(F.xxhash64(col), F.lit(1 << SIEVE_BITS)))
 
 
 def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
@@ -239,13 +240,11 @@ def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
             .sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b").mapInArrow(exact, "a long, b long"))
 
 
-def hot_bits(tokens: DataFrame) -> np.ndarray:
-    """Bit set of the shingles whose tiles would hold more than HOT
-    components. ``tokens``: (token, comp, alone)."""
-    several = tokens.where("NOT alone").select("token", "comp").distinct().select("token")
-    hot = (tokens.where("alone").select("token").unionByName(several).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-           .where(F.col("c") > HOT).select(slot(F.col("token")).alias("id")))
-    rows = hot.groupBy(F.shiftright("id", 6).alias("w")).agg(
+def bits_of(counted: DataFrame, least: int) -> np.ndarray:
+    """Bit set of the shingles ``token`` that ``counted`` (token, c) gives at
+    least ``least`` times."""
+    tokens = counted.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select(slot(F.col("token")).alias("id"))
+    rows = tokens.groupBy(F.shiftright("id", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(id & 63 AS int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (HOT_BITS - 6), np.uint64)
     out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
@@ -257,32 +256,24 @@ def slot(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << HOT_BITS) - 1))
 
 
-def is_hot(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+def is_set(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     at = s & np.uint64((1 << HOT_BITS) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int) -> DataFrame:
-    """(node, n, prefix) of ``nodes`` in the final order: hot shingles (by the
-    broadcast ``bits``) last. What held no hot one among its first shingles
-    stays; a set whose next shingles make up for its hot ones needs no text;
-    the others are cut anew from their texts."""
-    def look(batches):
-        for b in batches:
-            out, whole = [], []
-            for n, p in zip(b.column("n").to_pylist(), b.column("prefix")):
-                s = p.values.to_numpy().view(np.uint64)
-                cold, size = s[~is_hot(bits.value, s)], prefix_size(n, percent)
-                whole.append(len(cold) >= size or len(s) == n)
-                rest = s[is_hot(bits.value, s)]
-                out.append(np.concatenate([cold, rest])[:size].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "id", "h1", "h2", "n")),
-                                              pa.array(out, pa.list_(pa.int64())), pa.array(whole, pa.bool_())],
-                                             ["node", "id", "h1", "h2", "n", "prefix", "whole"])
-
-    seen = written(nodes.select("node", "id", "h1", "h2", "n", "prefix").mapInArrow(
-        look, "node long, id long, h1 long, h2 long, n long, prefix array<long>, whole boolean"), "prefixes")
-    short = seen.where("NOT whole").select("node", F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")
+    """(id, n, prefix) of ``nodes`` in the final order: hot shingles (by the
+    broadcast ``bits``) last. A prefix without a hot one stays; the others are
+    taken anew from their texts."""
+    @F.arrow_udf("boolean")
+    def hot(prefix: pa.Array) -> pa.Array:
+        first = prefix.offsets.to_numpy()
+        seen = np.concatenate([[0], np.cumsum(is_set(bits.value, prefix.values.to_numpy().view(np.uint64)))])
+        return pa.array(seen[first[1:]] > seen[first[:-1]])
+
+    marked = nodes.select(F.col("node").alias("id"), F.coalesce("id", F.lit(0)).alias("doc"), "h1", "h2", "n", "prefix") \
+        .withColumn("hot", hot("prefix"))
+    short = written(marked.where("hot").select(F.col("id").alias("node"), F.col("doc").alias("id"), "h1", "h2"), "hot-rows")
     h1, h2 = text_key(F.col("text"))
     texts = sifted(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), short.select("id")).select(
         "id", h1.alias("h1"), h2.alias("h2"), "text")
@@ -292,13 +283,33 @@ def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int
         for batch, lo, sets in texts_of(batches, k):
             prefix = []
             for s in sets:
-                late = order.value[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)] + np.where(is_hot(bits.value, s), 256, 0)
+                late = order.value[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)] + np.where(is_set(bits.value, s), 256, 0)
                 prefix.append(first_of(s, late, prefix_size(len(s), percent)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("node")[lo:lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array(prefix, pa.list_(pa.int64()))], ["node", "n", "prefix"])
+                                              pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "prefix"])
+
+    return marked.where("NOT hot").select("id", "n", "prefix").unionByName(met.mapInArrow(again, "id long, n long, prefix array<long>"))
+
+
+def tiles_of(final: DataFrame, shared, percent: int) -> DataFrame:
+    """(token, band, pos, id, n, comp, alone) of the shingles that more than one
+    component may have, by the broadcast bits ``shared``."""
+    def place(batches):
+        for b in batches:
+            p = b.column("prefix")
+            first, token = p.offsets.to_numpy(), p.values.to_numpy().view(np.uint64)
+            size = np.diff(first)
+            row = np.repeat(np.arange(len(size)), size)
+            token = token[first[0]:first[-1]]
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            use = is_set(shared.value, token)
+            at = pa.array(row[use])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[use].view(np.int64)), pa.array(pos[use])] + [b.column(c).take(at) for c in ("id", "n", "comp", "alone")],
+                ["token", "pos", "id", "n", "comp", "alone"])
 
-    anew = met.mapInArrow(again, "node long, n long, prefix array<long>")
-    return seen.where("whole").select("node", "n", "prefix").unionByName(anew)
+    rows = final.mapInArrow(place, "token long, pos long, id long, n long, comp long, alone boolean")
+    return rows.withColumn("band", band_of(F.col("n"), percent))
 
 
 def prefix_pairs(tiles: DataFrame, percent: int) -> DataFrame:
@@ -355,12 +366,17 @@ def linked_sets(rows: DataFrame, docs: DataFrame, order, k: int, percent: int) -
 
     member = sets.select(F.col("node").alias("id")).join(comps, "id", "left").select(
         "id", F.coalesce("component", "id").alias("comp"), F.col("component").isNull().alias("alone"))
-    own = nodes.join(sets.select("node"), "node", "left_semi")
-    tokens = own.select(F.col("node").alias("id"), F.explode("prefix").alias("token")).join(member, "id").select("token", "comp", "alone")
-    bits = docs.sparkSession.sparkContext.broadcast(hot_bits(tokens))
-    final = written(settled(own, docs, order, bits, k, percent), "prefixes")
-    tiles = final.select(F.col("node").alias("id"), "n", "prefix").join(member, "id").select(
-        F.posexplode("prefix").alias("pos", "token"), band_of(F.col("n"), percent).alias("band"), "id", "n", "comp", "alone")
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    one = F.lit(1).cast("long").alias("c")
+    # one member stands for its component here: this count only shapes the order
+    some = among(member.where("alone OR comp = id").select("id"))
+    hot = bits_of(nodes.select(F.col("node").alias("id"), "prefix").where(some).select(F.explode("prefix").alias("token"), one), HOT + 1)
+    final = written(settled(nodes.where(among(sets.select(F.col("node").alias("id")), "node")), docs, order, broadcast(hot), k, percent)
+                    .join(member, "id"), "prefixes")
+    tokens = final.select(F.explode("prefix").alias("token"), "comp", "alone")
+    counted = tokens.where("alone").select("token", one).unionByName(
+        tokens.where("NOT alone").select("token", "comp").distinct().select("token", one))
+    tiles = written(tiles_of(final, broadcast(bits_of(counted, 2)), percent), "tiles")
     more = written(check(prefix_pairs(tiles, percent), nodes, docs, k, percent), "links")
     if more.limit(1).count():
         comps = joined(comps, more)
