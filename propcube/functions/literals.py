@@ -29,18 +29,28 @@ _NUMBER = (r"(?:[+-]\s*)?(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+"
 #: possessive loops: a long string costs no stack
 _STRING = r"""'(?:[^'\\\n]|\\[\s\S])*+'|"(?:[^"\\\n]|\\[\s\S])*+\""""
 _TOKEN = rf"(?:[uUbBrR]?(?:{_STRING}))|{_NUMBER}|[A-Za-z_]\w*+|\s++|[\s\S]"
-#: A flat dict whose text is JSON but for single quotes.
-_PLAIN_VALUE = r"(?:'[^'\"\\\n\t]*+'|-?(?:0|[1-9]\d{0,17})(?:\.\d{1,17})?)"
-_PLAIN = rf"^\{{(?:'[^'\"\\\n\t]*+': {_PLAIN_VALUE}(?:, (?=')|(?=\}})))*+\}}$"
+#: A flat dict whose text is JSON but for single quotes and the three words,
+#: without a colon in a string, so that words behind one are words.
+_SIMPLE = r"""(?:'[^'\\\n:]*+'|"[^"\\\n:]*+")"""
+_PLAIN_VALUE = rf"(?:{_SIMPLE}|-?(?:0|[1-9]\d{{0,17}})(?:\.\d{{1,17}})?|True|False|None)"
+_PLAIN = rf"^\{{(?:{_SIMPLE}: {_PLAIN_VALUE}(?:, (?=['\"])|(?=\}})))*+\}}$"
+#: What a literal dict starts with.
+_START = r"^\s*[({]"
 _STRUCTURE = {"(": "28", ")": "29", "[": "5b", "]": "5d", "{": "7b", "}": "7d", ",": "2c", ":": "3a", '"': "22"}
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once and named once: written
+    out at each place that needs it, the expression would grow with every step."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
 def _of_code(piece: Column, digits: str, base: int) -> Column:
     """``piece`` with the digits that it starts with turned into an escape of
     their code unit (up to four hex digits)."""
-    code = F.regexp_extract(piece, digits, 0)
-    return F.concat(F.lit(r"\u"), F.lpad(F.lower(F.conv(code, base, 16)), 4, "0"),
-                    F.substring(piece, F.length(code) + 1, F.length(piece)))
+    return _let(F.regexp_extract(piece, digits, 0), lambda code: F.concat(
+        F.lit(r"\u"), F.lpad(F.lower(F.conv(code, base, 16)), 4, "0"),
+        F.substring(piece, F.length(code) + 1, F.length(piece))))
 
 
 def _wide(piece: Column) -> Column:
@@ -51,28 +61,41 @@ def _wide(piece: Column) -> Column:
 
 def _each_after(s: Column, cut: str, turn) -> Column:
     """``s`` cut at a pattern, the pieces after a cut turned."""
-    parts = F.split(s, cut)
-    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), turn), ""))
+    return _let(F.split(s, cut), lambda parts: F.concat(F.get(parts, 0), F.array_join(
+        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: turn(p)), "")))
+
+
+def _escapes(s: Column) -> Column:
+    """Python's escapes as JSON's."""
+    s = F.regexp_replace(s, r"\\\n", "")
+    s = F.regexp_replace(s, r"""\\(['"])""", "$1")
+    s = F.regexp_replace(s, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    s = F.regexp_replace(s, r"\\U0000([0-9a-fA-F]{4})", r"\\u$1")
+    s = _let(s, lambda v: F.when(F.contains(v, F.lit(r"\U")), _each_after(v, r"\\U", _wide)).otherwise(v))
+    s = _let(s, lambda v: F.when(v.rlike(r"\\[0-7]"), _each_after(
+        v, r"\\(?=[0-7])", lambda p: _of_code(p, "^[0-7]{1,3}", 8))).otherwise(v))
+    s = F.replace(F.replace(s, F.lit(r"\a"), F.lit(r"\u0007")), F.lit(r"\v"), F.lit(r"\u000b"))
+    return F.regexp_replace(s, r"\\(?![bfnrt]|u[0-9a-fA-F]{4})", r"\\\\")
+
+
+def _replaced(s: Column, pairs) -> Column:
+    for old, new in pairs:
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s
+
+
+_WRONG = r"\\x(?![0-9a-fA-F]{2})|\\u(?![0-9a-fA-F]{4})|\\U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|\\N"
 
 
 def _body(s: Column, raw: Column) -> Column:
     """The inside of a Python string as the inside of a JSON string."""
-    for stand_in in (_OPEN, _CLOSE, _SLASH, _BAD):
-        s = F.replace(s, F.lit(stand_in), F.lit(f"\\x{ord(stand_in):02x}"))
-    s = F.when(raw, F.replace(s, F.lit("\\"), F.lit(_SLASH))).otherwise(F.replace(s, F.lit("\\\\"), F.lit(_SLASH)))
-    wrong = s.rlike(r"\\x(?![0-9a-fA-F]{2})|\\u(?![0-9a-fA-F]{4})|\\U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|\\N")
-    escaped = F.regexp_replace(s, r"\\\n", "")
-    escaped = F.regexp_replace(escaped, r"""\\(['"])""", "$1")
-    escaped = F.regexp_replace(escaped, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
-    escaped = F.regexp_replace(escaped, r"\\U0000([0-9a-fA-F]{4})", r"\\u$1")
-    escaped = F.when(F.contains(escaped, F.lit(r"\U")), _each_after(escaped, r"\\U", _wide)).otherwise(escaped)
-    escaped = F.when(escaped.rlike(r"\\[0-7]"), _each_after(
-        escaped, r"\\(?=[0-7])", lambda p: _of_code(p, "^[0-7]{1,3}", 8))).otherwise(escaped)
-    escaped = F.replace(F.replace(escaped, F.lit(r"\a"), F.lit(r"\u0007")), F.lit(r"\v"), F.lit(r"\u000b"))
-    escaped = F.regexp_replace(escaped, r"\\(?![bfnrt]|u[0-9a-fA-F]{4})", r"\\\\")
-    s = F.when(wrong, F.lit(_BAD)).when(F.contains(s, F.lit("\\")), escaped).otherwise(s)
-    for mark, code in _STRUCTURE.items():
-        s = F.replace(s, F.lit(mark), F.lit(rf"\u00{code}"))
+    marks = [(m, f"\\x{ord(m):02x}") for m in (_OPEN, _CLOSE, _SLASH, _BAD)]
+    s = _let(s, lambda v: F.when(v.rlike("[\x01-\x04]"), _replaced(v, marks)).otherwise(v))
+    s = _let(s, lambda v: F.when(~F.contains(v, F.lit("\\")), v).when(raw, F.replace(v, F.lit("\\"), F.lit(_SLASH)))
+             .otherwise(_let(F.replace(v, F.lit("\\\\"), F.lit(_SLASH)),
+                             lambda w: F.when(w.rlike(_WRONG), F.lit(_BAD)).otherwise(_escapes(w)))))
+    coded = [(mark, rf"\u00{code}") for mark, code in _STRUCTURE.items()]
+    s = _let(s, lambda v: F.when(v.rlike(r'[()\[\]{},:"]'), _replaced(v, coded)).otherwise(v))
     return F.replace(s, F.lit(_SLASH), F.lit(r"\\"))
 
 
@@ -83,13 +106,13 @@ def _integer(t: Column, base: int) -> Column:
 
 def _token(t: Column) -> Column:
     """One token of Python as JSON; numbers become strings, as they are."""
-    prefix = F.when(t.rlike("^[uUbBrR]['\"]"), F.lit(1)).otherwise(F.lit(0))
-    inside = F.substring(t, prefix + 2, F.length(t) - prefix - 2)
+    inside = _let(F.when(t.rlike("^[uUbBrR]['\"]"), F.lit(1)).otherwise(F.lit(0)),
+                  lambda prefix: F.substring(t, prefix + 2, F.length(t) - prefix - 2))
     unspaced = F.regexp_replace(t, r"[\s_]|^\+", "")
     number = (F.when(t.rlike(r"^[+-]?\s*0[xX]"), _integer(t, 16)).when(t.rlike(r"^[+-]?\s*0[oO]"), _integer(t, 8))
               .when(t.rlike(r"^[+-]?\s*0[bB]"), _integer(t, 2))
-              .when(unspaced.rlike(r"^-?0\d*[1-9]\d*$"), F.lit(_BAD))  # no leading zeros
-              .otherwise(unspaced))
+              .otherwise(_let(unspaced, lambda v: F.when(v.rlike(r"^-?0\d*[1-9]\d*$"), F.lit(_BAD))  # no leading zeros
+                              .otherwise(v))))
     return (F.when(t.rlike("^[uUbBrR]?['\"].*['\"]$") | t.rlike("(?s)^[uUbBrR]?(?:'.*'|\".*\")$"),
                    F.concat(F.lit(_OPEN), _body(inside, t.rlike("^[rR]")), F.lit(_CLOSE)))
             .when(t.isin(*"[]{}(),:"), t)
@@ -111,13 +134,17 @@ def to_json(literal: Column) -> Column:
     s = F.regexp_replace(s, r'\(("(?:[^"\\]|\\.)*+"|true|false|null)\)', "$1")
     s = F.regexp_replace(s, r"(?s)^\((\{.*\})\)$", "$1")
     s = F.regexp_replace(s, r"\{([^{}:]+)\}", "[$1]")  # a set
-    return F.when(~F.contains(s, F.lit(_BAD)), F.translate(s, "()\x05", "[]"))
+    return _let(s, lambda v: F.when(~F.contains(v, F.lit(_BAD)), F.translate(v, "()\x05", "[]")))
 
 
 def parsed(literal: Column, fields: T.StructType) -> Column:
     """The fields of a literal dict as a struct of strings; null if the text is
     no literal or no dict."""
-    plain = F.from_json(F.when(literal.rlike(_PLAIN), literal), fields, JSON_OPTIONS)
+    word = literal
+    for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
+        word = F.replace(word, F.lit(f": {python}"), F.lit(f": {json}"))
+    plain = F.from_json(F.when(literal.rlike(_PLAIN), word), fields, JSON_OPTIONS)
     # an array around it: text behind the dict is an error, and other things than one dict are seen
     other = F.from_json(F.concat(F.lit("["), to_json(literal), F.lit("]")), T.ArrayType(fields), JSON_OPTIONS)
-    return F.when(literal.rlike(_PLAIN), plain).when(F.size(other) == 1, F.get(other, 0))
+    single = _let(other, lambda v: F.when(F.size(v) == 1, F.get(v, 0)))
+    return F.when(literal.rlike(_PLAIN), plain).when(literal.rlike(_START), single)
