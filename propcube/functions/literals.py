@@ -106,17 +106,22 @@ def _integer(t: Column, base: int) -> Column:
 
 def _token(t: Column) -> Column:
     """One token of Python as JSON; numbers become strings, as they are."""
-    inside = _let(F.when(t.rlike("^[uUbBrR]['\"]"), F.lit(1)).otherwise(F.lit(0)),
-                  lambda prefix: F.substring(t, prefix + 2, F.length(t) - prefix - 2))
+    head = F.substring(t, F.lit(1), F.lit(1))
     unspaced = F.regexp_replace(t, r"[\s_]|^\+", "")
     number = (F.when(t.rlike(r"^[+-]?\s*0[xX]"), _integer(t, 16)).when(t.rlike(r"^[+-]?\s*0[oO]"), _integer(t, 8))
               .when(t.rlike(r"^[+-]?\s*0[bB]"), _integer(t, 2))
               .otherwise(_let(unspaced, lambda v: F.when(v.rlike(r"^-?0\d*[1-9]\d*$"), F.lit(_BAD))  # no leading zeros
                               .otherwise(v))))
-    return (F.when(t.rlike("^[uUbBrR]?['\"].*['\"]$") | t.rlike("(?s)^[uUbBrR]?(?:'.*'|\".*\")$"),
-                   F.concat(F.lit(_OPEN), _body(inside, t.rlike("^[rR]")), F.lit(_CLOSE)))
-            .when(t.isin(*"[]{}(),:"), t)
+
+    def string(prefix: int) -> Column:
+        inside = F.substring(t, F.lit(prefix + 2), F.length(t) - prefix - 2)
+        return F.concat(F.lit(_OPEN), _body(inside, head.isin("r", "R")), F.lit(_CLOSE))
+
+    # the cheap tests come first: most tokens are brackets, spaces and plain strings
+    return (F.when(t.isin(*"[]{}(),: "), F.when(t == " ", F.lit("")).otherwise(t))
+            .when(head.isin("'", '"'), F.when(F.length(t) > 1, string(0)).otherwise(F.lit(_BAD)))
             .when(t == "True", F.lit("true")).when(t == "False", F.lit("false")).when(t == "None", F.lit("null"))
+            .when(t.rlike("^[uUbBrR]['\"]"), string(1))
             .when(t.rlike(r"^\s"), F.lit(""))
             .when(t.rlike(r"^[+-]?\s*\.?\d"), F.concat(F.lit('"'), number, F.lit('"')))
             .otherwise(F.lit(_BAD)))
