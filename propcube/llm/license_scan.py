@@ -3,7 +3,8 @@
 A paragraph is a line. Features are the words and word pairs of the license
 templates, by presence; a sparse (L1) multinomial logistic regression with the
 classes of ``TEMPLATES`` and ``unknown`` is fitted on the driver to varied
-templates and to a bounded sample of the corpus's own lines (``SAMPLE``), and
+templates and to a bounded sample of the corpus's own lines (the first four of
+``SAMPLE`` documents of at most 8 kB), and
 its temperature is set on held-back variants so that probabilities are
 calibrated. A prediction counts when its probability is at least ``CERTAIN``
 and the words of the paragraph agree with a template of that family.
