@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from propcube.llm.common import ship
 
-CACHE = 24 << 20
+CACHE = 64 << 20
 SHORT = 256
 NO_RANK = 1 << 60
 
