@@ -27,9 +27,10 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
-def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace the partitions that ``df`` has rows for; others stay."""
-    (df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_partitions(df: DataFrame, path: str, by: list[str], within: tuple[str, ...] = ()) -> None:
+    """Replace the partitions that ``df`` has rows for; others stay. One task
+    writes a partition, or several do, by the columns ``within``."""
+    (df.repartition(*by, *within).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).parquet(path))
 
 

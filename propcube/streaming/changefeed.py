@@ -20,6 +20,8 @@ files fall into batches (as long as the changes of a key arrive in order).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,6 +178,16 @@ def apply_changes(listings: DataFrame, changes: DataFrame, cities: DataFrame, lo
 
 # -- the stream ------------------------------------------------------------------
 
+#: Batches that a backlog is drained in, at most. Scattered keys fall into every
+#: bucket, so each batch may read and rewrite the whole table: batches of fixed
+#: size would make that quadratic.
+MOST_BATCHES = 4
+
+
+def files_per_trigger(files: int, least: int) -> int:
+    return max(least, math.ceil(files / MOST_BATCHES))
+
+
 def apply_batch(state: State, batch: DataFrame, stream: str, number: int, cities: DataFrame, localities: DataFrame,
                 batch_ts: str) -> DataFrame:
     """Apply one micro-batch; returns its images. Repeating it is harmless."""
@@ -188,10 +200,10 @@ def apply_batch(state: State, batch: DataFrame, stream: str, number: int, cities
         delta = materialize(delta, "delta")
         before = current.join(delta.select("listing_id"), "listing_id", "left_semi").select(
             *COLUMNS, F.lit(False).alias("_deleted"), F.lit(False).alias("_after"))
-        write_partitions(rejects.select("*", *label), f"{state.root}/rejects", ["stream", "batch"])
+        write_partitions(rejects.select("*", *label), f"{state.root}/rejects", ["stream", "batch"], ("seq",))
         # the images come last: with them the batch is decided
         write_partitions(delta.withColumn("_after", F.lit(True)).unionByName(before).select("*", *label),
-                         f"{state.root}/images", ["stream", "batch"])
+                         f"{state.root}/images", ["stream", "batch"], ("listing_id",))
     images = state.images(stream, number)
     after = images.where("_after")
     state.replace("listings", LISTINGS, after, "listing_id")
@@ -202,7 +214,8 @@ def apply_batch(state: State, batch: DataFrame, stream: str, number: int, cities
 def run_change_feed(spark: SparkSession, source_dir: str, state_dir: str, checkpoint_dir: str,
                     cities: DataFrame, localities: DataFrame, batch_ts: str,
                     max_files_per_trigger: int = 1, trends_dir: str | None = None) -> None:
-    """Drain every available change file (``availableNow``) into the state.
+    """Drain every available change file (``availableNow``) into the state,
+    ``max_files_per_trigger`` at a time, or more where there are many files.
     With ``trends_dir``, the price-trend partials (S2) take the images."""
     from propcube.streaming import incremental as INC
     state = State(spark, state_dir)
@@ -214,8 +227,9 @@ def run_change_feed(spark: SparkSession, source_dir: str, state_dir: str, checkp
             signed = INC.signed_images(images.where("NOT _after"), images.where("_after AND NOT _deleted"))
             INC.apply_signed(spark, trends_dir, signed, cities, stream, batch_id, lambda: read_state(spark, state_dir))
 
+    files = len(spark.read.schema(CHANGE_SCHEMA).parquet(source_dir).inputFiles())
     stream = (spark.readStream.schema(CHANGE_SCHEMA)
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+              .option("maxFilesPerTrigger", files_per_trigger(files, max_files_per_trigger)).parquet(source_dir))
     q = (stream.writeStream.foreachBatch(take)
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
