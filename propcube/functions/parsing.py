@@ -7,6 +7,8 @@ projection with no Python in the row path.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from propcube import schemas as S
 from propcube.functions import literals
 from propcube.functions.exprs import col, hash_u32
 
+_OBSERVE_SEQ = itertools.count()
+
 # Python's str.strip() removes Unicode whitespace (incl. NBSP), not only ' '.
 # The character set is derived from the rule str.isspace(), and trimmed
 # with btrim (a plain character scan, no regex per row).
@@ -174,15 +178,16 @@ def with_literals(df: DataFrame, loc_src: str, map_src: str) -> DataFrame:
     keys or an unparseable literal, and latitude, longitude as decimal(10,7)
     (absent, empty, zero or unparseable -> NULL).
 
-    Each literal is parsed once per row: the two parsed structs are
-    expanded by ``inline`` (a Generate node, which projections cannot be
-    collapsed across), so later field accesses read plain columns instead
-    of re-inlining the parse into every ``CASE`` branch.
+    Each literal is parsed once per row: projections are not collapsed across
+    the metrics node above the two parsed structs, so later field accesses read
+    plain columns instead of re-inlining the parse into every ``CASE`` branch.
+    A literal of which no field is read is not parsed at all.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]
     lj = literals.parsed(F.col(loc_src), _LOC_SCHEMA)
     mj = literals.parsed(F.col(map_src), _MAP_SCHEMA)
-    df = df.select(*keep, F.inline(F.array(F.struct(lj.alias("__lj"), mj.alias("__mj")))))
+    df = df.select(*keep, lj.alias("__lj"), mj.alias("__mj")).observe(
+        f"literals_{next(_OBSERVE_SEQ)}", F.count(F.lit(1)).alias("rows"))
 
     def one(v: Column) -> Column:
         d = to_double(v)

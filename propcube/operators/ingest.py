@@ -3,8 +3,8 @@
 SRC1 read per-city CSVs (all columns as strings) -> ING13 normalise each
 (one narrow projection, schema-driven for absent columns) -> SET1 union in
 file order -> FIL1 quality filter -> SET2 keep-first dedup by prop_id.
-The only shuffle is the dedup, which aggregates with ``min_by`` so a
-prop_id repeated millions of times is combined map-side.
+The only shuffle is the dedup, which keeps the first row of a key map-side
+already, so a prop_id repeated millions of times moves one row per task.
 """
 
 from __future__ import annotations
@@ -202,13 +202,13 @@ def dedup_first(df: DataFrame, key: str = "prop_id",
                 order: tuple[str, ...] = ("source_rank", "row_id")) -> DataFrame:
     """SET2: keep the first row per key in (file, row) order.
 
-    ``min_by`` is a partial aggregate: duplicates collapse before the
-    shuffle, so a key held by a third of all rows still moves one row per
-    map task.
+    Of each task's rows of a key only the first moves (a limit that Spark puts
+    below the shuffle), so a key held by a third of all rows still moves one row
+    per map task. Rows stay rows: columns that nobody reads are not worked out.
     """
-    others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
-    return df.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
+    first = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(
+        key, *[c for c in df.columns if c != key])
 
 
 def clean_listings(frames: dict[str, DataFrame]) -> DataFrame:
