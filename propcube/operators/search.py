@@ -205,8 +205,11 @@ def lookup_transactions(t: Tables, keys: DataFrame) -> DataFrame:
     k = keys.select(F.col("txn_id").alias("requested_key")).where(F.col("requested_key").isNotNull()).distinct()
     found = t.transactions.join(k, F.col("txn_id") == F.col("requested_key"), "left_semi")
     hit = enrich_transactions(found, t)
-    return k.join(hit, F.col("requested_key") == F.col("txn_id"), "left").select(
-        "requested_key", F.col("txn_id").isNotNull().alias("found"), *hit.columns)
+    # the misses come from the ids alone, so the enriched deals are not dealt by id again
+    missed = k.join(t.transactions.select("txn_id"), F.col("requested_key") == F.col("txn_id"), "left_anti")
+    return hit.select(F.col("txn_id").alias("requested_key"), F.lit(True).alias("found"), *hit.columns).unionByName(
+        missed.select("requested_key", F.lit(False).alias("found"),
+                      *[F.lit(None).cast(f.dataType).alias(f.name) for f in hit.schema.fields]))
 
 
 AGENT_KEYS = [SortKey("contact_name"), SortKey("agent_id")]
