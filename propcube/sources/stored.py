@@ -29,7 +29,8 @@ class StoredTable:
         name = name or f"stored_{uuid.uuid4().hex[:12]}"
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n = buckets or max(least, buckets_for(df.count()))
-        df.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+        # dealt to the buckets first: one file for each, not one of each from every task
+        df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
         return cls(spark, name)
 
     def read(self) -> DataFrame:
