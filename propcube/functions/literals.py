@@ -29,9 +29,10 @@ _NUMBER = (r"(?:[+-]\s*)?(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+"
 #: possessive loops: a long string costs no stack
 _STRING = r"""'(?:[^'\\\n]|\\[\s\S])*+'|"(?:[^"\\\n]|\\[\s\S])*+\""""
 _TOKEN = rf"(?:[uUbBrR]?(?:{_STRING}))|{_NUMBER}|[A-Za-z_]\w*+|\s++|[\s\S]"
-#: A flat dict whose text is JSON but for single quotes and the three words,
-#: without a colon in a string, so that words behind one are words.
-_SIMPLE = r"""(?:'[^'\\\n:]*+'|"[^"\\\n:]*+")"""
+#: A flat dict whose text is JSON but for single quotes, the three words and
+#: ``\\xhh``, without a colon in a string, so that words behind one are words.
+_HEX = r"\\x[0-9a-fA-F]{2}"
+_SIMPLE = rf"""(?:'[^'\\\n:]*+(?:{_HEX}[^'\\\n:]*+)*+'|"[^"\\\n:]*+(?:{_HEX}[^"\\\n:]*+)*+")"""
 _PLAIN_VALUE = rf"(?:{_SIMPLE}|-?(?:0|[1-9]\d{{0,17}})(?:\.\d{{1,17}})?|True|False|None)"
 _PLAIN = rf"^\{{(?:{_SIMPLE}: {_PLAIN_VALUE}(?:, (?=['\"])|(?=\}})))*+\}}$"
 #: What a literal dict starts with.
@@ -148,6 +149,7 @@ def parsed(literal: Column, fields: T.StructType) -> Column:
     word = literal
     for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
         word = F.replace(word, F.lit(f": {python}"), F.lit(f": {json}"))
+    word = F.replace(word, F.lit(r"\x"), F.lit(r"\u00"))  # a plain dict has no other backslash
     plain = F.from_json(word, fields, JSON_OPTIONS)
     # an array around it: text behind the dict is an error, and other things than one dict are seen
     other = F.from_json(F.concat(F.lit("["), to_json(literal), F.lit("]")), T.ArrayType(fields), JSON_OPTIONS)

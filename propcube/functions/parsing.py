@@ -131,6 +131,10 @@ def with_price(df: DataFrame, src: str, out: str) -> DataFrame:
     df = df.select(*keep, pystrip(F.col(src)).alias(f"{t}_s"),
                    pystrip(F.get(parts, 0)).alias(f"{t}_a"), pystrip(F.get(parts, 1)).alias(f"{t}_b"))
     vs = [f"{t}_{v}" for v in ("s", "a", "b")]
+
+    def missing(x: str) -> Column:  # lower-casing is dear: only texts as long as one of the three
+        c, texts = F.col(x), ("", "price on request", "nan")
+        return c.isNull() | F.when(F.length(c).isin(*map(len, texts)), F.lower(c).isin(*texts)).otherwise(F.lit(False))
     df = df.select("*", *[pystrip(F.regexp_replace(F.col(x), r"/Bed(room)?.*", "")).alias(f"{x}1") for x in vs])
     df = df.select("*", *[c for x in vs for c in (
         F.col(f"{x}1").contains("Cr").alias(f"{x}cr"),
@@ -150,7 +154,7 @@ def with_price(df: DataFrame, src: str, out: str) -> DataFrame:
         return F.when(b.rlike(NUMERIC), b.try_cast("double")) * mult
     df = df.select("*", *[c for x in vs for c in (
         value(x).alias(f"{x}v"),
-        (F.col(x).isNull() | F.lower(F.col(x)).isin("", "price on request", "nan")).alias(f"{x}miss"))])
+        missing(x).alias(f"{x}miss"))])
     av, bv = F.col(f"{t}_av"), F.col(f"{t}_bv")
     a_ok = ~F.col(f"{t}_amiss") & av.isNotNull() & (av != 0)
     b_ok = ~F.col(f"{t}_bmiss") & bv.isNotNull() & (bv != 0)

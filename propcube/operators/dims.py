@@ -179,25 +179,30 @@ def append_listings(table: StoredTable, resolved: DataFrame, batch_ts: str) -> N
     table.append(new_listings(table.read(), resolved, batch_ts))
 
 
-def insert_if_absent(listings: DataFrame, resolved: DataFrame, batch_ts: str) -> DataFrame:
+def insert_if_absent(listings: DataFrame, resolved: DataFrame, batch_ts: str,
+                     columns: list[str] | None = None) -> DataFrame:
     """SNK1: the table with the listings whose prop_id is new (existing rows
-    win)."""
-    cols = [n for n, _ in S.LISTING_COLUMNS]
-    return listings.select(*cols).unionByName(new_listings(listings, resolved, batch_ts))
+    win); of its columns those that ``columns`` names, or all."""
+    cols = columns or [n for n, _ in S.LISTING_COLUMNS]
+    return listings.select(*cols).unionByName(new_listings(listings, resolved, batch_ts, cols))
 
 
-def new_listings(listings: DataFrame, resolved: DataFrame, batch_ts: str) -> DataFrame:
+def new_listings(listings: DataFrame, resolved: DataFrame, batch_ts: str,
+                 columns: list[str] | None = None) -> DataFrame:
     """JN10: the rows whose prop_id is not stored yet, with fresh dense listing
     ids in (file, row) order. Of a table bucketed by ``prop_id`` only the
-    column itself is read, where it lies."""
+    column itself is read, where it lies. Only the ``columns`` asked for go
+    through the numbering, which writes its rows."""
+    types = dict(S.LISTING_COLUMNS)
+    cols = columns or list(types)
     new = resolved.join(listings.select("prop_id"), "prop_id", "left_anti")
-    new = assign_ids(new, "listing_id", _max_id(listings, "listing_id"), ["source_rank", "row_id"])
+    order = ["source_rank", "row_id"]
+    new = new.select(*order, *[c for c in cols if c in new.columns and c not in order])
+    new = assign_ids(new, "listing_id", _max_id(listings, "listing_id"), order)
     ts = F.lit(batch_ts).cast("timestamp")
-    new = new.select(
-        *[F.col(n).cast(t).alias(n) if n in new.columns else F.lit(None).cast(t).alias(n)
-          for n, t in S.LISTING_COLUMNS if n not in ("is_active", "created_at", "updated_at")],
-        F.lit(True).alias("is_active"), ts.alias("created_at"), ts.alias("updated_at"))
-    return new.select(*[n for n, _ in S.LISTING_COLUMNS])
+    set_here = {"is_active": F.lit(True), "created_at": ts, "updated_at": ts}
+    return new.select(*[set_here.get(n, F.col(n).cast(types[n]) if n in new.columns else F.lit(None).cast(types[n]))
+                        .alias(n) for n in cols])
 
 
 # -- DIM6 --------------------------------------------------------------------
