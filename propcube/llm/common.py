@@ -73,13 +73,28 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
+BITS = 24  # a table of bits has 2^24
+
+
+def may_match(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: false where ``key`` (a hash) surely equals none of
+    ``keys`` (column ``key``). By a bounded table of bits, whatever their number."""
+    slot = F.col(key).bitwiseAND(F.lit((1 << BITS) - 1))
+    word, bit = F.shiftright(slot, 6).alias("__word"), f"cast({key} & 63 AS int)"
+    table = keys.select(F.col("key").alias(key)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("__bits"))
+    return (rows.withColumn("__word", word).join(F.broadcast(table), "__word", "left")
+            .withColumn("__may", F.coalesce(F.expr(f"shiftright(__bits, {bit}) & 1 = 1"), F.lit(False)))
+            .drop("__word", "__bits"))
+
+
 def leave_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the rows that are not the first of their group.
     ``rows``: (group, first, id, k1, k2), the last three naming rows of
     ``docs`` by id and text key; the least ``first`` comes first, then the
     least id (null last), then the least key. Of repeated rows (one id and
     text) that come first, the one whose columns sort first as JSON stays.
-    Rows not named stay."""
+    Rows not named stay; they are not shuffled (but for a few whose key looks
+    like that of a named one)."""
     named = ["id", "k1", "k2"]
     rows = written(rows.groupBy("group", "first", *named).agg(F.count(F.lit(1)).alias("n")), "grouped-rows")
     best = (rows.groupBy("group").agg(F.min(F.struct("first", F.col("id").isNull().alias("none"), *named)).alias("best"),
@@ -91,12 +106,15 @@ def leave_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     k1, k2 = text_key(F.col(text_col))
     keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
-    left = keyed.join(met.drop("__won"), same, "left_anti").select(docs.columns)
+    keyed = may_match(keyed, "__k1", met.select(F.col("__g1").alias("key")))
+    some = keyed.where("__may")
+    left = keyed.where("NOT __may").select(docs.columns).unionByName(
+        some.join(met.drop("__won"), same, "left_anti").select(docs.columns))
     tied = met.where("__won").drop("__won")
     if not tied.limit(1).count():
         return left
     others = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
-    one = (keyed.join(tied, same, "left_semi").groupBy(id_col, "__k1", "__k2")
+    one = (some.join(tied, same, "left_semi").groupBy(id_col, "__k1", "__k2")
            .agg(F.min_by(F.struct(*docs.columns), F.struct(others, F.col(text_col).isNull())).alias("__row"))
            .select("__row.*"))
     return left.unionByName(one)

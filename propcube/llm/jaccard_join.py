@@ -17,8 +17,12 @@ the least id of its component. Every link between different sets is found:
    of the prefixes: first by a bounded histogram of all shingles; then the tiles
    that would hold more than HOT components are counted, their shingles go
    behind all others (as bits of a bounded table), and the prefixes that held
-   one are taken anew from the texts. Any order finds every link. Shingles of
-   only one component make no tile (bits of another bounded table tell most).
+   one are taken anew: from the next shingles, which the sketch keeps too, or
+   from the texts where too many of these are hot as well. Any order finds every
+   link. Shingles of only one component make no tile (bits of another bounded
+   table tell most). Of a linked pair, the set with fewer shingles has a common
+   one among its first n - 2 * percent * n / (100 + percent): only these places
+   stand on the smaller side of a tile.
 4. The check of a candidate: hashed bitmaps of both sets (4 bits a shingle)
    bound the overlap from above by bit counts; survivors' texts meet at the
    lower node, split into parts of PART candidates, and sorted hash arrays are
@@ -72,7 +76,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], k: int, step: int = 1 << 20):
+def texts_of(batches: Iterator[pa.RecordBatch], k: int, step: int = 1 << 18):
     """(row batch, first row, sets) piece by piece."""
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
@@ -116,17 +120,18 @@ def first_of(s: np.ndarray, late: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """(id, h1, h2, n, k1, k2, keys, bits, prefix) of each row, ``order`` being
-    a broadcast of ``levels``."""
+    """(id, h1, h2, n, k1, k2, keys, bits, prefix, more) of each row, ``order``
+    being a broadcast of ``levels``; ``more`` goes on where the prefix ends, up
+    to its size again."""
 
     def sketch(batches):
         level = order.value
         for batch, lo, sets in texts_of(batches, k):
             n = [len(s) for s in sets]
-            sums, xors, keys, bits, prefix = [], [], [], [], []
+            sums, xors, keys, bits, prefix, more = [], [], [], [], [], []
             for s in sets:
                 if not len(s):
-                    sums.append(0), xors.append(0), keys.append([]), bits.append(b""), prefix.append([])
+                    sums.append(0), xors.append(0), keys.append([]), bits.append(b""), prefix.append([]), more.append([])
                     continue
                 mixed = mix(s)
                 sums.append(int(np.add.reduce(mixed)) - (1 << 63))
@@ -136,15 +141,18 @@ def sketches(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
                 keys.append(mix(least[:, 0] + mix(least[:, 1] + _SEEDS[:KEYS])).view(np.int64))
                 bits.append(bitmap(s))
                 late = level[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
-                prefix.append(first_of(s, late, prefix_size(len(s), percent)).view(np.int64))
+                size = prefix_size(len(s), percent)
+                most = first_of(s, late, 2 * size).view(np.int64)
+                prefix.append(most[:size]), more.append(most[size:])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c)[lo:lo + len(sets)] for c in ("id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(sums, pa.int64()),
                  pa.array(xors, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["id", "h1", "h2", "n", "k1", "k2", "keys", "bits", "prefix"])
+                 *(pa.array(x, pa.list_(pa.int64())) for x in (prefix, more))],
+                ["id", "h1", "h2", "n", "k1", "k2", "keys", "bits", "prefix", "more"])
 
     h1, h2 = text_key(F.col("text"))
     return docs.withColumn("h1", h1).withColumn("h2", h2).mapInArrow(
-        sketch, "id long, h1 long, h2 long, n long, k1 long, k2 long, keys array<long>, bits binary, prefix array<long>")
+        sketch, "id long, h1 long, h2 long, n long, k1 long, k2 long, keys array<long>, bits binary, prefix array<long>, more array<long>")
 
 
 def fits(a: str, b: str, percent: int):
@@ -203,7 +211,9 @@ def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
 def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``nodes`` that link, by bitmap bound and then
     exactly. A node's text is that of its row (id and text key) of ``docs``."""
-    own = nodes.select("node", "n", "bits")
+    pairs = written(pairs, "candidates")
+    own = nodes.select("node", "n", "bits").where(
+        among(pairs.select(F.explode(F.array("a", "b")).alias("id")), "node"))  # saves shuffling the other bitmaps
     pairs = (pairs.join(own.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx")), "a")
              .join(own.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny")), "b")
              .where(_bound(percent)("x", "y", "nx", "ny")).select("a", "b"))
@@ -264,16 +274,31 @@ def is_set(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
 def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int) -> DataFrame:
     """(id, n, prefix) of ``nodes`` in the final order: hot shingles (by the
     broadcast ``bits``) last. A prefix without a hot one stays; the others are
-    taken anew from their texts."""
+    taken anew, from ``more`` if that suffices, else from their texts."""
     @F.arrow_udf("boolean")
     def hot(prefix: pa.Array) -> pa.Array:
         first = prefix.offsets.to_numpy()
         seen = np.concatenate([[0], np.cumsum(is_set(bits.value, prefix.values.to_numpy().view(np.uint64)))])
         return pa.array(seen[first[1:]] > seen[first[:-1]])
 
-    marked = nodes.select(F.col("node").alias("id"), F.coalesce("id", F.lit(0)).alias("doc"), "h1", "h2", "n", "prefix") \
+    @F.arrow_udf("array<long>")
+    def cooler(prefix: pa.Array, more: pa.Array, n: pa.Array) -> pa.Array:
+        """The prefix in the final order; null where only the text tells it."""
+        out = []
+        for p, m, size in zip(prefix, more, n.to_pylist()):
+            p, m = (x.values.to_numpy() for x in (p, m))
+            s = np.concatenate([p, m])
+            late = is_set(bits.value, s.view(np.uint64))
+            # hot ones are told in order only if these are all shingles
+            out.append(first_of(s, late, len(p)) if len(s) == size or np.count_nonzero(~late) >= len(p) else None)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    marked = nodes.select(F.col("node").alias("id"), F.coalesce("id", F.lit(0)).alias("doc"), "h1", "h2", "n", "prefix", "more") \
         .withColumn("hot", hot("prefix"))
-    short = written(marked.where("hot").select(F.col("id").alias("node"), F.col("doc").alias("id"), "h1", "h2"), "hot-rows")
+    cooled = written(marked.where("hot").withColumn("prefix", cooler("prefix", "more", "n")).drop("more"), "cooled")
+    marked = marked.where("NOT hot").select("id", "n", "prefix").unionByName(
+        cooled.where("prefix IS NOT NULL").select("id", "n", "prefix"))
+    short = written(cooled.where("prefix IS NULL").select(F.col("id").alias("node"), F.col("doc").alias("id"), "h1", "h2"), "hot-rows")
     h1, h2 = text_key(F.col("text"))
     texts = sifted(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), short.select("id")).select(
         "id", h1.alias("h1"), h2.alias("h2"), "text")
@@ -288,7 +313,7 @@ def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int
             yield pa.RecordBatch.from_arrays([batch.column("node")[lo:lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "prefix"])
 
-    return marked.where("NOT hot").select("id", "n", "prefix").unionByName(met.mapInArrow(again, "id long, n long, prefix array<long>"))
+    return marked.unionByName(met.mapInArrow(again, "id long, n long, prefix array<long>"))
 
 
 def tiles_of(final: DataFrame, shared, percent: int) -> DataFrame:
@@ -315,33 +340,40 @@ def tiles_of(final: DataFrame, shared, percent: int) -> DataFrame:
 def prefix_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a tile.
     ``tiles``: (token, band, pos, id, n, comp, alone), pos being the token's
-    place in the order of its set. A tile is a token and a size band; the right
-    side also stands in the neighbouring bands. Of a linked pair, the first
+    place in the order of its set. A tile is a token and a size band; the
+    smaller set also stands in the next band. Of a linked pair, the first
     common token leaves enough places behind it on both sides for the overlap
-    that a link needs."""
+    that a link needs; the smaller set's place must allow it for two of its
+    size."""
     near = fits("n", "n2", percent) & (
         F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (100 + percent)
         >= percent * (F.col("n") + F.col("n2")))
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
     tile = ["token", "band"]
-    alone = tiles.where("alone").select(*tile, "pos", "id", "n")
-    others = tiles.where("NOT alone").select(*tile, "pos", "id", "n", "comp")
+    rows = tiles.select(*tile, "pos", "id", "n", "comp", "alone")
+
+    def beside(some):  # as the smaller set: in its own band and the next
+        return some.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
 
-    def beside(rows, *bands):  # as the right side: in its own band and those named
-        return rows.select("token", F.col("band").alias("band2"), *[F.col(c).alias(c + "2") for c in rows.columns if c not in tile],
-                           F.explode(F.array(*[F.col("band") + b for b in (0, *bands)])).alias("band"))
+    def right(some):
+        return some.select(*tile, *[F.col(c).alias(c + "2") for c in some.columns if c not in tile])
 
-    # of two sets of one band the lesser id is on the left, else the smaller band
-    pairs = alone.join(beside(alone, -1), tile).where(((F.col("band2") > F.col("band")) | (F.col("id") < F.col("id2"))) & near)
-    mixed = others.select(*tile, "pos", "id", "n").join(beside(alone, -1, 1), tile).where(near)
+    less = rows.where((F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")).drop("comp")
+    more = rows.drop("comp")
+    pairs = beside(less.drop("alone")).join(right(more.where("alone").drop("alone")), tile)
+    mixed = beside(less.where("alone").drop("alone")).join(right(more.where("NOT alone").drop("alone")), tile)
     # components of several members meet once per tile; only pairs of them that fit are spread to members
+    others = rows.where("NOT alone").drop("alone")
     groups = others.groupBy(*tile, "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = groups.join(beside(groups, -1, 1), tile).where(
+    wide = groups.select("token", F.col("band").alias("band2"), *[F.col(c).alias(c + "2") for c in ("comp", "lo", "hi")],
+                         F.explode(F.array(*[F.col("band") + b for b in (0, -1, 1)])).alias("band"))
+    met = groups.join(wide, tile).where(
         (F.col("comp") < F.col("comp2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
         & (100 * F.col("hi") >= percent * F.col("lo2"))).select(*tile, "comp", "band2", "comp2")
     o2 = others.select("token", *[F.col(c).alias(c + "2") for c in ("band", "pos", "comp", "id", "n")])
     across = met.join(others, [*tile, "comp"]).join(o2, ["token", "band2", "comp2"]).where(near)
     both = [p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-            for p in (pairs, mixed, across)]
+            for p in (pairs.where(ordered & near), mixed.where(ordered & near), across)]
     return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
 
 
