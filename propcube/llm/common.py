@@ -76,10 +76,11 @@ def text_key(text: Column) -> tuple[Column, Column]:
 BITS = 24  # a table of bits has 2^24
 
 
-def may_match(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def may_match(rows: DataFrame, key: str, keys: DataFrame, size: int = BITS) -> DataFrame:
     """``rows`` with ``__may``: false where ``key`` (a hash) surely equals none of
-    ``keys`` (column ``key``). By a bounded table of bits, whatever their number."""
-    slot = F.col(key).bitwiseAND(F.lit((1 << BITS) - 1))
+    ``keys`` (column ``key``). By a bounded table of 2^``size`` bits, whatever
+    their number."""
+    slot = F.col(key).bitwiseAND(F.lit((1 << size) - 1))
     word, bit = F.shiftright(slot, 6).alias("__word"), f"cast({key} & 63 AS int)"
     table = keys.select(F.col("key").alias(key)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("__bits"))
     return (rows.withColumn("__word", word).join(F.broadcast(table), "__word", "left")

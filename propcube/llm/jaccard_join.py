@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propcube.llm.common import by_bytes, leave_one, mix, shingle_hashes, ship, text_key, utf8, word_hashes, words, written
+from propcube.llm.common import by_bytes, leave_one, may_match, mix, shingle_hashes, ship, text_key, utf8, word_hashes, words, written
 from propcube.llm.components import components
 
 BIN_BITS = 18
@@ -208,12 +208,19 @@ def sifted(docs: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
     return docs.where(held if within else ~held)
 
 
+def narrowed(rows: DataFrame, ids: DataFrame, col: str = "id") -> DataFrame:
+    """``rows`` whose ``col`` may be among the ``ids``, told by a join with their
+    bits: no Python worker beside those of the stage's own work, and texts do
+    not pass through one."""
+    keys = ids.select(F.xxhash64("id").alias("key"))
+    return may_match(rows.withColumn("__hash", F.xxhash64(col)), "__hash", keys, SIEVE_BITS).where("__may").select(rows.columns)
+
+
 def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``nodes`` that link, by bitmap bound and then
     exactly. A node's text is that of its row (id and text key) of ``docs``."""
     pairs = written(pairs, "candidates")
-    own = nodes.select("node", "n", "bits").where(
-        among(pairs.select(F.explode(F.array("a", "b")).alias("id")), "node"))  # saves shuffling the other bitmaps
+    own = narrowed(nodes.select("node", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("id")), "node")
     pairs = (pairs.join(own.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx")), "a")
              .join(own.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny")), "b")
              .where(_bound(percent)("x", "y", "nx", "ny")).select("a", "b"))
@@ -224,7 +231,7 @@ def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
     place = nodes.select(F.col("node").alias("b"), F.coalesce("id", F.lit(0)).alias("id"), "h1", "h2")
     wanted = written(split.unionByName(own_rows).join(place, "b"), "wanted")
     h1, h2 = text_key(F.col("text"))
-    texts = sifted(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), wanted.select("id")).select(
+    texts = narrowed(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), wanted.select("id")).select(
         "id", h1.alias("h1"), h2.alias("h2"), "text")
     # rows that repeat id and text: one stands for them
     met = wanted.join(texts.groupBy("id", "h1", "h2").agg(F.max("text").alias("text")), ["id", "h1", "h2"])
@@ -271,36 +278,55 @@ def is_set(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def prefixes(batches: Iterator[pa.RecordBatch], step: int = 1 << 17):
+    """(rows, where their prefixes start and end, the shingles in them) of some
+    ``step`` shingles at a time."""
+    for batch in batches:
+        p = batch.column("prefix")
+        first = p.offsets.to_numpy().astype(np.int64)
+        for lo, hi in by_bytes(first, step):
+            yield (batch.slice(lo, hi - lo), first[lo:hi + 1] - first[lo],
+                   p.values[int(first[lo]):int(first[hi])].to_numpy().view(np.uint64))
+
+
 def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int) -> DataFrame:
     """(id, n, prefix) of ``nodes`` in the final order: hot shingles (by the
     broadcast ``bits``) last. A prefix without a hot one stays; the others are
     taken anew, from ``more`` if that suffices, else from their texts."""
-    @F.arrow_udf("boolean")
-    def hot(prefix: pa.Array) -> pa.Array:
-        first = prefix.offsets.to_numpy()
-        seen = np.concatenate([[0], np.cumsum(is_set(bits.value, prefix.values.to_numpy().view(np.uint64)))])
-        return pa.array(seen[first[1:]] > seen[first[:-1]])
-
-    @F.arrow_udf("array<long>")
-    def cooler(prefix: pa.Array, more: pa.Array, n: pa.Array) -> pa.Array:
-        """The prefix in the final order; null where only the text tells it."""
-        out = []
-        for p, m, size in zip(prefix, more, n.to_pylist()):
-            p, m = (x.values.to_numpy() for x in (p, m))
+    def cooled(rows, first, token):
+        """Rows whose prefix stays, (row, prefix) of those taken anew, and rows
+        that only the text tells."""
+        seen = np.concatenate([[0], np.cumsum(is_set(bits.value, token))])
+        hot = seen[first[1:]] > seen[first[:-1]]
+        anew, short = [], []
+        for i in np.flatnonzero(hot).tolist():
+            p, m = (rows.column(c)[i].values.to_numpy() for c in ("prefix", "more"))
             s = np.concatenate([p, m])
             late = is_set(bits.value, s.view(np.uint64))
             # hot ones are told in order only if these are all shingles
-            out.append(first_of(s, late, len(p)) if len(s) == size or np.count_nonzero(~late) >= len(p) else None)
-        return pa.array(out, pa.list_(pa.int64()))
-
-    marked = nodes.select(F.col("node").alias("id"), F.coalesce("id", F.lit(0)).alias("doc"), "h1", "h2", "n", "prefix", "more") \
-        .withColumn("hot", hot("prefix"))
-    cooled = written(marked.where("hot").withColumn("prefix", cooler("prefix", "more", "n")).drop("more"), "cooled")
-    marked = marked.where("NOT hot").select("id", "n", "prefix").unionByName(
-        cooled.where("prefix IS NOT NULL").select("id", "n", "prefix"))
-    short = written(cooled.where("prefix IS NULL").select(F.col("id").alias("node"), F.col("doc").alias("id"), "h1", "h2"), "hot-rows")
+            if len(s) == rows.column("n")[i].as_py() or np.count_nonzero(~late) >= len(p):
+                anew.append((i, first_of(s, late, len(p))))
+            else:
+                short.append(i)
+        return np.flatnonzero(~hot), anew, short
+
+    def told(batches):
+        for piece in prefixes(batches):
+            stay, anew, _ = cooled(*piece)
+            rows, at = piece[0], pa.array([i for i, _ in anew], pa.int64())
+            yield rows.select(["id", "n", "prefix"]).take(pa.array(stay))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in ("id", "n")),
+                                              pa.array([s for _, s in anew], pa.list_(pa.int64()))], ["id", "n", "prefix"])
+
+    def untold(batches):
+        for piece in prefixes(batches):
+            yield piece[0].select(["id", "doc", "h1", "h2"]).take(pa.array(cooled(*piece)[2], pa.int64()))
+
+    marked = nodes.select(F.col("node").alias("id"), F.coalesce("id", F.lit(0)).alias("doc"), "h1", "h2", "n", "prefix", "more")
+    short = written(marked.mapInArrow(untold, "id long, doc long, h1 long, h2 long").select(
+        F.col("id").alias("node"), F.col("doc").alias("id"), "h1", "h2"), "hot-rows")
     h1, h2 = text_key(F.col("text"))
-    texts = sifted(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), short.select("id")).select(
+    texts = narrowed(docs.select(F.coalesce("id", F.lit(0)).alias("id"), "text"), short.select("id")).select(
         "id", h1.alias("h1"), h2.alias("h2"), "text")
     met = short.join(texts.groupBy("id", "h1", "h2").agg(F.max("text").alias("text")), ["id", "h1", "h2"]).select("node", "text")
 
@@ -313,20 +339,18 @@ def settled(nodes: DataFrame, docs: DataFrame, order, bits, k: int, percent: int
             yield pa.RecordBatch.from_arrays([batch.column("node")[lo:lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "prefix"])
 
-    return marked.unionByName(met.mapInArrow(again, "id long, n long, prefix array<long>"))
+    return marked.mapInArrow(told, "id long, n long, prefix array<long>").unionByName(
+        met.mapInArrow(again, "id long, n long, prefix array<long>"))
 
 
 def tiles_of(final: DataFrame, shared, percent: int) -> DataFrame:
     """(token, band, pos, id, n, comp, alone) of the shingles that more than one
     component may have, by the broadcast bits ``shared``."""
     def place(batches):
-        for b in batches:
-            p = b.column("prefix")
-            first, token = p.offsets.to_numpy(), p.values.to_numpy().view(np.uint64)
+        for b, first, token in prefixes(batches):
             size = np.diff(first)
             row = np.repeat(np.arange(len(size)), size)
-            token = token[first[0]:first[-1]]
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            pos = np.arange(len(token)) - np.repeat(first[:-1], size)
             use = is_set(shared.value, token)
             at = pa.array(row[use])
             yield pa.RecordBatch.from_arrays(
@@ -401,9 +425,9 @@ def linked_sets(rows: DataFrame, docs: DataFrame, order, k: int, percent: int) -
     broadcast = docs.sparkSession.sparkContext.broadcast
     one = F.lit(1).cast("long").alias("c")
     # one member stands for its component here: this count only shapes the order
-    some = among(member.where("alone OR comp = id").select("id"))
-    hot = bits_of(nodes.select(F.col("node").alias("id"), "prefix").where(some).select(F.explode("prefix").alias("token"), one), HOT + 1)
-    final = written(settled(nodes.where(among(sets.select(F.col("node").alias("id")), "node")), docs, order, broadcast(hot), k, percent)
+    some = narrowed(nodes.select("node", "prefix"), member.where("alone OR comp = id").select("id"), "node")
+    hot = bits_of(some.select(F.explode("prefix").alias("token"), one), HOT + 1)
+    final = written(settled(narrowed(nodes, sets.select(F.col("node").alias("id")), "node"), docs, order, broadcast(hot), k, percent)
                     .join(member, "id"), "prefixes")
     tokens = final.select(F.explode("prefix").alias("token"), "comp", "alone")
     counted = tokens.where("alone").select("token", one).unionByName(

@@ -64,3 +64,37 @@ def test_the_smaller_set_of_a_tile_stands_only_where_a_link_allows(spark):
     assert pairs.count() == 0
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "* 160" in plan.replace(")", "")  # 2 * percent * n, a filter below the explode
+
+
+def test_a_stage_of_near_feeds_one_python_worker_a_task(spark):
+    """Each Python step that is chained to another in a stage keeps a worker (some 90 MB) of its own beside it."""
+    rows = common.written(spark.range(3000).select("id", F.col("id").alias("node"), F.lit("x").alias("text")), "rows")
+    ids = common.written(spark.range(0, 3000, 100), "ids")
+    got = jaccard_join.narrowed(rows, ids, "node")
+    assert got.columns == rows.columns
+    kept = {r.node for r in got.collect()}
+    assert kept >= set(range(0, 3000, 100)) and len(kept) < 60
+    assert jaccard_join.narrowed(rows, ids.limit(0)).count() == 0
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"w{rng.randint(0, 999)}" for _ in range(50))) for i in range(40)]
+    docs, sketch, order = jaccard_join.sketched(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80, "doc_id", "text")
+    nodes = jaccard_join.narrowed(sketch.withColumnRenamed("row", "node"), sketch.select(F.col("row").alias("id")), "node")
+    bits = spark.sparkContext.broadcast(np.zeros(1 << (jaccard_join.HOT_BITS - 6), np.uint64))
+    final = jaccard_join.settled(nodes, docs, order, bits, 5, 80)
+    assert final.count() == 40
+    plan = final._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2  # one for each side of the union
+
+
+def test_prefixes_are_read_in_pieces(spark):
+    import pyarrow as pa
+
+    lists = [[1, 2, 3], [], [4], list(range(10, 30)), [5, 6]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([[9]] + lists, pa.list_(pa.int64()))], ["id", "prefix"]).slice(1)
+    for step in (1, 3, 100):
+        got = []
+        for rows, first, token in jaccard_join.prefixes([batch], step):
+            assert len(first) == rows.num_rows + 1 and first[0] == 0 and first[-1] == len(token)
+            assert len(token) <= max(step, 20)
+            got += [(i, token[a:b].tolist()) for i, a, b in zip(rows.column("id").to_pylist(), first[:-1], first[1:])]
+        assert got == list(zip(range(1, 6), lists))
