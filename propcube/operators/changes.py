@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from propcube import schemas as S
 from propcube.operators.dims import assign_ids
+from propcube.session import freed_shuffles, remove, scratch_path
 from propcube.sources.stored import StoredTable
 
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -251,12 +252,33 @@ def append_transactions(table: StoredTable, listings: DataFrame, changes: DataFr
                         batch_ts: str | None = None) -> DataFrame:
     """SNK2 as a sink: the created deals of a batch are appended to a table
     that is bucketed by ``txn_id``; returns the rejects. Ids follow from the
-    prefix and the batch, so a batch that is appended again adds nothing."""
-    new, rejects = new_transactions(listings, changes, id_prefix, seq, batch_ts)
-    table.append(new.join(table.read().select("txn_id"), "txn_id", "left_anti"))
+    prefix and the batch, so a batch that is appended again adds nothing. What
+    the batch writes and shuffles on its way to the table goes with it."""
+    valid, rejects = check_transactions(listings, changes, seq)
+    stored = table.read().select("txn_id").where(F.col("txn_id").startswith(F.lit(id_prefix)))
+    if not _all_stored(stored, valid, id_prefix):
+        path = scratch_path(table.spark, "ids")
+        try:
+            with freed_shuffles(table.spark):
+                new = number_transactions(valid, id_prefix, batch_ts, path)
+            table.append(new.join(stored, "txn_id", "left_anti"))
+        finally:
+            remove(table.spark, path)
     return rejects
 
 
+def _all_stored(stored: DataFrame, valid: DataFrame, id_prefix: str) -> bool:
+    """Whether every id of a batch is among the ``stored`` ids of its prefix.
+    The batch's ids are the prefix and 1, 2, ... up to its number of rows, so
+    they need not be dealt out to be looked up."""
+    n = F.substring("txn_id", len(id_prefix) + 1, 20)
+    held = stored.withColumn("_n", n).where(F.col("_n").rlike("^[1-9][0-9]{0,17}$"))
+    if held.isEmpty():
+        return False
+    rows = valid.count()
+    return held.where(F.col("_n").cast("bigint") <= rows).select("txn_id").distinct().count() == rows
+
+
 # -- CHG5 - CHG7 ---------------------------------------------------------------------
 
 def _txn_rules(strict: bool) -> list[tuple[str, Column]]:
@@ -283,17 +305,19 @@ def create_transactions(transactions: DataFrame, listings: DataFrame, changes: D
     return transactions.select(*S.TRANSACTIONS.fieldNames()).unionByName(new), rejects
 
 
-def new_transactions(listings: DataFrame, changes: DataFrame, id_prefix: str, seq: str = "seq",
-                     batch_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new deals, rejects): the listing must exist; price > 0; status in the
-    domain (default Completed). New ids are ``<prefix><n>`` in ``seq`` order;
-    ``created_at`` is ``batch_ts`` (default: now)."""
-    v = _flag_exists(ensure_columns(changes, TXN_TYPES), listings, "listing_id", "listing_id", "_found")
+def check_transactions(listings: DataFrame, changes: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(valid deals without ids, rejects): the listing must exist; price > 0;
+    status in the domain (default Completed). ``_seq`` holds the order.
+
+    Deals that a field rule rejects are not dealt to the listings, and the
+    others only with the columns that a deal keeps."""
+    typed = ensure_columns(changes, TXN_TYPES)
+    v = _flag_exists(typed, listings, "listing_id", "listing_id", "_found")
     v = with_reasons(v, [("listing_unknown", ~F.col("_found"))] + _txn_rules(True)).drop("_found")
-    valid, rejects = _split(v, seq)
-    new = assign_ids(valid, "_n", 0, [seq])
-    new = new.select(
-        F.concat(F.lit(id_prefix), F.col("_n").cast("string")).alias("txn_id"),
+    _, rejects = _split(v, seq)
+    passed, _ = _split(with_reasons(typed, _txn_rules(True)), seq)
+    passed = passed.select(
+        F.col(seq).alias("_seq"),
         F.col("listing_id").cast("bigint").alias("listing_id"),
         F.col("sale_price").cast(S.MONEY).alias("sale_price"),
         F.col("transaction_date").cast("date").alias("transaction_date"),
@@ -301,9 +325,25 @@ def new_transactions(listings: DataFrame, changes: DataFrame, id_prefix: str, se
           for c in ("buyer_name", "ownership_type")],
         F.coalesce(F.col("status"), F.lit("Completed")).alias("status"),
         (F.col("notes") if "notes" in changes.columns else F.lit(None)).cast("string").alias("notes"),
-        _stamp(batch_ts).alias("created_at"),
     )
-    return new.select(*S.TRANSACTIONS.fieldNames()), rejects
+    known = listings.select(F.col("listing_id").alias("_known"))
+    return passed.join(known, F.col("listing_id") == F.col("_known")).drop("_known"), rejects
+
+
+def number_transactions(valid: DataFrame, id_prefix: str, batch_ts: str | None = None,
+                        path: str | None = None) -> DataFrame:
+    """The deals of a batch with ids ``<prefix><n>`` in ``_seq`` order;
+    ``created_at`` is ``batch_ts`` (default: now). ``path``: see ``assign_ids``."""
+    new = assign_ids(valid, "_n", 0, ["_seq"], keep_order=False, path=path)
+    return new.select(F.concat(F.lit(id_prefix), F.col("_n").cast("string")).alias("txn_id"), "*",
+                      _stamp(batch_ts).alias("created_at")).select(*S.TRANSACTIONS.fieldNames())
+
+
+def new_transactions(listings: DataFrame, changes: DataFrame, id_prefix: str, seq: str = "seq",
+                     batch_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new deals, rejects): the valid deals of a batch, numbered."""
+    valid, rejects = check_transactions(listings, changes, seq)
+    return number_transactions(valid, id_prefix, batch_ts), rejects
 
 
 def update_transactions(transactions: DataFrame, updates: DataFrame,

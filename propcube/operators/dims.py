@@ -22,13 +22,16 @@ from propcube.sources.stored import StoredTable
 
 # -- DIM5 --------------------------------------------------------------------
 
-def assign_ids(df: DataFrame, id_col: str, start: Column | int, order: list[str]) -> DataFrame:
+def assign_ids(df: DataFrame, id_col: str, start: Column | int, order: list[str], keep_order: bool = True,
+               path: str | None = None) -> DataFrame:
     """Dense ids ``start + 1, start + 2, ...`` following ``order``.
 
     ``start`` may be a scalar Column (e.g. the current max id). One range
     shuffle; rows are numbered within their partition where they lie, and
     written with partition and number, so that the counts and the rows read
-    afterwards are the same ones however often they are read.
+    afterwards are the same ones however often they are read. They are written
+    at ``path``, if given (the caller removes it), and without the columns of
+    ``order`` unless ``keep_order``.
     """
     cols = [F.col(c) for c in order]
     # the lower 33 bits of the monotonic id count rows within a partition
@@ -36,7 +39,7 @@ def assign_ids(df: DataFrame, id_col: str, start: Column | int, order: list[str]
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright("_mid", 33))
                 .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_mid"))
-    numbered = materialize(numbered, "ids")
+    numbered = materialize(numbered if keep_order else numbered.drop(*order), "ids", path, "zstd")
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per shuffle partition, whatever the number of rows
     offsets = counts.select("_pid", F.sum("_n").over(

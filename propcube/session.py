@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,16 +98,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as parquet below the storage root and read back.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when the write is done, not when
+    the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None, codec: str | None = None) -> DataFrame:
+    """``df`` written once as parquet below the storage root (or at ``path``)
+    and read back.
 
     For frames that several later steps must see alike: the written rows are
     fixed, the lineage is cut, and a lost executor costs a re-read only.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["get_session", "storage_root", "scratch_path", "exists",
+__all__ = ["get_session", "storage_root", "scratch_path", "exists", "remove", "freed_shuffles",
            "materialize", "apply_required_conf"]

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from propcube.session import freed_shuffles
 from propcube.sources.buckets import buckets_for
 
 
@@ -30,11 +31,14 @@ class StoredTable:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n = buckets or max(least, buckets_for(df.count()))
         # dealt to the buckets first: one file for each, not one of each from every task
-        df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+        with freed_shuffles(spark):
+            (df.repartition(n, key).write.format("parquet").option("path", path).option("compression", "zstd")
+             .bucketBy(n, key).sortBy(key).saveAsTable(name))
         return cls(spark, name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
-        rows.select(self.read().columns).write.insertInto(self.name)
+        with freed_shuffles(self.spark):
+            rows.select(self.read().columns).write.insertInto(self.name)
