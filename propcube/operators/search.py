@@ -175,12 +175,15 @@ def enrich_transactions(tx: DataFrame, t: Tables, bounded: bool = False) -> Data
     l = t.listings.select("listing_id", "property_type", "city_id", "locality_id").join(wanted, "listing_id", "left_semi")
     if bounded:
         l = F.broadcast(l)  # listing_id is unique: no more rows than the page
+    return _with_place(tx.join(l, "listing_id", "left"), t).select(
+        *S.TRANSACTIONS.fieldNames(), "property_type", "city_name", "locality_name")
+
+
+def _with_place(df: DataFrame, t: Tables) -> DataFrame:
+    """+ city_name, locality_name of the ids (nullable)."""
     cities = t.cities.select("city_id", "city_name")
     locs = t.localities.select("locality_id", "locality_name")
-    return (tx.join(l, "listing_id", "left")
-              .join(cities, "city_id", "left")
-              .join(locs, "locality_id", "left")
-              .select(*S.TRANSACTIONS.fieldNames(), "property_type", "city_name", "locality_name"))
+    return df.join(cities, "city_id", "left").join(locs, "locality_id", "left")
 
 
 TXN_KEYS = [SortKey("transaction_date", True), SortKey("txn_id")]
@@ -201,15 +204,21 @@ def list_transactions(t: Tables, f: TxnFilters = TxnFilters(), limit: int = 50,
 
 def lookup_transactions(t: Tables, keys: DataFrame) -> DataFrame:
     """FIL8 by ``txn_id``: one row per distinct requested key with ``found``
-    and the enriched deal; only the deals that are asked for are enriched."""
+    and the enriched deal; only the deals that are asked for are enriched.
+
+    Deals are dealt twice, by id and by listing. Misses go along with a key
+    each (they have no listing), and a deal's id goes as the requested one."""
     k = keys.select(F.col("txn_id").alias("requested_key")).where(F.col("requested_key").isNotNull()).distinct()
+    rest = [n for n in S.TRANSACTIONS.fieldNames() if n != "txn_id"]
+    # where few are asked for, the keys are sent to the deals; otherwise both joins share what is dealt by id
     found = t.transactions.join(k, F.col("txn_id") == F.col("requested_key"), "left_semi")
-    hit = enrich_transactions(found, t)
-    # the misses come from the ids alone, so the enriched deals are not dealt by id again
-    missed = k.join(t.transactions.select("txn_id"), F.col("requested_key") == F.col("txn_id"), "left_anti")
-    return hit.select(F.col("txn_id").alias("requested_key"), F.lit(True).alias("found"), *hit.columns).unionByName(
-        missed.select("requested_key", F.lit(False).alias("found"),
-                      *[F.lit(None).cast(f.dataType).alias(f.name) for f in hit.schema.fields]))
+    asked = found.join(k, F.col("txn_id") == F.col("requested_key"), "right").select(
+        "requested_key", F.col("txn_id").isNotNull().alias("found"), *rest)
+    l = t.listings.select(F.col("listing_id").alias("_listing"), "property_type", "city_id", "locality_id")
+    spread = F.coalesce(F.col("listing_id"), F.xxhash64("requested_key"))
+    asked = asked.join(l, (spread == F.col("_listing")) & F.col("listing_id").isNotNull(), "left")
+    return _with_place(asked, t).select("requested_key", "found", F.when(F.col("found"), F.col("requested_key")).alias("txn_id"),
+                                        *rest, "property_type", "city_name", "locality_name")
 
 
 AGENT_KEYS = [SortKey("contact_name"), SortKey("agent_id")]

@@ -23,7 +23,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # More than this, as shuffled, takes some 400 MB a task to sort.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
     # Partial-overwrite of partitioned aggregate tables (views.py).
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
