@@ -256,7 +256,7 @@ def append_transactions(table: StoredTable, listings: DataFrame, changes: DataFr
     the batch writes and shuffles on its way to the table goes with it."""
     valid, rejects = check_transactions(listings, changes, seq)
     stored = table.read().select("txn_id").where(F.col("txn_id").startswith(F.lit(id_prefix)))
-    if not _all_stored(stored, valid, id_prefix):
+    if not _all_stored(stored, listings, changes, id_prefix):
         path = scratch_path(table.spark, "ids")
         try:
             with freed_shuffles(table.spark):
@@ -267,7 +267,7 @@ def append_transactions(table: StoredTable, listings: DataFrame, changes: DataFr
     return rejects
 
 
-def _all_stored(stored: DataFrame, valid: DataFrame, id_prefix: str) -> bool:
+def _all_stored(stored: DataFrame, listings: DataFrame, changes: DataFrame, id_prefix: str) -> bool:
     """Whether every id of a batch is among the ``stored`` ids of its prefix.
     The batch's ids are the prefix and 1, 2, ... up to its number of rows, so
     they need not be dealt out to be looked up."""
@@ -275,7 +275,8 @@ def _all_stored(stored: DataFrame, valid: DataFrame, id_prefix: str) -> bool:
     held = stored.withColumn("_n", n).where(F.col("_n").rlike("^[1-9][0-9]{0,17}$"))
     if held.isEmpty():
         return False
-    rows = valid.count()
+    known = listings.select(F.col("listing_id").alias("_known"))
+    rows = _passed_rules(changes).select("listing_id").join(known, F.col("listing_id") == F.col("_known")).count()
     return held.where(F.col("_n").cast("bigint") <= rows).select("txn_id").distinct().count() == rows
 
 
@@ -305,29 +306,36 @@ def create_transactions(transactions: DataFrame, listings: DataFrame, changes: D
     return transactions.select(*S.TRANSACTIONS.fieldNames()).unionByName(new), rejects
 
 
+def _passed_rules(changes: DataFrame) -> DataFrame:
+    """The deals that name a listing and pass every rule on their own fields."""
+    typed = ensure_columns(changes, TXN_TYPES).where(F.col("listing_id").isNotNull())
+    return with_reasons(typed, _txn_rules(True)).where("is_valid").drop("reasons", "is_valid")
+
+
 def check_transactions(listings: DataFrame, changes: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(valid deals without ids, rejects): the listing must exist; price > 0;
     status in the domain (default Completed). ``_seq`` holds the order.
 
     Deals that a field rule rejects are not dealt to the listings, and the
     others only with the columns that a deal keeps."""
-    typed = ensure_columns(changes, TXN_TYPES)
-    v = _flag_exists(typed, listings, "listing_id", "listing_id", "_found")
-    v = with_reasons(v, [("listing_unknown", ~F.col("_found"))] + _txn_rules(True)).drop("_found")
-    _, rejects = _split(v, seq)
-    passed, _ = _split(with_reasons(typed, _txn_rules(True)), seq)
-    passed = passed.select(
+    typed, rules = ensure_columns(changes, TXN_TYPES), _txn_rules(True)
+
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        v = _flag_exists(df, listings, "listing_id", "listing_id", "_found")
+        return _split(with_reasons(v, [("listing_unknown", ~F.col("_found"))] + rules).drop("_found"), seq)
+
+    kept = [n for n in S.TRANSACTIONS.fieldNames() if n not in ("txn_id", "created_at")]
+    valid, _ = split(_passed_rules(changes).select(*dict.fromkeys([seq, *kept])))
+    valid = valid.select(
         F.col(seq).alias("_seq"),
         F.col("listing_id").cast("bigint").alias("listing_id"),
         F.col("sale_price").cast(S.MONEY).alias("sale_price"),
         F.col("transaction_date").cast("date").alias("transaction_date"),
-        *[F.col(c).cast("string").alias(c) if c in changes.columns else F.lit(None).cast("string").alias(c)
-          for c in ("buyer_name", "ownership_type")],
+        *[F.col(c).cast("string").alias(c) for c in ("buyer_name", "ownership_type")],
         F.coalesce(F.col("status"), F.lit("Completed")).alias("status"),
-        (F.col("notes") if "notes" in changes.columns else F.lit(None)).cast("string").alias("notes"),
+        F.col("notes").cast("string").alias("notes"),
     )
-    known = listings.select(F.col("listing_id").alias("_known"))
-    return passed.join(known, F.col("listing_id") == F.col("_known")).drop("_known"), rejects
+    return valid, split(typed)[1]
 
 
 def number_transactions(valid: DataFrame, id_prefix: str, batch_ts: str | None = None,
